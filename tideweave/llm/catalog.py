@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from tideweave.llm import chat_format, pii, url_filter
+from tideweave.llm import chat_format, decontaminate, pii, quality, toxicity, url_filter
 
 
 def queries() -> dict:
     """name -> callable (spark, sf_dir)."""
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_chat_format": chat_format.op5_chat_format,
         "op9_pii": pii.op9_pii,
+        "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict:
     """name -> DuckDB SQL, where SQL can express the query."""
-    return {"op1_url_filter": url_filter.ORACLE_SQL, "op9_pii": pii.ORACLE_SQL}
+    return {
+        "op1_url_filter": url_filter.ORACLE_SQL,
+        "op3_decontaminate": decontaminate.ORACLE_SQL,
+        "op9_pii": pii.ORACLE_SQL,
+    }

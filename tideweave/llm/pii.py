@@ -153,12 +153,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     """The same spans in DuckDB: plain regular expressions, offsets by list functions."""
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
-    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), i -> CASE WHEN i % 2 = 0 THEN (2 * CAST(substring({digits}, length({digits}) - i + 1, 1) AS INT)) // 10 + (2 * CAST(substring({digits}, length({digits}) - i + 1, 1) AS INT)) % 10 ELSE CAST(substring({digits}, length({digits}) - i + 1, 1) AS INT) END)) % 10 = 0"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN (2 * CAST(substring({digits}, length({digits}) - i + 1, 1) AS INT)) // 10 + (2 * CAST(substring({digits}, length({digits}) - i + 1, 1) AS INT)) % 10 ELSE CAST(substring({digits}, length({digits}) - i + 1, 1) AS INT) END)) % 10 = 0"
     bare = "replace(m, ' ', '')"
-    mod = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substring({bare}, 5) || substring({bare}, 1, 4), ''), c -> CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT))), (a, v) -> CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
+    mod = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substring({bare}, 5) || substring({bare}, 1, 4), ''), lambda c: CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT))), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"
     valid = {
         "email": "true",
-        "ip": "len(list_filter(string_split(m, '.'), p -> length(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INT) > 255)) = 0",
+        "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INT) > 255)) = 0",
         "card": f"CASE WHEN length({digits}) BETWEEN 13 AND 19 THEN {luhn} ELSE false END",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
         "iban": f"CASE WHEN length({bare}) BETWEEN 15 AND 34 THEN {mod} ELSE false END",
@@ -169,7 +169,7 @@ def _oracle() -> str:
         score = "" if k.base or k.score >= KEEP else f" AND regexp_matches(lower(substring(txt, greatest(b - {NEAR - 1}, 1), least(b, {NEAR}))), '\\b(?:{k.words})')"
         parts.append(
             f"SELECT row, {n} AS kind_no, '{k.name}' AS kind, b, b + length(m) AS e FROM ("
-            "SELECT row, txt, found[i] AS m, CAST(list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(found[1:i-1], x -> length(x))), 0) AS INT) AS b FROM ("
+            "SELECT row, txt, found[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS INT) AS b FROM ("
             f"SELECT row, txt, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM (SELECT row, txt, regexp_extract_all(txt, '{k.plain}') AS found, string_split_regex(txt, '{k.plain}') AS gaps FROM d))) WHERE {valid[k.name]}{score}"
         )
     counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k.name}') AS BIGINT) AS n_{k.name}" for k in KINDS if k.base)
