@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideweave.llm import chat_format, decontaminate, pii, quality, toxicity, url_filter
+from tideweave.llm import chat_format, decontaminate, mixing, pii, quality, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op6_shard": sharding.op6_shard,
+        "op8_mix": mixing.op8_mix,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
     }
@@ -22,5 +24,6 @@ def oracle_sql() -> dict:
     return {
         "op1_url_filter": url_filter.ORACLE_SQL,
         "op3_decontaminate": decontaminate.ORACLE_SQL,
+        "op6_shard": sharding.ORACLE_SQL,
         "op9_pii": pii.ORACLE_SQL,
     }

@@ -41,6 +41,8 @@ LAMBDA = 0.6
 #: Letters of a window; longer words give overlapping windows.
 LONGEST = 16
 LANDMARKS = 160
+#: Margin from which a window is also read with one letter left out, and what that costs.
+NEAR, INSERTED = -0.8, 0.45
 #: Words whose margins a worker remembers.
 REMEMBERED = 300_000
 #: What digits and marks inside a word are read as.
@@ -159,32 +161,33 @@ class Model:
             suspects.append([w for s, w in ranked[:3] if s > 2.0 and s > ranked[0][0] - 1.0])
         negatives = sorted({w for b in clean for w in b})
         random.shuffle(negatives)
+        words = list({*negatives, *(w for b in toxic for w in b)})
         hard: list[str] = []
+        known: dict[str, float] = {}
         for _ in range(rounds):
             positive = [w for ws in suspects for w in ws]
             if not positive:
                 break
             negative = list(dict.fromkeys([*hard, *negatives[: max(2000, 4 * len(positive))]]))
             self._solve(positive, negative, random)
-            margin = margins(negatives, self.weights, self.bias)
-            hard = list(dict.fromkeys([*hard, *(negatives[k] for k in np.argsort(-margin)[:1000] if margin[k] > -1)]))[:4000]
-            again = []
-            for b in toxic:
-                m = margins(b, self.weights, self.bias) if b else np.zeros(0)
-                again.append([b[k] for k in np.argsort(-m)[:3] if m[k] > -0.2])
-            suspects = again
-        worst = np.array([self._bag(b) for b in bags])
-        self.curve = platt(worst, y)
+            known = dict(zip(words, margins(words, self.weights, self.bias).tolist()))
+            worst = sorted(negatives, key=lambda w: (-known[w], w))[:1000]
+            hard = list(dict.fromkeys([*hard, *(w for w in worst if known[w] > -1)]))[:4000]
+            suspects = [[w for w in sorted(b, key=lambda w: (-known[w], w))[:3] if known[w] > -0.2] for b in toxic]
+        self.curve = platt(np.array([max([self.floor, *(known.get(w, self.floor) for w in b)]) for b in bags]), y)
 
     def _solve(self, positive, negative, random):
         chosen = list(dict.fromkeys(positive))
         random.shuffle(chosen)
         marks = [*chosen[: LANDMARKS * 2 // 3], *negative[: LANDMARKS - min(len(chosen), LANDMARKS * 2 // 3)]]
         marks = list(dict.fromkeys(marks))
-        table_of = np.zeros((len(marks), _SIZE**3), np.float32)
-        for k, w in enumerate(marks):
-            places, value = embed(w)
-            table_of[k, places] = value
+        spots = [embed(w) for w in marks]
+        used = np.unique(np.concatenate([at for at, _ in spots]))
+        column = np.full(_SIZE**3, len(used))  # one more, always zero: subsequences that no landmark has
+        column[used] = np.arange(len(used))
+        table_of = np.zeros((len(marks), len(used) + 1), np.float32)
+        for k, (places, value) in enumerate(spots):
+            table_of[k, column[places]] = value
         values, vectors = np.linalg.eigh((table_of @ table_of.T).astype(np.float64))
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
@@ -194,16 +197,24 @@ class Model:
         x = np.zeros((len(words), len(marks)))
         for k, w in enumerate(words):
             places, value = embed(w)
-            x[k] = table_of[:, places] @ value
+            x[k] = table_of[:, column[places]] @ value
         x = x @ root
         starts, index = np.arange(len(words) + 1) * x.shape[1], np.tile(np.arange(x.shape[1]), len(words))
         weight = np.array([min(3.0, 1.0 + count[w] / 4) for w in words])
         weight[: len(count)] *= max(1.0, (len(words) - len(count)) / len(count) / 4)
         w = dual_coordinate_descent(starts, index, x.ravel(), y, x.shape[1], 2.0 * weight, epochs=12)
-        self.weights, self.bias = ((root @ w[:-1]) @ table_of).astype(np.float32), float(w[-1])
-
-    def _bag(self, windows: list[str]) -> float:
-        return max(self.floor, float(margins(windows, self.weights, self.bias).max())) if windows else self.floor
+        self.weights, self.bias = np.zeros(_SIZE**3, np.float32), float(w[-1])
+        self.weights[used] = ((root @ w[:-1]) @ table_of)[:-1]
+
+    def tolerant(self, windows: list[str]) -> np.ndarray:
+        """Margins; a window close to the insults is also read with each one of its letters left out."""
+        out = margins(windows, self.weights, self.bias)
+        near = [k for k in np.flatnonzero((out > NEAR) & (out < 0)) if len(windows[k]) > 4]
+        less = [windows[k][:i] + windows[k][i + 1 :] for k in near for i in range(len(windows[k]))]
+        if less:
+            owner = np.repeat(near, [len(windows[k]) for k in near])
+            np.maximum.at(out, owner, margins(less, self.weights, self.bias) - INSERTED)
+        return out
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
         """The margin of each text's worst window."""
@@ -220,7 +231,7 @@ class Model:
             owner += [k] * len(found)
         best = np.full(len(listed), low)
         if windows:
-            np.maximum.at(best, np.array(owner), margins(windows, self.weights, self.bias))
+            np.maximum.at(best, np.array(owner), self.tolerant(windows))
         memory.update(zip(listed, best.tolist()))
         out = np.array([max((memory[w] for part in (ws, xs) for w in part), default=low) for ws, xs in zip(words, extra)])
         if len(memory) > REMEMBERED:
