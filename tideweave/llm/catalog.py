@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tideweave.llm import chat_format, decontaminate, mixing, pii, quality, sharding, toxicity, url_filter
+from tideweave.llm import chat_format, decontaminate, embedding_dedup, jaccard, mixing, pii, quality, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
     """name -> callable (spark, sf_dir)."""
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_near_duplicates": embedding_dedup.op2_near_duplicates,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_chat_format": chat_format.op5_chat_format,
         "op6_shard": sharding.op6_shard,
+        "op7_jaccard": jaccard.op7_jaccard,
         "op8_mix": mixing.op8_mix,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
@@ -23,7 +25,9 @@ def oracle_sql() -> dict:
     """name -> DuckDB SQL, where SQL can express the query."""
     return {
         "op1_url_filter": url_filter.ORACLE_SQL,
+        "op2_near_duplicates": embedding_dedup.ORACLE_SQL,
         "op3_decontaminate": decontaminate.ORACLE_SQL,
         "op6_shard": sharding.ORACLE_SQL,
+        "op7_jaccard": jaccard.ORACLE_SQL,
         "op9_pii": pii.ORACLE_SQL,
     }
