@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tideweave.llm import chat_format, decontaminate, embedding_dedup, jaccard, mixing, pii, quality, sharding, toxicity, url_filter
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -156,6 +156,23 @@ def decontaminate(
     return out
 
 
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all their columns, in which no window of an item occurs."""
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    small_batches(spark)
+    out = docs
+    for block in automata(items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).toLocalIterator()):
+        shared = spark.sparkContext.broadcast(block)
+
+        def batches(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            machine = build(shared.value)
+            for b in source:
+                yield b.filter(pa.array([not scan(machine, t)[1] for t in b.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(batches, docs.schema)
+    return out
+
+
 def hit_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
     """What decontaminate() returns, with spans: code point offsets of the hit passages in the original text."""
     schema = T.StructType([*found.schema.fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])

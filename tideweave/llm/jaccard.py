@@ -238,6 +238,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", F.col("id").cast("long")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row, with all its columns, of each group: that with the smallest id; rows without an id stay."""
+    groups = jaccard_groups(docs, id_col, text_col, n, percent)
+    chosen = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("chosen")).distinct()
+    kept = docs.join(chosen, docs[id_col] == chosen["chosen"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents: four words, a similarity of 0.85."""
     return jaccard_groups(table(spark, sf_dir, "documents"), n=4, percent=85)

@@ -18,6 +18,7 @@ their own; a null id is dealt like any other; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideweave.llm.common import stored, table
+from tideweave.llm.common import small_batches, stored, table
 
 #: Words of a block.
 BLOCK = 64
@@ -39,6 +40,7 @@ SHARD_SLOTS = 1 << 16
 SEED = 20260101
 WORDS = r"[^\x20\x09-\x0D]+"
 _GAPS = r"[\x20\x09-\x0D]+"
+_WORD = re.compile(WORDS)
 
 
 def n_words(text: Column) -> Column:
@@ -91,11 +93,11 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, stream, size, begin: where a document's words lie in its stream."""
+def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
+    """id, source, stream, size, begin: where a document's words lie in its stream; with whole, also the document as `row`."""
     size = n_words(docs[text_col])
     stream = F.pmod(F.xxhash64(docs[id_col].cast("string"), F.lit(SEED)), F.lit(STREAMS)).cast("int")
-    rows = docs.select(docs[id_col].alias(id_col), docs[source_col].cast("string").alias("source"), stream.alias("stream"), size.alias("size"))
+    rows = docs.select(docs[id_col].alias(id_col), docs[source_col].cast("string").alias("source"), stream.alias("stream"), size.alias("size"), *([F.struct(*docs.columns).alias("row")] if whole else []))
     order = Window.partitionBy("source", "stream").orderBy(F.xxhash64(id_col), id_col, "size")
     return rows.withColumn("begin", F.sum("size").over(order) - F.col("size"))
 
@@ -149,13 +151,16 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
     return given.repartition(parts).mapInArrow(batches, schema)
 
 
-def lay_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> tuple[DataFrame, Plan]:
+def lay_out(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, whole: bool = False
+) -> tuple[DataFrame, Plan]:
     """id, source, source_no, size, begin: where each document's words lie in its source; and the plan of the mix."""
-    laid = stored(streams(docs, id_col, text_col, source_col), "mix")
+    laid = stored(streams(docs, id_col, text_col, source_col, whole), "mix")
     plan = Plan(laid, block)
     known = plan.streams_frame(docs.sparkSession)
     placed = laid.join(known, laid["source"].eqNullSafe(known["s"]) & (laid["stream"] == known["t"]), "left")
-    return placed.select(id_col, "source", "source_no", "size", (F.col("begin") + F.coalesce("offset", F.lit(0))).alias("begin")), plan
+    begin = (F.col("begin") + F.coalesce("offset", F.lit(0))).alias("begin")
+    return placed.select(id_col, "source", "source_no", "size", begin, *(["row"] if whole else [])), plan
 
 
 def mix(placed: DataFrame, plan: Plan) -> DataFrame:
@@ -171,6 +176,42 @@ def mix(placed: DataFrame, plan: Plan) -> DataFrame:
     return own.join(taken, ["source_no", "block"])
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The mix as documents: for each pass in which words of a document are taken a row with its columns, the text cut to
+    those words, and the number of characters with it."""
+    placed, plan = lay_out(docs, id_col, text_col, source_col, whole=True)
+    taken = mix(placed, plan).select("source_no", "begin", F.explode("passes").alias("pass_no"), "low", "high")
+    taken = taken.groupBy("source_no", "begin", "pass_no").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
+    met = placed.filter("size > 0").select("source_no", "begin", "row").join(taken, ["source_no", "begin"]).select("row.*", "runs")
+    names, at, chars = docs.columns, docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            texts = [words_between(t, [(r["low"], r["high"]) for r in runs]) for t, runs in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+            columns = list(b.columns[:-1])
+            columns[at] = pa.array(texts, columns[at].type)
+            if chars is not None:
+                columns[chars] = pa.array([len(t) for t in texts]).cast(columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    small_batches(docs.sparkSession)
+    return met.mapInArrow(cut, docs.schema)
+
+
+def words_between(text: str, runs: list[tuple[int, int]]) -> str:
+    """The words low .. high - 1 of a text for each run, as they stand; runs that touch are one piece."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    pieces: list[list[int]] = []
+    for low, high in runs:
+        if pieces and pieces[-1][1] == low:
+            pieces[-1][1] = high
+        else:
+            pieces.append([low, high])
+    if pieces == [[0, len(spans)]]:
+        return text
+    return " ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in pieces)
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     placed, plan = lay_out(table(spark, sf_dir, "documents"))

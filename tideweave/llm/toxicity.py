@@ -18,10 +18,13 @@ repeated labels of a document the highest counts, null labels don't; without lab
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +38,7 @@ from tideweave.llm.linear import chance, dual_coordinate_descent, platt
 from tideweave.llm.quality import fold_of, sample
 
 #: Labelled rows of each class that the model is fitted on, at most.
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 1000
 #: Weight of a letter's place in a subsequence's span.
 LAMBDA = 0.6
 #: Letters of a window; longer words give overlapping windows.
@@ -84,6 +87,7 @@ def codes(windows: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+@lru_cache(maxsize=None)
 def _triples(n: int) -> list[tuple[int, int, int]]:
     return list(combinations(range(n), 3))
 
@@ -109,6 +113,7 @@ def self_kernel(c: np.ndarray) -> np.ndarray:
     return total
 
 
+@lru_cache(maxsize=50_000)
 def embed(window: str) -> tuple[np.ndarray, np.ndarray]:
     """A window's normalised weights of subsequences: places and values."""
     (_, c), = codes([window]).values()
@@ -140,7 +145,7 @@ def margins(windows: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
 class Model:
     """Fitted on bags of windows; memory of word margins for a worker."""
 
-    def __init__(self, bags: list[set[str]], y: np.ndarray, rounds: int = 4, seed: int = 0):
+    def __init__(self, bags: list[set[str]], y: np.ndarray, rounds: int = 3, seed: int = 0):
         self.weights, self.bias, self.curve, self.floor = np.zeros(_SIZE**3, np.float32), 0.0, (1.0, 0.0), -1.0
         self.memory: dict[str, float] = {}
         self.fitted = len(set(y.tolist())) == 2
@@ -151,14 +156,15 @@ class Model:
         toxic, clean = [b for b, k in zip(bags, y) if k], [b for b, k in zip(bags, y) if not k]
         in_toxic, in_clean = (Counter(g for b in part for g in {w[i : i + n] for w in b for n in (4, 5) for i in range(len(w) - n + 1)}) for part in (toxic, clean))
 
-        def odds(w: str) -> float:
-            grams = [w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)] or [w]
-            return max((np.log((in_toxic[g] + 0.1) / (len(toxic) + 1)) - np.log((in_clean[g] + 0.1) / (len(clean) + 1))) if in_toxic[g] > 1 else -9 for g in grams)
+        rate = {g: math.log((k + 0.1) / (len(toxic) + 1)) - math.log((in_clean[g] + 0.1) / (len(clean) + 1)) for g, k in in_toxic.items() if k > 1}
+        odds: dict[str, float] = {}
+        for w in {w for b in toxic for w in b}:
+            odds[w] = max((rate.get(w[i : i + n], -9.0) for n in (4, 5) for i in range(len(w) - n + 1)), default=-9.0)
 
         suspects = []
         for b in toxic:
-            ranked = sorted(((odds(w), w) for w in b), reverse=True)
-            suspects.append([w for s, w in ranked[:3] if s > 2.0 and s > ranked[0][0] - 1.0])
+            ranked = heapq.nlargest(3, ((odds[w], w) for w in b)) or [(0.0, "")]
+            suspects.append([w for s, w in ranked if s > 2.0 and s > ranked[0][0] - 1.0])
         negatives = sorted({w for b in clean for w in b})
         random.shuffle(negatives)
         words = list({*negatives, *(w for b in toxic for w in b)})
@@ -171,11 +177,18 @@ class Model:
             negative = list(dict.fromkeys([*hard, *negatives[: max(2000, 4 * len(positive))]]))
             self._solve(positive, negative, random)
             known = dict(zip(words, margins(words, self.weights, self.bias).tolist()))
-            worst = sorted(negatives, key=lambda w: (-known[w], w))[:1000]
-            hard = list(dict.fromkeys([*hard, *(w for w in worst if known[w] > -1)]))[:4000]
-            suspects = [[w for w in sorted(b, key=lambda w: (-known[w], w))[:3] if known[w] > -0.2] for b in toxic]
+            worst = heapq.nsmallest(1000, negatives, key=lambda w: (-known[w], w))
+            hard = list(dict.fromkeys([*hard, *(w for w in worst if known[w] > -1), *self._misread(negatives, known)]))[:4000]
+            suspects = [heapq.nsmallest(3, (w for w in b if known[w] > -0.2), key=lambda w: (-known[w], w)) for b in toxic]
         self.curve = platt(np.array([max([self.floor, *(known.get(w, self.floor) for w in b)]) for b in bags]), y)
 
+    def _misread(self, negatives: list[str], known: dict[str, float]) -> list[str]:
+        """Readings of clean windows with a letter left out that look most like insults."""
+        near = [w for w in negatives if NEAR < known[w] < 0 and len(w) > 4]
+        less = sorted({w[:i] + w[i + 1 :] for w in near for i in range(len(w))})
+        margin = margins(less, self.weights, self.bias)
+        return [less[k] for k in np.argsort(-margin, kind="stable")[:1000] if margin[k] > -0.5]
+
     def _solve(self, positive, negative, random):
         chosen = list(dict.fromkeys(positive))
         random.shuffle(chosen)
@@ -277,6 +290,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias(text_col)).mapInArrow(batches, schema)
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose score is under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            yield b.filter(pa.array(shared.value.scores(b.column(at).to_pylist()) < threshold))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
