@@ -48,5 +48,5 @@ def softmax(a: Column | str) -> Column:
 
 def matvec(matrix: Column | str, width: int, vector: Column | str) -> Column:
     """Product of a row-major matrix, an array of rows * width elements, with a vector of `width` elements."""
-    rows = F.sequence(F.lit(0), F.size(col(matrix)) / width - 1)
-    return F.transform(rows.cast("array<int>"), lambda k: dot(F.slice(col(matrix), k * width + 1, width), vector))
+    rows = F.sequence(F.lit(0), (F.size(col(matrix)) / width).cast("int") - 1)
+    return F.transform(rows, lambda k: dot(F.slice(col(matrix), k * width + 1, width), vector))

@@ -191,6 +191,9 @@ def rolling_ridge(panel: DataFrame, window: int, rho: float, first: int) -> Data
         for b in source:
             betas = []
             for rows in b.column(2).to_pylist():
+                if not rows:
+                    betas.append(None)
+                    continue
                 x, y = np.array([r["x"] for r in rows], np.float64), np.array([r["y"] for r in rows], np.float64)
                 betas.append(solve(x.T @ x / len(y) + rho * np.eye(x.shape[1]), x.T @ y / len(y)).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(betas, pa.list_(pa.float64()))], names=["series", "t", "beta"])

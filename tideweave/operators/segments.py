@@ -20,8 +20,8 @@ def storms(rows: DataFrame) -> DataFrame:
     """Adds storm (1, 2, ... in each series), k (place in the storm) and length. rows: series, t (dense), days, hours."""
     lagged = blocked(rows, 1, lambda f, w: f.withColumns({"p_day": F.lag("days").over(w), "p_hour": F.lag("hours").over(w)}))
     flagged = lagged.withColumn("_start", F.expr(BREAK).cast("int")).drop("p_day", "p_hour")
-    numbered = running_sum(flagged, F.col("_start"), "_before")
-    numbered = numbered.withColumn("storm", (F.coalesce("_before", F.lit(0)) + F.col("_start")).cast("long")).drop("_before")
+    numbered = running_sum(flagged, F.col("_start"), "_earlier")
+    numbered = numbered.withColumn("storm", (F.coalesce("_earlier", F.lit(0.0)) + F.col("_start")).cast("long")).drop("_earlier")
     extent = numbered.groupBy("series", "storm").agg(F.min("t").alias("_first"), F.count("*").alias("length"))
     return numbered.join(extent, ["series", "storm"]).withColumn("k", F.col("t") - F.col("_first") + 1).drop("_first", "_start")
 

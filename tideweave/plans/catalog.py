@@ -1,13 +1,687 @@
-"""Registry of the engine's queries and of their SQL twins."""
+"""Registry of the engine's queries and of their SQL twins. Doubles are rounded to six places on both sides."""
 
 from __future__ import annotations
 
-FLAGSHIP = "flagship"
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from tideweave.functions import vectors as V
+from tideweave.operators import learners, metrics, online, prep, reporting, robust, segments, synthetic
+from tideweave.operators.lags import lag_matrix, storm_lags
+from tideweave.operators.learners import Penalty
+from tideweave.operators.prep import Split
+from tideweave.operators.windows import dense_index
+from tideweave.plans import evaluate, sql
+from tideweave.plans.evaluate import Settings
+from tideweave.sources.panels import MEMBERS, orders_panel, panel, table, to_panel, wide_panel
 
+FLAGSHIP = "all_methods_report"
+SETTINGS = Settings()
+SPLIT = SETTINGS.split
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, without negative zeros."""
+    return df.select(*((F.round(F.col(f"`{c}`"), 6) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def query(text: str | None = None):
+    """Registers a function under its name, with its SQL twin if there is one."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if text:
+            _SQL[f.__name__] = text
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _r(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+def _std(spark, d):
+    return prep.standardised(panel(spark, d), SPLIT)
+
+
+def _relevant(spark, d):
+    return evaluate.relevant(_std(spark, d), SPLIT)
+
+
+def _flat(df: DataFrame, name: str, n: int, alias: str) -> list:
+    return [F.get(name, F.lit(k)).alias(f"{alias}{k + 1}") for k in range(n)]
+
+
+# --- scans, projections, filters ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.PANEL} SELECT series, t, {_r('y', *sql.MEMBERS)} FROM panel")
+def panel_events(spark, d):
+    return wide_panel(spark, d)
+
+
+@query("""WITH daily AS (SELECT o_orderpriority AS series, date_trunc('day', o_orderdate) AS day, sum(o_totalprice) AS y FROM orders GROUP BY ALL),
+raw AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY day) AS t, y FROM daily)
+SELECT series, t - 7 AS t, round(y, 6) AS y, round(m1, 6) AS m1, round(m3, 6) AS m3, round(m6, 6) AS m6 FROM (SELECT series, t, y, lag(y) OVER (PARTITION BY series ORDER BY t) AS m1,
+  avg(y) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS m3,
+  avg(y) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m6 FROM raw) WHERE t > 7""")
+def panel_orders(spark, d):
+    return orders_panel(spark, d).select("series", "t", "y", "m1", "m3", "m6")
+
+
+@query(f"WITH {sql.PANEL} SELECT m1 AS m1, round(m2, 6) AS m2, round(m3, 6) AS m3 FROM panel")
+def scan_project_clamp(spark, d):
+    return prep.project_range(wide_panel(spark, d), 4, 6)
+
+
+@query(f"WITH {sql.PANEL} SELECT series, t, round(y, 6) AS y, CAST(1 AS DOUBLE) AS intercept FROM panel WHERE t BETWEEN 50 AND 120")
+def slice_constant_drop(spark, d):
+    return prep.add_constant(prep.drop_columns(prep.rows_between(wide_panel(spark, d), 50, 120), list(MEMBERS)))
+
+
+@query(f"WITH {sql.PANEL} SELECT series, t, CASE WHEN y > m3 THEN round(y, 6) END AS y, m4 = m1 AS at_low FROM panel")
+def masked_values(spark, d):
+    return prep.masked(wide_panel(spark, d), "y", F.col("y") > F.col("m3")).select("series", "t", "y", (F.col("m4") == F.col("m1")).alias("at_low"))
+
+
+@query(f"WITH {sql.PANEL} SELECT t, round(m3, 6) AS m3, round(m5, 6) AS m5 FROM panel WHERE series IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2)")
+def columns_by_mean(spark, d):
+    wide = wide_panel(spark, d)
+    first = table(spark, d, "events").select(F.col("event_type").alias("series")).distinct().orderBy("series").limit(2)
+    kept = prep.columns_with_mean_above(wide.withColumn("none", F.lit(-2e6)), ["m3", "m5", "none"], -1e6)
+    return wide.join(F.broadcast(first), "series", "left_semi").select("t", *kept)
+
+
+_GAPS = "raw AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS t, value AS y, event_id FROM events), g AS (SELECT series, t, CASE WHEN event_id % 7 IN (2, 3) THEN NULL ELSE y END AS y, CASE WHEN event_id % 40 <> 5 THEN y END AS y2 FROM raw)"
+
+
+def _gaps(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("series"), "ts", "event_id", F.col("value").alias("y"))
+    rows = dense_index(rows, ["series"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    gap = F.when(~(F.col("event_id") % 7).isin(2, 3), F.col("y"))
+    return rows.select("series", "t", gap.alias("y"), F.when(F.col("event_id") % 40 != 5, F.col("y")).alias("y2"))
+
+
+@query(f"WITH {_GAPS} SELECT 'y' AS \"column\", count(*) - count(y) AS n_null FROM g UNION ALL SELECT 'y2', count(*) - count(y2) FROM g")
+def null_profile(spark, d):
+    return prep.null_profile(_gaps(spark, d), ["y", "y2"])
+
+
+@query(f"WITH {_GAPS} SELECT series, t, round(y2, 6) AS y2 FROM g WHERE t >= 50")
+def dense_columns(spark, d):
+    gaps = _gaps(spark, d)
+    return gaps.select("series", "t", *prep.dense_columns(gaps, ["y", "y2"])).filter("t >= 50")
+
+
+@query(f"""WITH {_GAPS},
+e AS (SELECT series, t, y, max(CASE WHEN y IS NOT NULL THEN t END) OVER (PARTITION BY series ORDER BY t) AS t0,
+  min(CASE WHEN y IS NOT NULL THEN t END) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM g)
+SELECT e.series, e.t, round(CASE WHEN t0 IS NULL THEN NULL WHEN e.y IS NOT NULL THEN e.y WHEN t1 IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (e.t - t0) / (t1 - t0) END, 6) AS filled
+FROM e LEFT JOIN g a ON a.series = e.series AND a.t = t0 LEFT JOIN g b ON b.series = e.series AND b.t = t1""")
+def interpolate_linear(spark, d):
+    return prep.interpolated(_gaps(spark, d)).select("series", "t", "filled")
+
+
+# --- splits and scaling --------------------------------------------------------------------------------------------
+
+_STD = "series, t, round(y, 6) AS y, round(m1, 6) AS m1, round(m6, 6) AS m6, round(mu, 6) AS mu, round(sigma, 6) AS sigma"
+
+
+def _std_columns(df):
+    return df.select("series", "t", "y", F.get("x", F.lit(1)).alias("m1"), F.get("x", F.lit(6)).alias("m6"), "mu", "sigma")
+
+
+@query(f"WITH {sql.BASE} SELECT {_STD} FROM std")
+def standardize_samp(spark, d):
+    return _std_columns(_std(spark, d))
+
+
+@query(f"WITH {sql.PANEL}, {sql.bounds()}, {sql.standardised('stddev_pop')} SELECT {_STD} FROM std")
+def standardize_pop(spark, d):
+    return _std_columns(prep.standardised(panel(spark, d), SPLIT, population=True))
+
+
+@query(f"WITH {sql.PANEL}, {sql.bounds()} SELECT series, n, split, first, last, end_ AS end FROM lim")
+def split_bounds(spark, d):
+    return prep.bounds(panel(spark, d), SPLIT).select("series", "n", "split", "first", "last", "end")
+
+
+@query(f"WITH {sql.BASE} SELECT series, t, round(y, 6) AS y FROM std WHERE t BETWEEN first AND last")
+def split_train(spark, d):
+    return prep.training(_std(spark, d)).select("series", "t", "y")
+
+
+@query(f"WITH {sql.BASE} SELECT series, t, round(y, 6) AS y FROM std WHERE t > split + 1 AND t <= end_")
+def split_test(spark, d):
+    return prep.testing(_std(spark, d)).select("series", "t", "y")
+
+
+@query(f"WITH {sql.PANEL}, {sql.bounds(val=1 << 40)} SELECT series, count(*) AS n_test FROM panel JOIN lim USING (series) WHERE t > split + 1 AND t <= end_ GROUP BY series")
+def split_all_remaining(spark, d):
+    rows = prep.standardised(panel(spark, d), Split(val=None))
+    return prep.testing(rows).groupBy("series").agg(F.count("*").alias("n_test"))
+
+
+@query(f"WITH {sql.PANEL}, s AS (SELECT avg(m1) AS a1, stddev_pop(m1) AS b1, avg(m6) AS a6, stddev_pop(m6) AS b6 FROM panel WHERE t <= 100) SELECT series, t, round((m1 - a1) / b1, 6) AS m1, round((m6 - a6) / b6, 6) AS m6 FROM panel, s")
+def scaler_train(spark, d):
+    return prep.scale(wide_panel(spark, d).select("series", "t", "m1", "m6"), ["m1", "m6"], F.col("t") <= 100)
+
+
+@query(None)
+def random_split(spark, d):
+    return prep.random_split(table(spark, d, "events").select("event_id"), "event_id", 0.8, 7)
+
+
+@query(f"WITH {sql.PANEL} SELECT series, t, round(y - 0.1 * abs(y), 6) AS d_min, round(y + 0.1 * abs(y), 6) AS d_max FROM panel")
+def uncertainty_box(spark, d):
+    return prep.uncertainty_box(wide_panel(spark, d), 0.1).select("series", "t", "d_min", "d_max")
+
+
+@query(f"""WITH {sql.PANEL}, l AS (SELECT series, t, unnest([m1, m2, m3, m4, m5, m6]) AS v FROM panel)
+SELECT series, t, round(avg(v), 6) AS mean, round(avg(v) - 2 * stddev_samp(v), 6) AS low, round(avg(v) + 2 * stddev_samp(v), 6) AS high FROM l GROUP BY series, t""")
+def member_spread(spark, d):
+    m = F.slice("x", 2, 6)
+    return panel(spark, d).select("series", "t", V.mean(m).alias("mean"), (V.mean(m) - 2 * V.std(m)).alias("low"), (V.mean(m) + 2 * V.std(m)).alias("high"))
+
+
+# --- time-series preparation ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {sql.PANEL}, l AS (SELECT series, t, y AS y_0, lag(y, 1) OVER w AS y_1, lag(y, 2) OVER w AS y_2, m1 AS m1_0, lag(m1, 1) OVER w AS m1_1, lag(m1, 2) OVER w AS m1_2,
+  lead(y, 2) OVER w AS target FROM panel WINDOW w AS (PARTITION BY series ORDER BY t))
+SELECT series, t, {_r('y_0', 'm1_0', 'y_1', 'm1_1', 'y_2', 'm1_2', 'target')} FROM l WHERE t >= 3 AND target IS NOT NULL""")
+def supervised_xy(spark, d):
+    return prep.supervised(wide_panel(spark, d), ["y", "m1"], "y", 3, 2)
+
+
+@query(f"WITH {sql.PANEL} SELECT series, t, round(y - lag(y) OVER w, 6) AS diff, round((y - lag(y) OVER w) / nullif(lag(y) OVER w, 0), 6) AS ret FROM panel WINDOW w AS (PARTITION BY series ORDER BY t)")
+def diff_returns(spark, d):
+    return prep.differences(wide_panel(spark, d)).select("series", "t", "diff", "ret")
+
+
+@query("SELECT event_id, round(sin(2 * pi() * dayofyear(ts) / 365), 6) + 0.0 AS sin_day, round(cos(2 * pi() * dayofyear(ts) / 365), 6) + 0.0 AS cos_day, round(sin(2 * pi() * hour(ts) / 24), 6) + 0.0 AS sin_hour, round(cos(2 * pi() * hour(ts) / 24), 6) + 0.0 AS cos_hour FROM events")
+def cyclic_time(spark, d):
+    return prep.cyclic_time(table(spark, d, "events"), "ts").select("event_id", "sin_day", "cos_day", "sin_hour", "cos_hour")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'A' AS DOUBLE) AS \"l_returnflag_A\", CAST(l_returnflag = 'N' AS DOUBLE) AS \"l_returnflag_N\", CAST(l_returnflag = 'R' AS DOUBLE) AS \"l_returnflag_R\" FROM lineitem")
+def one_hot(spark, d):
+    return prep.one_hot(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag", ["A", "N", "R"]).drop("l_returnflag")
+
+
+_LAGGED = f"WITH {sql.BASE}, l AS (SELECT series, t, " + ", ".join(f"lag({m}, {k}) OVER w AS {m}_{k}" for k in (1, 2, 3) for m in ("m1", "m6", "y")) + ", lag(y, 4) OVER w AS y_4 FROM std WINDOW w AS (PARTITION BY series ORDER BY t))"
+
+
+def _picked(df, places, names):
+    return df.select("series", "t", F.size("z").alias("width"), *(F.get("z", F.lit(p)).alias(n) for p, n in zip(places, names)))
+
+
+@query(f"{_LAGGED} SELECT series, t, 24 AS width, round(m1_1, 6) AS a, round(m6_3, 6) AS b, round(y_3, 6) AS c, round(y_1, 6) AS e FROM l WHERE t >= 4")
+def lags_value_rule(spark, d):
+    return _picked(lag_matrix(_std(spark, d), 3), (1, 20, 21, 23), "abce")
+
+
+@query(f"{_LAGGED} SELECT series, t, 24 AS width, round(m1_1 - y_1, 6) AS a, round(m6_3 - y_3, 6) AS b, round(1 - y_2, 6) AS c, CAST(1 AS DOUBLE) AS e FROM l WHERE t >= 4")
+def lags_error_rule(spark, d):
+    return _picked(lag_matrix(_std(spark, d), 3, "error"), (1, 20, 7, 23), "abce")
+
+
+@query(f"WITH {sql.BASE}, l AS (SELECT series, t, " + ", ".join(f"lag({m} - y) OVER w AS d{k}" for k, m in enumerate(sql.MEMBERS, 1)) + ", lag(1 - y) OVER w AS d0 FROM std WINDOW w AS (PARTITION BY series ORDER BY t)) SELECT series, t, 8 AS width, round(d0 / s, 6) AS a, round(d6 / s, 6) AS b FROM (SELECT *, nullif(abs(d0) + abs(d1) + abs(d2) + abs(d3) + abs(d4) + abs(d5) + abs(d6), 0) AS s FROM l) WHERE t >= 2")
+def lags_error_norm(spark, d):
+    return _picked(lag_matrix(_std(spark, d), 1, "error_norm"), (0, 6), "ab")
+
+
+@query(f"{_LAGGED} SELECT series, t, 16 AS width, round(m1_1, 6) AS a, round(m6_2, 6) AS b, round(y_4, 6) AS c, round(y_3, 6) AS e FROM l WHERE t >= 5")
+def lags_lead(spark, d):
+    return _picked(lag_matrix(_std(spark, d), 2, lead=3), (1, 13, 14, 15), "abce")
+
+
+@query(f"WITH {sql.BASE}, l AS (SELECT series, t, m1, lag(m1) OVER w AS m1_1, lag(y) OVER w AS y_1 FROM std WINDOW w AS (PARTITION BY series ORDER BY t)) SELECT series, t, 16 AS width, round(m1, 6) AS a, round(m1_1, 6) AS b, round(y_1, 6) AS c, CAST(1 AS DOUBLE) AS e FROM l WHERE t >= 2")
+def lags_python(spark, d):
+    return _picked(lag_matrix(_std(spark, d), 1, constant=True, present=True), (1, 8, 14, 15), "abce")
+
+
+# --- storms ----------------------------------------------------------------------------------------------------------
+
+
+def _storm_records(spark, d):
+    ev = table(spark, d, "events")
+    day = F.date_trunc("day", "ts").alias("d")
+    six = ev.groupBy("event_type", F.dayofmonth("ts").alias("days"), (F.floor(F.hour("ts") / 6) * 6).cast("int").alias("hours"), day).agg(F.min("value").alias("y"))
+    six = six.filter("NOT (days % 9 = 4 AND hours = 6)")
+    rows = six.select(F.col("event_type").alias("series"), "days", "hours", "d", "y", (F.col("y") / 10).alias("current_speed"))
+    return dense_index(rows, ["series"], ["d", "hours"], F.col("d")).select("series", "t", "days", "hours", "y", "current_speed")
+
+
+@query(f"WITH {sql.storms()} SELECT series, t, storm, k, length FROM st")
+def storm_segments(spark, d):
+    return segments.storms(_storm_records(spark, d)).select("series", "t", "storm", "k", "length")
+
+
+@query(f"WITH {sql.storms()}, p AS (SELECT * FROM st WHERE length > 2) SELECT series, storm, k, row_number() OVER (PARTITION BY series ORDER BY storm, k) AS pos FROM p")
+def storm_lengths(spark, d):
+    return segments.long_storms(_storm_records(spark, d), 1).select("series", "storm", "k", "pos")
+
+
+@query(f"WITH {sql.storms()}, p AS (SELECT *, lag(y) OVER (PARTITION BY series, storm ORDER BY k) AS x1, lag(current_speed) OVER (PARTITION BY series, storm ORDER BY k) AS c1 FROM st) SELECT series, storm, k, round(x1, 6) AS x1, round(current_speed, 6) AS c0 FROM p WHERE k > 1")
+def storm_lag_vectors(spark, d):
+    rows = segments.storms(_storm_records(spark, d)).withColumn("x", F.array("y"))
+    return storm_lags(rows, 1).select("series", "storm", "k", F.get("z", F.lit(0)).alias("x1"), F.get("z", F.lit(1)).alias("c0"))
+
+
+# --- simple forecasts and scores -----------------------------------------------------------------------------------
+
+
+def _simple(spark, d):
+    rows = _relevant(spark, d)
+    last = prep.testing(online.persistence(rows)).filter(F.col("t") > F.col("split") + 2)
+    return online.ensemble_mean(prep.testing(rows)).unionByName(online.errors_of(last, "last_timestep", F.col("last")))
+
+
+_SIMPLE = f"WITH {sql.BASE}, {sql.SIMPLE} "
+
+
+@query(f"{_SIMPLE} SELECT series, t, round(y, 6) AS y, round(y - err, 6) AS pred, round(err, 6) AS err FROM simple WHERE method = 'mean'")
+def ensemble_mean(spark, d):
+    return online.ensemble_mean(prep.testing(_relevant(spark, d))).drop("method")
+
+
+@query(f"{_SIMPLE} SELECT series, t, round(err, 6) AS err FROM simple WHERE method = 'last_timestep'")
+def persistence(spark, d):
+    return _simple(spark, d).filter("method = 'last_timestep'").select("series", "t", "err")
+
+
+@query(f"{_SIMPLE} SELECT series, t, model, round(err, 6) AS err FROM merr")
+def model_errors(spark, d):
+    return metrics.member_errors(prep.testing(_relevant(spark, d))).select("series", "t", "model", "err")
+
+
+@query(f"{_SIMPLE} {sql.scores('simple')}")
+def metrics_mae_mape_rmse_r2(spark, d):
+    return metrics.scores(_simple(spark, d))
+
+
+@query(f"{_SIMPLE} {sql.cvar('simple')}")
+def cvar_05_15(spark, d):
+    return metrics.cvar(_simple(spark, d))
+
+
+@query(f"{_SIMPLE} {sql.cvar('(SELECT series, method, err * err AS err FROM simple)')}")
+def cvar_squared(spark, d):
+    return metrics.cvar(_simple(spark, d), loss=F.col("err") * F.col("err"))
+
+
+@query(f"{_SIMPLE} SELECT series, method, count(*) FILTER (abs(err) > 1.5) AS over_1_5, count(*) FILTER (abs(err) > 2) AS over_2_0, count(*) FILTER (abs(err) > 2.5) AS over_2_5, count(*) FILTER (abs(err) > 3) AS over_3_0 FROM simple GROUP BY ALL")
+def exceedance_counts(spark, d):
+    return metrics.exceedances(_simple(spark, d))
+
+
+@query(f"{_SIMPLE}, b AS (SELECT series, model, 100 * avg(abs(err / nullif(y, 0))) AS mape FROM merr GROUP BY ALL) SELECT series, model, round(mape, 6) AS mape FROM b QUALIFY row_number() OVER (PARTITION BY series ORDER BY mape, model) = 1")
+def best_model_hindsight(spark, d):
+    return metrics.best_member(metrics.member_errors(prep.testing(_relevant(spark, d))))
+
+
+@query(f"{_SIMPLE} SELECT series, method, round(avg(err), 6) AS mean, round(min(err), 6) AS min, round(stddev_samp(err), 6) AS std, count(err) AS count FROM simple GROUP BY ALL")
+def error_describe(spark, d):
+    return reporting.summary(_simple(spark, d), ["series", "method"], "err")
+
+
+# --- sequential learners -------------------------------------------------------------------------------------------
+
+
+def _weights(df):
+    return df.select("series", "t", *_flat(df, "beta", 6, "b"))
+
+
+@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING', 'e')} SELECT series, t, {_r(*(f'b{k}' for k in range(1, 7)))} FROM e")
+def exp3_full(spark, d):
+    return _weights(prep.testing(online.exponential_weights(_relevant(spark, d), 6, SPLIT.history)))
+
+
+@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING', 'e')} SELECT series, t, {_r(*(f'b{k}' for k in range(1, 7)))} FROM e")
+def exp3_recent(spark, d):
+    return _weights(prep.testing(online.exponential_weights(_relevant(spark, d), 6, SPLIT.past - 1)))
+
+
+@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING', 'e', '(SELECT * FROM std WHERE t >= first)')} SELECT series, t, {_r(*(f'b{k}' for k in range(1, 7)))} FROM e")
+def exp3_delayed(spark, d):
+    rows = _std(spark, d).filter("t >= first AND t <= end")
+    return _weights(prep.testing(online.exponential_weights(rows, 6, SPLIT.history + SPLIT.val + 1, 4)))
+
+
+@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING', 'e')}, m AS (SELECT series, 'bandits_full' AS method, y, err FROM e) {sql.scores('m')}")
+def bandits_report(spark, d):
+    return metrics.scores(online.weighted(prep.testing(online.exponential_weights(_relevant(spark, d), 6, SPLIT.history)), "bandits_full", True))
+
+
+def _pa_sql(delay: int) -> str:
+    names = ["x0", *sql.MEMBERS]
+    source = ", ".join([*(f"s.{m}" for m in sql.MEMBERS)])
+    dot = " + ".join(f"p.w{k} * u.{m}" if k else "p.w0" for k, m in enumerate(names))
+    square = " + ".join(f"u.{m} * u.{m}" if k else "1" for k, m in enumerate(names))
+    active = "true" if delay == 1 else f"p.t + 1 - {delay} >= p.split + 2"
+    step = lambda k, m: f"CASE WHEN {active} THEN p.w{k} + sign(u.y - ({dot})) * greatest(abs(u.y - ({dot})) - 0.01, 0) / ({square}) * {'u.' + m if k else '1'} ELSE p.w{k} END AS w{k}"
+    return f"""WITH RECURSIVE {sql.BASE},
+pa AS (SELECT series, split + 1 AS t, split, end_, {', '.join(f'CAST(1.0 / 7 AS DOUBLE) AS w{k}' for k in range(7))} FROM lim
+  UNION ALL SELECT p.series, p.t + 1, p.split, p.end_, {', '.join(step(k, m) for k, m in enumerate(names))}
+  FROM pa p JOIN (SELECT s.series, s.t, s.y, {source} FROM std s) u ON u.series = p.series AND u.t = p.t + 1 - {delay} WHERE p.t < p.end_)
+SELECT series, t, {_r(*(f'w{k}' for k in range(7)))} FROM pa WHERE t > split + 1"""
+
+
+def _pa(spark, d, delay):
+    rows = _std(spark, d)
+    limits = rows.select("series", (F.col("split") + 1).alias("first"), "end").distinct()
+    beta = online.passive_aggressive(rows.select("series", "t", "x", "y"), 0.01, limits, delay)
+    return beta.select("series", "t", *(F.get("beta", F.lit(k)).alias(f"w{k}") for k in range(7)))
+
+
+@query(_pa_sql(1))
+def pa_path(spark, d):
+    return _pa(spark, d, 1)
+
+
+@query(_pa_sql(4))
+def pa_delayed(spark, d):
+    return _pa(spark, d, 4)
+
+
+# --- batch learners ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.BASE} SELECT series, count(*) AS n, round(sum(y), 6) AS xy0, round(sum(m1 * y), 6) AS xy1, round(sum(m1 * m6), 6) AS xx16, round(sum(m6 * m6), 6) AS xx66 FROM std WHERE t BETWEEN first AND last GROUP BY series")
+def gram_sums(spark, d):
+    sums = learners.gram(prep.training(_std(spark, d)).withColumn("f", F.col("x")))
+    def read(source):
+        for b in source:
+            rows = [np.frombuffer(r, float).reshape(8, 8) for r in b.column(2).to_pylist()]
+            pick = lambda i, j: pa.array([float(m[i, j]) for m in rows])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pick(0, 7), pick(1, 7), pick(1, 6), pick(6, 6)], names=["series", "n", "xy0", "xy1", "xx16", "xx66"])
+
+    return sums.select("series", "n", "sums").mapInArrow(read, "series string, n long, xy0 double, xy1 double, xx16 double, xx66 double")
+
+
+@query(f"""WITH {sql.BASE}, g AS (SELECT series, avg(m1) AS a, avg(m1 * m1) + 0.01 AS b, avg(y) AS c, avg(m1 * y) AS e FROM std WHERE t BETWEEN first AND last GROUP BY series)
+SELECT series, round((c * b - a * e) / (1.01 * b - a * a), 6) AS b0, round((1.01 * e - a * c) / (1.01 * b - a * a), 6) AS b1 FROM g""")
+def ridge_two_features(spark, d):
+    rows = prep.training(_std(spark, d)).withColumn("x", F.slice("x", 1, 2))
+    return learners.ridge(rows, 0.01).select("series", F.get("theta", F.lit(0)).alias("b0"), F.get("theta", F.lit(1)).alias("b1"))
+
+
+def _residual(rows: DataFrame, params: DataFrame, rho: float, free: bool = False) -> DataFrame:
+    """Whether the gradient of a ridge's objective vanishes at its weights."""
+    joined = rows.join(params.select("series", "method", "theta"), "series")
+    r = F.col("y") - V.dot("x", "theta")
+    each = joined.select("series", "method", "theta", F.posexplode("x").alias("k", "v"), r.alias("r"))
+    slope = each.groupBy("series", "method", "k").agg((-2 * F.avg(F.col("v") * F.col("r"))).alias("s"), F.first("theta").alias("theta"))
+    pull = F.when((F.col("k") == 0) & F.lit(free), 0.0).otherwise(2 * rho * F.get("theta", F.col("k")))
+    return slope.groupBy("series", "method").agg((F.max(F.abs(F.col("s") + pull)) < 1e-9).alias("stationary"))
+
+
+_TRUE = "SELECT DISTINCT event_type AS series, '{m}' AS method, true AS stationary FROM events"
+
+
+@query(_TRUE.format(m="ridge"))
+def ridge_general(spark, d):
+    rows = prep.training(_std(spark, d))
+    return _residual(rows, learners.ridge(rows, 0.01), 0.01)
+
+
+@query(_TRUE.format(m="ols_ridge"))
+def ridge_free_intercept(spark, d):
+    rows = prep.training(_std(spark, d))
+    return _residual(rows, learners.ridge(rows, 0.05, "ols_ridge", True), 0.05, True)
+
+
+def _adaptive(rule: str, suffix: str):
+    def run(spark, d):
+        rows = _relevant(spark, d)
+        params = evaluate.adaptive_params(rows, SETTINGS, rule, suffix)
+        data = prep.training(evaluate.with_lags(rows, SETTINGS, rule)).filter(F.col("t") >= F.col("first") + SPLIT.past)
+        return _adaptive_residual(data, params)
+
+    return run
+
+
+def _adaptive_residual(data: DataFrame, params: DataFrame) -> DataFrame:
+    """Whether the gradient of the adaptive objective vanishes: f = x (x) w, beta = Theta w."""
+    rows = learners.adaptive_features(data).join(params.select("series", "method", "theta"), "series")
+    width = evaluate.z_width(SETTINGS)
+    rows = rows.withColumn("beta", V.matvec("theta", width, F.col("w"))).withColumn("r", F.col("y") - V.dot("x", "beta"))
+    rho_beta = F.when(F.col("method").startswith("adaptive_ridge_exact"), SETTINGS.penalty.rho_beta).otherwise(0.0)
+    pull = F.flatten(F.transform("beta", lambda b: F.transform("w", lambda w: b * w)))
+    each = rows.select("series", "method", "theta", F.posexplode(F.zip_with("f", pull, lambda f, b: -f * F.col("r") + rho_beta * b)).alias("k", "v"))
+    slope = each.groupBy("series", "method", "k").agg(F.avg("v").alias("s"), F.first("theta").alias("theta"))
+    rho = F.when(F.col("k") % width == 0, SETTINGS.penalty.rho).otherwise(SETTINGS.penalty.rho_v)
+    return slope.groupBy("series", "method").agg((F.max(F.abs(F.col("s") + rho * F.get("theta", F.col("k")))) < 1e-8).alias("stationary"))
+
+
+def _pair(suffix: str) -> str:
+    return " UNION ALL ".join(_TRUE.format(m=f"adaptive_ridge_{k}{suffix}") for k in ("exact", "standard"))
+
+
+@query(_pair(""))
+def adaptive_ridge_value(spark, d):
+    return _adaptive("value", "")(spark, d)
+
+
+@query(_pair("_err_rule"))
+def adaptive_ridge_err_rule(spark, d):
+    return _adaptive("error", "_err_rule")(spark, d)
+
+
+def _lagged_training(spark, d):
+    rows = _relevant(spark, d)
+    return prep.training(evaluate.with_lags(rows, SETTINGS, "value")).filter(F.col("t") >= F.col("first") + SPLIT.past)
+
+
+@query(None)
+def slowly_varying(spark, d):
+    return learners.slowly_varying_ridge(_lagged_training(spark, d).select("series", "t", "x", "y", "z"), 0.01, 0.1).select("series", "method", "n_rows", F.size("theta").alias("n_weights"))
+
+
+@query(None)
+def stable_part(spark, d):
+    rows = _lagged_training(spark, d).withColumn("k", F.col("t") - F.col("first") - SPLIT.past + 1)
+    return learners.stable_part_ridge(rows, 0.01, 0.1, 50).select("series", "method", "n_rows", F.size("theta").alias("n_weights"))
+
+
+@query(f"""WITH {sql.BASE}, g AS (SELECT series, t, split, end_, avg(m1) OVER w AS a, avg(m1 * m1) OVER w + 0.1 AS b, avg(y) OVER w AS c, avg(m1 * y) OVER w AS e FROM std
+  WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+SELECT series, t, round((c * b - a * e) / (1.1 * b - a * a), 6) AS b0, round((1.1 * e - a * c) / (1.1 * b - a * a), 6) AS b1 FROM g WHERE t > split + 1 AND t <= end_""")
+def rolling_ridge(spark, d):
+    rows = _relevant(spark, d).withColumn("x", F.slice("x", 1, 2))
+    tests = prep.testing(rows).select("series", "t")
+    beta = learners.rolling_ridge(rows.select("series", "t", "x", "y"), 30, 0.1, 2).join(tests, ["series", "t"], "left_semi")
+    return beta.select("series", "t", F.get("beta", F.lit(0)).alias("b0"), F.get("beta", F.lit(1)).alias("b1"))
+
+
+def _robust(spark, d, names, adaptive=False):
+    methods = {n: robust.METHODS[n] for n in names}
+    rows = learners.adaptive_features(_lagged_training(spark, d)) if adaptive else prep.training(_std(spark, d))
+    fitted = robust.fit_series(rows, methods, "f" if adaptive else "x", evaluate.z_width(SETTINGS) if adaptive else 0)
+    return fitted.select("series", "method", "n_rows", F.size("theta").alias("n_weights"))
+
+
+@query(None)
+def robust_learners(spark, d):
+    return _robust(spark, d, ["ols_ridge_CVaR", "ols_lasso_CVaR", "lad_lasso", "lad_lasso_CVaR"])
+
+
+@query(None)
+def adaptive_lad(spark, d):
+    return _robust(spark, d, ["adaptive_lad_ridge", "adaptive_lad_ridge_CVaR"], True)
+
+
+# --- whole evaluations and reports ---------------------------------------------------------------------------------
+
+
+@query(None)
+def all_methods_report(spark, d):
+    return evaluate.report(panel(spark, d), SETTINGS)
+
+
+@query(None)
+def results_table(spark, d):
+    return evaluate.results_table(to_panel(orders_panel(spark, d)), SETTINGS)
+
+
+@query(None)
+def storm_report(spark, d):
+    rows = _storm_records(spark, d)
+    rows = rows.withColumn("x", F.array(F.lit(1.0), F.col("current_speed"), F.col("y") * 0.9 + F.col("hours"), F.col("y") + F.col("days") / 7))
+    return metrics.report(evaluate.storm_errors(rows, Settings(Split(0.5, 2, 30, 40), members=3)))
+
+
+@query(None)
+def grid_scores(spark, d):
+    penalties = [Penalty(a, b, c) for a in (0.01, 1.0) for b in (0.01, 1.0) for c in (0.01, 1.0)]
+    return evaluate.grid_scores(panel(spark, d), SPLIT, penalties, (2, 3))
+
+
+_GRID_SQL = """SELECT row_number() OVER (ORDER BY a, b, c, p) AS param_combo, CAST(a AS DOUBLE) AS rho_beta, CAST(b AS DOUBLE) AS rho, CAST(c AS DOUBLE) AS "rho_V", p AS past
+FROM (SELECT unnest([0, 0.001, 0.01, 0.1, 1]) AS a), (SELECT unnest([0, 0.001, 0.01, 0.1, 1]) AS b), (SELECT unnest([0, 0.001, 0.01, 0.1, 1]) AS c), (SELECT unnest([2, 3, 4, 5]) AS p)"""
+
+
+@query(_GRID_SQL)
+def grid_combos(spark, d):
+    return reporting.grid(spark)
+
+
+_RUNS = """runs AS (SELECT c_nationkey AS setting, c_mktsegment AS "Method", CAST(c_custkey % 3 AS INT) AS unit, CASE WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 0.7 END AS split, avg(abs(c_acctbal)) AS "MAE" FROM customer GROUP BY ALL)"""
+
+
+def _runs(spark, d):
+    """A table shaped like experiment results: methods, settings and units from the customers."""
+    c = table(spark, d, "customer")
+    split = F.when(F.col("c_custkey") % 2 == 0, 0.5).otherwise(0.7).alias("split")
+    unit = (F.col("c_custkey") % 3).cast("int").alias("unit")
+    return c.groupBy(F.col("c_nationkey").alias("setting"), F.col("c_mktsegment").alias("Method"), unit, split).agg(F.avg(F.abs("c_acctbal")).alias("MAE"))
+
+
+@query(f"""WITH {_RUNS} SELECT v.setting, v."Method", v.unit, round(v."MAE", 6) AS "MAE_x", round(t."MAE", 6) AS "MAE_y" FROM runs v LEFT JOIN runs t ON t.setting = v.setting AND t."Method" = v."Method" AND t.unit = v.unit AND t.split = 0.7 WHERE v.split = 0.5""")
+def val_test_join(spark, d):
+    return reporting.validation_to_test(_runs(spark, d), ["setting", "Method", "unit"], F.col("split") == 0.5, F.col("split") == 0.7)
+
+
+@query(f"""WITH {_RUNS}, j AS (SELECT v.setting, v."Method", v.unit, v."MAE" AS x, t."MAE" AS y FROM runs v LEFT JOIN runs t ON t.setting = v.setting AND t."Method" = v."Method" AND t.unit = v.unit AND t.split = 0.7 WHERE v.split = 0.5)
+SELECT "Method", setting, unit, round(x, 6) AS "MAE_x", round(y, 6) AS "MAE_y" FROM j QUALIFY row_number() OVER (PARTITION BY "Method" ORDER BY x, setting, unit) = 1""")
+def val_test_select(spark, d):
+    joined = reporting.validation_to_test(_runs(spark, d), ["setting", "Method", "unit"], F.col("split") == 0.5, F.col("split") == 0.7)
+    return reporting.selected(joined, ["Method"])
+
+
+@query(f"""WITH {_RUNS}, b AS (SELECT setting, "Method" FROM runs WHERE "Method" IN ('BUILDING', 'MACHINERY', 'NONE') QUALIFY row_number() OVER (PARTITION BY setting ORDER BY "MAE", "Method") = 1)
+SELECT n."Method", count(b.setting) AS wins FROM (SELECT unnest(['BUILDING', 'MACHINERY', 'NONE']) AS "Method") n LEFT JOIN b ON b."Method" = n."Method" GROUP BY n."Method" """)
+def method_wins(spark, d):
+    return reporting.wins(_runs(spark, d), ["BUILDING", "MACHINERY", "NONE"], "setting")
+
+
+@query(f"""WITH {_RUNS}, b AS (SELECT setting, max("MAE") AS b FROM runs WHERE "Method" = 'BUILDING' GROUP BY setting) SELECT r.setting, "Method", unit, split, round("MAE", 6) AS "MAE", round(("MAE" - b) / nullif(b, 0), 6) AS gap FROM runs r LEFT JOIN b USING (setting)""")
+def gap_to_baseline(spark, d):
+    return reporting.gap_to(_runs(spark, d), "setting", "BUILDING")
+
+
+@query(f"""WITH {_RUNS} SELECT setting, round(avg("MAE") FILTER ("Method" = 'BUILDING'), 6) AS "BUILDING", round(avg("MAE") FILTER ("Method" = 'MACHINERY'), 6) AS "MACHINERY" FROM runs GROUP BY setting""")
+def pivot_sweep(spark, d):
+    return reporting.pivoted(_runs(spark, d), "setting", ["BUILDING", "MACHINERY"])
+
+
+@query(f"""WITH {_RUNS}, e AS (SELECT "Method", unit, setting, avg("MAE") AS mean, stddev_samp("MAE") AS std FROM runs GROUP BY ALL) SELECT "Method", unit, round(mean, 6) AS mean, round(std, 6) AS std FROM e QUALIFY row_number() OVER (PARTITION BY "Method", unit ORDER BY mean, setting) = 1""")
+def min_over_rho(spark, d):
+    return reporting.best_setting(_runs(spark, d), ["Method", "unit"], "setting")
+
+
+@query(f"""WITH {_RUNS} SELECT "Method", unit, round(avg("MAE"), 6) AS mean, round(min("MAE"), 6) AS min, round(stddev_samp("MAE"), 6) AS std, count("MAE") AS count FROM runs GROUP BY ALL""")
+def group_stats(spark, d):
+    return reporting.summary(_runs(spark, d), ["Method", "unit"], "MAE")
+
+
+@query(f"""WITH {_RUNS} SELECT setting, "Method", unit, split, round("MAE", 6) AS "MAE" FROM runs WHERE "MAE" = (SELECT min("MAE") FROM runs)""")
+def global_argmin(spark, d):
+    return reporting.least_overall(_runs(spark, d), "MAE")
+
+
+@query(f"""WITH {_RUNS} SELECT setting, "Method", unit, split, round("MAE", 6) AS "MAE" FROM runs ORDER BY "MAE", setting, "Method", unit, split LIMIT 10""")
+def topk(spark, d):
+    return _runs(spark, d).orderBy("MAE", "setting", "Method", "unit", "split").limit(10)
+
+
+@query(f"""WITH {_RUNS} SELECT setting, "Method", unit, split, round("MAE", 6) AS "MAE", CAST(row_number() OVER (PARTITION BY "Method" ORDER BY "MAE", setting, unit, split) AS INT) AS place FROM runs QUALIFY row_number() OVER (PARTITION BY "Method" ORDER BY "MAE", setting, unit, split) BETWEEN 3 AND 6""")
+def ranked_slice(spark, d):
+    return reporting.ranked_slice(_runs(spark, d), ["Method"], [F.col(c) for c in ("MAE", "setting", "unit", "split")], 3, 6)
+
+
+@query(f"""WITH {_RUNS} SELECT setting % 7 AS slot, round(sum("MAE"), 6) AS total FROM runs GROUP BY 1""")
+def folded_sums(spark, d):
+    return reporting.folded(_runs(spark, d), "setting", 7, "MAE")
+
+
+@query(f"""WITH {_RUNS} SELECT DISTINCT "Method" FROM runs WHERE unit = 1 AND "MAE" BETWEEN 1000 AND 6000 AND setting IN (1, 2, 3) UNION ALL SELECT DISTINCT "Method" FROM runs WHERE split = 0.5""")
+def filter_distinct_union(spark, d):
+    runs = _runs(spark, d)
+    some = runs.filter((F.col("unit") == 1) & F.col("MAE").between(1000, 6000) & F.col("setting").isin(1, 2, 3))
+    return some.select("Method").distinct().unionByName(runs.filter("split = 0.5").select("Method").distinct())
+
+
+# --- synthetic data ------------------------------------------------------------------------------------------------
+
+_U = lambda *k: "((CAST('0x' || substring(md5(concat_ws(':', {0})), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)".format(", ".join(k))
+_N = lambda *k: f"(sqrt(-2 * ln({_U(chr(39) + 'a' + chr(39), *k)})) * cos(2 * pi() * {_U(chr(39) + 'b' + chr(39), *k)}))"
+_Y = f"y AS (SELECT t, sin(2 * pi() * 3 * t / 200.0) + 0.3 * {_N(chr(39) + '11' + chr(39), chr(39) + 'y' + chr(39), 't')} AS y FROM (SELECT unnest(range(1, 401)) AS t))"
+
+
+def _ens_sql(step: str, drift: bool) -> str:
+    s = "'11'"
+    extra = f" + {step} * (0.4 * {_N(s, chr(39) + 'drift' + chr(39), 'm')} + {_U(s, chr(39) + 'dspread' + chr(39), 'm')} * 0.2 * {_N(s, chr(39) + 'dx' + chr(39), 'm', 't')})" if drift else ""
+    return f"WITH {_Y} SELECT t, CAST(m AS INT) AS model, round(y + (2 * {_U(s, chr(39) + 'bias' + chr(39), 'm')} - 1) * 0.5 + {_U(s, chr(39) + 'spread' + chr(39), 'm')} * 0.5 * {_N(s, chr(39) + 'x' + chr(39), 'm', 't')}{extra}, 6) AS x, round(y, 6) AS y FROM y, (SELECT unnest(range(1, 6)) AS m)"
+
+
+def _synthetic(spark, **more):
+    return synthetic.ensemble(synthetic.target(spark, 200, 3, 0.3, 11), 5, 200, 11, **more)
+
+
+@query(f"WITH {_Y} SELECT t, round(y, 6) AS y FROM y")
+def synth_y(spark, d):
+    return synthetic.target(spark, 200, 3, 0.3, 11)
+
+
+@query(_ens_sql("0", False))
+def synth_ensemble(spark, d):
+    return _synthetic(spark)
+
+
+@query(_ens_sql("t / 200.0", True))
+def synth_drift(spark, d):
+    return _synthetic(spark, drift_bias=0.4, drift_spread=0.2)
+
+
+@query(_ens_sql("CAST(" + _U("'11'", "'on'", "m", "t") + " < 0.3 AS DOUBLE)", True))
+def synth_bernoulli(spark, d):
+    return _synthetic(spark, drift_bias=0.4, drift_spread=0.2, p_discrete=0.3)
+
+
+@query(f"WITH {_Y} SELECT t, round(y + t / 200.0 * (0.5 + 0.1 * {_N(chr(39) + '11' + chr(39), chr(39) + 'ydrift' + chr(39), 't')}), 6) AS y FROM y")
+def synth_target_drift(spark, d):
+    return synthetic.drifted_target(synthetic.target(spark, 200, 3, 0.3, 11), 200, 11, 0.5, 0.1)
+
+
+@query(None)
+def synth_report(spark, d):
+    wide = synthetic.wide(synthetic.perturbed(_synthetic(spark, drift_bias=0.4), 300, 360, 0.5, "gradual"), 5)
+    return evaluate.report(to_panel(wide, [f"m{k}" for k in range(1, 6)]), Settings(Split(0.5, 3, 30, 100), members=5))

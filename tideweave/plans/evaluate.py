@@ -79,7 +79,7 @@ def best_errors(tests: DataFrame, settings: Settings) -> DataFrame:
 def errors(panel: DataFrame, settings: Settings) -> DataFrame:
     """series, t, method, y, pred, err of every method on every test row."""
     split = settings.split
-    rows = relevant(standardised(panel, split), split)
+    rows = relevant(standardised(panel, split), split).persist()  # every learner reads this bounded stretch of each series
     tests = testing(rows)
     members = settings.members
     full = testing(online.exponential_weights(rows, members, split.history))
@@ -132,7 +132,7 @@ def grid_scores(panel: DataFrame, split: Split, penalties: list[Penalty], pasts:
     out = []
     for past in pasts:
         s = Settings(Split(split.fraction, past, split.num_past, split.val), members=members)
-        rows = relevant(standardised(panel, s.split), s.split)
+        rows = relevant(standardised(panel, s.split), s.split).persist()
         lagged = with_lags(rows, s, "value")
         data = training(lagged).filter(F.col("t") >= F.col("first") + past)
         params = learners.adaptive_ridge(data.select("series", "x", "y", "z"), [(str(k), p) for k, p in enumerate(penalties)])
@@ -154,7 +154,7 @@ def storm_errors(rows: DataFrame, settings: Settings, delay: int = 4) -> DataFra
     lagged = renumbered(lagged.drop("t", "pos"), "t")
     split = settings.split
     std = standardised(lagged, split)
-    std = std.withColumn("z", F.transform("z", lambda v: F.try_divide(v - F.col("mu"), F.col("sigma"))))
+    std = std.withColumn("z", F.transform("z", lambda v: F.try_divide(v - F.col("mu"), F.col("sigma")))).persist()
     tests, train = testing(std), training(std)
     p = settings.penalty
     params = learners.adaptive_ridge(train.select("series", "x", "y", "z"), [("adaptive_ridge_exact", p), ("adaptive_ridge_standard", Penalty(0.0, p.rho, p.rho_v))])
