@@ -151,7 +151,7 @@ def storm_errors(rows: DataFrame, settings: Settings, delay: int = 4) -> DataFra
     past = settings.split.past
     laid = long_storms(rows, past)
     lagged = storm_lags(laid, past)
-    lagged = renumbered(lagged.drop("t", "pos"), "t")
+    lagged = renumbered(lagged.drop("t", "pos"), "t").persist()
     split = settings.split
     std = standardised(lagged, split)
     std = std.withColumn("z", F.transform("z", lambda v: F.try_divide(v - F.col("mu"), F.col("sigma")))).persist()
