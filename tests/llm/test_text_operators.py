@@ -1,0 +1,147 @@
+"""URL filters, spans, chat formatting and decontamination against brute force, and their defined results."""
+
+import hashlib
+import json
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tideweave.llm import chat_format, decontaminate, pii, url_filter
+from tideweave.llm.url_filter import GlobAutomaton, Rule
+
+DOCS = "doc_id long, text string, host string, n_words string"
+
+
+def glob_regex(glob):
+    parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return re.compile("".join(parts.get(p, re.escape(p)) for p in re.findall(r"\*\*|\*|.", glob)), re.DOTALL)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab/*?", min_size=1, max_size=6), min_size=1, max_size=30), st.lists(st.text("abé/", max_size=9), min_size=1, max_size=8))
+def test_automaton_equals_regular_expressions(globs, strings):
+    globs = [re.sub(r"\*{2,}", "**", g) for g in globs]
+    got = GlobAutomaton(globs).matches(strings)
+    for i, s in enumerate(strings):
+        assert [bool(glob_regex(g).fullmatch(s)) for g in globs] == got[i].tolist()
+
+
+def test_url_rules(spark):
+    urls = [
+        "http://a.Example.ORG/es/x", "http://example.org/en/12?q", "http://org/", "http://myorg/", "http://x.com/fr/a", "http://x.com/de/a", "http://x.com", "no", None, "",
+        "http://user@x.org:80/a", "://com/fr/", "http://a.com/x.org/", "http://x.org/" + "é" * 5000,
+    ]
+    rows = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)] + [(2, "http://org/", "clash")], "page_id long, url string, host string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(rows, url_filter.RULES).collect()}
+    want = [
+        ("example.org/es/", "block"), ("example.org/en/1", "block"), ("org/", "allow"), (None, "allow"), ("com/fr/", "allow"), ("com/de/", "block"), (None, "allow"), (None, "allow"),
+        (None, "allow"), (None, "allow"), (None, "allow"), ("com/fr/", "allow"), (None, "allow"), ("org/", "allow"),
+    ]
+    assert [got[k] for k in range(len(urls))] == want
+    assert url_filter.url_filter(rows, [Rule("block", "org/")]).count() == len(urls) + 1
+    assert url_filter.url_filter(rows.limit(0), url_filter.RULES).count() == 0
+
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, regex in BASE.items():
+        for m in regex.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_spans_equal_brute_force(spark):
+    r = np.random.default_rng(4)
+    pieces = ["a.b@c.de", "@", "..", "x@y.z_w@v.u", "1.2.3.4", "256.1.1.1", "000255.1.1.1", "4539 1488 0343 6467", "4539148803436467", "+1 (555) 010-2030", "+12", "é", " ", "word", "-", "5", "\n", "DE89 3704 0044 0532 0130 00"]
+    texts = ["".join(r.choice(pieces, size=n)) for n in [0, 1, 2, 5, 20, 60] * 12] + [None, "", "1 2 " * 5000, "a" * 30000, "9" * 30000, "x@y" + ".z" * 8000, "a@b.cd " * 300]
+    rows = spark.createDataFrame([(k, t, "clash", "clash") for k, t in enumerate(texts)], DOCS)
+    for row in pii.pii_spans(rows).collect():
+        got = [f"{s['kind']}:{s['start']}:{s['end']}" for k in BASE for s in row[k]]
+        assert got == base_spans(texts[row["doc_id"]] or "")
+    assert pii.pii_spans(rows.limit(0)).count() == 0
+
+
+def test_checksums_and_context(spark):
+    rows = [(1, "pay to DE89 3704 0044 0532 0130 00 now"), (2, "pay to DE88 3704 0044 0532 0130 00 now"), (3, "her ssn is 123-45-6789"), (4, "part 123-45-6789"), (4, "part 123-45-6789")]
+    got = pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"], len(r["iban"]), len(r["nid"])) for r in got)
+    assert found == [(1, 1, 0), (2, 0, 0), (3, 0, 1), (4, 0, 0), (4, 0, 0)]
+
+
+def test_chat_linking(spark):
+    call = lambda i, name="search", args='{"query":"x","limit":3}': f'ok <tool_call>{{"id":"{i}","name":"{name}","arguments":{args}}}</tool_call>'
+    rows = [
+        (1, 0, "user", "hi", 1), (1, 1, "tool", '{"tool_call_id":"c1","content":{"b":1,"a":[1, 2]}}', 1), (1, 2, "assistant", call("c1"), 1),
+        (1, 3, "assistant", call("c2", args='{"limit":"x"}'), 1), (1, 4, "tool", '{"tool_call_id":"zz","content":"t"}', 1), (1, 5, "tool", "not json", 1),
+        (1, 6, "assistant", call("c1"), 1), (1, 7, "assistant", call("c9", "other"), 1), (None, None, None, None, 1), (2, 0, "assistant", "<tool_call>{bad</tool_call>", 1),
+        (2, 0, "assistant", "<tool_call>{bad</tool_call>", 1), (2, 1, "user", "x" * 100_000, 1),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message int")
+    got = chat_format.chat_format(frame).collect()
+    assert len(got) == len(rows)
+    by = {(r["conv_id"], r["turn"]): r for r in got}
+    late = by[1, 1]
+    assert late["link"] == "linked" and (late["order_turn"], late["order_phase"]) == (2, 1) and late["message"] == '{"content":"{\\"a\\":[1,2],\\"b\\":1}","role":"tool","tool_call_id":"c1"}'
+    assert by[1, 2]["n_valid"] == 1 and by[1, 2]["n_answered"] == 1 and by[1, 6]["link"] == "duplicate"
+    errors = json.loads(by[1, 3]["message"])["tool_calls"][0]["errors"]
+    assert errors == ["missing query", "type of limit"] and by[1, 3]["n_valid"] == 0
+    assert by[1, 4]["link"] == "orphan" and by[1, 5]["link"] == "invalid"
+    assert json.loads(by[1, 7]["message"])["tool_calls"][0]["errors"] == ["unknown tool"]
+    assert by[2, 0]["n_calls"] == 1 and by[2, 0]["n_valid"] == 0
+    assert json.loads(by[None, None]["message"]) == {"content": ""}
+    for r in got:
+        text = json.loads(r["message"])
+        assert list(text) == sorted(text)
+    assert chat_format.chat_format(frame.limit(0)).count() == 0
+
+
+def _decontaminated(spark, texts, items):
+    docs = spark.createDataFrame([(k, t, "clash", "clash") for k, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.digest(decontaminate.decontaminate(docs, bench)).orderBy("doc_id").collect()
+    return [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in rows]
+
+
+@pytest.mark.parametrize("block", [2_000_000, 60])
+def test_decontamination_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    r = np.random.default_rng(7)
+    word = lambda n: " ".join(r.choice(["aa", "b", "Çé", "dd", "9"], size=n))
+    items = [(k, word(n)) for k, n in enumerate([3, 1, 10, 12, 25, 0, 11])] + [(2, "aa aa"), (None, "b b b"), (9, None)]
+    texts = [word(n).replace(" ", r.choice([" ", ", ", "\n"])) for n in (0, 1, 9, 10, 50, 300)] + [items[4][1].upper().replace(" ", "! "), None, "x" * 50_000, items[3][1], items[3][1]]
+    assert _decontaminated(spark, texts, items) == decontaminate.brute_force(texts, items)
+
+
+def test_decontamination_spans_and_empty_tables(spark):
+    text = "Éé! Some, WORDS here... " + "one two three four five six seven eight nine ten" + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two  three-four five six seven eight nine TEN")], "item_id long, text string")
+    row = decontaminate.hit_spans(decontaminate.decontaminate(docs, bench)).first()
+    (a, b), = row["spans"]
+    assert text[a:b] == "one two three four five six seven eight nine ten"
+    assert decontaminate.clean(docs, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == 1
+    none = decontaminate.digest(decontaminate.decontaminate(docs, bench.limit(0))).first()
+    assert none["n_hit"] == 0 and none["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0

@@ -74,7 +74,7 @@ def shard_draws(slots: np.ndarray, shard_slots: int = SHARD_SLOTS, seed: int = S
             pool -= have
         left -= draw
         rows.append(draw)
-    return np.array(rows, np.int64).reshape(-1, len(slots))
+    return np.array(rows, np.int64).reshape(len(rows), len(slots))
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:

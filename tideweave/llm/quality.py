@@ -83,7 +83,8 @@ class Model:
         fold = np.arange(len(y)) % 4 == 3  # for the curve, margins of rows that the weights haven't seen
         if len(set(y[fold].tolist())) == 2 and len(set(y[~fold].tolist())) == 2:
             w, b = self._weights([rows[i] for i in np.flatnonzero(~fold)], y[~fold], alpha, cost)
-            self.curve = platt(np.array([w[rows[i]].sum() + b for i in np.flatnonzero(fold)]), y[fold])
+            unseen = [rows[i] for i in np.flatnonzero(fold)]
+            self.curve = platt(np.array([w[r].sum() / max(1.0, len(r) ** 0.5) + b for r in unseen]), y[fold])
         self.weights, self.bias = self._weights(rows, y, alpha, cost)
 
     @staticmethod

@@ -98,7 +98,7 @@ def shard(
     size = F.coalesce(F.octet_length(docs[text_col].cast("string")), F.lit(0)).cast("long")
     rows = docs.select(id_of.alias(id_col), size.alias("n_bytes"), hash_bits(id_of).alias("h"))
     parts, rest = directory(rows, limit, bits, level_bits)
-    chain = Window.partitionBy("h").orderBy("n_bytes", id_col)
+    chain = Window.partitionBy("bucket").orderBy("n_bytes", id_col)
     before = F.coalesce(F.sum("n_bytes").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # pages of half the limit, counted where a row begins: a page then holds at most the limit, unless one row is larger
     half = F.lit(max(1, limit // 2))
