@@ -173,7 +173,8 @@ def mix(placed: DataFrame, plan: Plan) -> DataFrame:
     high = F.least((F.col("block") + 1) * block - F.col("begin"), F.col("size"))
     own = own.select("source_no", "begin", "block", low.alias("low"), high.alias("high"))
     taken = slots(placed.sparkSession, plan).groupBy("source_no", "block").agg(F.sort_array(F.collect_list("pass_no")).alias("passes"))
-    return own.join(taken, ["source_no", "block"])
+    # the slots come from a short list of ranges, which hides their number from the planner: it must not broadcast them
+    return own.join(taken.hint("merge"), ["source_no", "block"])
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
@@ -182,7 +183,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed, plan = lay_out(docs, id_col, text_col, source_col, whole=True)
     taken = mix(placed, plan).select("source_no", "begin", F.explode("passes").alias("pass_no"), "low", "high")
     taken = taken.groupBy("source_no", "begin", "pass_no").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
-    met = placed.filter("size > 0").select("source_no", "begin", "row").join(taken, ["source_no", "begin"]).select("row.*", "runs")
+    met = placed.filter("size > 0").select("source_no", "begin", "row").join(taken.hint("merge"), ["source_no", "begin"]).select("row.*", "runs")
     names, at, chars = docs.columns, docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +220,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(
         [(k, int(n), float(t)) for k, (n, t) in enumerate(zip(plan.sizes, plan.targets))], "source_no int, source_size long, target double"
     )
-    out = placed.join(per_doc, ["source_no", "begin"], "left").join(known, "source_no", "left")
+    out = placed.join(per_doc.hint("merge"), ["source_no", "begin"], "left").join(known, "source_no", "left")
     return out.select(
         "doc_id", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
         F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
