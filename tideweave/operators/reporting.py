@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The grid's values, in the order of its loops.
+#: The grid's settings, in the order of its loops.
 RHOS = (0.0, 0.001, 0.01, 0.1, 1.0)
 PASTS = (2, 3, 4, 5)
 
