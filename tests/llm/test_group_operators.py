@@ -151,6 +151,25 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(empty, none).count() == 0
 
 
+def test_mixing_gives_tied_rows_their_own_words(spark, tmp_path):
+    words = lambda k, n: " ".join(f"d{k}w{j}" for j in range(n))
+    rows = [(k, words(k, 90), "en", "ab"[k % 2], 1, "") for k in range(20)]
+    rows += [rows[0]] * 3 + [rows[1]] * 2 + [(None, words(k, 100), "en", "a", 1, "") for k in range(50, 54)] + [(7, None, "en", "b", 0, "")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    placed, plan = mixing.lay_out(docs)
+    for k, size in enumerate(plan.sizes):  # the documents cover each source's words without gaps and overlaps
+        spans = sorted((x["begin"], x["begin"] + x["size"]) for x in placed.collect() if x["source_no"] == k and x["size"])
+        assert [a for a, _ in spans] == [0, *(b for _, b in spans[:-1])] and spans[-1][1] == size
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = mixing.op8_mix(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(0 <= x["taken"] <= 3 * x["size"] for x in out)
+    blocks = mixing.mix(placed, plan).collect()
+    assert sum(x["taken"] for x in out) == sum((x["high"] - x["low"]) * len(x["passes"]) for x in blocks)
+    got = Counter(w for x in mixing.mixed_documents(docs).collect() for w in x["text"].split())
+    held = Counter(w for r in rows for w in (r[1] or "").split())
+    assert all(n <= 3 * held[w] for w, n in got.items())
+
+
 def test_targets_share_the_excess_by_weight():
     got = mixing.targets([("b", 10), ("a", 1000), (None, 500)])
     assert got["b"] == 30 and abs(got["a"] / 1 - got[None] / 3) < 1e-9 and abs(sum(got.values()) - 1510) < 1e-9

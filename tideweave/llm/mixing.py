@@ -10,7 +10,7 @@ block is taken a second time before all have been taken once. Slots and document
 
 Targets: sources in order of code points, null last, weigh 1, 2, 3, repeating; they share the size of the corpus; a
 target stops at three times its source's size, and the excess is shared anew by weight. The table of sources (one row
-each) is on the driver. Everything depends on the ids, sizes and the seed only, so reruns agree.
+each) is on the driver. Everything depends on the rows and the seed only, so reruns agree.
 
 Defined results: null texts and texts without words have size 0 and are taken 0 times; repeated rows are documents of
 their own; a null id is dealt like any other; an empty table gives an empty result; other columns are ignored.
@@ -97,9 +97,11 @@ def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """id, source, stream, size, begin: where a document's words lie in its stream; with whole, also the document as `row`."""
     size = n_words(docs[text_col])
     stream = F.pmod(F.xxhash64(docs[id_col].cast("string"), F.lit(SEED)), F.lit(STREAMS)).cast("int")
-    rows = docs.select(docs[id_col].alias(id_col), docs[source_col].cast("string").alias("source"), stream.alias("stream"), size.alias("size"), *([F.struct(*docs.columns).alias("row")] if whole else []))
-    order = Window.partitionBy("source", "stream").orderBy(F.xxhash64(id_col), id_col, "size")
-    return rows.withColumn("begin", F.sum("size").over(order) - F.col("size"))
+    tie = F.xxhash64(docs[text_col], *([docs[c] for c in docs.columns] if whole else []))
+    rows = docs.select(docs[id_col].alias(id_col), docs[source_col].cast("string").alias("source"), stream.alias("stream"), size.alias("size"), tie.alias("_tie"), *([F.struct(*docs.columns).alias("row")] if whole else []))
+    # a frame of rows: the default frame gives tied rows (repeated rows, null ids) one sum, and so one place
+    order = Window.partitionBy("source", "stream").orderBy(F.xxhash64(id_col), id_col, "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("begin", F.sum("size").over(order) - F.col("size")).drop("_tie")
 
 
 class Plan:
