@@ -10,22 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideweave.functions.vectors import dot, matvec, mean, softmax
-from tideweave.operators.windows import blocked
+from tideweave.operators.windows import blocked, running_sums
 
 WEIGHTS = "series string, t long, beta array<double>"
 
 
-def exponential_weights(panel: DataFrame, members: int, history: int, delay: int = 1) -> DataFrame:
+def exponential_weights(panel: DataFrame, members: int, history: int | None, delay: int = 1) -> DataFrame:
     """Adds beta over the members (without the intercept): softmax of -eta times their squared losses over the rows
-    t - history .. t - delay, eta = sqrt(8 ln p / n) with n such rows; equal weights where there are none."""
+    t - history .. t - delay, eta = sqrt(8 ln p / n) with n such rows; equal weights where there are none. A history of
+    None is all rows up to t - delay, by running sums instead of frames."""
+    loss = [F.get("x", F.lit(k)) - F.col("y") for k in range(1, members + 1)]
+
+    def late(frame, w):
+        return frame.withColumns({c: F.lag(c, delay - 1).over(w) for c in ("_n", *(f"_s{k}" for k in range(members)))})
 
     def work(frame, w):
         frame_w = w.rowsBetween(-history, -delay)
-        loss = [F.get("x", F.lit(k)) - F.col("y") for k in range(1, members + 1)]
         frame = frame.withColumns({f"_l{k}": d * d for k, d in enumerate(loss)})
         return frame.withColumns({"_n": F.count("*").over(frame_w)} | {f"_s{k}": F.sum(f"_l{k}").over(frame_w) for k in range(members)})
 
-    out = blocked(panel, history, work)
+    if history is None:
+        out = blocked(running_sums(panel, {"_n": F.lit(1.0)} | {f"_s{k}": d * d for k, d in enumerate(loss)}), delay - 1, late)
+    else:
+        out = blocked(panel, history, work)
     eta = F.sqrt(F.try_divide(F.lit(8 * math.log(members)), F.col("_n")))
     beta = F.when(F.col("_n") > 0, softmax(F.array(*(-eta * F.col(f"_s{k}") for k in range(members)))))
     out = out.withColumn("beta", F.coalesce(beta, F.array_repeat(F.lit(1.0 / members), members)))

@@ -45,3 +45,14 @@ def running_sum(df: DataFrame, value: Column, name: str, series: tuple[str, ...]
     own = F.sum("_v").over(Window.partitionBy(*series, "_block").orderBy(t).rowsBetween(Window.unboundedPreceding, -1))
     both = F.when(F.col("_before").isNull() & own.isNull(), F.lit(None)).otherwise(F.coalesce("_before", F.lit(0.0)) + F.coalesce(own, F.lit(0.0)))
     return rows.join(sums, [*series, "_block"]).withColumn(name, both).drop("_block", "_before", "_v")
+
+
+def running_sums(df: DataFrame, values: dict[str, Column], series: tuple[str, ...] = ("series",), t: str = "t", block: int = BLOCK) -> DataFrame:
+    """Adds the sums of several values over all earlier rows of the series (0 in the first), in one pass over the blocks."""
+    rows = df.withColumn("_block", F.floor((F.col(t) - 1) / block)).withColumns({f"_v{n}": v for n, v in values.items()})
+    earlier = Window.partitionBy(*series).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*series, "_block").agg(*(F.sum(f"_v{n}").alias(f"_t{n}") for n in values))
+    totals = totals.select(*series, "_block", *(F.coalesce(F.sum(f"_t{n}").over(earlier), F.lit(0.0)).alias(f"_b{n}") for n in values))
+    own = Window.partitionBy(*series, "_block").orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({n: F.coalesce(F.sum(f"_v{n}").over(own), F.lit(0.0)) for n in values}).join(totals, [*series, "_block"])
+    return out.withColumns({n: F.col(n) + F.col(f"_b{n}") for n in values}).drop("_block", *(f"_{c}{n}" for n in values for c in "vb"))

@@ -22,6 +22,8 @@ from tideweave.sources.panels import MEMBERS, orders_panel, panel, table, to_pan
 FLAGSHIP = "all_methods_report"
 SETTINGS = Settings()
 SPLIT = SETTINGS.split
+#: The reference's defaults: all rows after training are scored, and training has past * 100 rows.
+WHOLE = Settings(Split(num_past=100, val=None))
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -32,13 +34,21 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(F.col(f"`{c}`"), 6) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
-def query(text: str | None = None):
-    """Registers a function under its name, with its SQL twin if there is one."""
+def query(text: str | None = None, whole: bool = False):
+    """Registers a function under its name, with its SQL twin if there is one.
 
-    def register(f: Callable[[SparkSession, str], DataFrame]):
+    whole: also registers NAME_all, the same over the split of WHOLE; its twin, unless recursive (too slow over whole
+    series), has the bounds of WHOLE.
+    """
+
+    def register(f: Callable[..., DataFrame]):
         _QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if text:
             _SQL[f.__name__] = text
+        if whole:
+            _QUERIES[f"{f.__name__}_all"] = lambda spark, sf_dir: rounded(f(spark, sf_dir, WHOLE))
+            if text and "RECURSIVE" not in text:
+                _SQL[f"{f.__name__}_all"] = text.replace(sql.BASE, sql.WHOLE).replace(f" {SPLIT.history} PRECEDING", f" {WHOLE.split.history} PRECEDING")
         return f
 
     return register
@@ -56,12 +66,12 @@ def _r(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
-def _std(spark, d):
-    return prep.standardised(panel(spark, d), SPLIT)
+def _std(spark, d, s=SETTINGS):
+    return prep.standardised(panel(spark, d), s.split)
 
 
-def _relevant(spark, d):
-    return evaluate.relevant(_std(spark, d), SPLIT)
+def _relevant(spark, d, s=SETTINGS):
+    return evaluate.relevant(_std(spark, d, s), s.split)
 
 
 def _flat(df: DataFrame, name: str, n: int, alias: str) -> list:
@@ -162,14 +172,14 @@ def split_bounds(spark, d):
     return prep.bounds(panel(spark, d), SPLIT).select("series", "n", "split", "first", "last", "end")
 
 
-@query(f"WITH {sql.BASE} SELECT series, t, round(y, 6) AS y FROM std WHERE t BETWEEN first AND last")
-def split_train(spark, d):
-    return prep.training(_std(spark, d)).select("series", "t", "y")
+@query(f"WITH {sql.BASE} SELECT series, t, round(y, 6) AS y FROM std WHERE t BETWEEN first AND last", whole=True)
+def split_train(spark, d, s=SETTINGS):
+    return prep.training(_std(spark, d, s)).select("series", "t", "y")
 
 
-@query(f"WITH {sql.BASE} SELECT series, t, round(y, 6) AS y FROM std WHERE t > split + 1 AND t <= end_")
-def split_test(spark, d):
-    return prep.testing(_std(spark, d)).select("series", "t", "y")
+@query(f"WITH {sql.BASE} SELECT series, t, round(y, 6) AS y FROM std WHERE t > split + 1 AND t <= end_", whole=True)
+def split_test(spark, d, s=SETTINGS):
+    return prep.testing(_std(spark, d, s)).select("series", "t", "y")
 
 
 @query(f"WITH {sql.PANEL}, {sql.bounds(val=1 << 40)} SELECT series, count(*) AS n_test FROM panel JOIN lim USING (series) WHERE t > split + 1 AND t <= end_ GROUP BY series")
@@ -288,8 +298,8 @@ def storm_lag_vectors(spark, d):
 # --- simple forecasts and scores -----------------------------------------------------------------------------------
 
 
-def _simple(spark, d):
-    rows = _relevant(spark, d)
+def _simple(spark, d, s=SETTINGS):
+    rows = _relevant(spark, d, s)
     last = prep.testing(online.persistence(rows)).filter(F.col("t") > F.col("split") + 2)
     return online.ensemble_mean(prep.testing(rows)).unionByName(online.errors_of(last, "last_timestep", F.col("last")))
 
@@ -297,49 +307,49 @@ def _simple(spark, d):
 _SIMPLE = f"WITH {sql.BASE}, {sql.SIMPLE} "
 
 
-@query(f"{_SIMPLE} SELECT series, t, round(y, 6) AS y, round(y - err, 6) AS pred, round(err, 6) AS err FROM simple WHERE method = 'mean'")
-def ensemble_mean(spark, d):
-    return online.ensemble_mean(prep.testing(_relevant(spark, d))).drop("method")
+@query(f"{_SIMPLE} SELECT series, t, round(y, 6) AS y, round(y - err, 6) AS pred, round(err, 6) AS err FROM simple WHERE method = 'mean'", whole=True)
+def ensemble_mean(spark, d, s=SETTINGS):
+    return online.ensemble_mean(prep.testing(_relevant(spark, d, s))).drop("method")
 
 
-@query(f"{_SIMPLE} SELECT series, t, round(err, 6) AS err FROM simple WHERE method = 'last_timestep'")
-def persistence(spark, d):
-    return _simple(spark, d).filter("method = 'last_timestep'").select("series", "t", "err")
+@query(f"{_SIMPLE} SELECT series, t, round(err, 6) AS err FROM simple WHERE method = 'last_timestep'", whole=True)
+def persistence(spark, d, s=SETTINGS):
+    return _simple(spark, d, s).filter("method = 'last_timestep'").select("series", "t", "err")
 
 
-@query(f"{_SIMPLE} SELECT series, t, model, round(err, 6) AS err FROM merr")
-def model_errors(spark, d):
-    return metrics.member_errors(prep.testing(_relevant(spark, d))).select("series", "t", "model", "err")
+@query(f"{_SIMPLE} SELECT series, t, model, round(err, 6) AS err FROM merr", whole=True)
+def model_errors(spark, d, s=SETTINGS):
+    return metrics.member_errors(prep.testing(_relevant(spark, d, s))).select("series", "t", "model", "err")
 
 
-@query(f"{_SIMPLE} {sql.scores('simple')}")
-def metrics_mae_mape_rmse_r2(spark, d):
-    return metrics.scores(_simple(spark, d))
+@query(f"{_SIMPLE} {sql.scores('simple')}", whole=True)
+def metrics_mae_mape_rmse_r2(spark, d, s=SETTINGS):
+    return metrics.scores(_simple(spark, d, s))
 
 
-@query(f"{_SIMPLE} {sql.cvar('simple')}")
-def cvar_05_15(spark, d):
-    return metrics.cvar(_simple(spark, d))
+@query(f"{_SIMPLE} {sql.cvar('simple')}", whole=True)
+def cvar_05_15(spark, d, s=SETTINGS):
+    return metrics.cvar(_simple(spark, d, s))
 
 
-@query(f"{_SIMPLE} {sql.cvar('(SELECT series, method, err * err AS err FROM simple)')}")
-def cvar_squared(spark, d):
-    return metrics.cvar(_simple(spark, d), loss=F.col("err") * F.col("err"))
+@query(f"{_SIMPLE} {sql.cvar('(SELECT series, method, err * err AS err FROM simple)')}", whole=True)
+def cvar_squared(spark, d, s=SETTINGS):
+    return metrics.cvar(_simple(spark, d, s), loss=F.col("err") * F.col("err"))
 
 
-@query(f"{_SIMPLE} SELECT series, method, count(*) FILTER (abs(err) > 1.5) AS over_1_5, count(*) FILTER (abs(err) > 2) AS over_2_0, count(*) FILTER (abs(err) > 2.5) AS over_2_5, count(*) FILTER (abs(err) > 3) AS over_3_0 FROM simple GROUP BY ALL")
-def exceedance_counts(spark, d):
-    return metrics.exceedances(_simple(spark, d))
+@query(f"{_SIMPLE} SELECT series, method, count(*) FILTER (abs(err) > 1.5) AS over_1_5, count(*) FILTER (abs(err) > 2) AS over_2_0, count(*) FILTER (abs(err) > 2.5) AS over_2_5, count(*) FILTER (abs(err) > 3) AS over_3_0 FROM simple GROUP BY ALL", whole=True)
+def exceedance_counts(spark, d, s=SETTINGS):
+    return metrics.exceedances(_simple(spark, d, s))
 
 
-@query(f"{_SIMPLE}, b AS (SELECT series, model, 100 * avg(abs(err / nullif(y, 0))) AS mape FROM merr GROUP BY ALL) SELECT series, model, round(mape, 6) AS mape FROM b QUALIFY row_number() OVER (PARTITION BY series ORDER BY mape, model) = 1")
-def best_model_hindsight(spark, d):
-    return metrics.best_member(metrics.member_errors(prep.testing(_relevant(spark, d))))
+@query(f"{_SIMPLE}, b AS (SELECT series, model, 100 * avg(abs(err / nullif(y, 0))) AS mape FROM merr GROUP BY ALL) SELECT series, model, round(mape, 6) AS mape FROM b QUALIFY row_number() OVER (PARTITION BY series ORDER BY mape, model) = 1", whole=True)
+def best_model_hindsight(spark, d, s=SETTINGS):
+    return metrics.best_member(metrics.member_errors(prep.testing(_relevant(spark, d, s))))
 
 
-@query(f"{_SIMPLE} SELECT series, method, round(avg(err), 6) AS mean, round(min(err), 6) AS min, round(stddev_samp(err), 6) AS std, count(err) AS count FROM simple GROUP BY ALL")
-def error_describe(spark, d):
-    return reporting.summary(_simple(spark, d), ["series", "method"], "err")
+@query(f"{_SIMPLE} SELECT series, method, round(avg(err), 6) AS mean, round(min(err), 6) AS min, round(stddev_samp(err), 6) AS std, count(err) AS count FROM simple GROUP BY ALL", whole=True)
+def error_describe(spark, d, s=SETTINGS):
+    return reporting.summary(_simple(spark, d, s), ["series", "method"], "err")
 
 
 # --- sequential learners -------------------------------------------------------------------------------------------
@@ -349,25 +359,25 @@ def _weights(df):
     return df.select("series", "t", *_flat(df, "beta", 6, "b"))
 
 
-@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING', 'e')} SELECT series, t, {_r(*(f'b{k}' for k in range(1, 7)))} FROM e")
-def exp3_full(spark, d):
-    return _weights(prep.testing(online.exponential_weights(_relevant(spark, d), 6, SPLIT.history)))
+@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING', 'e')} SELECT series, t, {_r(*(f'b{k}' for k in range(1, 7)))} FROM e", whole=True)
+def exp3_full(spark, d, s=SETTINGS):
+    return _weights(prep.testing(online.exponential_weights(_relevant(spark, d, s), 6, s.split.history)))
 
 
-@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING', 'e')} SELECT series, t, {_r(*(f'b{k}' for k in range(1, 7)))} FROM e")
-def exp3_recent(spark, d):
-    return _weights(prep.testing(online.exponential_weights(_relevant(spark, d), 6, SPLIT.past - 1)))
+@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING', 'e')} SELECT series, t, {_r(*(f'b{k}' for k in range(1, 7)))} FROM e", whole=True)
+def exp3_recent(spark, d, s=SETTINGS):
+    return _weights(prep.testing(online.exponential_weights(_relevant(spark, d, s), 6, s.split.past - 1)))
 
 
-@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING', 'e', '(SELECT * FROM std WHERE t >= first)')} SELECT series, t, {_r(*(f'b{k}' for k in range(1, 7)))} FROM e")
-def exp3_delayed(spark, d):
-    rows = _std(spark, d).filter("t >= first AND t <= end")
-    return _weights(prep.testing(online.exponential_weights(rows, 6, SPLIT.history + SPLIT.val + 1, 4)))
+@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING', 'e', '(SELECT * FROM std WHERE t >= first)')} SELECT series, t, {_r(*(f'b{k}' for k in range(1, 7)))} FROM e", whole=True)
+def exp3_delayed(spark, d, s=SETTINGS):
+    rows = _std(spark, d, s).filter("t >= first AND t <= end")
+    return _weights(prep.testing(online.exponential_weights(rows, 6, evaluate.expanding(s.split), 4)))
 
 
-@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING', 'e')}, m AS (SELECT series, 'bandits_full' AS method, y, err FROM e) {sql.scores('m')}")
-def bandits_report(spark, d):
-    return metrics.scores(online.weighted(prep.testing(online.exponential_weights(_relevant(spark, d), 6, SPLIT.history)), "bandits_full", True))
+@query(f"WITH {sql.BASE}, {sql.exp3('ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING', 'e')}, m AS (SELECT series, 'bandits_full' AS method, y, err FROM e) {sql.scores('m')}", whole=True)
+def bandits_report(spark, d, s=SETTINGS):
+    return metrics.scores(online.weighted(prep.testing(online.exponential_weights(_relevant(spark, d, s), 6, s.split.history)), "bandits_full", True))
 
 
 def _pa_sql(delay: int) -> str:
@@ -384,29 +394,29 @@ pa AS (SELECT series, split + 1 AS t, split, end_, {', '.join(f'CAST(1.0 / 7 AS
 SELECT series, t, {_r(*(f'w{k}' for k in range(7)))} FROM pa WHERE t > split + 1"""
 
 
-def _pa(spark, d, delay):
-    rows = _std(spark, d)
+def _pa(spark, d, delay, s=SETTINGS):
+    rows = _std(spark, d, s)
     limits = rows.select("series", (F.col("split") + 1).alias("first"), "end").distinct()
     beta = online.passive_aggressive(rows.select("series", "t", "x", "y"), 0.01, limits, delay)
     return beta.select("series", "t", *(F.get("beta", F.lit(k)).alias(f"w{k}") for k in range(7)))
 
 
-@query(_pa_sql(1))
-def pa_path(spark, d):
-    return _pa(spark, d, 1)
+@query(_pa_sql(1), whole=True)
+def pa_path(spark, d, s=SETTINGS):
+    return _pa(spark, d, 1, s)
 
 
-@query(_pa_sql(4))
-def pa_delayed(spark, d):
-    return _pa(spark, d, 4)
+@query(_pa_sql(4), whole=True)
+def pa_delayed(spark, d, s=SETTINGS):
+    return _pa(spark, d, 4, s)
 
 
 # --- batch learners ------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {sql.BASE} SELECT series, count(*) AS n, round(sum(y), 6) AS xy0, round(sum(m1 * y), 6) AS xy1, round(sum(m1 * m6), 6) AS xx16, round(sum(m6 * m6), 6) AS xx66 FROM std WHERE t BETWEEN first AND last GROUP BY series")
-def gram_sums(spark, d):
-    sums = learners.gram(prep.training(_std(spark, d)).withColumn("f", F.col("x")))
+@query(f"WITH {sql.BASE} SELECT series, count(*) AS n, round(sum(y), 6) AS xy0, round(sum(m1 * y), 6) AS xy1, round(sum(m1 * m6), 6) AS xx16, round(sum(m6 * m6), 6) AS xx66 FROM std WHERE t BETWEEN first AND last GROUP BY series", whole=True)
+def gram_sums(spark, d, s=SETTINGS):
+    sums = learners.gram(prep.training(_std(spark, d, s)).withColumn("f", F.col("x")))
     def read(source):
         for b in source:
             rows = [np.frombuffer(r, float).reshape(8, 8) for r in b.column(2).to_pylist()]
@@ -417,9 +427,9 @@ def gram_sums(spark, d):
 
 
 @query(f"""WITH {sql.BASE}, g AS (SELECT series, avg(m1) AS a, avg(m1 * m1) + 0.01 AS b, avg(y) AS c, avg(m1 * y) AS e FROM std WHERE t BETWEEN first AND last GROUP BY series)
-SELECT series, round((c * b - a * e) / (1.01 * b - a * a), 6) AS b0, round((1.01 * e - a * c) / (1.01 * b - a * a), 6) AS b1 FROM g""")
-def ridge_two_features(spark, d):
-    rows = prep.training(_std(spark, d)).withColumn("x", F.slice("x", 1, 2))
+SELECT series, round((c * b - a * e) / (1.01 * b - a * a), 6) AS b0, round((1.01 * e - a * c) / (1.01 * b - a * a), 6) AS b1 FROM g""", whole=True)
+def ridge_two_features(spark, d, s=SETTINGS):
+    rows = prep.training(_std(spark, d, s)).withColumn("x", F.slice("x", 1, 2))
     return learners.ridge(rows, 0.01).select("series", F.get("theta", F.lit(0)).alias("b0"), F.get("theta", F.lit(1)).alias("b1"))
 
 
@@ -436,23 +446,23 @@ def _residual(rows: DataFrame, params: DataFrame, rho: float, free: bool = False
 _TRUE = "SELECT DISTINCT event_type AS series, '{m}' AS method, true AS stationary FROM events"
 
 
-@query(_TRUE.format(m="ridge"))
-def ridge_general(spark, d):
-    rows = prep.training(_std(spark, d))
+@query(_TRUE.format(m="ridge"), whole=True)
+def ridge_general(spark, d, s=SETTINGS):
+    rows = prep.training(_std(spark, d, s))
     return _residual(rows, learners.ridge(rows, 0.01), 0.01)
 
 
-@query(_TRUE.format(m="ols_ridge"))
-def ridge_free_intercept(spark, d):
-    rows = prep.training(_std(spark, d))
+@query(_TRUE.format(m="ols_ridge"), whole=True)
+def ridge_free_intercept(spark, d, s=SETTINGS):
+    rows = prep.training(_std(spark, d, s))
     return _residual(rows, learners.ridge(rows, 0.05, "ols_ridge", True), 0.05, True)
 
 
 def _adaptive(rule: str, suffix: str):
-    def run(spark, d):
-        rows = _relevant(spark, d)
-        params = evaluate.adaptive_params(rows, SETTINGS, rule, suffix)
-        data = prep.training(evaluate.with_lags(rows, SETTINGS, rule)).filter(F.col("t") >= F.col("first") + SPLIT.past)
+    def run(spark, d, s=SETTINGS):
+        rows = _relevant(spark, d, s)
+        params = evaluate.adaptive_params(rows, s, rule, suffix)
+        data = prep.training(evaluate.with_lags(rows, s, rule)).filter(F.col("t") >= F.col("first") + s.split.past)
         return _adaptive_residual(data, params)
 
     return run
@@ -475,19 +485,19 @@ def _pair(suffix: str) -> str:
     return " UNION ALL ".join(_TRUE.format(m=f"adaptive_ridge_{k}{suffix}") for k in ("exact", "standard"))
 
 
-@query(_pair(""))
-def adaptive_ridge_value(spark, d):
-    return _adaptive("value", "")(spark, d)
+@query(_pair(""), whole=True)
+def adaptive_ridge_value(spark, d, s=SETTINGS):
+    return _adaptive("value", "")(spark, d, s)
 
 
-@query(_pair("_err_rule"))
-def adaptive_ridge_err_rule(spark, d):
-    return _adaptive("error", "_err_rule")(spark, d)
+@query(_pair("_err_rule"), whole=True)
+def adaptive_ridge_err_rule(spark, d, s=SETTINGS):
+    return _adaptive("error", "_err_rule")(spark, d, s)
 
 
 def _lagged_training(spark, d):
-    rows = _relevant(spark, d)
-    return prep.training(evaluate.with_lags(rows, SETTINGS, "value")).filter(F.col("t") >= F.col("first") + SPLIT.past)
+    rows = _relevant(spark, d, WHOLE)
+    return prep.training(evaluate.with_lags(rows, WHOLE, "value")).filter(F.col("t") >= F.col("first") + WHOLE.split.past)
 
 
 @query(None)
@@ -497,15 +507,15 @@ def slowly_varying(spark, d):
 
 @query(None)
 def stable_part(spark, d):
-    rows = _lagged_training(spark, d).withColumn("k", F.col("t") - F.col("first") - SPLIT.past + 1)
+    rows = _lagged_training(spark, d).withColumn("k", F.col("t") - F.col("first") - WHOLE.split.past + 1)
     return learners.stable_part_ridge(rows, 0.01, 0.1, 50).select("series", "method", "n_rows", F.size("theta").alias("n_weights"))
 
 
 @query(f"""WITH {sql.BASE}, g AS (SELECT series, t, split, end_, avg(m1) OVER w AS a, avg(m1 * m1) OVER w + 0.1 AS b, avg(y) OVER w AS c, avg(m1 * y) OVER w AS e FROM std
   WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
-SELECT series, t, round((c * b - a * e) / (1.1 * b - a * a), 6) AS b0, round((1.1 * e - a * c) / (1.1 * b - a * a), 6) AS b1 FROM g WHERE t > split + 1 AND t <= end_""")
-def rolling_ridge(spark, d):
-    rows = _relevant(spark, d).withColumn("x", F.slice("x", 1, 2))
+SELECT series, t, round((c * b - a * e) / (1.1 * b - a * a), 6) AS b0, round((1.1 * e - a * c) / (1.1 * b - a * a), 6) AS b1 FROM g WHERE t > split + 1 AND t <= end_""", whole=True)
+def rolling_ridge(spark, d, s=SETTINGS):
+    rows = _relevant(spark, d, s).withColumn("x", F.slice("x", 1, 2))
     tests = prep.testing(rows).select("series", "t")
     beta = learners.rolling_ridge(rows.select("series", "t", "x", "y"), 30, 0.1, 2).join(tests, ["series", "t"], "left_semi")
     return beta.select("series", "t", F.get("beta", F.lit(0)).alias("b0"), F.get("beta", F.lit(1)).alias("b1"))
@@ -513,7 +523,7 @@ def rolling_ridge(spark, d):
 
 def _robust(spark, d, names, adaptive=False):
     methods = {n: robust.METHODS[n] for n in names}
-    rows = learners.adaptive_features(_lagged_training(spark, d)) if adaptive else prep.training(_std(spark, d))
+    rows = learners.adaptive_features(_lagged_training(spark, d)) if adaptive else prep.training(_std(spark, d, WHOLE))
     fitted = robust.fit_series(rows, methods, "f" if adaptive else "x", evaluate.z_width(SETTINGS) if adaptive else 0)
     return fitted.select("series", "method", "n_rows", F.size("theta").alias("n_weights"))
 
@@ -533,12 +543,12 @@ def adaptive_lad(spark, d):
 
 @query(None)
 def all_methods_report(spark, d):
-    return evaluate.report(panel(spark, d), SETTINGS)
+    return evaluate.report(panel(spark, d), WHOLE)
 
 
 @query(None)
 def results_table(spark, d):
-    return evaluate.results_table(to_panel(orders_panel(spark, d)), SETTINGS)
+    return evaluate.results_table(to_panel(orders_panel(spark, d)), WHOLE)
 
 
 @query(None)
@@ -551,7 +561,7 @@ def storm_report(spark, d):
 @query(None)
 def grid_scores(spark, d):
     penalties = [Penalty(a, b, c) for a in (0.01, 1.0) for b in (0.01, 1.0) for c in (0.01, 1.0)]
-    return evaluate.grid_scores(panel(spark, d), SPLIT, penalties, (2, 3))
+    return evaluate.grid_scores(panel(spark, d), WHOLE.split, penalties, (2, 3))
 
 
 _GRID_SQL = """SELECT row_number() OVER (ORDER BY a, b, c, p) AS param_combo, CAST(a AS DOUBLE) AS rho_beta, CAST(b AS DOUBLE) AS rho, CAST(c AS DOUBLE) AS "rho_V", p AS past

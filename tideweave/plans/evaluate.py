@@ -42,6 +42,11 @@ def relevant(rows: DataFrame, split: Split) -> DataFrame:
     return rows.filter(F.col("t") >= F.col("first") - split.past).filter("t <= end")
 
 
+def expanding(split: Split) -> int | None:
+    """Rows that cover training and test together; None for all."""
+    return None if split.val is None else split.history + split.val + 1
+
+
 def with_lags(rows: DataFrame, settings: Settings, rule: str) -> DataFrame:
     """Rows with z; training rows count from the first one whose lags lie within training."""
     return lag_matrix(rows, settings.split.past, rule, settings.lead)
@@ -79,7 +84,7 @@ def best_errors(tests: DataFrame, settings: Settings) -> DataFrame:
 def errors(panel: DataFrame, settings: Settings) -> DataFrame:
     """series, t, method, y, pred, err of every method on every test row."""
     split = settings.split
-    rows = relevant(standardised(panel, split), split).persist()  # every learner reads this bounded stretch of each series
+    rows = relevant(standardised(panel, split), split).persist()  # every learner reads this stretch of each series
     tests = testing(rows)
     members = settings.members
     full = testing(online.exponential_weights(rows, members, split.history))
@@ -159,7 +164,7 @@ def storm_errors(rows: DataFrame, settings: Settings, delay: int = 4) -> DataFra
     p = settings.penalty
     params = learners.adaptive_ridge(train.select("series", "x", "y", "z"), [("adaptive_ridge_exact", p), ("adaptive_ridge_standard", Penalty(0.0, p.rho, p.rho_v))])
     scored = online.adaptive_weights(tests, params, 1 + past * (settings.members + 1) + past)
-    bandits = testing(online.exponential_weights(std.filter("t >= first AND t <= end"), settings.members, split.history + (split.val or 1 << 20), delay))
+    bandits = testing(online.exponential_weights(std.filter("t >= first AND t <= end"), settings.members, expanding(split), delay))
     equal = F.array_repeat(F.lit(1.0 / settings.members), settings.members)
     bandits = bandits.withColumn("beta", F.when(F.col("t") - F.col("split") - 1 < delay + 1, equal).otherwise(F.col("beta")))
     limits = std.select("series", (F.col("split") + 1).alias("first"), "end").distinct()

@@ -36,6 +36,8 @@ std AS (SELECT p.series, t, y AS y_true, (y - mu) / sigma AS y, {cols}, mu, sigm
 
 
 BASE = PANEL + "," + bounds() + "," + standardised()
+#: The same with all rows after training as the test, and training of 300 rows.
+WHOLE = PANEL + "," + bounds(history=300, val=1 << 40) + "," + standardised()
 
 #: series, t, method, y, err of the mean, the last value and every member.
 SIMPLE = """
