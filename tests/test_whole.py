@@ -52,3 +52,11 @@ def test_weights_of_all_earlier_rows_equal_a_frame_of_all_rows(spark, events, de
     rows = catalog._std(spark, events, catalog.WHOLE).filter("t >= first")
     a, b = (online.exponential_weights(rows, 6, h, delay).select("series", "t", F.col("beta")).toPandas().sort_values(["series", "t"]) for h in (None, 1000))
     assert len(a) == len(b) > 0 and np.abs(np.stack(a["beta"]) - np.stack(b["beta"])).max() < 1e-9
+
+
+def test_columns_by_mean_keeps_all_series(spark, tmp_path):
+    rows = [(k, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=k), "abc"[k % 3], float(k)) for k in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = catalog.queries()["columns_by_mean_all"](spark, str(tmp_path))
+    assert out.columns == ["t", "m3", "m5"] and out.count() == 3 * 13
+    assert catalog.queries()["columns_by_mean"](spark, str(tmp_path)).count() == 2 * 13  # as its SQL says

@@ -112,10 +112,16 @@ def masked_values(spark, d):
 
 @query(f"WITH {sql.PANEL} SELECT t, round(m3, 6) AS m3, round(m5, 6) AS m5 FROM panel WHERE series IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2)")
 def columns_by_mean(spark, d):
-    wide = wide_panel(spark, d)
     first = table(spark, d, "events").select(F.col("event_type").alias("series")).distinct().orderBy("series").limit(2)
+    kept = columns_by_mean_all(spark, d, series=True)
+    return kept.join(F.broadcast(first), "series", "left_semi").drop("series")
+
+
+@query(f"WITH {sql.PANEL} SELECT t, round(m3, 6) AS m3, round(m5, 6) AS m5 FROM panel")
+def columns_by_mean_all(spark, d, series=False):
+    wide = wide_panel(spark, d)
     kept = prep.columns_with_mean_above(wide.withColumn("none", F.lit(-2e6)), ["m3", "m5", "none"], -1e6)
-    return wide.join(F.broadcast(first), "series", "left_semi").select("t", *kept)
+    return wide.select(*(["series"] if series else []), "t", *kept)
 
 
 _GAPS = "raw AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS t, value AS y, event_id FROM events), g AS (SELECT series, t, CASE WHEN event_id % 7 IN (2, 3) THEN NULL ELSE y END AS y, CASE WHEN event_id % 40 <> 5 THEN y END AS y2 FROM raw)"
