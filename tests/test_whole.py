@@ -60,3 +60,9 @@ def test_columns_by_mean_keeps_all_series(spark, tmp_path):
     out = catalog.queries()["columns_by_mean_all"](spark, str(tmp_path))
     assert out.columns == ["t", "m3", "m5"] and out.count() == 3 * 13
     assert catalog.queries()["columns_by_mean"](spark, str(tmp_path)).count() == 2 * 13  # as its SQL says
+
+
+def test_storms_are_of_users_and_keep_all_records(spark, events):
+    out = catalog.queries()["storm_segments_all"](spark, events).toPandas()
+    assert len(out) == 1214 and set(out["series"]) == {str(k) for k in range(7)}
+    assert (out.groupby(["series", "storm"]).size() == out.groupby(["series", "storm"])["length"].first()).all()

@@ -38,7 +38,7 @@ def query(text: str | None = None, whole: bool = False):
     """Registers a function under its name, with its SQL twin if there is one.
 
     whole: also registers NAME_all, the same over the split of WHOLE; its twin, unless recursive (too slow over whole
-    series), has the bounds of WHOLE.
+    series), has the bounds of WHOLE. For storms it is the same over the records of every user.
     """
 
     def register(f: Callable[..., DataFrame]):
@@ -48,7 +48,7 @@ def query(text: str | None = None, whole: bool = False):
         if whole:
             _QUERIES[f"{f.__name__}_all"] = lambda spark, sf_dir: rounded(f(spark, sf_dir, WHOLE))
             if text and "RECURSIVE" not in text:
-                _SQL[f"{f.__name__}_all"] = text.replace(sql.BASE, sql.WHOLE).replace(f" {SPLIT.history} PRECEDING", f" {WHOLE.split.history} PRECEDING")
+                _SQL[f"{f.__name__}_all"] = text.replace(sql.BASE, sql.WHOLE).replace(sql.storms(), sql.user_storms()).replace(f" {SPLIT.history} PRECEDING", f" {WHOLE.split.history} PRECEDING")
         return f
 
     return register
@@ -285,19 +285,31 @@ def _storm_records(spark, d):
     return dense_index(rows, ["series"], ["d", "hours"], F.col("d")).select("series", "t", "days", "hours", "y", "current_speed")
 
 
-@query(f"WITH {sql.storms()} SELECT series, t, storm, k, length FROM st")
-def storm_segments(spark, d):
-    return segments.storms(_storm_records(spark, d)).select("series", "t", "storm", "k", "length")
+def _user_records(spark, d):
+    """All events as records of their users, the times cut to six hours."""
+    ev = table(spark, d, "events").withColumn("series", F.col("user_id").cast("string"))
+    rows = dense_index(ev, ["series"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    hours = (F.floor(F.hour("ts") / 6) * 6).cast("int").alias("hours")
+    return rows.select("series", "t", F.dayofmonth("ts").alias("days"), hours, F.col("value").alias("y"), (F.col("value") / 10).alias("current_speed"))
 
 
-@query(f"WITH {sql.storms()}, p AS (SELECT * FROM st WHERE length > 2) SELECT series, storm, k, row_number() OVER (PARTITION BY series ORDER BY storm, k) AS pos FROM p")
-def storm_lengths(spark, d):
-    return segments.long_storms(_storm_records(spark, d), 1).select("series", "storm", "k", "pos")
+def _records(spark, d, s):
+    return _storm_records(spark, d) if s is SETTINGS else _user_records(spark, d)
 
 
-@query(f"WITH {sql.storms()}, p AS (SELECT *, lag(y) OVER (PARTITION BY series, storm ORDER BY k) AS x1, lag(current_speed) OVER (PARTITION BY series, storm ORDER BY k) AS c1 FROM st) SELECT series, storm, k, round(x1, 6) AS x1, round(current_speed, 6) AS c0 FROM p WHERE k > 1")
-def storm_lag_vectors(spark, d):
-    rows = segments.storms(_storm_records(spark, d)).withColumn("x", F.array("y"))
+@query(f"WITH {sql.storms()} SELECT series, t, storm, k, length FROM st", whole=True)
+def storm_segments(spark, d, s=SETTINGS):
+    return segments.storms(_records(spark, d, s)).select("series", "t", "storm", "k", "length")
+
+
+@query(f"WITH {sql.storms()}, p AS (SELECT * FROM st WHERE length > 2) SELECT series, storm, k, row_number() OVER (PARTITION BY series ORDER BY storm, k) AS pos FROM p", whole=True)
+def storm_lengths(spark, d, s=SETTINGS):
+    return segments.long_storms(_records(spark, d, s), 1).select("series", "storm", "k", "pos")
+
+
+@query(f"WITH {sql.storms()}, p AS (SELECT *, lag(y) OVER (PARTITION BY series, storm ORDER BY k) AS x1, lag(current_speed) OVER (PARTITION BY series, storm ORDER BY k) AS c1 FROM st) SELECT series, storm, k, round(x1, 6) AS x1, round(current_speed, 6) AS c0 FROM p WHERE k > 1", whole=True)
+def storm_lag_vectors(spark, d, s=SETTINGS):
+    rows = segments.storms(_records(spark, d, s)).withColumn("x", F.array("y"))
     return storm_lags(rows, 1).select("series", "storm", "k", F.get("z", F.lit(0)).alias("x1"), F.get("z", F.lit(1)).alias("c0"))
 
 

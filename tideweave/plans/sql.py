@@ -95,3 +95,11 @@ flags AS (SELECT *, CASE WHEN p_day IS NULL THEN 1
   ELSE CAST(days - p_day > 0 AS INT) END AS start FROM lagged),
 numbered AS (SELECT *, CAST(sum(start) OVER (PARTITION BY series ORDER BY t) AS BIGINT) AS storm FROM flags),
 st AS (SELECT series, t, days, hours, y, current_speed, storm, t - min(t) OVER (PARTITION BY series, storm) + 1 AS k, count(*) OVER (PARTITION BY series, storm) AS length FROM numbered)"""
+
+
+def user_storms() -> str:
+    """CTE st: storms of all events of each user, from timestamps cut to six hours."""
+    return """
+recs AS (SELECT CAST(user_id AS VARCHAR) AS series, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, CAST(day(ts) AS INT) AS days,
+  CAST(hour(ts) // 6 * 6 AS INT) AS hours, value AS y, value / 10 AS current_speed FROM events),
+lagged AS""" + storms().partition("lagged AS")[2]
