@@ -1,4 +1,4 @@
-"""Linear models for bounded samples: hinge loss by dual coordinate descent, and Platt's calibration."""
+"""Linear models for bounded samples: hinge loss by dual coordinate descent, Platt's calibration, logistic curves with signs."""
 
 from __future__ import annotations
 
@@ -60,6 +60,20 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / spread, b - a * middle / spread
 
 
+def monotone_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, sign: np.ndarray, steps: int = 3000) -> tuple[np.ndarray, float]:
+    """Slopes, each zero or of its sign, and base of a ridge-penalised logistic curve, by projected gradients."""
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z, weight = (x - middle) / spread, weight / weight.mean()
+    slopes, base = np.zeros(x.shape[1]), 0.0
+    rate = 1.0 / (0.25 * (np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2 / len(z) + 1) + 1 / len(z))
+    for _ in range(steps):
+        off = (chance(z @ slopes, (1.0, base)) - y) * weight
+        slopes = slopes - rate * (z.T @ off + slopes) / len(y)
+        base -= rate * off.mean()
+        slopes[slopes * sign < 0] = 0.0
+    return slopes / spread, base - float(slopes / spread @ middle)
+
+
 def chance(margin: np.ndarray, ab: tuple[float, float]) -> np.ndarray:
     """Platt's probability."""
     return 1 / (1 + np.exp(-np.clip(ab[0] * margin + ab[1], -30, 30)))

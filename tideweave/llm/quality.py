@@ -114,10 +114,14 @@ def fold_of(doc_id: Column, parts: int, held: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == held, F.lit(False))
 
 
-def sample(labels: DataFrame, label: str, parts: int, held: int, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """id and y of at most `rows` labelled rows of each class, none held out, by the order of a hash of the id."""
+def labelled(labels: DataFrame, label: str, parts: int, held: int, id_col: str = "doc_id") -> DataFrame:
+    """id and y of all labelled rows that aren't held out."""
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~fold_of(F.col(id_col), parts, held))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("y"))
+    return known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("y"))
+
+
+def sample(known: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` of each class, by the order of a hash of the id."""
     of = [known.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]
     return of[0].unionByName(of[1])
 
@@ -125,7 +129,7 @@ def sample(labels: DataFrame, label: str, parts: int, held: int, rows: int, id_c
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1, rows: int = TRAIN_ROWS) -> Model:
     """The model of a bounded sample: at most 2 * rows lists of indicators reach the driver."""
     small_batches(docs.sparkSession)
-    chosen = F.broadcast(sample(labels, label, parts, held, rows))
+    chosen = F.broadcast(sample(labelled(labels, label, parts, held), rows))
     joined = docs.select(docs["doc_id"].alias("id"), docs["text"].cast("string").alias("txt")).join(chosen, "id").select("id", "y", "txt")
 
     def features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

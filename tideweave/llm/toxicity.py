@@ -3,26 +3,31 @@
 The kernel compares strings by their subsequences of three letters, weighted by LAMBDA to the power of their span, so
 gapped, misspelt and inflected insults stay close to one another. A text is a bag of word windows: its words (marks
 taken out, look-alike digits read as letters), runs of single letters read as one word, and overlapping pieces of
-very long words. Its margin is that of its worst window. Labels belong to whole texts, so training alternates:
-choose the most suspect windows of the toxic texts, fit a hinge loss on Nyström features, choose again.
+very long words; near the insults, a window is also read with one letter left out.
+
+Labels belong to whole texts. Windows are suspect if a run of their letters occurs in toxic texts more often than
+chance allows; near copies of a text count as one. A hinge loss on Nyström features sets the suspect windows, weighed
+by how often they occur in toxic texts more than in clean ones, against those two kinds: suspects that clean texts hold
+as often, and windows of all texts. Landmarks come from pivoted Cholesky over the weighed suspects, so that the most
+frequent insults are always among them. A text's score is a logistic curve over how many of its windows reach which
+margins, and over its length, which can only rise with each insult; it is fitted on folds that the windows' weights
+haven't seen, with rows weighed to the classes' sizes among all labels.
 
 After fitting, the landmark expansion is added up into one weight for each subsequence, which gives the same
 margins without comparing every word with every landmark. Workers remember the margins of words that they have seen.
 The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS); every whole text is scored, in one pass,
-without a shuffle.
+without a shuffle. Settings were chosen by the folds of training rows only.
 
-Defined results: null and empty texts have no windows and get the lowest margin; a null doc_id isn't held out; of
-repeated labels of a document the highest counts, null labels don't; without labels of both classes every score is
+Defined results: null and empty texts have no windows and get the score of the curve's base; a null doc_id isn't held
+out; of repeated labels of a document the highest counts, null labels don't; without labels of both classes every score is
 0.5; repeated documents each have a row; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -34,16 +39,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideweave.llm.common import small_batches, table
-from tideweave.llm.linear import chance, dual_coordinate_descent, platt
-from tideweave.llm.quality import fold_of, sample
+from tideweave.llm.linear import chance, dual_coordinate_descent, monotone_logistic
+from tideweave.llm.quality import fold_of, labelled, sample
 
 #: Labelled rows of each class that the model is fitted on, at most.
-TRAIN_ROWS = 1000
+TRAIN_ROWS = 1500
 #: Weight of a letter's place in a subsequence's span.
 LAMBDA = 0.6
 #: Letters of a window; longer words give overlapping windows.
 LONGEST = 16
 LANDMARKS = 160
+#: Lengths of the runs of letters whose rates make windows suspect, and the bits of their hashes.
+RUNS, RUN_BITS = (4, 5, 6), 20
+RUN_PLACES = 1 << RUN_BITS
+#: Standard deviations that rates are shifted by against chance, and the log ratio from which a window is suspect.
+CAUTION, SUSPECT = 2.0, 0.5
+#: How many times as often as in clean texts a suspect must occur in toxic ones to be an insult.
+FAVOUR = 3.0
+#: Suspects and other windows that a fit reads, at most (of the sample; scoring has no such bounds), and the hinge loss's cost.
+CANDIDATES, OTHERS, COST = 6000, 4000, 1.0
+#: Margins at which the curve counts windows.
+EDGES = np.array([-0.5, -0.2, 0.1, 0.4, 0.7, 1.0])
+#: Hashes of a sketch.
+SKETCH = 12
 #: Margin from which a window is also read with one letter left out, and what that costs.
 NEAR, INSERTED = -0.8, 0.45
 #: Words whose margins a worker remembers.
@@ -142,82 +160,152 @@ def margins(windows: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
+class Sample:
+    """Labelled texts ready for fitting: their windows, the letter runs of these, and how far each text is a copy of others.
+
+    y has the labels, share what each row stands for among all labelled rows of its class.
+    """
+
+    def __init__(self, bags: list[list[str]], lengths: np.ndarray, sketches: np.ndarray, y: np.ndarray, share: np.ndarray):
+        self.words = sorted({w for b in bags for w in b})
+        index = {w: k for k, w in enumerate(self.words)}
+        self.places, self.starts = runs_of(self.words)
+        self.held = [np.array([index[w] for w in b], np.int64) for b in bags]
+        self.runs = [np.unique(np.concatenate([self.places[self.starts[k] : self.starts[k + 1]] for k in b])) if len(b) else self.places[:0] for b in self.held]
+        self.lengths, self.y, self.share = lengths, y, share
+        # a text weighs one through the (estimated) number of its near copies, so that a group of copies is no evidence for its words
+        self.weight = np.zeros(len(y))
+        for column in sketches.T:
+            _, inverse, count = np.unique(column, return_inverse=True, return_counts=True)
+            self.weight += 1 / count[inverse] / sketches.shape[1]
+
+    def evidence(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each window: its rates in toxic and in clean rows, and the best of its letter runs' log ratios of rates, as low as chance may have it."""
+        held = [np.zeros(len(self.words)), np.zeros(len(self.words))]
+        runs = [np.zeros(RUN_PLACES), np.zeros(RUN_PLACES)]
+        total = [1e-9, 1e-9]
+        for r in rows:
+            k = int(self.y[r])
+            held[k][self.held[r]] += self.weight[r]
+            runs[k][self.runs[r]] += self.weight[r]
+            total[k] += self.weight[r]
+        low = np.maximum(runs[1] - CAUTION * np.sqrt(runs[1]), 1e-3) / total[1]
+        high = (runs[0] + 1 + CAUTION * np.sqrt(runs[0] + 1)) / total[0]
+        ratio = np.log(low / high)
+        best = np.maximum.reduceat(ratio[self.places], self.starts[:-1]) if len(self.words) else np.zeros(0)
+        return held[1] / total[1], held[0] / total[0], best
+
+
+def runs_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed places of each word's runs of four to six letters (the word's start counts as one), flat, and where each word's begin."""
+    sizes = np.array([sum(max(0, len(w) + 2 - n) for n in RUNS) for w in words], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.zeros(starts[-1], np.int32)
+    for n, (at, c) in codes(words).items():
+        full = np.concatenate([np.full((len(at), 1), _SIZE - 1), c], axis=1).astype(np.uint64)
+        place = 0
+        for size in RUNS:
+            for i in range(n + 2 - size):
+                code = np.full(len(at), size, np.uint64)
+                for k in range(size):
+                    code = code * np.uint64(_SIZE) + full[:, i + k]
+                flat[starts[at] + place] = code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - RUN_BITS)
+                place += 1
+    return flat, starts
+
+
+def sketch(text: str | None) -> np.ndarray:
+    """Smallest hashes of a text's runs of three words, under several hashes: near copies share most of them."""
+    words = (text or "").lower().split()
+    first = np.array([zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))], np.uint32)
+    mixed = first[:, None] * (np.random.default_rng(1).integers(1, 1 << 31, SKETCH).astype(np.uint32) * np.uint32(2) + np.uint32(1))
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x2C1B3C6D)
+    return (mixed ^ mixed >> np.uint32(12)).min(axis=0)
+
+
+def landmarks(words: list[str], weight: np.ndarray, most: int) -> list[str]:
+    """Pivoted Cholesky: each landmark is the word whose weight times what the others leave unexplained of it is largest."""
+    if not words:
+        return []
+    held, _, _ = _dense(words)
+    left, factor, out = np.ones(len(words)), np.zeros((len(words), 0)), []
+    for _ in range(min(most, len(words))):
+        k = int(np.argmax(left * weight))
+        if left[k] < 1e-3:
+            break
+        row = (held @ held[k] - factor @ factor[k]) / math.sqrt(left[k])
+        factor = np.concatenate([factor, row[:, None]], axis=1)
+        left = np.maximum(left - row * row, 0)
+        left[k] = 0
+        out.append(words[k])
+    return out
+
+
+def _dense(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings as rows over the subsequences that occur; the column of each subsequence (the last, all zero, of others); the subsequences."""
+    spots = [embed(w) for w in words]
+    used = np.unique(np.concatenate([at for at, _ in spots]))
+    column = np.full(_SIZE**3, len(used))
+    column[used] = np.arange(len(used))
+    out = np.zeros((len(words), len(used) + 1), np.float32)
+    for k, (places, value) in enumerate(spots):
+        out[k, column[places]] = value
+    return out, column, used
+
+
 class Model:
-    """Fitted on bags of windows; memory of word margins for a worker."""
+    """A margin for each window, and a curve over how many windows of a text reach which margins; memory of word margins for a worker."""
 
-    def __init__(self, bags: list[set[str]], y: np.ndarray, rounds: int = 3, seed: int = 0):
-        self.weights, self.bias, self.curve, self.floor = np.zeros(_SIZE**3, np.float32), 0.0, (1.0, 0.0), -1.0
+    def __init__(self, sample: Sample, folds: int = 5):
         self.memory: dict[str, float] = {}
-        self.fitted = len(set(y.tolist())) == 2
-        if self.fitted:
-            self._fit([sorted(b) for b in bags], y, rounds, np.random.default_rng(seed))
-
-    def _fit(self, bags, y, rounds, random):
-        toxic, clean = [b for b, k in zip(bags, y) if k], [b for b, k in zip(bags, y) if not k]
-        in_toxic, in_clean = (Counter(g for b in part for g in {w[i : i + n] for w in b for n in (4, 5) for i in range(len(w) - n + 1)}) for part in (toxic, clean))
-
-        rate = {g: math.log((k + 0.1) / (len(toxic) + 1)) - math.log((in_clean[g] + 0.1) / (len(clean) + 1)) for g, k in in_toxic.items() if k > 1}
-        odds: dict[str, float] = {}
-        for w in {w for b in toxic for w in b}:
-            odds[w] = max((rate.get(w[i : i + n], -9.0) for n in (4, 5) for i in range(len(w) - n + 1)), default=-9.0)
-
-        suspects = []
-        for b in toxic:
-            ranked = heapq.nlargest(3, ((odds[w], w) for w in b)) or [(0.0, "")]
-            suspects.append([w for s, w in ranked if s > 2.0 and s > ranked[0][0] - 1.0])
-        negatives = sorted({w for b in clean for w in b})
-        random.shuffle(negatives)
-        words = list({*negatives, *(w for b in toxic for w in b)})
-        hard: list[str] = []
-        known: dict[str, float] = {}
-        for _ in range(rounds):
-            positive = [w for ws in suspects for w in ws]
-            if not positive:
-                break
-            negative = list(dict.fromkeys([*hard, *negatives[: max(2000, 4 * len(positive))]]))
-            self._solve(positive, negative, random)
-            known = dict(zip(words, margins(words, self.weights, self.bias).tolist()))
-            worst = heapq.nsmallest(1000, negatives, key=lambda w: (-known[w], w))
-            hard = list(dict.fromkeys([*hard, *(w for w in worst if known[w] > -1), *self._misread(negatives, known)]))[:4000]
-            suspects = [heapq.nsmallest(3, (w for w in b if known[w] > -0.2), key=lambda w: (-known[w], w)) for b in toxic]
-        self.curve = platt(np.array([max([self.floor, *(known.get(w, self.floor) for w in b)]) for b in bags]), y)
-
-    def _misread(self, negatives: list[str], known: dict[str, float]) -> list[str]:
-        """Readings of clean windows with a letter left out that look most like insults."""
-        near = [w for w in negatives if NEAR < known[w] < 0 and len(w) > 4]
-        less = sorted({w[:i] + w[i + 1 :] for w in near for i in range(len(w))})
-        margin = margins(less, self.weights, self.bias)
-        return [less[k] for k in np.argsort(-margin, kind="stable")[:1000] if margin[k] > -0.5]
-
-    def _solve(self, positive, negative, random):
-        chosen = list(dict.fromkeys(positive))
-        random.shuffle(chosen)
-        marks = [*chosen[: LANDMARKS * 2 // 3], *negative[: LANDMARKS - min(len(chosen), LANDMARKS * 2 // 3)]]
-        marks = list(dict.fromkeys(marks))
-        spots = [embed(w) for w in marks]
-        used = np.unique(np.concatenate([at for at, _ in spots]))
-        column = np.full(_SIZE**3, len(used))  # one more, always zero: subsequences that no landmark has
-        column[used] = np.arange(len(used))
-        table_of = np.zeros((len(marks), len(used) + 1), np.float32)
-        for k, (places, value) in enumerate(spots):
-            table_of[k, column[places]] = value
-        values, vectors = np.linalg.eigh((table_of @ table_of.T).astype(np.float64))
+        self.weights, self.bias = np.zeros(_SIZE**3, np.float32), -1.0
+        self.slopes, self.base = np.zeros(len(EDGES) + 1), 0.0
+        self.fitted = 0 < sample.y.sum() < len(sample.y)
+        if not self.fitted:
+            return
+        # the curve is fitted to margins of texts that the windows' weights haven't seen, read as scoring reads them
+        fold, seen = np.arange(len(sample.y)) % folds, np.zeros((len(sample.y), len(EDGES) + 1))
+        for k in range(folds):
+            self._fit(sample, np.flatnonzero(fold != k))
+            margin = self.tolerant(sample.words)
+            for r in np.flatnonzero(fold == k):
+                seen[r] = reached(margin[sample.held[r]], sample.lengths[r])
+        self.slopes, self.base = monotone_logistic(seen, sample.y, sample.share * sample.weight, np.array([1.0] * len(EDGES) + [-1.0]))
+        self._fit(sample, np.arange(len(sample.y)))
+
+    def _fit(self, sample: Sample, rows: np.ndarray) -> None:
+        """Weights of subsequences: windows with a run of letters that speaks for toxic texts, against the others, as often as they occur."""
+        toxic, clean, best = sample.evidence(rows)
+        suspect = (best > SUSPECT) & (toxic + clean > 0)
+        candidates = np.flatnonzero(suspect)
+        candidates = candidates[np.argsort(-best[candidates], kind="stable")][:CANDIDATES]
+        others = np.random.default_rng(0).permutation(np.flatnonzero(~suspect & (toxic + clean > 0)))[:OTHERS]
+        chosen = np.concatenate([candidates, others])
+        gain = toxic[chosen] - FAVOUR * clean[chosen]
+        positive = (gain > 0) & (np.arange(len(chosen)) < len(candidates))
+        self.weights[:], self.bias = 0.0, -1.0
+        if not positive.any():
+            return
+        cost = np.where(np.arange(len(chosen)) < len(candidates), np.abs(gain), toxic[chosen] + FAVOUR * clean[chosen])
+        cost = np.minimum(cost / cost.mean(), 10.0)
+        cost[positive] *= max(1.0, cost[~positive].sum() / cost[positive].sum() / 2)
+        words = [sample.words[k] for k in chosen]
+        first = np.flatnonzero(positive)[np.argsort(-cost[positive], kind="stable")][: 5 * LANDMARKS]
+        marks = landmarks([words[k] for k in first], np.sqrt(cost[first]), LANDMARKS * 3 // 4)
+        marks += [words[k] for k in np.flatnonzero(~positive)[: LANDMARKS - len(marks)]]
+        held, column, used = _dense(marks)
+        values, vectors = np.linalg.eigh((held @ held.T).astype(np.float64))
         keep = values > 1e-6
         root = vectors[:, keep] / np.sqrt(values[keep])
-        count = Counter(positive)
-        words = [*count, *(w for w in negative if w not in count)]
-        y = np.array([1.0] * len(count) + [-1.0] * (len(words) - len(count)))
         x = np.zeros((len(words), len(marks)))
         for k, w in enumerate(words):
             places, value = embed(w)
-            x[k] = table_of[:, column[places]] @ value
+            x[k] = held[:, column[places]] @ value
         x = x @ root
         starts, index = np.arange(len(words) + 1) * x.shape[1], np.tile(np.arange(x.shape[1]), len(words))
-        weight = np.array([min(3.0, 1.0 + count[w] / 4) for w in words])
-        weight[: len(count)] *= max(1.0, (len(words) - len(count)) / len(count) / 4)
-        w = dual_coordinate_descent(starts, index, x.ravel(), y, x.shape[1], 2.0 * weight, epochs=12)
-        self.weights, self.bias = np.zeros(_SIZE**3, np.float32), float(w[-1])
-        self.weights[used] = ((root @ w[:-1]) @ table_of)[:-1]
+        w = dual_coordinate_descent(starts, index, x.ravel(), np.where(positive, 1.0, -1.0), x.shape[1], COST * cost, epochs=15)
+        self.weights[used], self.bias = ((root @ w[:-1]) @ held)[:-1], float(w[-1])
 
     def tolerant(self, windows: list[str]) -> np.ndarray:
         """Margins; a window close to the insults is also read with each one of its letters left out."""
@@ -229,30 +317,34 @@ class Model:
             np.maximum.at(out, owner, margins(less, self.weights, self.bias) - INSERTED)
         return out
 
-    def worst(self, texts: list[str | None]) -> np.ndarray:
-        """The margin of each text's worst window."""
-        memory, low = self.memory, self.floor
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """What the curve reads of each text."""
+        memory, low = self.memory, EDGES[0]
         lowered = [(t or "").lower() for t in texts]
-        words = [set(t.split()) for t in lowered]
-        extra = [singles(t) for t in lowered]
-        new = {w for ws in words for w in ws if w not in memory}
-        new.update(w for ws in extra for w in ws if w not in memory)
-        windows, owner, listed = [], [], list(new)
-        for k, w in enumerate(listed):
+        listed = [t.split() for t in lowered]
+        words = [{*ws, *singles(t)} for ws, t in zip(listed, lowered)]
+        new = list({w for ws in words for w in ws if w not in memory})
+        windows, owner = [], []
+        for k, w in enumerate(new):
             found = window_of(w)
             windows += found
             owner += [k] * len(found)
-        best = np.full(len(listed), low)
+        best = np.full(len(new), self.bias)
         if windows:
             np.maximum.at(best, np.array(owner), self.tolerant(windows))
-        memory.update(zip(listed, best.tolist()))
-        out = np.array([max((memory[w] for part in (ws, xs) for w in part), default=low) for ws, xs in zip(words, extra)])
+        memory.update(zip(new, best.tolist()))
+        out = np.array([reached(np.array([m for w in ws if (m := memory[w]) >= low]), len(all_)) for ws, all_ in zip(words, listed)])
         if len(memory) > REMEMBERED:
             memory.clear()
-        return out
+        return out.reshape(len(texts), len(EDGES) + 1)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return chance(self.worst(texts), self.curve) if self.fitted else np.full(len(texts), 0.5)
+        return chance(self.counts(texts) @ self.slopes, (1.0, self.base)) if self.fitted else np.full(len(texts), 0.5)
+
+
+def reached(margin: np.ndarray, length: int) -> np.ndarray:
+    """Logarithms of how many windows reach each of EDGES, and of the number of words."""
+    return np.log1p(np.append((margin[:, None] >= EDGES).sum(axis=0), length))
 
 
 def bag(text: str | None) -> set[str]:
@@ -262,19 +354,28 @@ def bag(text: str | None) -> set[str]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> Model:
-    """The model of a bounded sample: at most 2 * rows bags of windows reach the driver."""
+    """The model of a bounded sample: at most 2 * rows bags of windows reach the driver; the classes' sizes are those of all labels."""
     small_batches(docs.sparkSession)
-    chosen = F.broadcast(sample(labels, label, parts, held, rows))
-    joined = docs.select(docs["doc_id"].alias("id"), docs["text"].cast("string").alias("txt")).join(chosen, "id").select("id", "y", "txt")
+    known = labelled(labels, label, parts, held)
+    sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
+    joined = docs.select(docs["doc_id"].alias("id"), docs["text"].cast("string").alias("txt")).join(F.broadcast(sample(known, rows)), "id").select("id", "y", "txt")
 
     def bags(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            lists = ["\n".join(sorted(bag(t))) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.string())], names=["id", "y", "bag"])
-
-    schema = T.StructType([joined.schema["id"], joined.schema["y"], T.StructField("bag", T.StringType())])
-    got = sorted(((str(r[0]), r[1], r[2]) for r in joined.mapInArrow(bags, schema).toLocalIterator()), key=lambda r: (zlib.crc32(r[0].encode()), r))
-    return Model([set(r[2].split("\n")) - {""} for r in got], np.array([r[1] for r in got]))
+            texts = b.column(2).to_pylist()
+            lists = ["\n".join(sorted(bag(t))) for t in texts]
+            sizes = [len((t or "").split()) for t in texts]
+            kept = [sketch(t).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.string()), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary())], names=schema.names)
+
+    extra = [T.StructField("bag", T.StringType()), T.StructField("size", T.LongType()), T.StructField("sketch", T.BinaryType())]
+    schema = T.StructType([joined.schema["id"], joined.schema["y"], *extra])
+    got = ((str(r[0]), r[1], r[2], r[3], bytes(r[4])) for r in joined.mapInArrow(bags, schema).toLocalIterator())
+    got = sorted(got, key=lambda r: (zlib.crc32(r[0].encode()), r))
+    y = np.array([r[1] for r in got])
+    share = np.array([sizes[k] / max(1, int((y == k).sum())) for k in y])
+    sketches = np.array([np.frombuffer(r[4], np.uint32) for r in got]).reshape(len(got), SKETCH)
+    return Model(Sample([[w for w in r[2].split("\n") if w] for r in got], np.array([r[3] for r in got]), sketches, y, share))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
