@@ -329,7 +329,7 @@ class Model:
             found = window_of(w)
             windows += found
             owner += [k] * len(found)
-        best = np.full(len(new), self.bias)
+        best = np.full(len(new), -np.inf)
         if windows:
             np.maximum.at(best, np.array(owner), self.tolerant(windows))
         memory.update(zip(new, best.tolist()))
