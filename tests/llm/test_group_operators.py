@@ -1,5 +1,6 @@
 """Near copies, sharding, mixing, classifiers and the pipeline against brute force, and their defined results."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -121,7 +122,30 @@ def test_sharding_splits_only_what_is_too_large(spark, limit, level_bits, bits):
     assert sharding.shard(docs.limit(0), limit).count() == 0
 
 
-def test_mixing_meets_targets(spark):
+@pytest.mark.parametrize("part", [sharding.PART, 10])
+def test_sharding_over_several_levels_equals_plain_python(spark, monkeypatch, part):
+    monkeypatch.setattr(sharding, "PART", part)
+    monkeypatch.setattr(sharding, "DEALT", 6)
+    rows = [(k, "x" * (k % 50)) for k in range(4000)] + [(9999, "y" * 30)] * 60 + [(9999, "z" * 100)] * 5 + [(9999, "")] * 25
+    docs = spark.createDataFrame([(i, t, "", "", 1, "") for i, t in rows], DOCS).repartition(4)
+    limit, got = 160, sharding.shard(docs, 160, level_bits=4).collect()
+    h = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)
+    total = Counter()
+    for i, t in rows:
+        for d in range(61):
+            total[d, h(i) >> (60 - d)] += len(t)
+    want = {i: next((d for d in range(61) if total[d, h(i) >> (60 - d)] <= limit), 60) for i, _ in rows}
+    assert len({want[i] for i, _ in rows}) > 5 and max(want[k] for k in range(4000)) > 12
+    assert all(x["depth"] == want[x["doc_id"]] for x in got)
+    assert Counter((x["doc_id"], x["n_bytes"]) for x in got) == Counter((i, len(t)) for i, t in rows)
+    pages = Counter()
+    for x in got:
+        pages[x["shard"]] += x["n_bytes"]
+    assert max(pages.values()) <= limit
+
+
+@pytest.mark.parametrize("shard_slots", [mixing.SHARD_SLOTS, 20])
+def test_mixing_meets_targets(spark, shard_slots):
     r = np.random.default_rng(3)
     rows = []
     for k in range(400):
@@ -129,12 +153,13 @@ def test_mixing_meets_targets(spark):
         rows.append((k, " ".join(["w"] * int(r.integers(0, 300))) + " \n", "", source, 1, ""))
     rows += [(1000, None, "", "big", 0, ""), (1001, "", "", "void", 0, ""), rows[5], rows[5]]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
-    placed, plan = mixing.lay_out(docs)
+    placed, plan = mixing.lay_out(docs, shard_slots=shard_slots)
     blocks = [x.asDict() for x in mixing.mix(placed, plan).collect()]
     sizes = Counter()
     for row in rows:
         sizes[row[3]] += len((row[1] or "").split())
-    order = sorted((s for s in sizes if sizes[s]), key=lambda s: (s is None, s or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))  # a source without words has a place in the order, and its weight
+    assert "void" in order and plan.targets[order.index("void")] == 0
     assert plan.names == order and plan.sizes == [sizes[s] for s in order]
     assert abs(sum(plan.targets) - sum(sizes.values())) < 1e-6
     taken = Counter()
@@ -143,8 +168,9 @@ def test_mixing_meets_targets(spark):
         assert len(set(b["passes"])) == len(b["passes"]) <= 3
     for k, t in enumerate(plan.targets):
         assert t <= 3 * plan.sizes[k] + 1e-6 and abs(taken[k] - t) <= 0.02 * t + 2 * mixing.BLOCK
-    assert (plan.draws.sum(axis=0) == plan.slots).all()
-    again, _ = mixing.lay_out(docs.repartition(5))
+    assert (plan.draws.sum(axis=0) == plan.slots).all() and len(plan.draws) == -(-plan.slots.sum() // shard_slots)
+    assert (plan.draws[:-1].sum(axis=1) == shard_slots).all()
+    again, _ = mixing.lay_out(docs.repartition(5), shard_slots=shard_slots)
     key = lambda b: (b["source_no"], b["block"], b["low"], b["high"])
     assert sorted(map(key, blocks)) == sorted(key(x.asDict()) for x in mixing.mix(again, plan).collect())
     empty, none = mixing.lay_out(docs.limit(0))
@@ -170,6 +196,39 @@ def test_mixing_gives_tied_rows_their_own_words(spark, tmp_path):
     assert all(n <= 3 * held[w] for w, n in got.items())
 
 
+def test_draws_are_those_of_a_multinomial_given_its_totals():
+    slots = np.array([3_000, 0, 6_000, 1_000])
+    draws = np.array([d for _, d, _ in mixing.shard_draws(slots, list(range(100)), 100)])
+    share = slots / slots.sum()
+    assert (draws.sum(axis=0) == slots).all() and (draws.sum(axis=1) == 100).all()
+    # a hypergeometric count's variance, within what 100 shards show
+    assert np.allclose(draws.var(axis=0), 100 * share * (1 - share), rtol=0.5)
+    some = {s: (d.tolist(), b.tolist()) for s, d, b in mixing.shard_draws(slots, [7, 50, 99], 100)}
+    assert some[50] == (draws[50].tolist(), draws[:50].sum(axis=0).tolist()) and list(some) == [7, 50, 99]
+    huge = np.array([5 * 10**12, 10**12])  # hundreds of TB: no table, no limit of the generator
+    (_, draw, before), = mixing.shard_draws(huge, [40_000_000], 1 << 16)
+    assert draw.sum() == 1 << 16 and before.sum() == 40_000_000 << 16 and abs(draw[0] / draw.sum() - 5 / 6) < 0.02
+
+
+def test_mix_of_many_equal_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "DEALT", 7)
+    monkeypatch.setattr(mixing, "STREAM_ROWS", 5)
+    rows = [(1, "a b c d e", "en", "x", 9, "")] * 40 + [(None, "f g h", "en", "x", 5, "")] * 30 + [(k, "t " * k, "en", "y", 1, "") for k in range(60)] + [(5, "q r s", "", None, 5, "")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = mixing.op8_mix(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and all(0 <= x["taken"] <= 3 * x["size"] for x in out)
+    size = {"x": 290, "y": sum(range(60)), None: 3}
+    aim = mixing.targets(list(size.items()))
+    assert {(x["source_size"], round(x["target"], 6)) for x in out} == {(size[s], round(aim[s], 6)) for s in size}
+    taken = Counter()
+    for x in out:
+        taken[x["source_size"]] += x["taken"]
+    assert all(abs(taken[size[s]] - aim[s]) <= 2 * mixing.BLOCK for s in size)
+    words = Counter(w for x in mixing.mixed_documents(docs).collect() for w in x["text"].split())
+    assert abs(sum(words.values()) - sum(aim.values())) <= 6 * mixing.BLOCK and all(words[w] <= 3 * 40 for w in "abcde")
+
+
 def test_targets_share_the_excess_by_weight():
     got = mixing.targets([("b", 10), ("a", 1000), (None, 500)])
     assert got["b"] == 30 and abs(got["a"] / 1 - got[None] / 3) < 1e-9 and abs(sum(got.values()) - 1510) < 1e-9

@@ -1,19 +1,25 @@
 """Mixing sources to target weights by blocks of tokens.
 
-Tokens (words between white space) of a source are packed into blocks of a fixed length. To lay its documents end to
-end, they are dealt to a number of streams by a hash, and the streams follow one another, so that a source with a third
-of all rows is no single task. A source
-takes a whole number of block slots that meets its target; each output shard draws how many of its slots come from
-which source, by multinomial draws conditioned on those totals. A source's k-th slot maps to a block by a
-pseudorandom permutation of its block indexes (a Feistel network with cycle walking, another for each pass), so no
-block is taken a second time before all have been taken once. Slots and documents' blocks are joined by index.
-
-Targets: sources in order of code points, null last, weigh 1, 2, 3, repeating; they share the size of the corpus; a
-target stops at three times its source's size, and the excess is shared anew by weight. The table of sources (one row
-each) is on the driver. Everything depends on the rows and the seed only, so reruns agree.
+Tokens (words between white space) of a source are packed into blocks of a fixed length. A source takes a whole number
+of block slots that meets its target; each output shard draws how many of its slots come from which source, by
+multinomial draws conditioned on those totals. A source's k-th slot maps to a block by a pseudorandom permutation of its
+block indexes (a Feistel network with cycle walking, another for each pass), so no block is taken a second time before
+all have been taken once. Slots and documents' blocks are joined by index.
+
+1. Keys, sources, sizes and hashes are written once, as narrow rows; texts are read once here. Equal rows are counted.
+2. To lay a source's documents end to end, they are dealt to streams of about STREAM_ROWS rows by a hash, and the streams
+   follow one another: running sums within streams, and over the streams' totals.
+3. Draws: the range of output shards is halved again and again, and each half draws its share of every source's slots
+   from what the whole has. A task follows the halves down to its own shards only, so draws need no table.
+4. Texts, for the mixed documents, meet the taken words at the end: the only time that they are shuffled.
+
+Targets: sources in order of code points, null last, weigh 1, 2, 3, repeating, sources without any word too; they share
+the size of the corpus; a target stops at three times its source's size, and the excess is shared anew by weight. The
+table of sources (one row each) is on the driver. Everything depends on the rows and the seed only, so reruns agree.
 
 Defined results: null texts and texts without words have size 0 and are taken 0 times; repeated rows are documents of
-their own; a null id is dealt like any other; an empty table gives an empty result; other columns are ignored.
+their own; a null id is dealt like any other; an empty table gives an empty result; other columns are ignored. Narrow
+rows stay in the shared folder, since the lazy result reads them.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ from tideweave.llm.common import small_batches, stored, table
 BLOCK = 64
 #: A target is at most this many times its source's size.
 PASSES = 3
-#: Streams that each source's documents are dealt to.
-STREAMS = 256
+#: Rows of a stream, about.
+STREAM_ROWS = 50_000
+#: Rows of a table that is broadcast, at most; copies of a row that are dealt out by one task.
+PART, DEALT = 100_000, 10_000
 #: Block slots of an output shard.
 SHARD_SLOTS = 1 << 16
 SEED = 20260101
@@ -64,17 +72,35 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (1,
     return out
 
 
-def shard_draws(slots: np.ndarray, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> np.ndarray:
-    """One row for each output shard: how many of its slots each source fills; columns add up to `slots`."""
-    random, left, rows = np.random.default_rng(seed), slots.astype(np.int64).copy(), []
-    while (rest := int(left.sum())) > 0:
-        n, draw, pool = min(shard_slots, rest), np.zeros_like(left), rest
-        for k, have in enumerate(left):
-            draw[k] = random.hypergeometric(have, pool - have, n - draw.sum()) if have and n > draw.sum() else 0
-            pool -= have
-        left -= draw
-        rows.append(draw)
-    return np.array(rows, np.int64).reshape(len(rows), len(slots))
+def _share(random: np.random.Generator, have: int, others: int, n: int) -> int:
+    """How many of n slots, drawn from have + others ones, are of the first kind; by the normal law where numbers are very large."""
+    if have + others < 500_000_000:
+        return int(random.hypergeometric(have, others, n)) if have and n else 0
+    all_ = have + others
+    mean, spread = n * have / all_, (n * (have / all_) * (others / all_) * ((all_ - n) / (all_ - 1))) ** 0.5
+    return min(max(round(random.normal(mean, spread)), n - others, 0), have, n)
+
+
+def shard_draws(slots: np.ndarray, shards: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of the wanted shards (in order): its number, how many slots each source fills, and how many it has filled before."""
+    slots = np.asarray(slots, np.int64)
+    todo = [(0, -(-int(slots.sum()) // shard_slots), slots, np.zeros_like(slots), list(shards))]
+    while todo:
+        low, high, have, before, wanted = todo.pop()
+        if not wanted:
+            continue
+        if high - low == 1:
+            yield low, have, before
+            continue
+        middle = (low + high) // 2
+        random = np.random.default_rng((seed, low, high))
+        left, n, pool = np.zeros_like(have), (middle - low) * shard_slots, int(have.sum())
+        for k, own in enumerate(have.tolist()):
+            pool -= own
+            left[k] = _share(random, own, pool, n)
+            n -= int(left[k])
+        todo.append((middle, high, have - left, before + left, [s for s in wanted if s >= middle]))
+        todo.append((low, middle, left, before, [s for s in wanted if s < middle]))
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -93,76 +119,85 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
-    """id, source, stream, size, begin: where a document's words lie in its stream; with whole, also the document as `row`."""
-    size = n_words(docs[text_col])
-    stream = F.pmod(F.xxhash64(docs[id_col].cast("string"), F.lit(SEED)), F.lit(STREAMS)).cast("int")
-    tie = F.xxhash64(docs[text_col], *([docs[c] for c in docs.columns] if whole else []))
-    rows = docs.select(docs[id_col].alias(id_col), docs[source_col].cast("string").alias("source"), stream.alias("stream"), size.alias("size"), tie.alias("_tie"), *([F.struct(*docs.columns).alias("row")] if whole else []))
-    # a frame of rows: the default frame gives tied rows (repeated rows, null ids) one sum, and so one place
-    order = Window.partitionBy("source", "stream").orderBy(F.xxhash64(id_col), id_col, "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("begin", F.sum("size").over(order) - F.col("size")).drop("_tie")
+def keys(docs: DataFrame, columns: list[str]) -> list[Column]:
+    """Two hashes of the columns of a row."""
+    return [F.xxhash64(F.lit(k), *(docs[c] for c in columns)).alias(f"key{k}") for k in (1, 2)]
 
 
 class Plan:
-    """What the mix takes: sources with their targets, streams with their places, slots by shard."""
-
-    def __init__(self, laid: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED):
-        per_stream = laid.groupBy("source", "stream").agg(F.sum("size").alias("n")).toLocalIterator()
-        held = sorted(((r[0], r[1], int(r[2])) for r in per_stream if r[2]), key=lambda r: (r[0] is None, r[0] or "", r[1]))
-        self.names = sorted({s for s, _, _ in held}, key=lambda s: (s is None, s or ""))
-        number = {s: k for k, s in enumerate(self.names)}
-        self.sizes, self.first = [0] * len(self.names), []
-        for s, stream, n in held:
-            k = number[s]
-            self.first.append((k, s, stream, self.sizes[k]))
-            self.sizes[k] += n
+    """What the mix takes: sources with their sizes, targets and slots; draws come by shard."""
+
+    def __init__(self, sources: list[tuple[str | None, int, int]], block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED):
+        """sources: name, words, rows."""
+        held = sorted(sources, key=lambda r: (r[0] is None, r[0] or ""))
+        self.names, self.sizes = [r[0] for r in held], [int(r[1]) for r in held]
+        self.streams = [1 + int(r[2]) // STREAM_ROWS for r in held]
         self.blocks = [-(-n // block) for n in self.sizes]
-        self.block, self.seed = block, seed
+        self.block, self.seed, self.shard_slots = block, seed, shard_slots
         aim = targets(list(zip(self.names, self.sizes)))
         self.targets = [aim[s] for s in self.names]
-        self.slots = np.array([min(PASSES * b, round(t * b / n)) for t, b, n in zip(self.targets, self.blocks, self.sizes)], np.int64)
-        self.draws = shard_draws(self.slots, shard_slots, seed)
+        self.slots = np.array([min(PASSES * b, round(t * b / n)) if n else 0 for t, b, n in zip(self.targets, self.blocks, self.sizes)], np.int64)
+        self.shards = -(-int(self.slots.sum()) // shard_slots)
+
+    @property
+    def draws(self) -> np.ndarray:
+        """Sources' slots of every shard, for looking at; one row each."""
+        rows = [draw for _, draw, _ in shard_draws(self.slots, list(range(self.shards)), self.shard_slots, self.seed)]
+        return np.array(rows, np.int64).reshape(len(rows), len(self.slots))
 
-    def streams_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.first, "source_no int, s string, t int, offset long")
+    def frame(self, spark: SparkSession) -> DataFrame:
+        rows = list(zip(range(len(self.names)), self.names, self.streams, self.sizes, map(float, self.targets)))
+        return spark.createDataFrame(rows, "source_no int, s string, streams long, source_size long, target double")
 
 
 def slots(spark: SparkSession, plan: Plan) -> DataFrame:
     """shard, slot, source_no, pass_no, block: one row for each block slot of the output."""
-    blocks, seed, ranges, begin = plan.blocks, plan.seed, [], np.zeros(len(plan.blocks), np.int64)
-    for shard, draw in enumerate(plan.draws):
-        for k in np.flatnonzero(draw):
-            ranges.append((shard, int(k), int(begin[k]), int(draw[k])))
-            begin[k] += draw[k]
-    given = spark.createDataFrame(ranges, "shard int, source_no int, begin long, n long")
-    schema = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("source_no", T.IntegerType()), ("pass_no", T.IntegerType()), ("block", T.LongType()))])
+    blocks, seed, shard_slots, totals = plan.blocks, plan.seed, plan.shard_slots, plan.slots
+    schema = T.StructType([T.StructField(n, t) for n, t in (("shard", T.LongType()), ("source_no", T.IntegerType()), ("pass_no", T.IntegerType()), ("block", T.LongType()))])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in source:
-            for shard, k, first, n in zip(*(c.to_pylist() for c in b.columns)):
-                at = np.arange(first, first + n)
-                passes, index = at // blocks[k], at % blocks[k]
-                for p in np.unique(passes):
-                    own = index[passes == p]
-                    got = permuted(own, blocks[k], seed + 1000003 * k + int(p))
-                    full = lambda v: pa.array(np.full(len(own), v, np.int32))
-                    yield pa.RecordBatch.from_arrays([full(shard), full(k), full(p), pa.array(got)], names=schema.names)
+            for shard, draw, before in shard_draws(totals, sorted(b.column(0).to_pylist()), shard_slots, seed):
+                for k in np.flatnonzero(draw).tolist():
+                    for low in range(0, int(draw[k]), 1 << 16):
+                        at = before[k] + np.arange(low, min(int(draw[k]), low + (1 << 16)))
+                        passes, index = at // blocks[k], at % blocks[k]
+                        for p in np.unique(passes).tolist():
+                            own = permuted(index[passes == p], blocks[k], seed + 1000003 * k + p)
+                            ints = [pa.array(np.full(len(own), v, t)) for v, t in ((shard, np.int64), (k, np.int32), (p, np.int32))]
+                            yield pa.RecordBatch.from_arrays([*ints, pa.array(own)], names=schema.names)
 
-    parts = max(1, min(len(ranges), spark.sparkContext.defaultParallelism * 4, int(plan.slots.sum() // 20_000) + 1))
-    return given.repartition(parts).mapInArrow(batches, schema)
+    parts = max(1, min(plan.shards, int(plan.slots.sum()) // 50_000 + 1))
+    return spark.range(0, plan.shards, 1, parts).mapInArrow(batches, schema)
 
 
 def lay_out(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, whole: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, whole: bool = False, shard_slots: int = SHARD_SLOTS
 ) -> tuple[DataFrame, Plan]:
-    """id, source, source_no, size, begin: where each document's words lie in its source; and the plan of the mix."""
-    laid = stored(streams(docs, id_col, text_col, source_col, whole), "mix")
-    plan = Plan(laid, block)
-    known = plan.streams_frame(docs.sparkSession)
-    placed = laid.join(known, laid["source"].eqNullSafe(known["s"]) & (laid["stream"] == known["t"]), "left")
-    begin = (F.col("begin") + F.coalesce("offset", F.lit(0))).alias("begin")
-    return placed.select(id_col, "source", "source_no", "size", begin, *(["row"] if whole else [])), plan
+    """id, source, source_no, size, begin (where the document's words lie in its source), key1, key2 of every row; and the
+    plan of the mix. The keys are hashes of the text, with whole of the whole row."""
+    spark = docs.sparkSession
+    narrow = docs.select(docs[id_col].alias(id_col), docs[source_col].cast("string").alias("source"), n_words(docs[text_col]).alias("size"), *keys(docs, docs.columns if whole else [text_col]))
+    narrow = stored(narrow, "mix-rows")
+    plan = Plan([tuple(r) for r in narrow.groupBy("source").agg(F.sum("size"), F.count("*")).collect()], block, shard_slots)
+    known = plan.frame(spark).select("source_no", "s", "streams")
+    alike = narrow.groupBy(id_col, "source", "size", "key1", "key2").agg(F.count("*").alias("many"))
+    alike = alike.join(known, alike["source"].eqNullSafe(known["s"]))
+    alike = alike.withColumn("stream", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "key1", F.lit(SEED)), F.col("streams"))).drop("s", "streams")
+    words = F.col("many") * F.col("size")
+    order = Window.partitionBy("source_no", "stream").orderBy("key1", "key2", F.xxhash64(id_col), id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = alike.withColumn("begin", F.sum(words).over(order) - words)
+    total = alike.groupBy("source_no", "stream").agg(F.sum(words).alias("words"))
+    earlier = Window.partitionBy("source_no").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
+    offset = total.select("source_no", "stream", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
+    laid = laid.join(F.broadcast(offset) if sum(plan.streams) <= PART else offset.hint("merge"), ["source_no", "stream"])
+    laid = laid.select(id_col, "source", "source_no", "size", (F.col("begin") + F.col("offset")).alias("begin"), "key1", "key2", "many")
+    # equal rows: each copy has its own words, one after the other
+    copies = laid.filter("many > 1").withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / DEALT).cast("long"))))
+    copies = copies.repartition("source_no", "begin", "stretch")
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("stretch") * DEALT, F.least((F.col("stretch") + 1) * DEALT, F.col("many")) - 1)))
+    copies = copies.withColumn("begin", F.col("begin") + F.col("copy") * F.col("size")).drop("copy", "stretch")
+    return stored(laid.filter("many = 1").unionByName(copies).drop("many"), "mix"), plan
 
 
 def mix(placed: DataFrame, plan: Plan) -> DataFrame:
@@ -185,7 +220,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed, plan = lay_out(docs, id_col, text_col, source_col, whole=True)
     taken = mix(placed, plan).select("source_no", "begin", F.explode("passes").alias("pass_no"), "low", "high")
     taken = taken.groupBy("source_no", "begin", "pass_no").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
-    met = placed.filter("size > 0").select("source_no", "begin", "row").join(taken.hint("merge"), ["source_no", "begin"]).select("row.*", "runs")
+    runs = placed.filter("size > 0").select("source_no", "begin", "key1", "key2").join(taken.hint("merge"), ["source_no", "begin"]).select("key1", "key2", "runs")
+    # equal rows hold the same text: one of them meets the runs of all
+    rows = docs.select(*keys(docs, docs.columns), F.struct(*docs.columns).alias("row")).dropDuplicates(["key1", "key2"])
+    met = rows.join(runs.hint("merge"), ["key1", "key2"]).select("row.*", "runs")
     names, at, chars = docs.columns, docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +257,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     placed, plan = lay_out(table(spark, sf_dir, "documents"))
     per_doc = mix(placed, plan).groupBy("source_no", "begin").agg(F.sum((F.col("high") - F.col("low")) * F.size("passes")).alias("taken"))
-    known = spark.createDataFrame(
-        [(k, int(n), float(t)) for k, (n, t) in enumerate(zip(plan.sizes, plan.targets))], "source_no int, source_size long, target double"
-    )
+    known = plan.frame(spark).select("source_no", "source_size", "target")
     out = placed.join(per_doc.hint("merge"), ["source_no", "begin"], "left").join(known, "source_no", "left")
     return out.select(
         "doc_id", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
