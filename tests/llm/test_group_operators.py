@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tideweave.llm import decontaminate, embedding_dedup, jaccard, mixing, quality, sharding, toxicity
+from tideweave.llm import common, decontaminate, embedding_dedup, jaccard, mixing, quality, sharding, toxicity
 from tideweave.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string"
@@ -44,8 +44,9 @@ def test_components(spark):
     assert {x["node"] for x in got} == {k for p in pairs if p[0] != p[1] for k in p}
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
-def test_jaccard_equals_brute_force(spark, n, percent):
+@pytest.mark.parametrize("n,percent,few", [(4, 85, 100_000), (5, 80, 2)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, n, percent, few):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
     r = np.random.default_rng(n)
     vocabulary = [f"w{k}" for k in range(400)]
     texts = []
@@ -68,6 +69,40 @@ def test_jaccard_equals_brute_force(spark, n, percent):
         assert row["n_shingles"] == len(sets[row["doc_id"]]) and row["component_id"] == want[row["doc_id"]]
 
 
+def test_jaccard_pairs_lose_no_link(spark):
+    r = np.random.default_rng(8)
+    base = [list(r.choice(["a", "b", "c", "d", "e", "f", "g"], size=60)) for _ in range(6)]
+    texts = [" ".join(b[: 60 - int(r.integers(0, 12))]) for b in base for _ in range(8)] + ["x y z", "x y z", None, ""]
+    docs = spark.createDataFrame([(k, t, "", "", 1, "") for k, t in enumerate(texts)], DOCS).repartition(3)
+    classes, pairs = jaccard.jaccard_pairs(docs, n=4, percent=85)
+    rep = {x["doc_id"]: x["rep"] for x in classes.collect()}
+    sets = [ngram_set(t, 4) for t in texts]
+    assert all(rep[k] == min(j for j in range(len(texts)) if sets[j] == sets[k]) for k in rep) and len(rep) == len(texts) - 2
+    want = {(i, j, len(sets[i] & sets[j])) for j in set(rep.values()) for i in set(rep.values()) if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert {(x["a"], x["b"], x["shared"]) for x in pairs.collect()} == want and len(want) > 50
+
+
+def test_jaccard_fragments_are_cut_in_the_global_order():
+    counters = np.zeros(jaccard.COUNTERS, np.uint32)
+    counters[[5, 9, 11]] = [7, 1, 3]
+    rank, cuts = jaccard.global_order(counters)
+    assert rank[9] < rank[11] < rank[5] == jaccard.COUNTERS - 1 and sorted(rank.tolist()) == list(range(jaccard.COUNTERS))
+    assert len(cuts) == jaccard.FRAGMENTS - 1 and (np.diff(cuts) >= 0).all()
+    grams = jaccard.ngrams("to be or not to be that is the question", 2)
+    parts = jaccard.segments_of(grams, rank, cuts)
+    held = np.concatenate([s for _, s in parts])
+    assert sorted(held) == sorted(grams) and [f for f, _ in parts] == sorted({f for f, _ in parts})
+    of = lambda g: np.searchsorted(cuts, rank[g % np.uint64(jaccard.COUNTERS)], side="right")
+    assert all((of(s) == f).all() for f, s in parts)
+
+
+def test_one_of_each_is_the_same_row_again(spark):
+    rows = [(3, "a b c d e f g", "x", "s", 1, ""), (3, "quite another text of six words", "x", "s", 2, ""), (4, "a b c d e f g", "x", "s", 3, "")]
+    first = {tuple(x) for x in jaccard.one_of_each(spark.createDataFrame(rows, DOCS)).collect()}
+    again = {tuple(x) for x in jaccard.one_of_each(spark.createDataFrame(rows[::-1], DOCS).repartition(3)).collect()}
+    assert first == again and len(first) == 1
+
+
 def test_jaccard_defined_results(spark):
     docs = spark.createDataFrame([(5, "a b c d e f", None, None, 1, ""), (5, "a b c d e f", None, None, 1, ""), (7, "A b c d e f", None, None, 1, ""), (None, "a b c d e f", None, None, 1, "")], DOCS)
     got = sorted((str(r[0]), str(r[2])) for r in jaccard.jaccard_groups(docs).collect())
@@ -122,9 +157,9 @@ def test_sharding_splits_only_what_is_too_large(spark, limit, level_bits, bits):
     assert sharding.shard(docs.limit(0), limit).count() == 0
 
 
-@pytest.mark.parametrize("part", [sharding.PART, 10])
+@pytest.mark.parametrize("part", [common.BROADCAST_ROWS, 10])
 def test_sharding_over_several_levels_equals_plain_python(spark, monkeypatch, part):
-    monkeypatch.setattr(sharding, "PART", part)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", part)
     monkeypatch.setattr(sharding, "DEALT", 6)
     rows = [(k, "x" * (k % 50)) for k in range(4000)] + [(9999, "y" * 30)] * 60 + [(9999, "z" * 100)] * 5 + [(9999, "")] * 25
     docs = spark.createDataFrame([(i, t, "", "", 1, "") for i, t in rows], DOCS).repartition(4)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that Spark hands to Python at once; texts are long, so few rows make a batch.
 ARROW_ROWS = 512
+#: Entries of a table that looked_up() broadcasts, at most (some MB); copies of an entry in its shuffle otherwise.
+BROADCAST_ROWS, SALT = 100_000, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +51,16 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
             folder = jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
             if root.split("://")[-1].split(":", 1)[-1].lstrip("/") in folder.toString():
                 folder.getFileSystem(conf).delete(folder, True)
+
+
+def looked_up(rows: DataFrame, entries: DataFrame, count: int, on: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of their entry; count is the number of entries, which are unique in `on`.
+
+    Few entries are broadcast. More meet the rows in a shuffle in which each entry has SALT copies, so that a frequent
+    key is dealt out. The rows come from files: their numbers, and with them the salts, are the same if a task runs again.
+    """
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(entries), on, how)
+    rows = rows.withColumn("salt", (F.monotonically_increasing_id() % SALT).cast("int"))
+    entries = entries.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALT)))))
+    return rows.join(entries.hint("merge"), [*on, "salt"], how).drop("salt")

@@ -5,21 +5,30 @@ FRAGMENTS fragments; a document's set falls into one segment for each fragment.
 of their segments are counted fragment by fragment and summed.
 
 1. Counts: occurrences of n-grams are counted over all documents in COUNTERS hashed counters (an order needs no exact
-   counts; any order gives the same links). The table of counters has a fixed size and is broadcast.
-2. Sets: each document gives the size and a digest of its set, and the head of its set in the global order: two sets
+   counts; any order gives the same links). Counters are ranked; the ranks, and within a counter the hashes, are the
+   order. Fragments are stretches of ranks with about as many occurrences each. The table has a fixed size and is
+   broadcast.
+2. Heads: each document gives the size and a digest of its set, and the head of its set in the global order: two sets
    that reach the threshold share an n-gram of their heads. Equal sets are one class from here on.
 3. Candidates: classes meet at the n-grams of their heads. Each class is first compared with one hub of each n-gram (the
    class with the fewest rarer n-grams), which joins groups of near copies without comparing all their pairs. Only
    n-grams at which several groups still meet give further pairs, and only pairs between different groups.
    Bounds on size and position drop pairs that can't reach the threshold. No cap on partners.
-4. Overlaps of the candidates' segments are counted, and summed to the links.
+4. Partial overlaps: (document, fragment) is a key. Each candidate pair meets the two segments of one fragment at a time,
+   their overlap is a row, and the rows of a pair are summed. Only documents that occur in pairs are cut into segments:
+   a bitmap of a fixed size tells them (its false hits cost time, not results).
 5. Components of the links.
 
 A hub with very many members is one side of an equi-join with one row for each key, which Spark splits when skewed.
+jaccard_pairs() gives all links between classes, and the members of these; jaccard_groups() leaves out pairs inside a
+group that hubs have joined, since they can't change it.
+
+Digests have 128 bits and tell sets apart with the set's size. In a segment, 48 bits of a hash stand for an n-gram: sets
+of m n-grams show one too many in common with a chance of at most m * m / 2^48, which matters on the very threshold only.
 
 Defined results: null texts and texts without words have the empty set, which links with nothing, not even another
 empty set; fewer words than n are one n-gram; repeated rows link as copies do, but a row whose id repeats joins the
-group of that id; a null id gives a row of its own group (component null); an empty table gives an empty result; other
+group of that id, and one_of_each() keeps one of them, always the same; a null id gives a row of its own group (component null); an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -29,16 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideweave.llm.common import dropped, shared_dir, small_batches, stored, table
+from tideweave.llm.common import dropped, looked_up, shared_dir, small_batches, stored, table
 from tideweave.llm.components import components
 
 #: Hashed counters of n-gram occurrences, and how many of them travel together.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 FRAGMENTS = 8
+#: Bits that tell which documents occur in pairs.
+BITMAP = 1 << 26
 _PRIME, _MIX1, _MIX2 = np.uint64(0x100000001B3), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS = np.cumprod(np.full(1 << 16, _PRIME, np.uint64), dtype=np.uint64)
 
@@ -103,14 +115,30 @@ def _counters(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     return out
 
 
-def _ordered(grams: np.ndarray, counters: np.ndarray) -> np.ndarray:
+def global_order(counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each counter, rare ones first, and the ranks at which fragments are cut."""
+    order = np.argsort(counters, kind="stable")
+    rank = np.empty(len(counters), np.uint32)
+    rank[order] = np.arange(len(counters), dtype=np.uint32)
+    reached = np.cumsum(counters[order], dtype=np.float64)
+    return rank, np.searchsorted(reached, reached[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS).astype(np.uint32)
+
+
+def _ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The global order: rare first, equals by hash."""
-    return grams[np.lexsort((grams, counters[grams % np.uint64(COUNTERS)]))]
+    return grams[np.lexsort((grams, rank[grams % np.uint64(COUNTERS)]))]
+
 
+def segments_of(grams: np.ndarray, rank: np.ndarray, cuts: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The fragments that a set has n-grams of, and these, sorted by hash."""
+    fragment = np.searchsorted(cuts, rank[grams % np.uint64(COUNTERS)], side="right").astype(np.uint8)
+    own = grams[np.argsort(fragment, kind="stable")]
+    ends = np.cumsum(np.bincount(fragment, minlength=FRAGMENTS))
+    return [(f, own[low:high]) for f, (low, high) in enumerate(zip([0, *ends[:-1]], ends)) if high > low]
 
-def _heads(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, counters: np.ndarray) -> DataFrame:
+
+def _heads(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, shared: Broadcast) -> DataFrame:
     """id, n (size of the set), d1 and d2 (digest), head (n-grams as long)."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)
     source_df = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("txt"))
     schema = T.StructType(
         [source_df.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("head", T.ArrayType(T.LongType()))]
@@ -125,7 +153,7 @@ def _heads(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, co
                 d1.append(np.bitwise_xor.reduce(_mixed(grams + np.uint64(7))) if len(grams) else np.uint64(0))
                 d2.append(np.add.reduce(_mixed(grams ^ _MIX1)) if len(grams) else np.uint64(0))
                 head = len(grams) - -(-percent * len(grams) // 100) + 1 if len(grams) else 0
-                heads.append(_ordered(grams, shared.value)[:head])
+                heads.append(_ordered(grams, shared.value[0])[:head])
                 starts.append(starts[-1] + head)
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             head_array = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), as_long(np.concatenate(heads) if heads else []))
@@ -142,23 +170,48 @@ def _possible(percent: int, a: str, b: str) -> str:
     )
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """The pairs a, b of ids that reach the threshold: overlaps by fragment, summed per pair."""
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bytes in which the bits of all ids are set; the driver gets BITMAP bits at most."""
+    spot = _bit() + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+    out = np.zeros((BITMAP // 32768, 4096), np.uint8)
+    for k, bits in rows.toLocalIterator():
+        out[k - 1] = np.frombuffer(bytes(bits), np.uint8)
+    return out.ravel()
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, shared: Broadcast) -> DataFrame:
+    """a, b and shared (n-grams in common) of the pairs a, b, na, nb that reach the threshold: overlaps by fragment, summed per pair."""
+    spark = docs.sparkSession
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    wanted = spark.sparkContext.broadcast(_bitmap(ids))
     source_df = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("txt"))
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("segments", T.BinaryType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    source_df = source_df.withColumn("bit", _bit())
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("fragment", T.ByteType()), T.StructField("segment", T.BinaryType())])
 
-    def segments(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.array([(k << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
+    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, cuts = shared.value
         for b in source:
-            sets = [ngrams(t, n) for t in b.column(1).to_pylist()]
-            # six bytes tell the n-grams of a pair apart within a fragment of the (hashed) order
-            short = [np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for s in sets]
-            ends = [[*np.searchsorted(s, cuts).tolist(), len(s)] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary()), pa.array(ends, pa.list_(pa.int32()))], names=schema.names)
-
-    sets = source_df.mapInArrow(segments, schema)
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("segments").alias("sa"), F.col("ends").alias("ea")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("segments").alias("sb"), F.col("ends").alias("eb")), "b").select("a", "b", "sa", "ea", "sb", "eb")
+            bit = b.column(2).to_numpy()
+            b = b.filter(pa.array((wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+            owners, fragments, parts = [], [], []
+            for owner, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for f, own in segments_of(ngrams(text, n), rank, cuts):
+                    owners.append(owner)
+                    fragments.append(f)
+                    # six bytes tell the n-grams of a pair apart
+                    parts.append(np.ascontiguousarray(own.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(fragments, pa.int8()), pa.array(parts, pa.binary())], names=schema.names)
+
+    segments = source_df.mapInArrow(cut, schema)
+    side = lambda c: segments.select(F.col("id").alias(c), "fragment", F.col("segment").alias(f"s{c}"))
+    each = pairs.withColumn("fragment", F.explode(F.array(*(F.lit(f).cast("byte") for f in range(FRAGMENTS)))))
+    # the hubs' side first: what is shuffled for the second join is spread by the other side, whose members are many
+    both = each.join(side("b"), ["b", "fragment"]).join(side("a"), ["a", "fragment"]).select("a", "b", "na", "nb", "sa", "sb")
 
     def wide(raw: bytes) -> np.ndarray:
         out = np.zeros((len(raw) // 6, 8), np.uint8)
@@ -166,19 +219,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
         return out.view(">u8").ravel().astype(np.uint64)
 
     def overlaps(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            a, b, sa, ea, sb, eb = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for k in range(len(a)):
-                x, y, total, i, j = wide(sa[k]), wide(sb[k]), 0, 0, 0
-                for u, v in zip(ea[k], eb[k]):
-                    total += partial_overlap(x[i:u], y[j:v])
-                    i, j = u, v
-                if 100 * total >= percent * (len(x) + len(y) - total):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([side[k] for k in keep], pa.int64()) for side in (a, b)], names=["a", "b"])
+        for b in source:
+            part = [partial_overlap(wide(x), wide(y)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(part, pa.int64())], names=["a", "b", "na", "nb", "part"])
 
-    return both.mapInArrow(overlaps, "a long, b long")
+    counted = both.mapInArrow(overlaps, "a long, b long, na long, nb long, part long")
+    total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared"))
+    return total.filter(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b", "shared")
 
 
 def partial_overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -190,31 +237,48 @@ def partial_overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[Broadcast, DataFrame, DataFrame, DataFrame]:
+    """The global order; heads of all rows; id and rep of the rows with a set; token, id, n, pos of the representatives' heads."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared_dir(spark)
+    shared = spark.sparkContext.broadcast(global_order(_counters(docs, text_col, n)))
+    heads = stored(_heads(docs, id_col, text_col, n, percent, shared), "heads")
+    real = heads.filter("n > 0 AND id IS NOT NULL").withColumn("id", F.col("id").cast("long"))
+    several = stored(real.groupBy("n", "d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k"), "copied")
+    found = looked_up(real, several, several.count(), ["n", "d1", "d2"], "left")
+    classes = found.select("id", F.coalesce("first", "id").alias("rep"))
+    # repeated rows of a representative count once
+    reps = found.filter("first IS NULL").select("id", "n", "head").unionByName(found.filter("id = first").select("id", "n", "d1", "d2", "head").dropDuplicates(["id", "n", "d1", "d2"]).drop("d1", "d2"))
+    return shared, heads, classes, reps.select("id", "n", F.posexplode("head").alias("pos", "token"))
+
+
+def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links: id and rep of every row with a set; a < b, shared (n-grams in common) of each linked pair of representatives.
+
+    The pairs are as many as the links between different texts: for groups of near copies, the square of their sizes.
+    """
+    shared, _, classes, tokens = _classes(docs, id_col, text_col, n, percent)
+    tokens = stored(tokens, "tokens")
+    met = tokens.alias("x").join(tokens.alias("y"), F.expr(f"x.token = y.token AND x.id <> y.id AND {_possible(percent, 'x', 'y')}"))
+    met = met.filter("x.id < y.id").select(F.expr("x.id AS a"), F.expr("y.id AS b"), F.expr("x.n AS na"), F.expr("y.n AS nb")).distinct()
+    pairs = stored(met, "pairs")
+    return classes.withColumnRenamed("id", id_col), _linked(pairs, docs, id_col, text_col, n, percent, shared)
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links reach, the id itself included) for every row.
 
     Two rows link if 100 * shared >= percent * joint n-grams. The ids are integers.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    shared_dir(spark)
-    counters = _counters(docs, text_col, n)
-    heads = stored(_heads(docs, id_col, text_col, n, percent, counters), "heads")
-
-    real = heads.filter("n > 0 AND id IS NOT NULL")
-    first = real.groupBy("n", "d1", "d2").agg(F.min("id").cast("long").alias("rep"))
-    classes = stored(
-        real.select("id", "n", "d1", "d2").join(first, ["n", "d1", "d2"]).select(F.col("id").cast("long").alias("id"), "rep"), "classes"
-    )
-    own = classes.filter("id = rep").select("rep").distinct()
-    reps = real.join(own, real["id"] == own["rep"], "left_semi").dropDuplicates(["id", "n", "d1", "d2"])
-    tokens = reps.select(F.col("id").cast("long").alias("id"), "n", F.posexplode("head").alias("pos", "token"))
+    shared, heads, classes, tokens = _classes(docs, id_col, text_col, n, percent)
     hubs = tokens.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
     met = stored(tokens.join(hubs, "token").select("token", "id", "n", "pos", "hub"), "met")
 
     near = met.alias("x").filter(f"x.id <> x.hub.id AND {_possible(percent, 'x', 'x.hub')}")
-    pairs = stored(near.select(F.col("x.id").alias("a"), F.col("x.hub.id").alias("b")).distinct(), "pairs")
-    links = stored(_linked(pairs, docs, id_col, text_col, n, percent), "links1")
+    pairs = stored(near.select(F.col("x.id").alias("a"), F.col("x.hub.id").alias("b"), F.col("x.n").alias("na"), F.col("x.hub.n").alias("nb")).distinct(), "pairs")
+    links = stored(_linked(pairs, docs, id_col, text_col, n, percent, shared).drop("shared"), "links1")
     group = components(links)
 
     # n-grams at which several groups still meet: rows outside the n-gram's largest group against all of its rows
@@ -225,10 +289,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = labelled.join(main.select("token", F.col("most.c").alias("main")), "token")
     x, y = open_.filter("c <> main").alias("x"), open_.alias("y")
     apart = "x.c <> y.c AND (y.c = y.main OR x.id < y.id) AND " + _possible(percent, "x", "y")
-    more = x.join(y, F.expr(f"x.token = y.token AND {apart}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = stored(more.join(pairs, (more["a"] == pairs["a"]) & (more["b"] == pairs["b"]), "left_anti"), "pairs")
+    more = x.join(y, F.expr(f"x.token = y.token AND {apart}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     dropped(spark, met, labelled)
-    all_links = links.unionByName(_linked(more, docs, id_col, text_col, n, percent))
+    all_links = links.unionByName(_linked(more, docs, id_col, text_col, n, percent, shared).drop("shared"))
 
     # copies, and rows whose id repeats, hang on their class
     same = classes.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -242,7 +306,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row, with all its columns, of each group: that with the smallest id; rows without an id stay."""
     groups = jaccard_groups(docs, id_col, text_col, n, percent)
     chosen = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("chosen")).distinct()
-    kept = docs.join(chosen, docs[id_col] == chosen["chosen"], "left_semi").dropDuplicates([id_col])
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
+    single = docs.filter(F.col(id_col).isNotNull()).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    kept = single.join(chosen, single[id_col] == chosen["chosen"], "left_semi")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

@@ -8,8 +8,7 @@ limit, and no other, splits on its next bit, until every bucket fits.
    over the limit, and three more). Executors fill it: bytes are summed by prefix, and groups of at most 2^LEVEL_BITS
    neighbouring entries decide in one task how far their common prefix splits; with more bits there are several levels
    of groups, each handing its decisions down. The driver sees totals only.
-3. Rows find their entry by prefix: a directory of up to PART entries is broadcast, a larger one meets the rows in a
-   shuffle in which each entry has SALT copies, so that a frequent key is dealt out.
+3. Rows find their entry by prefix: a small directory is broadcast, a larger one meets the rows in a salted shuffle.
 4. If prefixes are still too large, their rows, and no others, go through 2 and 3 again, with further bits.
 
 Rows whose hashes agree in all BITS (repeated keys) can't be split by bits: a chain of overflow pages takes them, cut
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideweave.llm.common import stored, table
+from tideweave.llm.common import looked_up, stored, table
 
 #: Bytes of a shard at most: the registered query's.
 LIMIT = 1 << 20
@@ -39,8 +38,6 @@ LIMIT = 1 << 20
 BITS = 60
 #: Bits that one group of directory entries resolves.
 LEVEL_BITS = 12
-#: Entries of a directory that is broadcast, at most (some 5 MB); copies of an entry in a shuffle.
-PART, SALT = 100_000, 32
 #: Rows of an overflow chain that are dealt out by one task.
 DEALT = 10_000
 
@@ -101,17 +98,6 @@ def directory(rows: DataFrame, base: int, depth: int, limit: int, level_bits: in
     return known
 
 
-def found(rows: DataFrame, entries: DataFrame, count: int, depth: int) -> DataFrame:
-    """rows with the columns of their directory entry."""
-    rows = rows.withColumn("at", prefix(F.col("h"), depth))
-    if count <= PART:
-        return rows.join(F.broadcast(entries), "at").drop("at")
-    # rows come from files, so their numbers, and with them the salts, are the same if a task runs again
-    rows = rows.withColumn("salt", (F.monotonically_increasing_id() % SALT).cast("int"))
-    entries = entries.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALT)))))
-    return rows.join(entries.hint("merge"), ["at", "salt"]).drop("at", "salt")
-
-
 def buckets(rows: DataFrame, limit: int, bits: int = BITS, level_bits: int = LEVEL_BITS) -> tuple[DataFrame, DataFrame | None]:
     """rows has h and n_bytes, and comes back with depth and bucket; second the rows, if any, that need overflow pages."""
     out, rest, base = None, rows, 0
@@ -121,7 +107,7 @@ def buckets(rows: DataFrame, limit: int, bits: int = BITS, level_bits: int = LEV
         entries = stored(directory(rest, base, depth, limit, level_bits), "directory")
         large = F.col("depth") < 0
         count, left, most = entries.agg(F.count("*"), F.count_if(large), F.max(F.when(large, F.col("n")))).first()
-        placed = found(rest, entries.select("at", "depth"), count, depth)
+        placed = looked_up(rest.withColumn("at", prefix(F.col("h"), depth)), entries.select("at", "depth"), count, ["at"]).drop("at")
         done = placed.filter("depth >= 0").withColumn("bucket", F.expr(f"shiftright(h, {BITS} - depth)"))
         out = done if out is None else out.unionByName(done)
         rest = placed.filter("depth < 0").drop("depth")
