@@ -40,7 +40,7 @@ BLOCK = 64
 #: A target is at most this many times its source's size.
 PASSES = 3
 #: Rows of a stream, about.
-STREAM_ROWS = 50_000
+STREAM_ROWS = 2_000
 #: Rows of a table that is broadcast, at most; copies of a row that are dealt out by one task.
 PART, DEALT = 100_000, 10_000
 #: Block slots of an output shard.
