@@ -135,6 +135,25 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embedding_cells_bound_replication_and_hold_each_link_once(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PART", 150)
+    r = np.random.default_rng(5)
+    middle = r.normal(size=(40, 64))
+    v = np.concatenate([c + r.normal(size=(30, 64)) * w for c, w in zip(middle, np.linspace(0.02, 0.5, 40))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(k, 1, [float(x) for x in v[k]], "a|b/1" if k % 2 else "c", 64) for k in range(len(v))]
+    classes = spark.createDataFrame(rows, "rep long, copies long, v array<double>, label string, dim int").repartition(3)
+    radius = math.sqrt(2 - 2 * 0.98)
+    placed = embedding_dedup.cells(classes, radius).collect()
+    assert len(placed) <= 8 * len(v) and len({x["cell"] for x in placed}) > 4
+    by = {}
+    for x in placed:
+        by.setdefault(x["cell"], []).append((x["rep"], x["guest"]))
+    met = Counter(frozenset((a, b)) for held in by.values() for i, (a, g) in enumerate(held) for b, h in held[:i] if not g & h)
+    links = {frozenset((i, j)) for i in range(len(v)) for j in range(i) if i % 2 == j % 2 and v[i] @ v[j] >= 0.98}
+    assert len(links) > 500 and all(met[p] == 1 for p in links) and max(met.values()) == 1
+
+
 @pytest.mark.parametrize("limit,level_bits,bits", [(300, 12, 60), (300, 2, 60), (40, 3, 60), (300, 2, 4)])
 def test_sharding_splits_only_what_is_too_large(spark, limit, level_bits, bits):
     r = np.random.default_rng(2)

@@ -138,7 +138,7 @@ def test_decontamination_spans_and_empty_tables(spark):
     text = "Éé! Some, WORDS here... " + "one two three four five six seven eight nine ten" + " end"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "one two  three-four five six seven eight nine TEN")], "item_id long, text string")
-    row = decontaminate.hit_spans(decontaminate.decontaminate(docs, bench)).first()
+    row = decontaminate.decontaminate(docs, bench).first()
     (a, b), = row["spans"]
     assert text[a:b] == "one two three four five six seven eight nine ten"
     assert decontaminate.clean(docs, bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == 1

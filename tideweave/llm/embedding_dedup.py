@@ -3,13 +3,21 @@
 Vectors of one label link when their cosine is at least a threshold. On unit vectors that is a range query of the
 Euclidean metric: cosine >= c means a distance of at most r = sqrt(2 - 2c).
 
-1. Equal vectors of a label become one class with a number of copies.
-2. Pivots (a bounded sample of the classes, by hash) partition a label's vectors: each has the cell of its nearest pivot.
-3. By the triangle inequality, a partner of a vector in cell i can lie in cell j only if d(v, p_j) - d(v, p_i) <= 2r: the
-   vector is replicated to those cells, so each cell holds all partners of its own vectors and joins independently.
-4. A cell with many vectors of its own is dealt out in parts: each part is compared, in blocks, with all of the cell.
-   A cell gives for each own vector the number of linked vectors and a forest of the links, not the pairs.
-5. Components of the forests.
+1. Equal vectors of a label become one class with a number of copies. A label starts as one cell.
+2. A cell of more than PART vectors gets pivots (far points of a bounded sample, by hash, more of them the larger the
+   cell): each vector has its home in the cell of its nearest pivot.
+3. By the triangle inequality, a partner of a vector with home h can have its home in cell c only if
+   d(v, p_c) - d(v, p_h) <= 2r, and, more sharply, if the vector is within r of the plane between the two pivots:
+   d(v, p_c)^2 - d(v, p_h)^2 <= 2 r d(p_c, p_h). The vector is a guest of such cells c < h, so that each pair with a
+   vector at home meets in exactly one cell, and cells join independently. Pairs of guests are passed over.
+4. Cells that are still too large are parted again in the same way, LEVELS times at most, unless that would copy vectors
+   more than COPIED times.
+5. What is left of a large cell (vectors that are all close to one another) is dealt out in blocks of PART vectors, and
+   each pair of blocks is a task. Within a task, only vectors whose distances from one point differ by at most r are
+   compared. Tasks give numbers of linked vectors and a forest of the links, not the pairs.
+6. Components of the forests.
+
+Pivots stay on executors, as rows: nothing here grows with the number of labels on the driver.
 
 Defined results: a null label, and vectors that are null, zero, or hold null or non-finite components link with nothing
 and keep themselves; vectors of different lengths don't link; repeated rows of one id link like other copies; an empty
@@ -25,15 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tideweave.llm.common import shared_dir, stored, table
+from tideweave.llm.common import looked_up, shared_dir, stored, table
 from tideweave.llm.components import components, forest
 
-#: Pivots of each label and length, at most; labels whose pivots are kept on the driver, at most PIVOT_ROWS pivots in all.
-PIVOTS, PIVOT_ROWS = 64, 50_000
-#: Own vectors of a part of a cell, and rows of a block of products.
+#: Pivots of a cell at most, and vectors that a cell should have.
+PIVOTS, WANTED = 256, 400
+#: Vectors of a cell or block that are compared in one task; rows of a block of products.
 PART, ROWS = 2000, 1000
+#: How often cells are parted, at most, and how many copies of its vectors a further parting may make.
+LEVELS, COPIED = 4, 6
 #: Distances are compared with this much room, so that rounding loses no partner; the cosine itself decides.
 ROOM = 1e-9
 
@@ -51,27 +60,144 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def assign(v: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The home cell of each unit vector, and the other cells that it is replicated to."""
-    d = np.sqrt(np.maximum(2 - 2 * v @ pivots.T, 0))
-    home = d.argmin(axis=1)
-    near = d - d[np.arange(len(v)), home][:, None] <= 2 * radius + 1e-6
-    near[np.arange(len(v)), home] = False
-    return home, [np.flatnonzero(row) for row in near]
-
-
-def cell_links(own: np.ndarray, own_id: np.ndarray, all_: np.ndarray, all_id: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked vectors of each own one (without itself), and a forest of the links: node, root."""
-    count, a, b = np.zeros(len(own), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for low in range(0, len(own), ROWS):
-        hit = own[low : low + ROWS] @ all_.T >= threshold
-        count[low : low + ROWS] = hit @ copies - 1
+def assign(v: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each unit vector, and (as a matrix of truth values) the lower cells that it is a guest of."""
+    square = np.maximum(2 - 2 * v @ pivots.T, 0)
+    home = square.argmin(axis=1)
+    own = square[np.arange(len(v)), home][:, None]
+    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))[home]
+    guest = (np.sqrt(square) - np.sqrt(own) <= 2 * radius + 1e-6) & (square - own <= 2 * (radius + 1e-6) * apart + 1e-9)
+    return home, guest & (np.arange(len(pivots)) < home[:, None])
+
+
+def far_points(v: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` of the unit vectors, each as far as can be from those before it."""
+    chosen = [0]
+    far = 2 - 2 * v @ v[0]
+    while len(chosen) < most:
+        k = int(far.argmax())
+        if far[k] < 1e-9:
+            break
+        chosen.append(k)
+        far = np.minimum(far, 2 - 2 * v @ v[k])
+    return v[chosen]
+
+
+def cell_links(v: np.ndarray, rep: np.ndarray, copies: np.ndarray, guest: np.ndarray, block: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked vectors of each one, and a forest of the links: node, root. Compared are pairs of one block, or across two blocks,
+    that aren't both guests of any level (bits of guest)."""
+    count, a, b = np.zeros(len(rep), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(v) < 2:
+        return count, a, b
+    away = np.sqrt(np.maximum(2 - 2 * v @ v[0], 0))
+    order = np.argsort(away, kind="stable")
+    v, ids, copies, guest, block, away = v[order], rep[order], copies[order], guest[order], block[order], away[order]
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    for low in range(0, len(v), ROWS):
+        high = min(low + ROWS, len(v))
+        last = int(np.searchsorted(away, away[high - 1] + reach, side="right"))
+        hit = v[low:high] @ v[low:last].T >= threshold
+        hit &= np.arange(low, last) > np.arange(low, high)[:, None]
+        hit &= (guest[low:high, None] & guest[None, low:last]) == 0
+        if across:
+            hit &= block[low:high, None] != block[None, low:last]
         i, j = np.nonzero(hit)
+        np.add.at(count, order[low + i], copies[low + j])
+        np.add.at(count, order[low + j], copies[low + i])
         for k in range(0, len(i), 1 << 20):  # contracted by and by: never more than the nodes and one stretch of links
-            a, b = forest(np.concatenate([a, own_id[low + i[k : k + (1 << 20)]]]), np.concatenate([b, all_id[j[k : k + (1 << 20)]]]))
+            a, b = forest(np.concatenate([a, ids[low + i[k : k + (1 << 20)]]]), np.concatenate([b, ids[low + j[k : k + (1 << 20)]]]))
     return count, a, b
 
 
+def _vectors(table_: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table_.column("v").to_pylist()), np.float64).reshape(table_.num_rows, -1)
+
+
+CELLS = "cell string, rep long, copies long, guest int, v binary"
+
+
+def _placer(radius: float, level: int):
+    """Vectors of a part of a cell, cogrouped with the cell's pivots, as vectors of the smaller cells."""
+
+    def place(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left
+        v, pivots = _vectors(left), _vectors(right)
+        home, guests = assign(v, pivots, radius)
+        i, j = np.nonzero(guests)
+        rows = np.concatenate([np.arange(len(v)), i])
+        bit = np.concatenate([np.zeros(len(v), np.int32), np.full(len(i), 1 << level, np.int32)])
+        cells = [f"{key[0].as_py()}/{c}" for c in np.concatenate([home, j]).tolist()]
+        taken = left.take(pa.array(rows))
+        guest = taken.column("guest").to_numpy() | bit
+        return pa.table({"cell": cells, "rep": taken.column("rep"), "copies": taken.column("copies"), "guest": pa.array(guest, pa.int32()), "v": taken.column("v")})
+
+    return place
+
+
+def _pick(key: tuple, rows: pa.Table) -> pa.Table:
+    """The pivots of a cell, out of its sample."""
+    most = min(PIVOTS, max(2, -(-rows.column("n")[0].as_py() // WANTED)))
+    chosen = far_points(_vectors(rows.sort_by("v")), most)
+    return pa.table({"cell": pa.array([key[0].as_py()] * len(chosen), pa.string()), "v": pa.array([x.tobytes() for x in chosen], pa.binary())})
+
+
+def _units(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cell, rep, copies, v: v as the bytes of a vector of length one."""
+    for b in source:
+        vectors = [unit(np.array([v], np.float64)).tobytes() for v in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.zeros(b.num_rows, np.int32)), pa.array(vectors, pa.binary())], names=["cell", "rep", "copies", "guest", "v"])
+
+
+def parted(placed: DataFrame, sizes: DataFrame, count: int, radius: float, level: int) -> DataFrame:
+    """The rows of the cells in sizes (cell, n; count of them) in smaller cells."""
+    rows = looked_up(placed, sizes, count, ["cell"])
+    shard = F.pmod(F.xxhash64("rep"), F.lit(4 * PIVOTS))  # one of each shard: a bounded sample, without a sort of a cell's rows
+    sample = rows.groupBy("cell", "n", shard.alias("shard")).agg(F.min_by("v", F.xxhash64("rep", F.lit(1))).alias("v"))
+    pivots = sample.groupBy("cell").applyInArrow(_pick, "cell string, v binary")
+    parts = 1 + F.floor(F.col("n") / (4 * PART)).cast("int")
+    pivots = pivots.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", "part", "v")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(2)), parts).cast("int")).select("cell", "part", "rep", "copies", "guest", "v")
+    return rows.groupBy("cell", "part").cogroup(pivots.groupBy("cell", "part")).applyInArrow(_placer(radius, level), CELLS)
+
+
+def cells(classes: DataFrame, radius: float) -> DataFrame:
+    """cell, rep, copies, guest (bits of the partings at which the vector was copied), v (of length one, as bytes)."""
+    placed, level = stored(classes.select(F.concat_ws("|", "dim", "label").alias("cell"), "rep", "copies", "v").mapInArrow(_units, CELLS), "cells"), 0
+    while level < LEVELS:
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
+        sizes = stored(sizes, "cell-sizes")
+        if not (count := sizes.count()):
+            break
+        finer = stored(parted(placed, sizes, count, radius, level), "cells")
+        # cells whose parting copies too much stay as they are; a first parting is always kept
+        parent = F.regexp_replace("cell", "/[0-9]+$", "")
+        after = finer.groupBy(parent.alias("cell")).agg(F.count("*").alias("m"))
+        kept = after.join(sizes, "cell").filter(F.lit(level == 0) | (F.col("m") <= COPIED * F.col("n"))).select("cell", F.lit(True).alias("again"))
+        kept = stored(kept, "cell-sizes")
+        n_kept = kept.count()
+        if not n_kept:
+            break
+        old = looked_up(placed, kept, n_kept, ["cell"], "left").filter("again IS NULL").drop("again")
+        new = looked_up(finer.select(F.col("cell").alias("own"), parent.alias("cell"), "rep", "copies", "guest", "v"), kept, n_kept, ["cell"])
+        placed = stored(old.unionByName(new.select(F.col("own").alias("cell"), "rep", "copies", "guest", "v")), "cells")
+        level += 1
+    return placed
+
+
+def _joiner(threshold: float):
+    """Counts and forest of one task; forest rows have -1 for the count."""
+
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        rep, copies, guest, block = (rows.column(c).to_numpy() for c in ("rep", "copies", "guest", "block"))
+        count, a, b = cell_links(_vectors(rows), rep, copies, guest, block, key[1].as_py() != key[2].as_py(), threshold)
+        linked = count > 0
+        columns = np.concatenate([rep[linked], a]), np.concatenate([count[linked], np.full(len(a), -1)]), np.concatenate([rep[linked], b])
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "n_links", "b"), columns)})
+
+    return join
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component_id, kept for every row; ids are integers."""
     spark = df.sparkSession
@@ -83,59 +209,23 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     usable = usable.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumns({"h1": F.xxhash64("v"), "h2": F.md5(F.to_json("v"))})
     classes = usable.groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = stored(classes.withColumn("dim", F.size("v")), "vectors")
-    member = usable.select("id", "label", "h1", "h2").join(classes.select("label", "h1", "h2", "rep", "copies"), ["label", "h1", "h2"]).select("id", "rep")
-
-    pivots = _pivots(classes)
-    shared = spark.sparkContext.broadcast(pivots)
-    cells = T.StructType(
-        [T.StructField("label", T.StringType()), T.StructField("dim", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("rep", T.LongType()),
-         T.StructField("copies", T.LongType()), T.StructField("own", T.BooleanType()), T.StructField("v", T.BinaryType())]
-    )
-
-    def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            label, dim, rep, copies, v = (batch.column(k).to_pylist() for k in range(5))
-            groups: dict[tuple, list[int]] = {}
-            for k, key in enumerate(zip(label, dim)):
-                groups.setdefault(key, []).append(k)
-            for (lab, d), at in groups.items():
-                u = unit(np.array([v[k] for k in at], np.float64))
-                marks = shared.value.get((lab, d), u[:1] * 0)  # without pivots: a single cell
-                home, others = assign(u, marks, radius)
-                out = [(lab, d, int(home[n]), rep[k], copies[k], True, u[n].tobytes()) for n, k in enumerate(at)]
-                out += [(lab, d, int(c), rep[k], copies[k], False, u[n].tobytes()) for n, k in enumerate(at) for c in others[n]]
-                for low in range(0, len(out), 4096):
-                    columns = zip(*out[low : low + 4096])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=cells.names)
-
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    placed = stored(classes.select("label", "dim", "rep", "copies", "v").mapInArrow(place, cells), "cells")
-    sizes = placed.groupBy("label", "dim", "cell").agg(F.sum(F.col("own").cast("int")).alias("n_own"))
-    sizes = sizes.select(F.col("label").alias("l"), F.col("dim").alias("d"), F.col("cell").alias("c"), F.ceil(F.col("n_own") / PART).cast("int").alias("parts"))
-    met = (placed["label"] == sizes["l"]) & (placed["dim"] == sizes["d"]) & (placed["cell"] == sizes["c"])
-    dealt = placed.join(sizes, met).filter("parts > 0").withColumn("home", F.pmod(F.hash("rep"), F.col("parts")))
-    # every part gets all vectors of the cell; own says which of them it counts
-    dealt = dealt.select("label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "copies", "own", "home", "v")
-    dealt = dealt.withColumn("own", F.col("own") & (F.col("home") == F.col("part"))).drop("home")
-
-    def join(key: tuple, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(source))
-        if not got.num_rows:
-            return
-        rep, copies, own = (got.column(c).to_numpy() for c in ("rep", "copies", "own"))
-        v = np.frombuffer(b"".join(got.column("v").to_pylist()), np.float64).reshape(len(rep), -1)
-        count, a, b = cell_links(v[own], rep[own], v, rep, copies, threshold)
-        n, m = len(count), len(a)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([rep[own], a])), pa.array(np.concatenate([count, np.full(m, -1)])), pa.array(np.concatenate([rep[own], b]))],
-            names=["a", "n_links", "b"],
-        ) if n + m else None
-
-    found = stored(dealt.groupBy("label", "dim", "cell", "part").applyInArrow(join, "a long, n_links long, b long"), "vector-links")
-    counts = found.filter("n_links >= 0").select(F.col("a").alias("rep"), "n_links")
-    links = found.filter("n_links < 0").select("a", "b")
-    group = components(links).withColumnRenamed("node", "rep")
-    known = member.join(counts, "rep").join(group, "rep", "left").select("id", "n_links", F.coalesce("component", "rep").alias("component"))
+    copied = classes.filter("copies > 1").select("label", "h1", "h2", F.col("rep").alias("first"), "copies")
+    member = looked_up(usable.select("id", "label", "h1", "h2"), copied, copied.count(), ["label", "h1", "h2"], "left")
+    member = member.select("id", F.coalesce("first", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+    placed = cells(classes, radius)
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
+    sizes = stored(sizes, "cell-sizes")
+    dealt = looked_up(placed, sizes, sizes.count(), ["cell"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("cell", "block", other, "rep", "copies", "guest", "v").select(
+        "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "guest", "v"
+    )
+    linked = stored(dealt.groupBy("cell", "low", "high").applyInArrow(_joiner(threshold), "a long, n_links long, b long"), "vector-links")
+    counts = linked.filter("n_links >= 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("more"))
+    group = components(linked.filter("n_links < 0").select("a", "b")).withColumnRenamed("node", "rep")
+    known = member.join(counts, "rep", "left").join(group, "rep", "left")
+    known = known.select("id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     known = known.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
     ids = rows.select("id", "usable")
     out = ids.join(known.withColumnRenamed("id", "known"), (F.col("id").cast("long") == F.col("known")) & F.col("usable"), "left")
@@ -146,28 +236,6 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     )
 
 
-def _pivots(classes: DataFrame) -> dict[tuple, np.ndarray]:
-    """For each label and length at most PIVOTS unit vectors, spread out: a first sample by hash, thinned by farthest points."""
-    shard = F.pmod(F.xxhash64("rep"), F.lit(4 * PIVOTS))  # one of each shard: a bounded sample, without a sort of a label's rows
-    sample = classes.groupBy("label", "dim", shard.alias("shard")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("h"), "v")).alias("x"))
-    got: dict[tuple, list] = {}
-    for r in sample.select("label", "dim", "x.v").orderBy("label", "dim", "v").limit(PIVOT_ROWS * 4).toLocalIterator():
-        got.setdefault((r[0], r[1]), []).append(r[2])
-    out = {}
-    for key, vectors in got.items():
-        u = unit(np.array(vectors, np.float64))
-        chosen = [0]
-        far = 2 - 2 * u @ u[0]
-        while len(chosen) < min(PIVOTS, max(1, len(u) // 2)):
-            k = int(far.argmax())
-            if far[k] < 1e-9:
-                break
-            chosen.append(k)
-            far = np.minimum(far, 2 - 2 * u @ u[k])
-        out[key] = u[chosen]
-    return out
-
-
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, cosine >= 0.98 within a label."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
