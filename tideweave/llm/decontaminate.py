@@ -4,7 +4,8 @@ Normalisation lower-cases A-Z and takes words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x
 ten consecutive words (an item of fewer words is one window). The automaton scans every text once; ends of
 occurrences are mapped to words, and words to byte and code point offsets of the original text. Texts are never
 shuffled. The automaton is broadcast only up to a size: a larger benchmark is cut into blocks, each with an
-automaton of its own, and the documents stream through one stage after another.
+automaton of its own, and the documents stream through one stage after another. Blocks stream through the driver one at
+a time; a Python worker builds each automaton once and keeps the last ones for its next tasks.
 
 Defined results: a null text has no words; an empty text likewise; an item without words has no windows; items
 with a null id hit words, but aren't listed; an item id that repeats counts once; repeated documents each have
@@ -14,6 +15,7 @@ their own row; empty tables give an empty result, or one in which nothing is hit
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,6 +31,8 @@ from tideweave.llm.common import small_batches, table
 WINDOW = 10
 #: Characters of windows that one broadcast automaton may hold; it takes about 60 times as many bytes.
 BLOCK_CHARS = 2_000_000
+#: Automata that a worker keeps.
+KEPT = 2
 #: Bytes that belong to words, A-Z lower-cased; all others become a space.
 _MAP = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -72,6 +76,27 @@ def build(block: dict[str, tuple]) -> ahocorasick.Automaton | None:
     return machine
 
 
+_BUILT: dict[str, ahocorasick.Automaton | None] = {}
+
+
+def built(name: str, block: dict[str, tuple]) -> ahocorasick.Automaton | None:
+    """The automaton of a block, built once a worker."""
+    if name not in _BUILT:
+        while len(_BUILT) >= KEPT:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name] = build(block)
+    return _BUILT[name]
+
+
+def _with_last(blocks: Iterator[dict[str, tuple]]) -> Iterator[tuple[dict[str, tuple], bool]]:
+    """Each block, and whether it is the last; an empty one if there is none."""
+    held = next(blocks, {})
+    for block in blocks:
+        yield held, False
+        held = block
+    yield held, True
+
+
 def scan(machine: ahocorasick.Automaton | None, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
     """Number of words; the runs of hit words as (first, last); the items with occurring windows."""
     words = [w for w in normalised(text).decode("utf-8", "surrogatepass").split(" ") if w]
@@ -119,38 +144,33 @@ def decontaminate(
     item_text: str = "text",
     keep_text: bool = True,
 ) -> DataFrame:
-    """id, text, n_words, runs (word indexes), items (ids as strings, sorted) for every document; without keep_text the text is null."""
+    """id, text, n_words, runs (word indexes), items (ids as strings, sorted), spans (code point offsets of the runs in the original
+    text) for every document; without keep_text the text is null."""
     spark = docs.sparkSession
     small_batches(spark)
-    fields = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("runs", T.ArrayType(T.ArrayType(T.LongType()))),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-    runs_type, items_type = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
+    pairs = T.ArrayType(T.ArrayType(T.LongType()))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("runs", pairs), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", pairs)]
+    pairs_type, items_type = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
     names = [id_col, text_col, *(f.name for f in fields)]
     out = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias(text_col))
     schema = T.StructType([*out.schema.fields, *fields])
     out = out.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
-    source = items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).toLocalIterator()
-    blocks = list(automata(source)) or [{}]
-    for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(block)
-        texts = keep_text or k < len(blocks) - 1
-
-        def batches(source: Iterator[pa.RecordBatch], shared=shared, texts=texts) -> Iterator[pa.RecordBatch]:
-            machine = build(shared.value)
+    for block, last in _with_last(automata(items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).toLocalIterator())):
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def batches(source: Iterator[pa.RecordBatch], shared=shared, name=name, last=last) -> Iterator[pa.RecordBatch]:
+            machine = built(name, shared.value)
             for b in source:
-                n_words, all_runs, all_items = [], [], []
+                n_words, all_runs, all_items, spans = [], [], [], []
                 for text, old_runs, old_items in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                     n, runs, found = scan(machine, text)
                     n_words.append(n)
                     all_runs.append(_united([*runs, *map(tuple, old_runs or [])]))
                     all_items.append(sorted({*(x for x in found if x is not None), *(old_items or [])}))
-                text = b.column(1) if texts else pa.nulls(b.num_rows, b.column(1).type)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), text, pa.array(n_words, pa.int64()), pa.array(all_runs, runs_type), pa.array(all_items, items_type)], names=names
-                )
+                    spans.append(offsets(text or "", all_runs[-1]) if last else None)
+                text = b.column(1) if keep_text or not last else pa.nulls(b.num_rows, b.column(1).type)
+                columns = [pa.array(n_words, pa.int64()), pa.array(all_runs, pairs_type), pa.array(all_items, items_type), pa.array(spans, pairs_type)]
+                yield pa.RecordBatch.from_arrays([b.column(0), text, *columns], names=names)
 
         out = out.mapInArrow(batches, schema)
     return out
@@ -162,10 +182,10 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     small_batches(spark)
     out = docs
     for block in automata(items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).toLocalIterator()):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def batches(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = build(shared.value)
+        def batches(source: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            machine = built(name, shared.value)
             for b in source:
                 yield b.filter(pa.array([not scan(machine, t)[1] for t in b.column(at).to_pylist()], pa.bool_()))
 
@@ -173,21 +193,8 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     return out
 
 
-def hit_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """What decontaminate() returns, with spans: code point offsets of the hit passages in the original text."""
-    schema = T.StructType([*found.schema.fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
-    at, runs_at = found.columns.index(text_col), found.columns.index("runs")
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
-            spans = [offsets(t or "", r or []) for t, r in zip(b.column(at).to_pylist(), b.column(runs_at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=[*b.schema.names, "spans"])
-
-    return found.mapInArrow(batches, schema)
-
-
-def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The columns of the registered query."""
+def digest(found: DataFrame, id_col: str = "doc_id", spans: bool = False) -> DataFrame:
+    """The columns of the registered query; with spans also start:end of the hit passages in the original text, comma-joined."""
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0] + 1)
     return found.select(
         id_col,
@@ -196,6 +203,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        *([F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x[0].cast("string"), x[1].cast("string"))), ",").alias("spans")] if spans else []),
     )
 
 
