@@ -137,6 +137,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
 
 def test_embedding_cells_bound_replication_and_hold_each_link_once(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PART", 150)
+    monkeypatch.setattr(embedding_dedup, "WANTED", 100)
     r = np.random.default_rng(5)
     middle = r.normal(size=(40, 64))
     v = np.concatenate([c + r.normal(size=(30, 64)) * w for c, w in zip(middle, np.linspace(0.02, 0.5, 40))])

@@ -10,8 +10,8 @@ Euclidean metric: cosine >= c means a distance of at most r = sqrt(2 - 2c).
    d(v, p_c) - d(v, p_h) <= 2r, and, more sharply, if the vector is within r of the plane between the two pivots:
    d(v, p_c)^2 - d(v, p_h)^2 <= 2 r d(p_c, p_h). The vector is a guest of such cells c < h, so that each pair with a
    vector at home meets in exactly one cell, and cells join independently. Pairs of guests are passed over.
-4. Cells that are still too large are parted again in the same way, LEVELS times at most, unless that would copy vectors
-   more than COPIED times.
+4. Cells that are still too large are parted again in the same way, LEVELS times at most, where that pays: where the
+   smaller cells, with their guests, need at most half the comparisons.
 5. What is left of a large cell (vectors that are all close to one another) is dealt out in blocks of PART vectors, and
    each pair of blocks is a task. Within a task, only vectors whose distances from one point differ by at most r are
    compared. Tasks give numbers of linked vectors and a forest of the links, not the pairs.
@@ -38,11 +38,11 @@ from tideweave.llm.common import looked_up, shared_dir, stored, table
 from tideweave.llm.components import components, forest
 
 #: Pivots of a cell at most, and vectors that a cell should have.
-PIVOTS, WANTED = 256, 400
+PIVOTS, WANTED = 256, 1500
 #: Vectors of a cell or block that are compared in one task; rows of a block of products.
 PART, ROWS = 2000, 1000
-#: How often cells are parted, at most, and how many copies of its vectors a further parting may make.
-LEVELS, COPIED = 4, 6
+#: How often cells are parted, at most, and the share of a cell's comparisons that a further parting may leave.
+LEVELS, PAYS = 4, 0.5
 #: Distances are compared with this much room, so that rounding loses no partner; the cosine itself decides.
 ROOM = 1e-9
 
@@ -137,8 +137,7 @@ def _placer(radius: float, level: int):
 
 def _pick(key: tuple, rows: pa.Table) -> pa.Table:
     """The pivots of a cell, out of its sample."""
-    most = min(PIVOTS, max(2, -(-rows.column("n")[0].as_py() // WANTED)))
-    chosen = far_points(_vectors(rows.sort_by("v")), most)
+    chosen = far_points(_vectors(rows.sort_by("v")), rows.column("most")[0].as_py())
     return pa.table({"cell": pa.array([key[0].as_py()] * len(chosen), pa.string()), "v": pa.array([x.tobytes() for x in chosen], pa.binary())})
 
 
@@ -154,7 +153,8 @@ def parted(placed: DataFrame, sizes: DataFrame, count: int, radius: float, level
     rows = looked_up(placed, sizes, count, ["cell"])
     shard = F.pmod(F.xxhash64("rep"), F.lit(4 * PIVOTS))  # one of each shard: a bounded sample, without a sort of a cell's rows
     sample = rows.groupBy("cell", "n", shard.alias("shard")).agg(F.min_by("v", F.xxhash64("rep", F.lit(1))).alias("v"))
-    pivots = sample.groupBy("cell").applyInArrow(_pick, "cell string, v binary")
+    most = F.least(F.lit(PIVOTS), F.greatest(F.lit(2), F.ceil(F.col("n") / WANTED).cast("int")))
+    pivots = sample.withColumn("most", most).groupBy("cell").applyInArrow(_pick, "cell string, v binary")
     parts = 1 + F.floor(F.col("n") / (4 * PART)).cast("int")
     pivots = pivots.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", "part", "v")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(2)), parts).cast("int")).select("cell", "part", "rep", "copies", "guest", "v")
@@ -170,10 +170,10 @@ def cells(classes: DataFrame, radius: float) -> DataFrame:
         if not (count := sizes.count()):
             break
         finer = stored(parted(placed, sizes, count, radius, level), "cells")
-        # cells whose parting copies too much stay as they are; a first parting is always kept
+        # cells whose parting doesn't pay stay as they are; a first parting is always kept
         parent = F.regexp_replace("cell", "/[0-9]+$", "")
-        after = finer.groupBy(parent.alias("cell")).agg(F.count("*").alias("m"))
-        kept = after.join(sizes, "cell").filter(F.lit(level == 0) | (F.col("m") <= COPIED * F.col("n"))).select("cell", F.lit(True).alias("again"))
+        after = finer.groupBy("cell").agg(F.count("*").cast("double").alias("m")).groupBy(parent.alias("cell")).agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+        kept = after.join(sizes, "cell").filter(F.lit(level == 0) | (F.col("work") <= PAYS * F.col("n") * F.col("n"))).select("cell", F.lit(True).alias("again"))
         kept = stored(kept, "cell-sizes")
         n_kept = kept.count()
         if not n_kept:
