@@ -66,3 +66,30 @@ def test_storms_are_of_users_and_keep_all_records(spark, events):
     out = catalog.queries()["storm_segments_all"](spark, events).toPandas()
     assert len(out) == 1214 and set(out["series"]) == {str(k) for k in range(7)}
     assert (out.groupby(["series", "storm"]).size() == out.groupby(["series", "storm"])["length"].first()).all()
+
+
+def test_grid_scores_equal_row_by_row_scores(spark, events, monkeypatch):
+    from dataclasses import replace
+
+    from tideweave.operators import metrics
+    from tideweave.plans import evaluate
+    from tideweave.sources.panels import panel
+
+    monkeypatch.setattr(evaluate, "SCORED", 70)
+    p, s = panel(spark, events), catalog.WHOLE
+    got = {(r["series"], r["param_combo"]): r for r in evaluate.grid_scores(p, s.split, [5, 206, 500]).collect()}
+    assert len(got) == 6
+    for k in (5, 206):
+        own = evaluate.setting_of(k, s)
+        rows = evaluate.relevant(catalog.prep.standardised(p, own.split), own.split)
+        errors = evaluate.adaptive_errors(rows, own).filter("method = 'adaptive_ridge_exact'").groupBy("series").agg(metrics.mae(F.col("err")).alias("a"), metrics.rmse(F.col("err")).alias("b"), F.count("*").alias("n"))
+        for r in errors.collect():
+            have = got[r["series"], k]
+            assert have["n"] == r["n"] and abs(have["mae"] - r["a"]) < 1e-6 and abs(have["rmse"] - r["b"]) < 1e-6
+    assert replace(s, members=6) == s
+
+
+def test_robust_fits_of_the_panel_are_certified(spark, events):
+    for name in ("robust_learners", "adaptive_lad"):
+        rows = catalog.queries()[name](spark, events).collect()
+        assert rows and all(r["certified"] and r["error"] is None and r["objective"] > 0 for r in rows), rows

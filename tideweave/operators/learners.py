@@ -74,13 +74,25 @@ def _sums_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The solution of a x = b with the least norm; a is symmetric."""
+    """The solution of a x = b; a is symmetric and not negative. Where a is singular, the least one after its diagonal is brought to one."""
+    scale = 1 / np.sqrt(np.maximum(np.abs(np.diag(a)), 1e-300))
+    scale[np.diag(a) == 0] = 1.0
+    scaled = a * scale[:, None] * scale
+    if not np.isfinite(scaled).all():
+        raise ValueError("the sums are not finite")
+    values, vectors = np.linalg.eigh((scaled + scaled.T) / 2)
+    keep = values > 1e-12 * max(values[-1], 1e-300)
+    if keep.all() and values[0] > 1e-9 * values[-1]:
+        return np.linalg.solve(a, b)
+    return scale * (vectors[:, keep] @ ((vectors[:, keep].T @ (scale * b)) / values[keep]))
+
+
+def solve_square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of a square system, not a number where it is singular."""
     try:
-        if np.linalg.cond(a) < 1e12:
-            return np.linalg.solve(a, b)
+        return np.linalg.solve(a, b)
     except np.linalg.LinAlgError:
-        pass
-    return np.linalg.lstsq(a, b, rcond=1e-12)[0]
+        return np.full(a.shape[1], np.nan)
 
 
 def _fitted(sums: DataFrame, fits: list[tuple[str, object]]) -> DataFrame:
@@ -115,6 +127,90 @@ def ridge(rows: DataFrame, rho: float, method: str = "ridge", free_intercept: bo
     return _fitted(gram(rows.withColumn("f", F.col("x"))), [(method, fit)])
 
 
+def unsquared_ridge(rows: DataFrame, rho: float, method: str = "unsquared_ridge") -> DataFrame:
+    """Least |y - X beta| / n + rho * |beta|, norms that aren't squared: ridge weights whose penalty balances itself."""
+
+    def fit(n, full, _):
+        p = len(full) - 1
+        a, b, yy = full[:p, :p], full[:p, p], max(float(full[p, p]), 0.0)
+        zero = np.zeros(p)
+        if yy == 0.0 or np.linalg.norm(b) <= rho * n * np.sqrt(yy):
+            return zero
+
+        def at(log_ratio):
+            """Weights for a ridge of exp(log_ratio), and how far this is over what the weights themselves ask for."""
+            beta = solve(a + np.exp(log_ratio) * np.eye(p), b)
+            miss = np.sqrt(max(yy - 2 * b @ beta + beta @ a @ beta, 0.0))
+            return beta, np.exp(log_ratio) * np.linalg.norm(beta) - rho * n * miss
+
+        low, high = np.log(max(np.trace(a), 1e-300)) - 40, np.log(max(np.trace(a), 1e-300)) + 20
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if at(middle)[1] < 0 else (low, middle)
+        return at((low + high) / 2)[0]
+
+    return _fitted(gram(rows.withColumn("f", F.col("x"))), [(method, fit)])
+
+
+def free_path_ridge(rows: DataFrame, rho: float, rho_v: float, stable: int, method: str = "free_path") -> DataFrame:
+    """Weights b0 for the first `stable` - 1 rows, then b0 + V_t z_t with a matrix V_t of its own for each row, near its neighbours':
+    mean squared error + rho / (stable - 1) |b0|^2 + rho_v / (n - stable + 1) (sum |beta_t|^2 + sum |V_t+1 - V_t|^2).
+
+    rows: series, t, x, y, z; the training rows of a series are a bounded group. A block-tridiagonal system: V_t has the form
+    c_t z_t' plus neighbours, and is solved row by row. theta: b0, then the V of the last row.
+    """
+    import pandas as pd
+
+    def path(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        x, z, y = (np.stack(part[c].to_numpy()).astype(float) if c != "y" else part[c].to_numpy(float) for c in ("x", "z", "y"))
+        b0, v = free_path(x, z, y, rho, rho_v, stable)
+        last = v[-1].ravel() if len(v) else np.zeros(0)
+        return pd.DataFrame([(key[0], method, len(y), [*b0.tolist(), *last.tolist()])], columns=["series", "method", "n_rows", "theta"])
+
+    return rows.select("series", "t", "x", "z", "y").groupBy("series").applyInPandas(path, PARAMS)
+
+
+def free_path(x: np.ndarray, z: np.ndarray, y: np.ndarray, rho: float, rho_v: float, stable: int) -> tuple[np.ndarray, np.ndarray]:
+    """b0 and V_t of the rows from `stable` on (1-based)."""
+    n, p = x.shape
+    if stable == 1:
+        rho, stable = 0.0, 2
+    q, first = z.shape[1], stable - 1
+    late = n - first
+    tie = rho_v / late
+    # unknowns: b0 (p), then V_t (p * q each); the coupling of the V is tie * second differences
+    fixed = np.zeros((p, p)) + np.eye(p) * rho / max(1, first) + x[:first].T @ x[:first] / n
+    right = x[:first].T @ y[:first] / n
+    size = p * q
+    inverse, to_b0, target = [], [], []
+    carried, carried_b0, carried_y = np.zeros((size, size)), np.zeros((size, p)), np.zeros(size)
+    for k in range(late):
+        f = np.kron(x[first + k], z[first + k])
+        spread = np.kron(np.eye(p), z[first + k][:, None])  # beta = b0 + spread' V
+        ends = (k > 0) + (k < late - 1)
+        a = np.outer(f, f) / n + tie * (spread @ spread.T) + tie * ends * np.eye(size)
+        b = np.outer(f, x[first + k]) / n + tie * spread
+        c = f * y[first + k] / n
+        fixed = fixed + np.outer(x[first + k], x[first + k]) / n + tie * np.eye(p)
+        right = right + x[first + k] * y[first + k] / n
+        a, b, c = a - carried, b - carried_b0, c - carried_y
+        inv = np.linalg.pinv(a, rcond=1e-11, hermitian=True)  # flat directions stay zero
+        inverse.append(inv)
+        to_b0.append(b)
+        target.append(c)
+        # the next block's system, less what this block explains of it (they touch by -tie * I)
+        carried, carried_b0, carried_y = tie * tie * inv, -tie * (inv @ b), -tie * (inv @ c)
+    for inv, b, c in zip(inverse, to_b0, target):
+        fixed, right = fixed - b.T @ inv @ b, right - b.T @ inv @ c
+    b0 = solve(fixed, right)
+    v, after = [np.zeros(size)] * late, np.zeros(size)
+    for k in range(late - 1, -1, -1):
+        after = inverse[k] @ (target[k] - to_b0[k] @ b0 + tie * after)
+        v[k] = after
+    return b0, np.array(v).reshape(late, p, q)
+
+
 def adaptive_features(rows: DataFrame) -> DataFrame:
     """Adds w = (1, z) and f, the products x_i * w_j with i outermost."""
     w = F.concat(F.array(F.lit(1.0)), F.col("z"))
@@ -161,18 +257,22 @@ def slowly_varying_ridge(rows: DataFrame, rho: float, rho_change: float, method:
     return _fitted(gram(data, extra="_both"), [(method, fit)])
 
 
-def stable_part_ridge(rows: DataFrame, rho: float, rho_v: float, stable: int, method: str = "stable_part") -> DataFrame:
-    """The first `stable` - 1 rows share b0, later rows follow the lags; penalties are means over their own rows."""
+def stable_part_ridge(rows: DataFrame, rho: float, rho_v: float, stable: int, method: str = "stable_part", over_all: bool = False) -> DataFrame:
+    """The first `stable` - 1 rows share b0, later rows follow the lags; penalties are means over their own rows.
+
+    over_all: the variant that takes rho over `stable`, and sums the penalty of the weights over all rows, over n - stable.
+    """
     w = F.concat(F.array(F.lit(1.0)), F.when(F.col("k") < stable, F.transform("z", lambda v: F.lit(0.0))).otherwise(F.col("z")))
-    late = F.when(F.col("k") < stable, F.transform("w", lambda v: F.lit(0.0))).otherwise(F.col("w"))
+    late = F.col("w") if over_all else F.when(F.col("k") < stable, F.transform("w", lambda v: F.lit(0.0))).otherwise(F.col("w"))
     data = rows.withColumn("w", w).withColumn("late", late).withColumn("f", F.flatten(F.transform("x", lambda a: F.transform("w", lambda b: a * b))))
 
     def fit(n, full, ww):
         q, d = len(ww), len(full) - 1
         p = d // q
         first = np.zeros(q)
-        first[0] = rho / max(1, stable - 1) if stable > 1 else 0.0
-        a = full[:d, :d] / n + np.kron(np.eye(p), rho_v / max(1, n - stable + 1) * ww + np.diag(first))
+        first[0] = rho / (stable if over_all else stable - 1) if stable > 1 else 0.0
+        late_rows = n - stable if over_all else n - stable + 1
+        a = full[:d, :d] / n + np.kron(np.eye(p), rho_v / max(1, late_rows) * ww + np.diag(first))
         return solve(a, full[:d, d] / n)
 
     return _fitted(gram(data, extra="late"), [(method, fit)])

@@ -152,7 +152,7 @@ def one_hot(df: DataFrame, name: str, values: list[str]) -> DataFrame:
 
 def random_split(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """Adds `part`: train or test by a hash of the key, the same in every run whatever the partitions."""
-    bucket = F.pmod(F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.lit(10_000))
+    bucket = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") % 10_000
     return df.withColumn("part", F.when(bucket < int(share * 10_000), "train").otherwise("test"))
 
 

@@ -93,3 +93,56 @@ def ranked_slice(df: DataFrame, keys: list[str], order: list[Column], first: int
     """Rows first .. last of each group in the given order."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("place", place).filter(F.col("place").between(first, last))
+
+
+def combo(index: int) -> tuple[float, float, float, int]:
+    """rho_beta, rho, rho_V, past of a number of the grid, from 1."""
+    at, sizes = index - 1, (len(RHOS), len(RHOS), len(RHOS), len(PASTS))
+    if not 0 <= at < sizes[0] * sizes[1] * sizes[2] * sizes[3]:
+        raise ValueError(f"no setting {index}")
+    at, past = divmod(at, sizes[3])
+    at, c = divmod(at, sizes[2])
+    a, b = divmod(at, sizes[1])
+    return RHOS[a], RHOS[b], RHOS[c], PASTS[past]
+
+
+def sweep(results: DataFrame, by: str, methods: list[str], value: str = "MAE") -> DataFrame:
+    """A sweep's curves: for each value of `by` the mean and the sample deviation of each method, method_mean and method_std."""
+    return results.groupBy(by).pivot("Method", methods).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+
+
+def bands(results: DataFrame, by: str, value: str = "MAE") -> DataFrame:
+    """The same as a tidy frame, for a line with its band: Method, by, mean, low, high (a deviation to either side)."""
+    each = results.groupBy("Method", by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
+    return each.select("Method", by, "mean", (F.col("mean") - F.col("_s")).alias("low"), (F.col("mean") + F.col("_s")).alias("high"))
+
+
+def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """bin (from 0), n of the values between low and high, high in the last one; empty bins are left out."""
+    at = F.least(F.floor((F.col(value) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
+    return df.filter(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def timings(results: DataFrame, by: str, time: str = "Time") -> DataFrame:
+    """Mean seconds of each method for each value of `by`, of times in milliseconds."""
+    return results.groupBy("Method", by).agg((F.avg(time) / 1000).alias("seconds"))
+
+
+def labelled(results: DataFrame, labels: dict[str, str], name: str = "label") -> DataFrame:
+    """Adds the legend of each method; methods without one keep their names."""
+    pairs = [F.lit(x) for pair in labels.items() for x in pair]
+    return results.withColumn(name, F.coalesce(F.create_map(*pairs)[F.col("Method")], F.col("Method")))
+
+
+def features(rows: DataFrame, value: str = "y") -> DataFrame:
+    """Features of each series: n, mean, deviation, least, most, energy (sum of squares), mean change and mean absolute change
+    from row to row, autocorrelation at one row, slope over t. rows: series, t (dense), value."""
+    from tideweave.operators.windows import blocked
+
+    each = blocked(rows.select("series", "t", F.col(value).alias("v")), 1, lambda f, w: f.withColumn("p", F.lag("v").over(w)))
+    change = F.col("v") - F.col("p")
+    return each.groupBy("series").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high"),
+        F.sum(F.col("v") * F.col("v")).alias("energy"), F.avg(change).alias("mean_change"), F.avg(F.abs(change)).alias("mean_abs_change"),
+        F.corr("v", "p").alias("autocorrelation"), F.try_divide(F.covar_pop("t", "v"), F.var_pop("t")).alias("slope"),
+    )

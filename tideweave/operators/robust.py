@@ -1,9 +1,10 @@
-"""Learners with absolute losses and tail risk: least absolute deviation and conditional value at risk, by iteration.
+"""Learners with absolute losses and tail risk: least absolute deviation and conditional value at risk.
 
-Each step is a weighted least squares. The weights of rows come from a smoothed loss, |r| ~ sqrt(r^2 + eps^2), with eps
-falling from step to step; for the tail, rows over the ceil(alpha n)-th largest loss count. Penalties: ridge (squares)
-or lasso (absolute values, smoothed too). Training rows are a bounded stretch of a series (past * num_past + 1 rows),
-so each series is one small group, and series are fitted in parallel.
+Absolute values and the tail are smoothed, |r| ~ sqrt(r^2 + eps^2); damped Newton steps solve the smooth problem, and eps
+falls until it doesn't matter. The tail is that of Rockafellar and Uryasev: t + mean of max(loss - t, 0) / alpha. Penalties:
+ridge (squares) or lasso (absolute values, smoothed too). The multipliers at the end give a lower bound of the least
+objective, so each fit tells its own gap. Training rows are a bounded stretch of a series (past * num_past + 1 rows), so
+each series is one small group, and series are fitted in parallel; a series whose fit fails gets an error, not the job.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideweave.operators.learners import PARAMS, solve
+from tideweave.operators.learners import PARAMS, solve, solve_square
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,11 @@ class Robust:
     free: int = 1
 
 
+def sum_lad(rho: float, n: int) -> Robust:
+    """Sum (not mean) of absolute errors + rho * sum of absolute weights, all penalised, over n rows."""
+    return Robust("abs", 1.0, "lasso", rho / n, free=0)
+
+
 #: The named methods of the dispatcher.
 METHODS = {
     "ols_ridge": Robust("square", 1.0, "ridge"),
@@ -71,40 +77,127 @@ def objective(beta: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Robust, adap
     return tail_mean(r if spec.loss == "abs" else r * r, spec.alpha) + float(cost)
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, spec: Robust, adaptive: int = 0, steps: int = 200) -> np.ndarray:
-    """Weights: iterated reweighting with a falling smoothness, and the best point of the way, improved by subgradients."""
+def _smooth(theta, x, y, spec, factor, eps):
+    """Value, gradient and Hessian of the smoothed problem; theta: the weights, and the tail's threshold if alpha < 1."""
+    n, p = x.shape
+    beta = theta[:p]
+    r = y - x @ beta
+    if spec.loss == "abs":
+        loss = np.sqrt(r * r + eps * eps)
+        first, second = r / loss, eps * eps / loss**3
+    else:
+        loss, first, second = r * r, 2 * r, np.full(n, 2.0)
+    if spec.alpha < 1:
+        z = loss - theta[p]
+        root = np.sqrt(z * z + eps * eps)
+        value = theta[p] + (z + root).sum() / (2 * spec.alpha * n)
+        count, bend = (1 + z / root) / (2 * spec.alpha * n), eps * eps / (2 * spec.alpha * n * root**3)
+    else:
+        value, count, bend = loss.mean(), np.full(n, 1.0 / n), np.zeros(n)
+    if spec.penalty == "ridge":
+        value, slope, curve = value + factor @ (beta * beta), 2 * factor * beta, 2 * factor
+    else:
+        size = np.sqrt(beta * beta + eps * eps)
+        value, slope, curve = value + factor @ size, factor * beta / size, factor * eps * eps / size**3
+    gradient = slope - x.T @ (count * first)
+    hessian = (x.T * (count * second + bend * first * first)) @ x + np.diag(curve)
+    if spec.alpha < 1:
+        mixed = x.T @ (bend * first)
+        gradient = np.append(gradient, 1 - count.sum())
+        hessian = np.block([[hessian, mixed[:, None]], [mixed[None], np.array([[bend.sum()]])]])
+    return value, gradient, hessian, count, count * first
+
+
+def lower_bound(x: np.ndarray, y: np.ndarray, spec: Robust, factor: np.ndarray, count: np.ndarray, pull: np.ndarray, beta: np.ndarray) -> float:
+    """A value that no weights undercut (free weights: none within ten times the fitted ones, which bounds what rounding leaves
+    of their balance). count: shares of the rows, at most 1 / (alpha n), that sum to 1; pull: their slopes."""
+    count = np.minimum(count, 1 / (spec.alpha * len(y)))
+    count = count / max(1.0, count.sum())
+    if spec.loss == "abs":
+        pull = np.clip(pull, -count, count)
+    held = x.T @ pull
+    bound = held != 0
+    if spec.penalty == "lasso":
+        over = np.where((factor > 0) & bound, np.abs(held) / np.maximum(factor, 1e-300), 0.0).max(initial=1.0)
+        pull, held = pull / max(1.0, over), held / max(1.0, over)
+        cost = 0.0
+    else:
+        cost = float((held[factor > 0] ** 2 / (4 * factor[factor > 0])).sum())
+    if spec.loss == "square":
+        cost += float((pull[count > 0] ** 2 / (4 * count[count > 0])).sum())
+    free = factor <= 0
+    return float(pull @ y) - cost - float(np.abs(held[free]) @ (10 * np.abs(beta[free]) + 1))
+
+
+def fit_arrays(x: np.ndarray, y: np.ndarray, spec: Robust, adaptive: int = 0, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and the gap between their objective and a lower bound of the least one."""
     n, p = x.shape
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        raise ValueError("features or targets are not finite")
     factor = _penalties(spec, p, adaptive)
     beta = solve(x.T @ x / n + np.diag(factor + 1e-9), x.T @ y / n)
-    best, least = beta, objective(beta, x, y, spec, adaptive)
     scale = float(np.abs(y).mean()) or 1.0
-    for step in range(steps):
-        eps = scale * max(1e-6, 0.5 * 0.93**step)
-        r = y - x @ beta
-        loss = np.abs(r) if spec.loss == "abs" else r * r
-        row = np.full(n, 1.0 / n)
-        if spec.alpha < 1:  # a softened tail: rows near the quantile count in part
-            k = max(1.0, spec.alpha * n)
-            cut = np.sort(loss)[::-1][min(n - 1, int(np.ceil(k)) - 1)]
-            soft = 1 / (1 + np.exp(-np.clip((loss - cut) / (eps + 1e-12), -30, 30)))
-            row = soft / soft.sum()
-        weight = row / (2 * np.sqrt(r * r + eps * eps)) if spec.loss == "abs" else row
-        ridge_part = factor if spec.penalty == "ridge" else factor / (2 * np.sqrt(beta * beta + (0.01 * eps) ** 2))
-        new = solve((x.T * weight) @ x + np.diag(ridge_part + 1e-12), (x.T * weight) @ y)
-        beta = beta + (new - beta) * (1.0 if spec.alpha == 1 else 2.0 / (step + 2))
-        value = objective(beta, x, y, spec, adaptive)
-        if value < least:
-            best, least = beta, value
-    return best
+    theta = beta
+    if spec.alpha < 1:
+        r = np.abs(y - x @ beta)
+        theta = np.append(beta, np.quantile(r if spec.loss == "abs" else r * r, 1 - spec.alpha))
+    best, least, bound = beta, objective(beta, x, y, spec, adaptive), -np.inf
+    eps = 0.5 * scale
+    while eps > 1e-8 * scale:
+        for _ in range(steps):
+            value, gradient, hessian, count, pull = _smooth(theta, x, y, spec, factor, eps)
+            step = -solve(hessian + 1e-12 * max(1.0, float(np.trace(hessian)) / len(theta)) * np.eye(len(theta)), gradient)
+            drop, size = float(gradient @ step), 1.0
+            if -drop < 1e-12 * max(1.0, abs(value)):  # values can't tell steps from rounding here: gradients can
+                if np.abs(_smooth(theta + step, x, y, spec, factor, eps)[1]).max() >= np.abs(gradient).max():
+                    break
+                theta = theta + step
+                continue
+            while size > 1e-8 and _smooth(theta + size * step, x, y, spec, factor, eps)[0] > value + 0.1 * size * drop:
+                size /= 2
+            if size <= 1e-8:
+                break
+            theta = theta + size * step
+        count, pull = _smooth(theta, x, y, spec, factor, eps)[3:]
+        for at in (theta[:p], _corner(theta[:p], x, y, spec, factor, scale)):
+            if at is not None and (now := objective(at, x, y, spec, adaptive)) < least:
+                best, least = at, now
+        bound = max(bound, lower_bound(x, y, spec, factor, count, pull, best))
+        if least - bound < 1e-9 * max(1.0, abs(least)):
+            break
+        eps /= 4
+    return best, max(0.0, least - bound)
+
+
+def _corner(beta: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Robust, factor: np.ndarray, scale: float) -> np.ndarray | None:
+    """The corner near the weights at which as many residuals vanish as weights don't: where absolute losses are least."""
+    if spec.loss != "abs" or spec.alpha < 1 or spec.penalty != "lasso":
+        return None
+    open_ = (factor <= 0) | (np.abs(beta) > 1e-3 * scale)
+    k = int(open_.sum())
+    if not 0 < k <= len(y):
+        return np.zeros_like(beta) if k == 0 else None
+    rows = np.argsort(np.abs(y - x @ beta), kind="stable")[:k]
+    out = np.zeros_like(beta)
+    out[open_] = solve_square(x[rows][:, open_], y[rows])
+    return out if np.isfinite(out).all() else None
 
 
 def fit_series(rows: DataFrame, methods: dict[str, Robust], features: str = "x", adaptive: int = 0) -> DataFrame:
-    """Parameters of each method for each series: the training rows of a series (a bounded stretch) are one group."""
+    """series, method, n_rows, theta, objective, gap, error: the training rows of a series (a bounded stretch) are one group;
+    if a fit fails, theta is null and error says why."""
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
-        x, y = np.stack(part["f"].to_numpy()).astype(float), part["y"].to_numpy(float)
-        return pd.DataFrame([(key[0], m, len(y), fit_arrays(x, y, s, adaptive).tolist()) for m, s in methods.items()], columns=["series", "method", "n_rows", "theta"])
-
-    return rows.select("series", "t", F.col(features).alias("f"), "y").groupBy("series").applyInPandas(fit, PARAMS)
-
+        out = []
+        for m, spec in methods.items():
+            try:
+                x, y = np.stack(part["f"].to_numpy()).astype(float), part["y"].to_numpy(float)
+                theta, gap = fit_arrays(x, y, spec, adaptive)
+                out.append((key[0], m, len(y), theta.tolist(), objective(theta, x, y, spec, adaptive), gap, None))
+            except (ValueError, np.linalg.LinAlgError, FloatingPointError) as e:
+                out.append((key[0], m, len(part), None, None, None, str(e)))
+        return pd.DataFrame(out, columns=["series", "method", "n_rows", "theta", "objective", "gap", "error"])
+
+    fitted = PARAMS + ", objective double, gap double, error string"
+    return rows.select("series", "t", F.col(features).alias("f"), "y").groupBy("series").applyInPandas(fit, fitted)

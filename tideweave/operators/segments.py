@@ -41,3 +41,9 @@ def renumbered(rows: DataFrame, name: str = "pos") -> DataFrame:
     before = Window.partitionBy("series").orderBy("storm").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return rows.join(sizes, ["series", "storm"]).withColumn(name, F.col("_before") + F.col("k") - F.col("_k") + 1).drop("_n", "_k", "_before")
+
+
+def storm_parts(rows: DataFrame, forecasts: list[str], truth: str = "truth", speed: str = "current_speed") -> DataFrame:
+    """The parts of a storm's records: series, storm, k, x (the forecasts, the constant last), y (the truth), current_speed."""
+    x = F.array(*(F.col(c).cast("double") for c in forecasts), F.lit(1.0))
+    return rows.select("series", "storm", "k", x.alias("x"), F.col(truth).cast("double").alias("y"), F.col(speed).cast("double").alias("current_speed"))

@@ -199,7 +199,7 @@ def scaler_train(spark, d):
     return prep.scale(wide_panel(spark, d).select("series", "t", "m1", "m6"), ["m1", "m6"], F.col("t") <= 100)
 
 
-@query(None)
+@query("SELECT event_id, CASE WHEN CAST('0x' || md5('7:' || event_id)[1:8] AS BIGINT) % 10000 < 8000 THEN 'train' ELSE 'test' END AS part FROM events")
 def random_split(spark, d):
     return prep.random_split(table(spark, d, "events").select("event_id"), "event_id", 0.8, 7)
 
@@ -451,66 +451,74 @@ def ridge_two_features(spark, d, s=SETTINGS):
     return learners.ridge(rows, 0.01).select("series", F.get("theta", F.lit(0)).alias("b0"), F.get("theta", F.lit(1)).alias("b1"))
 
 
-def _residual(rows: DataFrame, params: DataFrame, rho: float, free: bool = False) -> DataFrame:
-    """Whether the gradient of a ridge's objective vanishes at its weights."""
-    joined = rows.join(params.select("series", "method", "theta"), "series")
-    r = F.col("y") - V.dot("x", "theta")
-    each = joined.select("series", "method", "theta", F.posexplode("x").alias("k", "v"), r.alias("r"))
-    slope = each.groupBy("series", "method", "k").agg((-2 * F.avg(F.col("v") * F.col("r"))).alias("s"), F.first("theta").alias("theta"))
-    pull = F.when((F.col("k") == 0) & F.lit(free), 0.0).otherwise(2 * rho * F.get("theta", F.col("k")))
-    return slope.groupBy("series", "method").agg((F.max(F.abs(F.col("s") + pull)) < 1e-9).alias("stationary"))
+_THREE = """g AS (SELECT series, 1.0 AS a00, avg(m1) AS a01, avg(m4) AS a02, avg(m1 * m1) AS a11, avg(m1 * m4) AS a12, avg(m4 * m4) AS a22, avg(y) AS b0, avg(m1 * y) AS b1, avg(m4 * y) AS b2
+  FROM std WHERE t BETWEEN first AND last GROUP BY series)"""
+
+
+def _three(rho: float, free: bool, method: str) -> str:
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    a = {(i, j): f"a{i}{j}" + (f" + {rho}" if i == j and not (free and i == 0) else "") for i, j in pairs}
+    values = ", ".join(f"round({v}, 6) AS b{k}" for k, v in enumerate(sql.cramer(a, ["b0", "b1", "b2"])))
+    return f"WITH {sql.BASE}, {_THREE} SELECT series, '{method}' AS method, {values} FROM g"
 
 
-_TRUE = "SELECT DISTINCT event_type AS series, '{m}' AS method, true AS stationary FROM events"
+def _weights(params: DataFrame, names: str, *more: str) -> DataFrame:
+    return params.select("series", *more, *(F.get("theta", F.lit(k)).alias(n) for k, n in enumerate(names.split())))
 
 
-@query(_TRUE.format(m="ridge"), whole=True)
+def _three_members(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("x", F.array(F.lit(1.0), F.get("x", F.lit(1)), F.get("x", F.lit(4))))
+
+
+@query(_three(0.01, False, "ridge"), whole=True)
 def ridge_general(spark, d, s=SETTINGS):
-    rows = prep.training(_std(spark, d, s))
-    return _residual(rows, learners.ridge(rows, 0.01), 0.01)
+    return _weights(learners.ridge(_three_members(prep.training(_std(spark, d, s))), 0.01), "b0 b1 b2", "method")
 
 
-@query(_TRUE.format(m="ols_ridge"), whole=True)
+@query(_three(0.05, True, "ols_ridge"), whole=True)
 def ridge_free_intercept(spark, d, s=SETTINGS):
-    rows = prep.training(_std(spark, d, s))
-    return _residual(rows, learners.ridge(rows, 0.05, "ols_ridge", True), 0.05, True)
+    return _weights(learners.ridge(_three_members(prep.training(_std(spark, d, s))), 0.05, "ols_ridge", True), "b0 b1 b2", "method")
+
 
+@query(f"""WITH {sql.BASE}, g AS (SELECT series, count(*) AS n, sum(y * y) AS yy, sum(m1 * y) AS b, sum(m1 * m1) AS c FROM std WHERE t BETWEEN first AND last GROUP BY series)
+SELECT series, round(CASE WHEN abs(b) <= 0.01 * n * sqrt(yy) THEN 0 ELSE b / c - sign(b) * n * 0.01 * sqrt((yy - b * b / c) / (c * (c - n * n * 0.0001))) END, 6) AS b1 FROM g""")
+def unsquared_ridge(spark, d):
+    rows = prep.training(_std(spark, d)).withColumn("x", F.slice("x", 2, 1))
+    return _weights(learners.unsquared_ridge(rows, 0.01), "b1")
 
-def _adaptive(rule: str, suffix: str):
-    def run(spark, d, s=SETTINGS):
-        rows = _relevant(spark, d, s)
-        params = evaluate.adaptive_params(rows, s, rule, suffix)
-        data = prep.training(evaluate.with_lags(rows, s, rule)).filter(F.col("t") >= F.col("first") + s.split.past)
-        return _adaptive_residual(data, params)
 
-    return run
+def _one_member(spark, d, rule: str, s=SETTINGS) -> DataFrame:
+    """Training rows of m1 alone, with the lag vector of one row."""
+    rows = _std(spark, d, s).withColumn("x", F.slice("x", 2, 1))
+    return prep.training(lag_matrix(rows, 1, rule)).filter(F.col("t") >= F.col("first") + 1)
 
 
-def _adaptive_residual(data: DataFrame, params: DataFrame) -> DataFrame:
-    """Whether the gradient of the adaptive objective vanishes: f = x (x) w, beta = Theta w."""
-    rows = learners.adaptive_features(data).join(params.select("series", "method", "theta"), "series")
-    width = evaluate.z_width(SETTINGS)
-    rows = rows.withColumn("beta", V.matvec("theta", width, F.col("w"))).withColumn("r", F.col("y") - V.dot("x", "beta"))
-    rho_beta = F.when(F.col("method").startswith("adaptive_ridge_exact"), SETTINGS.penalty.rho_beta).otherwise(0.0)
-    pull = F.flatten(F.transform("beta", lambda b: F.transform("w", lambda w: b * w)))
-    each = rows.select("series", "method", "theta", F.posexplode(F.zip_with("f", pull, lambda f, b: -f * F.col("r") + rho_beta * b)).alias("k", "v"))
-    slope = each.groupBy("series", "method", "k").agg(F.avg("v").alias("s"), F.first("theta").alias("theta"))
-    rho = F.when(F.col("k") % width == 0, SETTINGS.penalty.rho).otherwise(SETTINGS.penalty.rho_v)
-    return slope.groupBy("series", "method").agg((F.max(F.abs(F.col("s") + rho * F.get("theta", F.col("k")))) < 1e-8).alias("stationary"))
+_P = SETTINGS.penalty
 
 
-def _pair(suffix: str) -> str:
-    return " UNION ALL ".join(_TRUE.format(m=f"adaptive_ridge_{k}{suffix}") for k in ("exact", "standard"))
+def _ridge_penalty(rho_beta: float) -> dict[tuple[int, int], str]:
+    own = {(0, 0): _P.rho, (1, 1): _P.rho_v, (2, 2): _P.rho_v}
+    return {(i, j): f"{rho_beta} * avg(w{i} * w{j}) + {own.get((i, j), 0.0)}" for i in range(3) for j in range(i, 3)}
 
 
-@query(_pair(""), whole=True)
+def _both_penalties(rule: str, suffix: str) -> str:
+    part = lambda name, rho: sql.adaptive_system(_ridge_penalty(rho), extra=f", '{name}{suffix}' AS method")
+    return f"WITH {sql.BASE}, {sql.adaptive(rule)} {part('adaptive_ridge_exact', _P.rho_beta)} UNION ALL {part('adaptive_ridge_standard', 0.0)}"
+
+
+def _adaptive(spark, d, rule: str, suffix: str, s) -> DataFrame:
+    fits = [(f"adaptive_ridge_exact{suffix}", _P), (f"adaptive_ridge_standard{suffix}", Penalty(0.0, _P.rho, _P.rho_v))]
+    return _weights(learners.adaptive_ridge(_one_member(spark, d, rule, s), fits), "v0 v1 v2", "method")
+
+
+@query(_both_penalties("value", ""), whole=True)
 def adaptive_ridge_value(spark, d, s=SETTINGS):
-    return _adaptive("value", "")(spark, d, s)
+    return _adaptive(spark, d, "value", "", s)
 
 
-@query(_pair("_err_rule"), whole=True)
+@query(_both_penalties("error", "_err_rule"), whole=True)
 def adaptive_ridge_err_rule(spark, d, s=SETTINGS):
-    return _adaptive("error", "_err_rule")(spark, d, s)
+    return _adaptive(spark, d, "error", "_err_rule", s)
 
 
 def _lagged_training(spark, d):
@@ -518,15 +526,43 @@ def _lagged_training(spark, d):
     return prep.training(evaluate.with_lags(rows, WHOLE, "value")).filter(F.col("t") >= F.col("first") + WHOLE.split.past)
 
 
-@query(None)
-def slowly_varying(spark, d):
-    return learners.slowly_varying_ridge(_lagged_training(spark, d).select("series", "t", "x", "y", "z"), 0.01, 0.1).select("series", "method", "n_rows", F.size("theta").alias("n_weights"))
+_CHANGE = {(i, j): f"0.01 * avg(w{i} * w{j}) + 0.1 * sum(c{i} * c{j}) / (count(*) - 1) + {1e-10 if i == j else 0.0}" for i in range(3) for j in range(i, 3)}
+
+
+@query(f"""WITH {sql.BASE}, {sql.adaptive("value")}, ch AS (SELECT *, {', '.join(f"w{i} - coalesce(lag(w{i}) OVER (PARTITION BY series ORDER BY t), w{i}) AS c{i}" for i in range(3))} FROM ad)
+{sql.adaptive_system(_CHANGE, "ch")}""", whole=True)
+def slowly_varying(spark, d, s=SETTINGS):
+    rows = _one_member(spark, d, "value", s).select("series", "t", "x", "y", "z")
+    return _weights(learners.slowly_varying_ridge(rows, 0.01, 0.1), "v0 v1 v2")
+
+
+def _stable_sql(over_all: bool) -> str:
+    """w1, w2 are 0 in the first 49 rows; the penalty of the weights covers the later rows, or all."""
+    late, rows, first = ("", "count(*) - 50", 0.01 / 50) if over_all else (" FILTER (k >= 50)", "count(*) - 49", 0.01 / 49)
+    penalty = {(i, j): f"0.1 * coalesce(sum(w{i} * w{j}){late}, 0) / ({rows}) + {first if i == j == 0 else 0.0}" for i in range(3) for j in range(i, 3)}
+    return f"""WITH {sql.BASE}, {sql.adaptive("value")}, st AS (SELECT * REPLACE (CASE WHEN k < 50 THEN 0 ELSE w1 END AS w1, CASE WHEN k < 50 THEN 0 ELSE w2 END AS w2) FROM ad)
+{sql.adaptive_system(penalty, "st")}"""
+
+
+def _stable(spark, d, s, over_all: bool) -> DataFrame:
+    rows = _one_member(spark, d, "value", s).withColumn("k", F.col("t") - F.col("first"))
+    return _weights(learners.stable_part_ridge(rows, 0.01, 0.1, 50, over_all=over_all), "v0 v1 v2")
+
+
+@query(_stable_sql(False), whole=True)
+def stable_part(spark, d, s=SETTINGS):
+    return _stable(spark, d, s, False)
+
+
+@query(_stable_sql(True), whole=True)
+def stable_part_over_all(spark, d, s=SETTINGS):
+    return _stable(spark, d, s, True)
 
 
 @query(None)
-def stable_part(spark, d):
-    rows = _lagged_training(spark, d).withColumn("k", F.col("t") - F.col("first") - WHOLE.split.past + 1)
-    return learners.stable_part_ridge(rows, 0.01, 0.1, 50).select("series", "method", "n_rows", F.size("theta").alias("n_weights"))
+def free_path(spark, d):
+    rows = _one_member(spark, d, "value").select("series", "t", "x", "y", "z")
+    return _weights(learners.free_path_ridge(rows, 0.01, 0.1, 50), "b0 v1 v2", "n_rows")
 
 
 @query(f"""WITH {sql.BASE}, g AS (SELECT series, t, split, end_, avg(m1) OVER w AS a, avg(m1 * m1) OVER w + 0.1 AS b, avg(y) OVER w AS c, avg(m1 * y) OVER w AS e FROM std
@@ -539,11 +575,21 @@ def rolling_ridge(spark, d, s=SETTINGS):
     return beta.select("series", "t", F.get("beta", F.lit(0)).alias("b0"), F.get("beta", F.lit(1)).alias("b1"))
 
 
+@query(f"""WITH {sql.BASE}, g AS (SELECT series, t, y_true, y, m1, mu, sigma, split, end_, avg(m1) OVER w AS a, avg(m1 * m1) OVER w + 0.1 AS b, avg(y) OVER w AS c, avg(m1 * y) OVER w AS e FROM std
+  WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+SELECT series, t, round(y_true - (((c * b - a * e) + (1.1 * e - a * c) * m1) / (1.1 * b - a * a) * sigma + mu), 6) AS err FROM g WHERE t > split + 1 AND t <= end_""", whole=True)
+def retrained_errors(spark, d, s=SETTINGS):
+    rows = _relevant(spark, d, s).withColumn("x", F.slice("x", 1, 2))
+    beta = learners.rolling_ridge(rows.select("series", "t", "x", "y"), 30, 0.1, 2)
+    return online.weighted(prep.testing(rows).join(beta, ["series", "t"]), "retrained").select("series", "t", "err")
+
+
 def _robust(spark, d, names, adaptive=False):
     methods = {n: robust.METHODS[n] for n in names}
     rows = learners.adaptive_features(_lagged_training(spark, d)) if adaptive else prep.training(_std(spark, d, WHOLE))
     fitted = robust.fit_series(rows, methods, "f" if adaptive else "x", evaluate.z_width(SETTINGS) if adaptive else 0)
-    return fitted.select("series", "method", "n_rows", F.size("theta").alias("n_weights"))
+    # the gap to a lower bound of the least objective proves each fit
+    return fitted.select("series", "method", "n_rows", F.round("objective", 4).alias("objective"), (F.col("gap") < 1e-4).alias("certified"), "error")
 
 
 @query(None)
@@ -556,6 +602,48 @@ def adaptive_lad(spark, d):
     return _robust(spark, d, ["adaptive_lad_ridge", "adaptive_lad_ridge_CVaR"], True)
 
 
+def _least(rows: DataFrame, method: str, spec) -> DataFrame:
+    fitted = robust.fit_series(rows, {method: spec}, "x")
+    return fitted.select("series", "n_rows", F.round("objective", 5).alias("objective"))
+
+
+# absolute losses are least at a corner: a line through two rows, or a level one through one row
+@query(f"""WITH {sql.BASE}, p AS (SELECT series, t, m1 AS x, y FROM std WHERE t BETWEEN first AND last),
+c AS (SELECT a.series, (a.y - b.y) / (a.x - b.x) AS b1, a.y - (a.y - b.y) / (a.x - b.x) * a.x AS b0 FROM p a JOIN p b ON a.series = b.series AND a.t < b.t AND a.x <> b.x
+  UNION SELECT series, 0, y FROM p),
+v AS (SELECT c.series, b0, b1, count(*) AS n, avg(abs(p.y - b0 - b1 * p.x)) + 0.01 * abs(b1) AS o FROM c JOIN p USING (series) GROUP BY c.series, b0, b1)
+SELECT series, n AS n_rows, round(min(o), 5) AS objective FROM v GROUP BY series, n""")
+def lad_lasso_two_features(spark, d):
+    return _least(prep.training(_std(spark, d)).withColumn("x", F.slice("x", 1, 2)), "lad_lasso", robust.METHODS["lad_lasso"])
+
+
+@query(f"""WITH {sql.BASE}, p AS (SELECT series, m1 AS x, y, count(*) OVER (PARTITION BY series) AS n FROM std WHERE t BETWEEN first AND last),
+c AS (SELECT series, y / x AS b FROM p WHERE x <> 0 UNION SELECT series, 0 FROM p),
+v AS (SELECT c.series, b, n, avg(abs(p.y - b * p.x)) + 0.5 / n * abs(b) AS o FROM c JOIN p USING (series) GROUP BY c.series, b, n)
+SELECT series, n AS n_rows, round(min(o), 5) AS objective FROM v GROUP BY series, n""")
+def l1_regression(spark, d):
+    """The sum of absolute errors + 0.5 * |b|, over the number of rows."""
+    rows = prep.training(_std(spark, d)).withColumn("x", F.slice("x", 2, 1))
+    return _least(rows, "l1_regression", robust.sum_lad(0.5, SPLIT.history + 1))
+
+
+# the tail's mean over a constant changes its slope only midway between two targets
+@query(f"""WITH {sql.BASE}, p AS (SELECT series, t, y, count(*) OVER (PARTITION BY series) AS n FROM std WHERE t BETWEEN first AND last),
+c AS (SELECT DISTINCT a.series, (a.y + b.y) / 2 AS b FROM p a JOIN p b ON a.series = b.series AND a.t <= b.t),
+l AS (SELECT c.series, b, n, abs(y - b) AS e, row_number() OVER (PARTITION BY c.series, b ORDER BY abs(y - b) DESC) AS r FROM c JOIN p USING (series)),
+v AS (SELECT series, b, n, sum(e * greatest(least(r, 0.15 * n) - (r - 1), 0)) / max(0.15 * n) AS o FROM l WHERE r <= 0.15 * n + 1 GROUP BY ALL)
+SELECT series, n AS n_rows, round(min(o), 5) AS objective FROM v GROUP BY ALL""")
+def lad_cvar_constant(spark, d):
+    return _least(prep.training(_std(spark, d)).withColumn("x", F.slice("x", 1, 1)), "lad_lasso_CVaR", robust.METHODS["lad_lasso_CVaR"])
+
+
+@query(f"WITH {sql.user_storms()} SELECT series, storm, k, round(y, 6) AS y, round(current_speed, 6) AS current_speed, round(y * 2, 6) AS x0, CAST(hours AS DOUBLE) AS x1, CAST(1 AS DOUBLE) AS x2 FROM st")
+def storm_parts(spark, d):
+    rows = segments.storms(_user_records(spark, d)).withColumns({"f1": F.col("y") * 2, "f2": F.col("hours")})
+    parts = segments.storm_parts(rows, ["f1", "f2"], "y")
+    return parts.select("series", "storm", "k", "y", "current_speed", *(F.get("x", F.lit(k)).alias(f"x{k}") for k in range(3)))
+
+
 # --- whole evaluations and reports ---------------------------------------------------------------------------------
 
 
@@ -578,8 +666,8 @@ def storm_report(spark, d):
 
 @query(None)
 def grid_scores(spark, d):
-    penalties = [Penalty(a, b, c) for a in (0.01, 1.0) for b in (0.01, 1.0) for c in (0.01, 1.0)]
-    return evaluate.grid_scores(panel(spark, d), WHOLE.split, penalties, (2, 3))
+    """All 500 settings of the grid, for every series."""
+    return evaluate.grid_scores(panel(spark, d), WHOLE.split)
 
 
 _GRID_SQL = """SELECT row_number() OVER (ORDER BY a, b, c, p) AS param_combo, CAST(a AS DOUBLE) AS rho_beta, CAST(b AS DOUBLE) AS rho, CAST(c AS DOUBLE) AS "rho_V", p AS past
@@ -630,6 +718,39 @@ def pivot_sweep(spark, d):
     return reporting.pivoted(_runs(spark, d), "setting", ["BUILDING", "MACHINERY"])
 
 
+@query(f"""WITH {_RUNS} SELECT setting, {', '.join(f"round({f}(\"MAE\") FILTER (\"Method\" = '{m}'), 6) AS \"{m}_{n}\"" for m in ("BUILDING", "MACHINERY") for f, n in (("avg", "mean"), ("stddev_samp", "std")))} FROM runs GROUP BY setting""")
+def sweep_curves(spark, d):
+    return reporting.sweep(_runs(spark, d), "setting", ["BUILDING", "MACHINERY"])
+
+
+@query(f"""WITH {_RUNS}, e AS (SELECT "Method", setting, avg("MAE") AS m, stddev_samp("MAE") AS s FROM runs GROUP BY ALL) SELECT "Method", setting, round(m, 6) AS mean, round(m - s, 6) AS low, round(m + s, 6) AS high FROM e""")
+def sweep_bands(spark, d):
+    return reporting.bands(_runs(spark, d), "setting")
+
+
+@query("SELECT CAST(least(floor((value - 0) / 12.5), 39) AS INT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1")
+def value_histogram(spark, d):
+    return reporting.histogram(table(spark, d, "events"), "value", 0.0, 500.0, 40)
+
+
+@query("""SELECT l_returnflag AS "Method", l_linenumber AS setting, round(avg(l_extendedprice) / 1000, 6) AS seconds FROM lineitem GROUP BY ALL""")
+def timing_table(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("Method"), F.col("l_linenumber").alias("setting"), F.col("l_extendedprice").alias("Time"))
+    return reporting.timings(rows, "setting")
+
+
+@query(f"""WITH {_RUNS} SELECT setting, "Method", unit, split, round("MAE", 6) AS "MAE", CASE "Method" WHEN 'BUILDING' THEN 'Builders' WHEN 'MACHINERY' THEN 'Makers' ELSE "Method" END AS label FROM runs""")
+def method_labels(spark, d):
+    return reporting.labelled(_runs(spark, d), {"BUILDING": "Builders", "MACHINERY": "Makers"})
+
+
+@query(f"""WITH {sql.PANEL}, c AS (SELECT series, t, y, lag(y) OVER (PARTITION BY series ORDER BY t) AS p FROM panel)
+SELECT series, count(y) AS n, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS std, min(y) AS low, max(y) AS high, round(sum(y * y), 4) AS energy, round(avg(y - p), 6) AS mean_change,
+  round(avg(abs(y - p)), 6) AS mean_abs_change, round(corr(y, p), 6) AS autocorrelation, round(covar_pop(t, y) / var_pop(t), 6) AS slope FROM c GROUP BY series""")
+def series_features(spark, d):
+    return reporting.features(wide_panel(spark, d)).withColumn("energy", F.round("energy", 4))
+
+
 @query(f"""WITH {_RUNS}, e AS (SELECT "Method", unit, setting, avg("MAE") AS mean, stddev_samp("MAE") AS std FROM runs GROUP BY ALL) SELECT "Method", unit, round(mean, 6) AS mean, round(std, 6) AS std FROM e QUALIFY row_number() OVER (PARTITION BY "Method", unit ORDER BY mean, setting) = 1""")
 def min_over_rho(spark, d):
     return reporting.best_setting(_runs(spark, d), ["Method", "unit"], "setting")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tideweave.operators import learners, metrics, online
 from tideweave.operators.lags import lag_matrix, storm_lags
 from tideweave.operators.learners import Penalty
 from tideweave.operators.prep import Split, standardised, testing, training
+from tideweave.operators.reporting import PASTS, RHOS, combo
 from tideweave.operators.segments import long_storms, renumbered
 
 METHODS = (
@@ -129,25 +132,67 @@ def results_table(panel: DataFrame, settings: Settings, elapsed_ms: int = 0) ->
     )
 
 
-def grid_scores(panel: DataFrame, split: Split, penalties: list[Penalty], pasts: tuple[int, ...], members: int = 6) -> DataFrame:
-    """MAE and RMSE of the adaptive ridge for every penalty and length of the lags: series, past, combo, mae, rmse.
+def setting_of(index: int, settings: Settings) -> Settings:
+    """The settings, with the penalties and the length of the lags of a number of the grid in place of their own."""
+    rho_beta, rho, rho_v, past = combo(index)
+    return replace(settings, penalty=Penalty(rho_beta, rho, rho_v), split=replace(settings.split, past=past))
 
-    The Gram matrices are shared: for each length of the lags one pass over the training rows serves all penalties.
+
+#: Test rows that one task scores, for all penalties at once.
+SCORED = 20_000
+
+
+def grid_scores(panel: DataFrame, split: Split, indexes: list[int] | None = None, members: int = 6) -> DataFrame:
+    """series, param_combo, n, mae, rmse of the adaptive ridge for numbers of the grid (None: all 500), for every series.
+
+    Settings that differ in penalties only share the Gram matrix and the lag vectors: for each length of the lags one pass over the
+    training rows serves all fits, and one over the test rows all scores, as a product of features and weights; a task gives sums of
+    errors, not errors. Test rows of a series are dealt out in stretches of SCORED rows, each with the series' weights.
     """
+    chosen = {k: combo(k) for k in (indexes or range(1, len(RHOS) ** 3 * len(PASTS) + 1))}
     out = []
-    for past in pasts:
-        s = Settings(Split(split.fraction, past, split.num_past, split.val), members=members)
-        rows = relevant(standardised(panel, s.split), s.split).persist()
-        lagged = with_lags(rows, s, "value")
+    for past in sorted({c[3] for c in chosen.values()}):
+        s = Settings(replace(split, past=past), members=members)
+        fits = [(str(k), Penalty(*c[:3])) for k, c in chosen.items() if c[3] == past]
+        lagged = with_lags(relevant(standardised(panel, s.split), s.split), s, "value")
         data = training(lagged).filter(F.col("t") >= F.col("first") + past)
-        params = learners.adaptive_ridge(data.select("series", "x", "y", "z"), [(str(k), p) for k, p in enumerate(penalties)])
-        scored = online.adaptive_weights(testing(lagged), params, z_width(s))
-        err = F.col("y_true") - (online.dot("x", "beta") * F.col("sigma") + F.col("mu"))
-        part = scored.select("series", F.col("method").cast("int").alias("combo"), err.alias("err"))
-        out.append(part.groupBy("series", "combo").agg(metrics.mae(F.col("err")).alias("mae"), metrics.rmse(F.col("err")).alias("rmse")).withColumn("past", F.lit(past)))
+        params = learners.adaptive_ridge(data.select("series", "x", "y", "z"), fits).select("series", "method", "theta")
+        stretch = F.floor(F.col("t") / SCORED).cast("int")
+        rows = testing(lagged).select("series", stretch.alias("stretch"), "x", "z", "y_true", "mu", "sigma")
+        parts = rows.select(F.col("series").alias("of"), F.col("stretch").alias("at")).distinct()
+        weights = params.join(parts, F.col("series") == F.col("of")).select("of", "at", "method", "theta")
+        sums = rows.groupBy("series", "stretch").cogroup(weights.groupBy("of", "at")).applyInArrow(_score, SCORES)
+        total = sums.groupBy("series", "param_combo").agg(F.sum("n").alias("n"), F.sum("absolute").alias("a"), F.sum("square").alias("q"))
+        out.append(total.select("series", "param_combo", "n", F.try_divide("a", "n").alias("mae"), F.sqrt(F.try_divide("q", "n")).alias("rmse")))
     return reduce(DataFrame.unionByName, out)
 
 
+SCORES = "series string, param_combo int, n long, absolute double, square double"
+
+
+def _score(key: tuple, rows: pa.Table, params: pa.Table) -> pa.Table:
+    """Sums of errors of a stretch of test rows, for all weights of its series."""
+    n = rows.num_rows
+    if not n or not params.num_rows:
+        return pa.table({"series": pa.array([], pa.string()), "param_combo": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "absolute": pa.array([], pa.float64()), "square": pa.array([], pa.float64())})
+    flat = lambda t, c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in t.column(c).chunks]).reshape(t.num_rows, -1)
+    x, z, theta = flat(rows, "x"), flat(rows, "z"), flat(params, "theta")
+    w = np.column_stack([np.ones(n), z])
+    y, mu, sigma = (rows.column(c).to_numpy() for c in ("y_true", "mu", "sigma"))
+    absolute, square = np.zeros(len(theta)), np.zeros(len(theta))
+    for low in range(0, n, 2048):
+        part = slice(low, low + 2048)
+        f = (x[part, :, None] * w[part, None, :]).reshape(len(x[part]), -1)
+        err = y[part, None] - ((f @ theta.T) * sigma[part, None] + mu[part, None])
+        absolute += np.abs(err).sum(axis=0)
+        square += (err * err).sum(axis=0)
+    names = params.column("method").to_pylist()
+    return pa.table({
+        "series": pa.array([key[0].as_py()] * len(names), pa.string()), "param_combo": pa.array([int(m) for m in names], pa.int32()),
+        "n": pa.array([n] * len(names), pa.int64()), "absolute": pa.array(absolute), "square": pa.array(square),
+    })
+
+
 def storm_errors(rows: DataFrame, settings: Settings, delay: int = 4) -> DataFrame:
     """The eight methods on storms, whose targets are known `delay` rows later.
 

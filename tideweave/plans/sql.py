@@ -103,3 +103,36 @@ def user_storms() -> str:
 recs AS (SELECT CAST(user_id AS VARCHAR) AS series, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, CAST(day(ts) AS INT) AS days,
   CAST(hour(ts) // 6 * 6 AS INT) AS hours, value AS y, value / 10 AS current_speed FROM events),
 lagged AS""" + storms().partition("lagged AS")[2]
+
+
+def cramer(a: dict[tuple[int, int], str], b: list[str]) -> list[str]:
+    """The solution of a symmetric system of three equations by Cramer's rule; a holds the entries i <= j."""
+    e = lambda i, j: f"({a[min(i, j), max(i, j)]})"
+
+    def determinant(column: int | None) -> str:
+        v = lambda i, j: f"({b[i]})" if j == column else e(i, j)
+        return (
+            f"({v(0, 0)} * ({v(1, 1)} * {v(2, 2)} - {v(1, 2)} * {v(2, 1)}) - {v(0, 1)} * ({v(1, 0)} * {v(2, 2)} - {v(1, 2)} * {v(2, 0)})"
+            f" + {v(0, 2)} * ({v(1, 0)} * {v(2, 1)} - {v(1, 1)} * {v(2, 0)}))"
+        )
+
+    return [f"{determinant(k)} / {determinant(None)}" for k in range(3)]
+
+
+def adaptive(rule: str) -> str:
+    """CTE ad: training rows of m1 with the lag vector (z1, z2) of one row, k from 1: the last value and target, or the last error and 1."""
+    z = "lag(m1) OVER w AS z1, lag(y) OVER w AS z2" if rule == "value" else "lag(m1) OVER w - lag(y) OVER w AS z1, 1.0 AS z2"
+    return f"""
+ad AS (SELECT *, 1.0 AS w0, z1 AS w1, z2 AS w2, t - first AS k FROM (
+  SELECT series, t, first, last, m1, y, {z} FROM std WINDOW w AS (PARTITION BY series ORDER BY t)) WHERE t BETWEEN first + 1 AND last)"""
+
+
+def adaptive_system(penalty: dict[tuple[int, int], str], source: str = "ad", extra: str = "") -> str:
+    """SELECT of series and the weights v0, v1, v2 of m1 over w0, w1, w2: mean products, and the given penalties on top (SQL over the
+    columns of source, aggregated)."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums = ", ".join(f"avg(m1 * w{i} * m1 * w{j}) + {penalty.get((i, j), '0')} AS a{i}{j}" for i, j in pairs)
+    right = ", ".join(f"avg(m1 * w{i} * y) AS b{i}" for i in range(3))
+    solved = cramer({(i, j): f"a{i}{j}" for i, j in pairs}, ["b0", "b1", "b2"])
+    values = ", ".join(f"round({v}, 6) AS v{k}" for k, v in enumerate(solved))
+    return f"SELECT series{extra}, {values} FROM (SELECT series, {sums}, {right} FROM {source} GROUP BY series)"
