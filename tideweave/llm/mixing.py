@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideweave.llm.common import small_batches, stored, table
+from tideweave.llm.common import looked_up, small_batches, stored, table
 
 #: Words of a block.
 BLOCK = 64
@@ -174,8 +174,8 @@ def slots(spark: SparkSession, plan: Plan) -> DataFrame:
 def lay_out(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, whole: bool = False, shard_slots: int = SHARD_SLOTS
 ) -> tuple[DataFrame, Plan]:
-    """id, source, source_no, size, begin (where the document's words lie in its source), key1, key2 of every row; and the
-    plan of the mix. The keys are hashes of the text, with whole of the whole row."""
+    """id, source, source_no, size, begin (where the document's words lie in its source), key1, key2, many (rows that equal it,
+    itself included) of every row; and the plan of the mix. The keys are hashes of the text, with whole of the whole row."""
     spark = docs.sparkSession
     narrow = docs.select(docs[id_col].alias(id_col), docs[source_col].cast("string").alias("source"), n_words(docs[text_col]).alias("size"), *keys(docs, docs.columns if whole else [text_col]))
     narrow = stored(narrow, "mix-rows")
@@ -197,7 +197,7 @@ def lay_out(
     copies = copies.repartition("source_no", "begin", "stretch")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.col("stretch") * DEALT, F.least((F.col("stretch") + 1) * DEALT, F.col("many")) - 1)))
     copies = copies.withColumn("begin", F.col("begin") + F.col("copy") * F.col("size")).drop("copy", "stretch")
-    return stored(laid.filter("many = 1").unionByName(copies).drop("many"), "mix"), plan
+    return stored(laid.filter("many = 1").unionByName(copies), "mix"), plan
 
 
 def mix(placed: DataFrame, plan: Plan) -> DataFrame:
@@ -220,10 +220,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed, plan = lay_out(docs, id_col, text_col, source_col, whole=True)
     taken = mix(placed, plan).select("source_no", "begin", F.explode("passes").alias("pass_no"), "low", "high")
     taken = taken.groupBy("source_no", "begin", "pass_no").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
-    runs = placed.filter("size > 0").select("source_no", "begin", "key1", "key2").join(taken.hint("merge"), ["source_no", "begin"]).select("key1", "key2", "runs")
-    # equal rows hold the same text: one of them meets the runs of all
-    rows = docs.select(*keys(docs, docs.columns), F.struct(*docs.columns).alias("row")).dropDuplicates(["key1", "key2"])
-    met = rows.join(runs.hint("merge"), ["key1", "key2"]).select("row.*", "runs")
+    own = placed.filter("size > 0").select("source_no", "begin", "key1", "key2", "many")
+    runs = stored(own.join(taken.hint("merge"), ["source_no", "begin"]).select("key1", "key2", "many", "runs"), "mix-runs")
+    keyed = docs.select(*keys(docs, docs.columns), F.struct(*docs.columns).alias("row"))
+    # a row of its own has a run for each pass at most: the runs are the hashed side, and texts needn't be sorted
+    met = keyed.join(runs.filter("many = 1").hint("shuffle_hash"), ["key1", "key2"]).select("row.*", "runs")
+    copied = runs.filter("many > 1").select("key1", "key2").distinct()
+    if n_copied := copied.count():  # equal rows hold the same text: one of them meets the runs of all
+        one = looked_up(keyed, copied, n_copied, ["key1", "key2"]).dropDuplicates(["key1", "key2"])
+        met = met.unionByName(one.join(runs.filter("many > 1").hint("merge"), ["key1", "key2"]).select("row.*", "runs"))
     names, at, chars = docs.columns, docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

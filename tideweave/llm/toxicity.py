@@ -64,8 +64,8 @@ EDGES = np.array([-0.5, -0.2, 0.1, 0.4, 0.7, 1.0])
 SKETCH = 12
 #: Margin from which a window is also read with one letter left out, and what that costs.
 NEAR, INSERTED = -0.8, 0.45
-#: Words whose margins a worker remembers.
-REMEMBERED = 300_000
+#: Words whose margins a worker remembers, and texts that it reads at once.
+REMEMBERED, SLICE = 200_000, 64
 #: What digits and marks inside a word are read as.
 LIKE = str.maketrans("013457@$", "oieastas")
 
@@ -318,7 +318,11 @@ class Model:
         return out
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
-        """What the curve reads of each text."""
+        """What the curve reads of each text; a few texts at a time, so that a worker stays small."""
+        parts = [self._counts(texts[k : k + SLICE]) for k in range(0, len(texts), SLICE)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(EDGES) + 1))
+
+    def _counts(self, texts: list[str | None]) -> np.ndarray:
         memory, low = self.memory, EDGES[0]
         lowered = [(t or "").lower() for t in texts]
         listed = [t.split() for t in lowered]
@@ -336,7 +340,7 @@ class Model:
         out = np.array([reached(np.array([m for w in ws if (m := memory[w]) >= low]), len(all_)) for ws, all_ in zip(words, listed)])
         if len(memory) > REMEMBERED:
             memory.clear()
-        return out.reshape(len(texts), len(EDGES) + 1)
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return chance(self.counts(texts) @ self.slopes, (1.0, self.base)) if self.fitted else np.full(len(texts), 0.5)
