@@ -1,4 +1,4 @@
-"""Personal data in texts, with Spark SQL functions only.
+"""Personal data and secrets in texts, with Spark SQL functions only.
 
 Regular expressions propose spans, checksums (Luhn, mod 97) and range checks confirm them, words close before a
 span adjust its score. All work is a projection of the text column: no shuffle, no Python.
@@ -98,6 +98,12 @@ KINDS = (
         "left(m, 3) NOT IN ('000', '666') AND substring(m, 5, 2) <> '00' AND right(m, 4) <> '0000'",
         0.3, "ssn|social|security|passport", False,
     ),
+    Kind(
+        "secret", "instr({t}, 'AKIA') > 0 OR rlike({t}, '[=:]')",
+        r"(?:[Tt]oken|TOKEN|[Pp]assword|PASSWORD|[Ss]ecret|SECRET|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?[\x22\x27]?[A-Za-z0-9_/+-]{16,}|AKIA[0-9A-Z]{16}",
+        r"(?:[Tt]oken|TOKEN|[Pp]assword|PASSWORD|[Ss]ecret|SECRET|[Aa]pi_?[Kk]ey|API_?KEY) ?[=:] ?[\x22\x27]?[A-Za-z0-9_/+-]{16,}|AKIA[0-9A-Z]{16}",
+        "true", 0.7, "key|access|login|credential", False,
+    ),
 )
 
 
@@ -139,14 +145,16 @@ def _joined(parts: str) -> str:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digests of the spans of every document."""
+    """Counts and digests of the spans of every document, and the highest of their scores (0 without spans)."""
     spans = pii_spans(table(spark, sf_dir, "documents"))
-    base = f"concat({', '.join(k.name for k in KINDS if k.base)})"
+    base, every = (f"concat({', '.join(k.name for k in KINDS if k.base or part)})" for part in (False, True))
     return spans.select(
         "doc_id",
         *(F.expr(f"bigint(size({k.name}))").alias(f"n_{k.name}") for k in KINDS if k.base),
         F.expr(f"sha2({_joined(base)}, 256)").alias("base_sha256"),
-        F.expr(_joined(f"concat({', '.join(k.name for k in KINDS)})")).alias("spans"),
+        F.expr(_joined(every)).alias("spans"),
+        F.expr(f"bigint(size({every}))").alias("n_spans"),
+        F.expr(f"round(coalesce(array_max(transform({every}, s -> s.score)), 0D), 2)").alias("max_score"),
     )
 
 
@@ -163,12 +171,14 @@ def _oracle() -> str:
         "phone": f"length({digits}) BETWEEN 9 AND 15",
         "iban": f"CASE WHEN length({bare}) BETWEEN 15 AND 34 THEN {mod} ELSE false END",
         "nid": "left(m, 3) NOT IN ('000', '666') AND substring(m, 5, 2) <> '00' AND right(m, 4) <> '0000'",
+        "secret": "true",
     }
     parts = []
     for n, k in enumerate(KINDS):
-        score = "" if k.base or k.score >= KEEP else f" AND regexp_matches(lower(substring(txt, greatest(b - {NEAR - 1}, 1), least(b, {NEAR}))), '\\b(?:{k.words})')"
+        near = f"regexp_matches(lower(substring(txt, greatest(b - {NEAR - 1}, 1), least(b, {NEAR}))), '\\b(?:{k.words})')"
+        score = "" if k.base or k.score >= KEEP else f" AND {near}"
         parts.append(
-            f"SELECT row, {n} AS kind_no, '{k.name}' AS kind, b, b + length(m) AS e FROM ("
+            f"SELECT row, {n} AS kind_no, '{k.name}' AS kind, b, b + length(m) AS e, {k.score} + CASE WHEN {near} THEN {min(0.4, round(1 - k.score, 2))} ELSE 0 END AS score FROM ("
             "SELECT row, txt, found[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS INT) AS b FROM ("
             f"SELECT row, txt, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM (SELECT row, txt, regexp_extract_all(txt, '{k.plain}') AS found, string_split_regex(txt, '{k.plain}') AS gaps FROM d))) WHERE {valid[k.name]}{score}"
         )
@@ -179,9 +189,10 @@ WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS txt
 s AS ({' UNION ALL '.join(parts)}),
 g AS (SELECT row, {counts},
   coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY kind_no, b) FILTER (kind IN ({bases})), '') AS base,
-  string_agg(kind || ':' || b || ':' || e, ',' ORDER BY kind_no, b) AS spans FROM s GROUP BY row)
+  string_agg(kind || ':' || b || ':' || e, ',' ORDER BY kind_no, b) AS spans, count(*) AS n_spans, max(score) AS max_score FROM s GROUP BY row)
 SELECT doc_id, {', '.join(f'coalesce(n_{k.name}, 0) AS n_{k.name}' for k in KINDS if k.base)},
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_spans, 0) AS n_spans, CAST(round(coalesce(max_score, 0), 2) AS DOUBLE) AS max_score
 FROM d LEFT JOIN g USING (row)
 """
 
