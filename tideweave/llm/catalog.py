@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
+        "mix_targets": mixing.mix_targets,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict:
         "op6_shard": sharding.ORACLE_SQL,
         "op7_jaccard": jaccard.ORACLE_SQL,
         "op9_pii": pii.ORACLE_SQL,
+        "mix_targets": mixing.TARGETS_SQL,
     }

@@ -242,9 +242,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+WITH RECURSIVE every AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: coalesce(x, 0)) AS v,
     label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings),
+e AS (SELECT vec_id, label, usable, CASE WHEN usable THEN v END AS v FROM every),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id AND x.usable AND y.usable
           WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)

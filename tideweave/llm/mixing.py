@@ -268,3 +268,22 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
         F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
     )
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the mix: every document's size, and its source's size and target."""
+    placed, plan = lay_out(table(spark, sf_dir, "documents"))
+    known = plan.frame(spark).select("source_no", "source_size", F.round("target", 6).alias("target"))
+    return placed.join(known, "source_no").select("doc_id", "size", "source_size", "target")
+
+
+#: Sources in the order in which they reach their caps: each takes its share of what is left, or its cap.
+TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, source IS NULL, source) AS k, sum(weight) OVER () AS w, sum(source_size) OVER () AS n FROM s),
+t AS (SELECT 0::BIGINT AS k, max(n)::DOUBLE AS left_, max(w)::DOUBLE AS weights, NULL::VARCHAR AS source, 0::BIGINT AS source_size, 0::DOUBLE AS target FROM o
+  UNION ALL SELECT o.k, t.left_ - least(3.0 * o.source_size, t.left_ * o.weight / t.weights), t.weights - o.weight, o.source, o.source_size, least(3.0 * o.source_size, t.left_ * o.weight / t.weights)
+  FROM t JOIN o ON o.k = t.k + 1)
+SELECT doc_id, size, source_size, round(target, 6) AS target FROM d JOIN t ON t.k > 0 AND t.source IS NOT DISTINCT FROM d.source
+"""
