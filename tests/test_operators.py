@@ -231,6 +231,46 @@ def test_stream_equals_batch_updates(spark, tmp_path):
     assert seen >= 10
 
 
+def test_streamed_weights_equal_batch_weights(spark, tmp_path):
+    from tideweave.operators.online import exponential_weights
+
+    r = np.random.default_rng(4)
+    rows = [(s, t, [1.0, *map(float, r.normal(size=3))], float(r.normal())) for s in "ab" for t in range(1, 31)]
+    schema = "series string, t long, x array<double>, y double"
+    for k in range(3):
+        spark.createDataFrame([x for x in rows if (x[1] - 1) // 10 == k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live.stream_exponential_weights(source, 5).writeStream.format("memory").queryName("hedge").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    batch = exponential_weights(spark.createDataFrame(rows, schema), 3, 5)
+    want = {(x["series"], x["t"]): x["beta"] for x in batch.collect()}
+    got = {(x["series"], x["t"]): x["beta"] for x in spark.table("hedge").collect()}
+    assert len(got) >= 20 and all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
+
+
+def test_retrained_weights_equal_separate_fits(spark):
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=(40, 3)), r.normal(size=40)
+    frame = spark.createDataFrame([("s", k + 1, x[k].tolist(), float(y[k])) for k in range(40)], "series string, t long, x array<double>, y double")
+    for row in learners.rolling_ridge(frame, 10, 0.2, 3, 3).collect():
+        at = slice(max(0, row["t"] - 11), row["t"] - 1)
+        n = len(y[at])
+        assert np.allclose(row["beta"], np.linalg.solve(x[at].T @ x[at] / n + 0.2 * np.eye(3), x[at].T @ y[at] / n))
+
+
+def test_tail_risk_over_many_magnitudes(spark):
+    from tideweave.operators import metrics
+
+    r = np.random.default_rng(7)
+    e = {"a": np.exp(r.normal(size=700) * 8), "b": np.zeros(50), "c": np.repeat([0.0, 2.0, 1e-9], 40), None: r.normal(size=33)}
+    rows = spark.createDataFrame([(s, "m", float(v)) for s, vs in e.items() for v in vs], "series string, method string, err double").repartition(5)
+    for row in metrics.cvar(rows, (0.01, 0.05, 0.5, 1.0)).collect():
+        loss = np.abs(e[row["series"]])
+        for a, name in ((0.01, "cvar_01"), (0.05, "cvar_05"), (0.5, "cvar_50"), (1.0, "cvar_100")):
+            assert np.isclose(row[name], robust.tail_mean(loss, a), rtol=1e-9)
+
+
 def test_entry_without_the_corpus_operators(tmp_path):
     code = (
         "import sys; sys.path.insert(0, %r)\n"

@@ -278,25 +278,33 @@ def stable_part_ridge(rows: DataFrame, rho: float, rho_v: float, stable: int, me
     return _fitted(gram(data, extra="late"), [(method, fit)])
 
 
-def rolling_ridge(panel: DataFrame, window: int, rho: float, first: int) -> DataFrame:
-    """series, t, beta: ridge weights fitted anew on the `window` rows before each row t >= first."""
+def rolling_ridge(panel: DataFrame, window: int, rho: float, first: int, width: int) -> DataFrame:
+    """series, t, beta: ridge weights fitted anew on the `window` rows before each row t >= first; width: elements of x.
+
+    Frames add up products; a row carries its sums to the solve, not the rows of its frame.
+    """
     from tideweave.operators.windows import blocked
 
     schema = T.StructType([T.StructField("series", T.StringType()), T.StructField("t", T.LongType()), T.StructField("beta", T.ArrayType(T.DoubleType()))])
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    element = lambda k: F.get("x", F.lit(k))
+    terms = [element(i) * element(j) for i, j in pairs] + [element(i) * F.col("y") for i in range(width)]
 
     def work(frame, w):
-        return frame.withColumn("_rows", F.collect_list(F.struct("x", "y")).over(w.rowsBetween(-window, -1)))
+        before = w.rowsBetween(-window, -1)
+        frame = frame.withColumns({f"_p{k}": p for k, p in enumerate(terms)})
+        return frame.select("series", "t", "_block", F.count("y").over(before).alias("_n"), F.array(*(F.sum(f"_p{k}").over(before) for k in range(len(terms)))).alias("_sums"))
 
     def fit(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = np.array([i * width + j for i, j in pairs])
         for b in source:
-            betas = []
-            for rows in b.column(2).to_pylist():
-                if not rows:
-                    betas.append(None)
-                    continue
-                x, y = np.array([r["x"] for r in rows], np.float64), np.array([r["y"] for r in rows], np.float64)
-                betas.append(solve(x.T @ x / len(y) + rho * np.eye(x.shape[1]), x.T @ y / len(y)).tolist())
+            n, sums = b.column(2).to_numpy().astype(float), b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            a = np.zeros((b.num_rows, width * width))
+            a[:, upper] = sums[:, : len(pairs)]
+            a = a.reshape(-1, width, width)
+            a = (a + np.triu(a, 1).transpose(0, 2, 1)) / n[:, None, None] + rho * np.eye(width)
+            betas = [solve(m, v).tolist() for m, v in zip(a, sums[:, len(pairs) :] / n[:, None])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(betas, pa.list_(pa.float64()))], names=["series", "t", "beta"])
 
-    rows = blocked(panel, window, work).filter(F.col("t") >= first).select("series", "t", "_rows")
-    return rows.mapInArrow(fit, schema)
+    rows = blocked(panel, window, work).filter(F.col("t") >= first).filter("_n > 0")
+    return rows.select("series", "t", "_n", "_sums").mapInArrow(fit, schema)

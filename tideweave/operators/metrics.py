@@ -31,23 +31,35 @@ def scores(errors: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return errors.groupBy(*keys).agg(F.count("*").alias("n"), mae(e).alias("mae"), mape(e, y).alias("mape"), rmse(e).alias("rmse"), r2(e, y).alias("r2"))
 
 
+#: Buckets of losses for each power of two: a bucket's width is under a thousandth of its losses.
+FINE = 1024
+
+
 def cvar(errors: DataFrame, alphas: tuple[float, ...] = (0.05, 0.15), keys: tuple[str, ...] = KEYS, loss: Column | None = None) -> DataFrame:
-    """For each key and alpha the least over tau of tau + sum(max(loss - tau, 0)) / (alpha * n).
+    """For each key and alpha the least over tau of tau + sum(max(loss - tau, 0)) / (alpha * n). Losses aren't negative.
 
-    The least is taken at the ceil(alpha * n)-th largest loss. Equal losses are counted together first, so that the
-    sort is over distinct losses only.
+    The least is taken at the ceil(alpha * n)-th largest loss. Equal losses are counted together; a histogram of the counts,
+    by buckets of the logarithm, tells in which bucket that loss lies and what the buckets above it hold; only that bucket's
+    losses are sorted, so that no key's losses meet in one task. Both parts read the same shuffled counts.
     """
     at = loss if loss is not None else F.abs("err")
-    counted = errors.groupBy(*keys, at.alias("_e")).agg(F.count("*").alias("_c"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("_e"))
-    whole = Window.partitionBy(*keys)
-    ranked = counted.withColumns({"_n": F.sum("_c").over(whole), "_to": F.sum("_c").over(above)})
-    out = []
-    for a in alphas:
-        k = a * F.col("_n")
-        share = F.greatest(F.least(F.col("_to").cast("double"), k) - (F.col("_to") - F.col("_c")), F.lit(0.0))
-        out.append((F.sum(share * F.col("_e")) / F.first(k)).alias(f"cvar_{round(a * 100):02d}"))
-    return ranked.groupBy(*keys).agg(*out)
+    counted = errors.groupBy(*keys, at.alias("_e")).agg(F.count("*").alias("_c")).filter("_e IS NOT NULL")
+    counted = counted.withColumn("_b", F.coalesce(F.floor(F.log2("_e") * FINE), F.lit(-(1 << 40))))
+    histogram = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"), F.sum(F.col("_c") * F.col("_e")).alias("_s"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_b"))
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = histogram.withColumns(
+        {"_n": F.sum("_m").over(Window.partitionBy(*keys)), "_over": F.coalesce(F.sum("_m").over(before), F.lit(0)), "_above": F.coalesce(F.sum("_s").over(before), F.lit(0.0))}
+    )
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("no"), (F.lit(a) * F.col("_n")).alias("k")) for k, a in enumerate(alphas)))).alias("_a")
+    cuts = ranked.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)), F.col("_b").alias("_at"), "_m", "_over", "_above", each).filter("_over < _a.k AND _a.k <= _over + _m")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(keys)] + [F.col("_b") == F.col("_at")]
+    inner = counted.join(cuts, same).select(*keys, "_e", "_c", "_over", "_above", "_a")
+    to = F.col("_over") + F.sum("_c").over(Window.partitionBy(*keys, "_a.no").orderBy(F.desc("_e")))
+    share = F.greatest(F.least(F.col("_to").cast("double"), F.col("_a.k")) - (F.col("_to") - F.col("_c")), F.lit(0.0))
+    part = inner.withColumn("_to", to).groupBy(*keys, "_a").agg((F.first("_above") + F.sum(share * F.col("_e"))).alias("_v"))
+    own = [F.max(F.when(F.col("_a.no") == k, F.col("_v") / F.col("_a.k"))).alias(f"cvar_{round(a * 100):02d}") for k, a in enumerate(alphas)]
+    return part.groupBy(*keys).agg(*own)
 
 
 def exceedances(errors: DataFrame, bounds: tuple[float, ...] = (1.5, 2.0, 2.5, 3.0), keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -571,7 +571,7 @@ SELECT series, t, round((c * b - a * e) / (1.1 * b - a * a), 6) AS b0, round((1.
 def rolling_ridge(spark, d, s=SETTINGS):
     rows = _relevant(spark, d, s).withColumn("x", F.slice("x", 1, 2))
     tests = prep.testing(rows).select("series", "t")
-    beta = learners.rolling_ridge(rows.select("series", "t", "x", "y"), 30, 0.1, 2).join(tests, ["series", "t"], "left_semi")
+    beta = learners.rolling_ridge(rows.select("series", "t", "x", "y"), 30, 0.1, 2, 2).join(tests, ["series", "t"], "left_semi")
     return beta.select("series", "t", F.get("beta", F.lit(0)).alias("b0"), F.get("beta", F.lit(1)).alias("b1"))
 
 
@@ -580,7 +580,7 @@ def rolling_ridge(spark, d, s=SETTINGS):
 SELECT series, t, round(y_true - (((c * b - a * e) + (1.1 * e - a * c) * m1) / (1.1 * b - a * a) * sigma + mu), 6) AS err FROM g WHERE t > split + 1 AND t <= end_""", whole=True)
 def retrained_errors(spark, d, s=SETTINGS):
     rows = _relevant(spark, d, s).withColumn("x", F.slice("x", 1, 2))
-    beta = learners.rolling_ridge(rows.select("series", "t", "x", "y"), 30, 0.1, 2)
+    beta = learners.rolling_ridge(rows.select("series", "t", "x", "y"), 30, 0.1, 2, 2)
     return online.weighted(prep.testing(rows).join(beta, ["series", "t"]), "retrained").select("series", "t", "err")
 
 
