@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Rows that Spark hands to Python at once; texts are long, so few rows make a batch.
 ARROW_ROWS = 512
 #: Entries of a table that looked_up() broadcasts, at most (some MB); copies of an entry in its shuffle otherwise.
-BROADCAST_ROWS, SALT = 100_000, 32
+BROADCAST_ROWS, SALT = 30_000, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

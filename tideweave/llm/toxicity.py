@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -63,9 +63,9 @@ EDGES = np.array([-0.5, -0.2, 0.1, 0.4, 0.7, 1.0])
 #: Hashes of a sketch.
 SKETCH = 12
 #: Margin from which a window is also read with one letter left out, and what that costs.
-NEAR, INSERTED = -0.8, 0.45
+NEAR, INSERTED = -0.6, 0.15
 #: Words whose margins a worker remembers, and texts that it reads at once.
-REMEMBERED, SLICE = 200_000, 64
+REMEMBERED, SLICE = 200_000, 128
 #: What digits and marks inside a word are read as.
 LIKE = str.maketrans("013457@$", "oieastas")
 
@@ -131,7 +131,7 @@ def self_kernel(c: np.ndarray) -> np.ndarray:
     return total
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=12_000)
 def embed(window: str) -> tuple[np.ndarray, np.ndarray]:
     """A window's normalised weights of subsequences: places and values."""
     (_, c), = codes([window]).values()
@@ -166,11 +166,25 @@ class Sample:
     y has the labels, share what each row stands for among all labelled rows of its class.
     """
 
-    def __init__(self, bags: list[list[str]], lengths: np.ndarray, sketches: np.ndarray, y: np.ndarray, share: np.ndarray):
-        self.words = sorted({w for b in bags for w in b})
-        index = {w: k for k, w in enumerate(self.words)}
+    def __init__(self, bags: Iterable[list[str]], lengths: np.ndarray, sketches: np.ndarray, y: np.ndarray, share: np.ndarray):
+        # the bags may stream in: their words are held once
+        index: dict[str, int] = {}
+        held = [np.array([index.setdefault(w, len(index)) for w in b], np.int32) for b in bags]
+        self._prepare(index, held, lengths, sketches, y, share)
+
+    @classmethod
+    def of_rows(cls, index: dict[str, int], held: list[np.ndarray], *rest: np.ndarray) -> Sample:
+        """The same of texts whose windows are numbers already: index has the number of each window."""
+        out = cls.__new__(cls)
+        out._prepare(index, held, *rest)
+        return out
+
+    def _prepare(self, index, held, lengths, sketches, y, share):
+        self.words = sorted(index)
+        place = np.empty(len(index), np.int32)
+        place[[index[w] for w in self.words]] = np.arange(len(index), dtype=np.int32)
+        self.held = [np.sort(place[h]) for h in held]
         self.places, self.starts = runs_of(self.words)
-        self.held = [np.array([index[w] for w in b], np.int64) for b in bags]
         self.runs = [np.unique(np.concatenate([self.places[self.starts[k] : self.starts[k + 1]] for k in b])) if len(b) else self.places[:0] for b in self.held]
         self.lengths, self.y, self.share = lengths, y, share
         # a text weighs one through the (estimated) number of its near copies, so that a group of copies is no evidence for its words
@@ -291,7 +305,7 @@ class Model:
         cost = np.minimum(cost / cost.mean(), 10.0)
         cost[positive] *= max(1.0, cost[~positive].sum() / cost[positive].sum() / 2)
         words = [sample.words[k] for k in chosen]
-        first = np.flatnonzero(positive)[np.argsort(-cost[positive], kind="stable")][: 5 * LANDMARKS]
+        first = np.flatnonzero(positive)[np.argsort(-cost[positive], kind="stable")][: 4 * LANDMARKS]
         marks = landmarks([words[k] for k in first], np.sqrt(cost[first]), LANDMARKS * 3 // 4)
         marks += [words[k] for k in np.flatnonzero(~positive)[: LANDMARKS - len(marks)]]
         held, column, used = _dense(marks)
@@ -310,9 +324,10 @@ class Model:
     def tolerant(self, windows: list[str]) -> np.ndarray:
         """Margins; a window close to the insults is also read with each one of its letters left out."""
         out = margins(windows, self.weights, self.bias)
-        near = [k for k in np.flatnonzero((out > NEAR) & (out < 0)) if len(windows[k]) > 4]
-        less = [windows[k][:i] + windows[k][i + 1 :] for k in near for i in range(len(windows[k]))]
-        if less:
+        every = [k for k in np.flatnonzero((out > NEAR) & (out < 0)).tolist() if len(windows[k]) > 4]
+        for low in range(0, len(every), 4096):
+            near = every[low : low + 4096]
+            less = [windows[k][:i] + windows[k][i + 1 :] for k in near for i in range(len(windows[k]))]
             owner = np.repeat(near, [len(windows[k]) for k in near])
             np.maximum.at(out, owner, margins(less, self.weights, self.bias) - INSERTED)
         return out
@@ -374,12 +389,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
 
     extra = [T.StructField("bag", T.StringType()), T.StructField("size", T.LongType()), T.StructField("sketch", T.BinaryType())]
     schema = T.StructType([joined.schema["id"], joined.schema["y"], *extra])
-    got = ((str(r[0]), r[1], r[2], r[3], bytes(r[4])) for r in joined.mapInArrow(bags, schema).toLocalIterator())
-    got = sorted(got, key=lambda r: (zlib.crc32(r[0].encode()), r))
-    y = np.array([r[1] for r in got])
+    index: dict[str, int] = {}
+    got = []
+    for r in joined.mapInArrow(bags, schema).toLocalIterator():
+        windows = np.array([index.setdefault(w, len(index)) for w in r[2].split("\n") if w], np.int32)
+        got.append((zlib.crc32(str(r[0]).encode()), str(r[0]), r[1], r[3], bytes(r[4]), windows))
+    got.sort(key=lambda r: r[:5])
+    y = np.array([r[2] for r in got])
     share = np.array([sizes[k] / max(1, int((y == k).sum())) for k in y])
     sketches = np.array([np.frombuffer(r[4], np.uint32) for r in got]).reshape(len(got), SKETCH)
-    return Model(Sample([[w for w in r[2].split("\n") if w] for r in got], np.array([r[3] for r in got]), sketches, y, share))
+    return Model(Sample.of_rows(index, [r[5] for r in got], np.array([r[3] for r in got]), sketches, y, share))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
