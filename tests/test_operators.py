@@ -109,6 +109,18 @@ def test_robust_fits_prove_themselves(n, p, width):
             assert np.isfinite(beta).all() and gap <= 1e-4 * max(1.0, value), (name, value, gap)
 
 
+@pytest.mark.parametrize("epsilon,delta", [(0.5, 0.05), (0.2, 10.0), (5.0, 0.3), (0.0, 0.1)])
+def test_box_paths_prove_themselves(epsilon, delta):
+    r = np.random.default_rng(11)
+    x, base = np.column_stack([np.ones(60), r.normal(size=(60, 2))]), np.array([0.5, 1.0, -1.0])
+    y = (x * (base + np.linspace(0, 1, 60)[:, None])).sum(axis=1) + r.normal(size=60) * 0.2
+    path, least, gap = robust.box_path(x, y, base, epsilon, delta)
+    assert np.abs(path - base).max() <= epsilon + 1e-12 and np.abs(np.diff(path, axis=0)).max() <= delta + 1e-12
+    assert abs(np.abs(y - (x * path).sum(axis=1)).sum() - least) < 1e-9 and gap <= 1e-4 * max(1.0, least)
+    if delta > 2 * epsilon:  # rows don't touch: each error falls by as much as the box lets it
+        assert abs(least - np.maximum(np.abs(y - x @ base) - epsilon * np.abs(x).sum(axis=1), 0).sum()) < 1e-3
+
+
 def test_a_failing_series_gets_an_error_and_no_more(spark, tmp_path):
     rows = [("good", t, [1.0, float(t % 5)], float(t % 3)) for t in range(1, 30)] + [("bad", t, [1.0, float("nan")], 1.0) for t in range(1, 9)]
     fitted = robust.fit_series(spark.createDataFrame(rows, "series string, t long, x array<double>, y double"), robust.METHODS)

@@ -183,6 +183,57 @@ def _corner(beta: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Robust, factor
     return out if np.isfinite(out).all() else None
 
 
+def box_path(x: np.ndarray, y: np.ndarray, base: np.ndarray, epsilon: float, delta: float, close: float = 1e-5, steps: int = 60_000) -> tuple[np.ndarray, float, float]:
+    """Weights of each row with the least sum of absolute errors, within epsilon of base and delta of the row before, element by
+    element; the sum, and its gap to a lower bound. Primal-dual steps; a path that moves too fast is drawn towards base."""
+    n, p = x.shape
+    pace = 0.99 / np.sqrt(float((x * x).sum(axis=1).max(initial=0.0)) + 4.0)
+    beta = np.tile(base, (n, 1)).astype(float)
+    ahead, u, v = beta.copy(), np.zeros(n), np.zeros((max(0, n - 1), p))
+    best, least, bound = beta, float(np.abs(y - x @ base).sum()), -np.inf
+
+    def turned(u, v):
+        """What the multipliers put on each weight."""
+        out = u[:, None] * x
+        out[1:] -= v
+        out[:-1] += v
+        return out
+
+    for step in range(steps):
+        u = np.clip(u + pace * (y - (x * ahead).sum(axis=1)), -1, 1)
+        moved = v + pace * (ahead[1:] - ahead[:-1])
+        v = np.sign(moved) * np.maximum(np.abs(moved) - pace * delta, 0.0)
+        new = np.clip(beta + pace * turned(u, v), base - epsilon, base + epsilon)
+        ahead, beta = 2 * new - beta, new
+        if step % 100 == 99:
+            fast = float(np.abs(np.diff(beta, axis=0)).max(initial=0.0))
+            path = base + (beta - base) * min(1.0, delta / fast if fast > 0 else 1.0)
+            if (now := float(np.abs(y - (x * path).sum(axis=1)).sum())) < least:
+                best, least = path, now
+            pull = turned(u, v)
+            bound = max(bound, float(u @ y - (pull * base).sum() - epsilon * np.abs(pull).sum() - delta * np.abs(v).sum()))
+            if least - bound <= close * max(1.0, least):
+                break
+    return best, least, max(0.0, least - bound)
+
+
+def box_paths(rows: DataFrame, epsilon: float, delta: float, rho: float = 0.01) -> DataFrame:
+    """series, n_rows, theta (the last row's weights), objective, gap, error of box_path() around each series' ridge weights."""
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        try:
+            x, y = np.stack(part["x"].to_numpy()).astype(float), part["y"].to_numpy(float)
+            base = solve(x.T @ x / len(y) + rho * np.eye(x.shape[1]), x.T @ y / len(y))
+            path, least, gap = box_path(x, y, base, epsilon, delta)
+            row = (key[0], "box_path", len(y), path[-1].tolist(), least, gap, None)
+        except (ValueError, np.linalg.LinAlgError) as e:
+            row = (key[0], "box_path", len(part), None, None, None, str(e))
+        return pd.DataFrame([row], columns=["series", "method", "n_rows", "theta", "objective", "gap", "error"])
+
+    return rows.select("series", "t", "x", "y").groupBy("series").applyInPandas(fit, PARAMS + ", objective double, gap double, error string")
+
+
 def fit_series(rows: DataFrame, methods: dict[str, Robust], features: str = "x", adaptive: int = 0) -> DataFrame:
     """series, method, n_rows, theta, objective, gap, error: the training rows of a series (a bounded stretch) are one group;
     if a fit fails, theta is null and error says why."""

@@ -602,6 +602,12 @@ def adaptive_lad(spark, d):
     return _robust(spark, d, ["adaptive_lad_ridge", "adaptive_lad_ridge_CVaR"], True)
 
 
+@query(None)
+def box_path(spark, d):
+    fitted = robust.box_paths(prep.training(_std(spark, d)), 0.5, 0.02)
+    return fitted.select("series", "method", "n_rows", F.round("objective", 2).alias("objective"), (F.col("gap") < 1e-4 * F.col("objective") + 1e-4).alias("certified"), "error")
+
+
 def _least(rows: DataFrame, method: str, spec) -> DataFrame:
     fitted = robust.fit_series(rows, {method: spec}, "x")
     return fitted.select("series", "n_rows", F.round("objective", 5).alias("objective"))
