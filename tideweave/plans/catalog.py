@@ -462,7 +462,7 @@ def _three(rho: float, free: bool, method: str) -> str:
     return f"WITH {sql.BASE}, {_THREE} SELECT series, '{method}' AS method, {values} FROM g"
 
 
-def _weights(params: DataFrame, names: str, *more: str) -> DataFrame:
+def _theta(params: DataFrame, names: str, *more: str) -> DataFrame:
     return params.select("series", *more, *(F.get("theta", F.lit(k)).alias(n) for k, n in enumerate(names.split())))
 
 
@@ -472,19 +472,19 @@ def _three_members(rows: DataFrame) -> DataFrame:
 
 @query(_three(0.01, False, "ridge"), whole=True)
 def ridge_general(spark, d, s=SETTINGS):
-    return _weights(learners.ridge(_three_members(prep.training(_std(spark, d, s))), 0.01), "b0 b1 b2", "method")
+    return _theta(learners.ridge(_three_members(prep.training(_std(spark, d, s))), 0.01), "b0 b1 b2", "method")
 
 
 @query(_three(0.05, True, "ols_ridge"), whole=True)
 def ridge_free_intercept(spark, d, s=SETTINGS):
-    return _weights(learners.ridge(_three_members(prep.training(_std(spark, d, s))), 0.05, "ols_ridge", True), "b0 b1 b2", "method")
+    return _theta(learners.ridge(_three_members(prep.training(_std(spark, d, s))), 0.05, "ols_ridge", True), "b0 b1 b2", "method")
 
 
 @query(f"""WITH {sql.BASE}, g AS (SELECT series, count(*) AS n, sum(y * y) AS yy, sum(m1 * y) AS b, sum(m1 * m1) AS c FROM std WHERE t BETWEEN first AND last GROUP BY series)
 SELECT series, round(CASE WHEN abs(b) <= 0.01 * n * sqrt(yy) THEN 0 ELSE b / c - sign(b) * n * 0.01 * sqrt((yy - b * b / c) / (c * (c - n * n * 0.0001))) END, 6) AS b1 FROM g""")
 def unsquared_ridge(spark, d):
     rows = prep.training(_std(spark, d)).withColumn("x", F.slice("x", 2, 1))
-    return _weights(learners.unsquared_ridge(rows, 0.01), "b1")
+    return _theta(learners.unsquared_ridge(rows, 0.01), "b1")
 
 
 def _one_member(spark, d, rule: str, s=SETTINGS) -> DataFrame:
@@ -508,7 +508,7 @@ def _both_penalties(rule: str, suffix: str) -> str:
 
 def _adaptive(spark, d, rule: str, suffix: str, s) -> DataFrame:
     fits = [(f"adaptive_ridge_exact{suffix}", _P), (f"adaptive_ridge_standard{suffix}", Penalty(0.0, _P.rho, _P.rho_v))]
-    return _weights(learners.adaptive_ridge(_one_member(spark, d, rule, s), fits), "v0 v1 v2", "method")
+    return _theta(learners.adaptive_ridge(_one_member(spark, d, rule, s), fits), "v0 v1 v2", "method")
 
 
 @query(_both_penalties("value", ""), whole=True)
@@ -533,7 +533,7 @@ _CHANGE = {(i, j): f"0.01 * avg(w{i} * w{j}) + 0.1 * sum(c{i} * c{j}) / (count(*
 {sql.adaptive_system(_CHANGE, "ch")}""", whole=True)
 def slowly_varying(spark, d, s=SETTINGS):
     rows = _one_member(spark, d, "value", s).select("series", "t", "x", "y", "z")
-    return _weights(learners.slowly_varying_ridge(rows, 0.01, 0.1), "v0 v1 v2")
+    return _theta(learners.slowly_varying_ridge(rows, 0.01, 0.1), "v0 v1 v2")
 
 
 def _stable_sql(over_all: bool) -> str:
@@ -546,7 +546,7 @@ def _stable_sql(over_all: bool) -> str:
 
 def _stable(spark, d, s, over_all: bool) -> DataFrame:
     rows = _one_member(spark, d, "value", s).withColumn("k", F.col("t") - F.col("first"))
-    return _weights(learners.stable_part_ridge(rows, 0.01, 0.1, 50, over_all=over_all), "v0 v1 v2")
+    return _theta(learners.stable_part_ridge(rows, 0.01, 0.1, 50, over_all=over_all), "v0 v1 v2")
 
 
 @query(_stable_sql(False), whole=True)
@@ -562,7 +562,7 @@ def stable_part_over_all(spark, d, s=SETTINGS):
 @query(None)
 def free_path(spark, d):
     rows = _one_member(spark, d, "value").select("series", "t", "x", "y", "z")
-    return _weights(learners.free_path_ridge(rows, 0.01, 0.1, 50), "b0 v1 v2", "n_rows")
+    return _theta(learners.free_path_ridge(rows, 0.01, 0.1, 50), "b0 v1 v2", "n_rows")
 
 
 @query(f"""WITH {sql.BASE}, g AS (SELECT series, t, split, end_, avg(m1) OVER w AS a, avg(m1 * m1) OVER w + 0.1 AS b, avg(y) OVER w AS c, avg(m1 * y) OVER w AS e FROM std
