@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -306,9 +306,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row, with all its columns, of each group: that with the smallest id; rows without an id stay."""
     groups = jaccard_groups(docs, id_col, text_col, n, percent)
     chosen = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("chosen")).distinct()
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
-    single = docs.filter(F.col(id_col).isNotNull()).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
-    kept = single.join(chosen, single[id_col] == chosen["chosen"], "left_semi")
+    # which row of an id stays is settled on hashes of the rows; texts are shuffled once, and needn't be sorted
+    hashed = docs.filter(F.col(id_col).isNotNull()).withColumns({"_h1": F.xxhash64(*docs.columns), "_h2": F.xxhash64(F.lit(1), *docs.columns)})
+    alike = hashed.groupBy(id_col, "_h1", "_h2").agg(F.count("*").alias("_many"))
+    first = alike.groupBy(id_col).agg(F.min(F.struct("_h1", "_h2", "_many")).alias("_f"))
+    keys = first.join(chosen, F.col(id_col) == F.col("chosen"), "left_semi").select(id_col, "_f.*")
+    keys, on = stored(keys, "kept"), [id_col, "_h1", "_h2"]
+    kept = hashed.join(keys.filter("_many = 1").hint("shuffle_hash"), on, "left_semi").select(*docs.columns)
+    repeated = keys.filter("_many > 1").drop("_many")
+    if n_repeated := repeated.count():
+        one = looked_up(hashed, repeated, n_repeated, on).dropDuplicates(on)
+        kept = kept.unionByName(one.select(*docs.columns))
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
