@@ -121,6 +121,32 @@ def test_box_paths_prove_themselves(epsilon, delta):
         assert abs(least - np.maximum(np.abs(y - x @ base) - epsilon * np.abs(x).sum(axis=1), 0).sum()) < 1e-3
 
 
+def test_drifting_offsets_are_least():
+    r = np.random.default_rng(2)
+    n, p, rho, rho_a, rho_c, alpha, past = 30, 3, 0.05, 0.3, 0.2, 0.3, 3
+    x, y = np.column_stack([np.ones(n), r.normal(size=(n, p - 1))]), r.normal(size=n) + 1
+    beta, moved, least, gap = robust.drifting_offsets(x, y, rho, rho_a, rho_c, alpha, past)
+    assert gap < 1e-5
+
+    def value(b, a):
+        cost = rho * (b[1:] @ b[1:]) + rho_a / n * (a[: n - past] ** 2).sum()
+        cost += rho_c / n * sum(((a[t] - a[t - k]) ** 2).sum() for t in range(past, n) for k in range(1, past))
+        return robust.tail_mean((y - x @ b - (x * a).sum(axis=1)) ** 2, alpha) + cost
+
+    # the offsets of least penalty that move the forecasts by `moved`
+    form = np.zeros((n, n))
+    for t in range(n - past):
+        form[t, t] += rho_a / n
+    for t in range(past, n):
+        for k in range(1, past):
+            form[np.ix_([t, t - k], [t, t - k])] += rho_c / n * np.array([[1, -1], [-1, 1]])
+    inverse = np.linalg.inv(form)
+    mult = np.linalg.solve((x @ x.T) * inverse, moved)
+    a = np.column_stack([inverse @ (x[:, j] * mult) for j in range(p)])
+    assert np.allclose((x * a).sum(axis=1), moved, atol=1e-6) and abs(value(beta, a) - least) < 1e-6
+    assert all(value(beta + r.normal(size=p) * s, a + r.normal(size=a.shape) * s) > least - 1e-7 for s in (1e-1, 1e-2, 1e-3) for _ in range(100))
+
+
 def test_a_failing_series_gets_an_error_and_no_more(spark, tmp_path):
     rows = [("good", t, [1.0, float(t % 5)], float(t % 3)) for t in range(1, 30)] + [("bad", t, [1.0, float("nan")], 1.0) for t in range(1, 9)]
     fitted = robust.fit_series(spark.createDataFrame(rows, "series string, t long, x array<double>, y double"), robust.METHODS)
@@ -198,6 +224,29 @@ def test_settings_of_the_grid(spark):
         reporting.combo(501)
 
 
+def test_sinks(spark, tmp_path):
+    weights = spark.createDataFrame([("s", 1, "ridge", [0.5, 0.5]), ("s", 2, "PA", [1.0, 0.0])], "series string, t long, method string, beta array<double>")
+    files.write_weights(weights, str(tmp_path / "w"))
+    assert {tuple(r["beta"]) for r in spark.read.parquet(str(tmp_path / "w")).filter("method = 'PA'").collect()} == {(1.0, 0.0)}
+    errors = spark.createDataFrame([("s", t, m, float(t * m)) for t in (1, 2) for m in (2, 5)], "series string, t long, model int, err double")
+    files.write_errors(errors, str(tmp_path / "e"), [2, 5])
+    got = spark.read.option("header", True).csv(str(tmp_path / "e")).orderBy("t").collect()
+    assert [(r["t"], r["x1"], r["x2"]) for r in got] == [("1", "2.0", "5.0"), ("2", "4.0", "10.0")]
+    rows = spark.createDataFrame([("s", 1, "mean", 2.0, 1.5, 0.5)], "series string, t long, method string, y double, pred double, err double")
+    files.write_predictions(rows, str(tmp_path / "p"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "p")).columns == ["series", "t", "method", "y", "pred"]
+    runs = spark.createDataFrame([("d", "a", 1, 0.5), ("d", "a", 2, 0.4), ("d", "b", 1, 0.3)], "Dataset string, Method string, Run int, MAE double")
+    assert {(r["Method"], r["MAE"]) for r in files.latest(runs, ["Dataset", "Method"], "Run").collect()} == {("a", 0.4), ("b", 0.3)}
+
+
+def test_the_intercept_takes_its_own_place_or_the_first_forecasts(spark):
+    from tideweave.sources.panels import to_panel
+
+    wide = spark.createDataFrame([("s", 1, 3.0, 4.0, 5.0)], "series string, t long, a double, b double, y double")
+    assert to_panel(wide, ["a", "b"]).first()["x"] == [1.0, 3.0, 4.0]
+    assert to_panel(wide, ["a", "b"], "replace_first").first()["x"] == [1.0, 4.0]
+
+
 def test_catalog_of_datasets(spark, tmp_path):
     (tmp_path / "data_M3F" / "data").mkdir(parents=True)
     (tmp_path / "data_M3F" / "M3F_targets").mkdir()

@@ -69,10 +69,10 @@ def _penalties(spec: Robust, width: int, adaptive: int) -> np.ndarray:
     return out
 
 
-def objective(beta: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Robust, adaptive: int = 0) -> float:
-    """What the learner makes least."""
+def objective(beta: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Robust, adaptive: int = 0, factor: np.ndarray | None = None) -> float:
+    """What the learner makes least; factor: that of each weight's penalty, the method's own if there is none."""
     r = np.abs(y - x @ beta)
-    penalty = _penalties(spec, x.shape[1], adaptive)
+    penalty = _penalties(spec, x.shape[1], adaptive) if factor is None else factor
     cost = penalty @ (beta * beta) if spec.penalty == "ridge" else penalty @ np.abs(beta)
     return tail_mean(r if spec.loss == "abs" else r * r, spec.alpha) + float(cost)
 
@@ -129,19 +129,19 @@ def lower_bound(x: np.ndarray, y: np.ndarray, spec: Robust, factor: np.ndarray,
     return float(pull @ y) - cost - float(np.abs(held[free]) @ (10 * np.abs(beta[free]) + 1))
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, spec: Robust, adaptive: int = 0, steps: int = 60) -> tuple[np.ndarray, float]:
+def fit_arrays(x: np.ndarray, y: np.ndarray, spec: Robust, adaptive: int = 0, steps: int = 60, factor: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and the gap between their objective and a lower bound of the least one."""
     n, p = x.shape
     if not (np.isfinite(x).all() and np.isfinite(y).all()):
         raise ValueError("features or targets are not finite")
-    factor = _penalties(spec, p, adaptive)
+    factor = _penalties(spec, p, adaptive) if factor is None else factor
     beta = solve(x.T @ x / n + np.diag(factor + 1e-9), x.T @ y / n)
     scale = float(np.abs(y).mean()) or 1.0
     theta = beta
     if spec.alpha < 1:
         r = np.abs(y - x @ beta)
         theta = np.append(beta, np.quantile(r if spec.loss == "abs" else r * r, 1 - spec.alpha))
-    best, least, bound = beta, objective(beta, x, y, spec, adaptive), -np.inf
+    best, least, bound = beta, objective(beta, x, y, spec, adaptive, factor), -np.inf
     eps = 0.5 * scale
     while eps > 1e-8 * scale:
         for _ in range(steps):
@@ -160,7 +160,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, spec: Robust, adaptive: int = 0, st
             theta = theta + size * step
         count, pull = _smooth(theta, x, y, spec, factor, eps)[3:]
         for at in (theta[:p], _corner(theta[:p], x, y, spec, factor, scale)):
-            if at is not None and (now := objective(at, x, y, spec, adaptive)) < least:
+            if at is not None and (now := objective(at, x, y, spec, adaptive, factor)) < least:
                 best, least = at, now
         bound = max(bound, lower_bound(x, y, spec, factor, count, pull, best))
         if least - bound < 1e-9 * max(1.0, abs(least)):
@@ -183,6 +183,47 @@ def _corner(beta: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Robust, factor
     return out if np.isfinite(out).all() else None
 
 
+def drifting_offsets(x: np.ndarray, y: np.ndarray, rho: float, rho_a: float, rho_change: float, alpha: float, past: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Weights that each row may offset, the offsets near one another: tail risk of squared errors of x'(beta + a_t)
+    + rho |beta|^2 + rho_a / n * sum |a_t|^2 over the first n - past rows + rho_change / n * sum of |a_t - a_t-k|^2, 0 < k < past, over the
+    rows after the first `past`. x begins with the intercept, whose weight isn't penalised.
+
+    The least penalty of offsets that move the forecasts by g is a quadratic form of g, so the offsets are n more features of a ridge.
+    Gives beta, the movements g, the objective and its gap to a lower bound.
+    """
+    n, p = x.shape
+    form = np.diag(np.where(np.arange(n) < n - past, rho_a / n, 0.0))
+    for k in range(1, past):
+        for t in range(past, n):
+            at = np.zeros(n)
+            at[t], at[t - k] = 1.0, -1.0
+            form += rho_change / n * np.outer(at, at)
+    spread = np.linalg.inv(form + 1e-12 * np.trace(form) * np.eye(n))
+    values, vectors = np.linalg.eigh((x @ x.T) * spread)
+    keep = values > 1e-12 * values[-1]
+    moves = vectors[:, keep] * np.sqrt(values[keep])
+    factor = np.concatenate([[0.0], np.full(p - 1, rho), np.ones(moves.shape[1])])
+    spec, wide = Robust("square", alpha, "ridge"), np.column_stack([x, moves])
+    theta, gap = fit_arrays(wide, y, spec, factor=factor)
+    return theta[:p], moves @ theta[p:], objective(theta, wide, y, spec, factor=factor), gap
+
+
+def drifting_series(rows: DataFrame, rho: float, rho_a: float, rho_change: float, alpha: float, past: int) -> DataFrame:
+    """series, method, n_rows, theta (the common weights), objective, gap, error of drifting_offsets()."""
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        try:
+            x, y = np.stack(part["x"].to_numpy()).astype(float), part["y"].to_numpy(float)
+            beta, _, least, gap = drifting_offsets(x, y, rho, rho_a, rho_change, alpha, past)
+            row = (key[0], "drifting_offsets", len(y), beta.tolist(), least, gap, None)
+        except (ValueError, np.linalg.LinAlgError) as e:
+            row = (key[0], "drifting_offsets", len(part), None, None, None, str(e))
+        return pd.DataFrame([row], columns=["series", "method", "n_rows", "theta", "objective", "gap", "error"])
+
+    return rows.select("series", "t", "x", "y").groupBy("series").applyInPandas(fit, PARAMS + ", objective double, gap double, error string")
+
+
 def box_path(x: np.ndarray, y: np.ndarray, base: np.ndarray, epsilon: float, delta: float, close: float = 1e-5, steps: int = 60_000) -> tuple[np.ndarray, float, float]:
     """Weights of each row with the least sum of absolute errors, within epsilon of base and delta of the row before, element by
     element; the sum, and its gap to a lower bound. Primal-dual steps; a path that moves too fast is drawn towards base."""

@@ -608,6 +608,12 @@ def box_path(spark, d):
     return fitted.select("series", "method", "n_rows", F.round("objective", 2).alias("objective"), (F.col("gap") < 1e-4 * F.col("objective") + 1e-4).alias("certified"), "error")
 
 
+@query(None)
+def drifting_offsets(spark, d):
+    fitted = robust.drifting_series(prep.training(_std(spark, d)), 0.01, 0.1, 0.1, 0.15, 3)
+    return fitted.select("series", "method", "n_rows", F.round("objective", 4).alias("objective"), (F.col("gap") < 1e-4).alias("certified"), "error")
+
+
 def _least(rows: DataFrame, method: str, spec) -> DataFrame:
     fitted = robust.fit_series(rows, {method: spec}, "x")
     return fitted.select("series", "n_rows", F.round("objective", 5).alias("objective"))
