@@ -65,7 +65,7 @@ SKETCH = 12
 #: Margin from which a window is also read with one letter left out, and what that costs.
 NEAR, INSERTED = -0.6, 0.15
 #: Words whose margins a worker remembers, and texts that it reads at once.
-REMEMBERED, SLICE = 200_000, 128
+REMEMBERED, SLICE = 200_000, 512
 #: What digits and marks inside a word are read as.
 LIKE = str.maketrans("013457@$", "oieastas")
 
