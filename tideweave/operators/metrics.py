@@ -68,7 +68,8 @@ def exceedances(errors: DataFrame, bounds: tuple[float, ...] = (1.5, 2.0, 2.5, 3
 
 
 def report(errors: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """scores() and cvar() together."""
+    """scores() and cvar() together, over errors that are worked out once (and stay persisted)."""
+    errors = errors.select(*keys, "y", "err").persist()
     return scores(errors, keys).join(cvar(errors, keys=keys), list(keys))
 
 
