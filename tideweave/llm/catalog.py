@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tideweave.llm import chat_format, decontaminate, embedding_dedup, jaccard, mixing, pii, quality, sharding, toxicity, url_filter
+from tideweave.llm import (
+    byte_bpe, centroids, chat_format, decontaminate, embedding_dedup, fill_in_middle, jaccard, mixing, pii, quality, sharding, toxicity, url_filter,
+)
 
 
 def queries() -> dict:
@@ -19,6 +21,9 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
+        "op11_centroids": centroids.op11_centroids,
+        "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+        "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
         "mix_targets": mixing.mix_targets,
         "pipeline": corpus_pipeline.run,
     }
@@ -33,5 +38,7 @@ def oracle_sql() -> dict:
         "op6_shard": sharding.ORACLE_SQL,
         "op7_jaccard": jaccard.ORACLE_SQL,
         "op9_pii": pii.ORACLE_SQL,
+        "op11_centroids": centroids.ORACLE_SQL,
+        "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
         "mix_targets": mixing.TARGETS_SQL,
     }
