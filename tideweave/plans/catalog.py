@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.functions import vectors as V
-from tideweave.operators import learners, metrics, online, prep, reporting, robust, segments, synthetic
+from tideweave.operators import adversary, learners, metrics, online, prep, reporting, robust, segments, slow_lad, synthetic
 from tideweave.operators.lags import lag_matrix, storm_lags
 from tideweave.operators.learners import Penalty
 from tideweave.operators.prep import Split
@@ -656,6 +656,52 @@ def storm_parts(spark, d):
     return parts.select("series", "storm", "k", "y", "current_speed", *(F.get("x", F.lit(k)).alias(f"x{k}") for k in range(3)))
 
 
+@query(None)
+def slowly_varying_lad(spark, d):
+    """Weights that change slowly: stretches of 128 rows, certificates, and the last row's weights on the constant."""
+    fitted = slow_lad.slow_lad(_lagged_training(spark, d), slow_lad.Slow(), 20, 128)
+    proven = (F.col("gap") < 0.01 + 0.05 * F.col("objective")).alias("certified")
+    return fitted.select("series", "method", "n_rows", F.round("objective", 3).alias("objective"), proven, F.size("theta").alias("n_weights"), F.round(F.get("theta", F.lit(0)), 2).alias("b0"))
+
+
+#: Steps of the horizon whose targets the adversary picks.
+HORIZON = 6
+
+
+def _horizon(spark, d, members):
+    """Training rows and the horizon after them, with the intercept and some members."""
+    rows = _relevant(spark, d).withColumn("x", F.slice("x", 1, members + 1))
+    cut = lambda df: df.select("series", "t", "x", "y")
+    return cut(prep.training(rows)), cut(prep.testing(rows).filter(F.col("t") <= F.col("split") + 1 + HORIZON))
+
+
+# where the steps' bound is twice the tube's half width it never binds: each target has a worst side of its own
+@query(f"""WITH {sql.BASE}, g AS (SELECT series, avg(m1) AS a, avg(m1 * m1) + 0.1 AS b, avg(y) AS c, avg(m1 * y) AS e FROM std WHERE t BETWEEN first AND last GROUP BY series),
+w AS (SELECT series, (c * b - a * e) / (1.1 * b - a * a) AS b0, (1.1 * e - a * c) / (1.1 * b - a * a) AS b1 FROM g)
+SELECT series, round(sum(greatest(0, abs(y - b0 - b1 * m1) + 0.3 * abs(y) - 0.1 * (1 + abs(m1)))), 3) AS value FROM std JOIN w USING (series)
+WHERE t > split + 1 AND t <= split + 1 + {HORIZON} GROUP BY series""")
+def adversary_free_steps(spark, d):
+    train, horizon = _horizon(spark, d, 1)
+    cases = adversary.horizon_cases(horizon, learners.ridge(train, 0.1), 0.3)
+    found = adversary.adversary(cases, adversary.Tube(0.1, 0.2, 1e-7), 1e-6)
+    return found.select("series", F.round("value", 3).alias("value"))
+
+
+@query(None)
+def adversary_tied_steps(spark, d):
+    train, horizon = _horizon(spark, d, 6)
+    found = adversary.adversary(adversary.horizon_cases(horizon, learners.ridge(train, 0.1), 0.3), adversary.Tube(0.1, 0.02))
+    proven = (F.col("bound") - F.col("value") <= 2e-3 * F.greatest("value", F.lit(1.0))).alias("certified")
+    return found.select("series", F.round("value", 2).alias("value"), proven, "nodes", "pruned")
+
+
+@query(None)
+def worst_case_ridge(spark, d):
+    found = adversary.worst_case_ridge(*_horizon(spark, d, 6), 0.3, adversary.Tube(0.1, 0.02))
+    proven = (F.col("gap") <= 0.01).alias("certified")
+    return found.select("series", F.round("objective", 2).alias("objective"), proven, "rounds", F.size("theta").cast("int").alias("n_weights"))
+
+
 # --- whole evaluations and reports ---------------------------------------------------------------------------------
 
 
