@@ -16,6 +16,16 @@ BREAK = """CASE
   ELSE days - p_day > 0 END"""
 
 
+def starts_storm(p_day: int | None, p_hour: int | None, days: int, hours: int) -> bool:
+    """BREAK for one row, for live operators."""
+    follows = p_day is not None and (hours == p_hour + 6 or (hours == 0 and p_hour == 18))
+    if p_day is None or (abs(days - p_day) > 1 and days != 1):
+        return True
+    if hours == p_hour + 6 and abs(days - p_day) <= 1:
+        return days > p_day
+    return not follows
+
+
 def storms(rows: DataFrame) -> DataFrame:
     """Adds storm (1, 2, ... in each series), k (place in the storm) and length. rows: series, t (dense), days, hours."""
     lagged = blocked(rows, 1, lambda f, w: f.withColumns({"p_day": F.lag("days").over(w), "p_hour": F.lag("hours").over(w)}))
