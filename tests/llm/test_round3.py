@@ -10,7 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tideweave.llm import byte_bpe, centroids, fill_in_middle
+from tideweave.llm import byte_bpe, centroids, fill_in_middle, jaccard, mixing, toxicity
 from tideweave.llm.byte_bpe import Prefixes, Vocabulary
 
 # --- centroid clustering ---
@@ -200,3 +200,58 @@ def test_queries_run_over_all_rows(spark, tmp_path):
         ids = library.encode_ordinary(t or "")
         assert rows[k]["n_tokens"] == len(ids) and rows[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert rows[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+# --- earlier operators: odd input ---
+
+CLEAN = ["river", "stone", "garden", "window", "paper", "summer", "letter", "market", "silver", "number", "forest", "copper", "meadow", "bridge", "candle", "orchard"]
+BAD = ["vilewort", "grubnose", "mudsnark", "dimwit", "loathsome"]
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for k in range(400):
+        words = list(r.choice(CLEAN, size=int(r.integers(3, 60))))
+        if k % 4 == 0:
+            words.insert(int(r.integers(len(words))), str(r.choice(BAD)))  # plain forms only: every altered one is unseen
+        rows.append((k, " ".join(words), int(k % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+
+
+def test_altered_insults_that_training_lacks_are_caught(toxic_model):
+    r = np.random.default_rng(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    altered = {
+        "inserted": lambda w, i: w[:i] + letters[r.integers(26)] + w[i:], "doubled": lambda w, i: w[:i] + w[i - 1] + w[i:], "tripled": lambda w, i: w[:i] + w[i - 1] * 2 + w[i:],
+        "dotted": lambda w, i: w[:i] + "." + w[i:],
+    }
+    for kind, change in altered.items():
+        texts = [" ".join([*r.choice(CLEAN, size=8), change(w, int(r.integers(1, len(w)))), *r.choice(CLEAN, size=8)]) for w in BAD for _ in range(20)]
+        assert (toxic_model.scores(texts) >= 0.3).mean() >= (0.8 if kind in ("inserted", "dotted") else 0.6), kind
+    assert (toxic_model.scores([" ".join(r.choice(CLEAN, size=17)) for _ in range(200)]) >= 0.3).mean() <= 0.02
+
+
+def test_length_alone_makes_no_text_toxic(toxic_model):
+    odd = toxic_model.scores([None, "", " \n", "river", "ok", "漢字", "漢字 " * 4000, "1 2 3", "river " * 20_000])
+    assert (odd < 0.3).all() and (odd <= toxic_model.rest + 1e-12).all()
+    assert toxic_model.scores(["you grubnose"])[0] >= 0.3 > odd.max()
+
+
+CLASHING = "doc_id long, text string, source string, n_chars long, _h1 string, h1 string, runs string, _runs int, id string, row string, many int, salt string, key1 string"
+
+
+def test_columns_that_clash_with_helpers_come_through(spark):
+    r = np.random.default_rng(8)
+    texts = [" ".join(r.choice(CLEAN, size=40)) + f" tail{k}" for k in range(6)]
+    rows = [(k, t, "s", len(t), f"a{k}", f"b{k}", f"c{k}", k, f"d{k}", f"e{k}", k, f"f{k}", f"g{k}") for k, t in enumerate([*texts, texts[0]])]
+    docs = spark.createDataFrame([*rows, rows[1], rows[1]], CLASHING)
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[:6])
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    by = {x[0]: x for x in rows}
+    for x in mixed.collect():
+        assert tuple(x)[4:] == by[x["doc_id"]][4:] and set(x["text"].split()) <= set(by[x["doc_id"]][1].split()) and x["n_chars"] == len(x["text"])

@@ -305,18 +305,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row, with all its columns, of each group: that with the smallest id; rows without an id stay."""
     groups = jaccard_groups(docs, id_col, text_col, n, percent)
-    chosen = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("chosen")).distinct()
-    # which row of an id stays is settled on hashes of the rows; texts are shuffled once, and needn't be sorted
-    hashed = docs.filter(F.col(id_col).isNotNull()).withColumns({"_h1": F.xxhash64(*docs.columns), "_h2": F.xxhash64(F.lit(1), *docs.columns)})
-    alike = hashed.groupBy(id_col, "_h1", "_h2").agg(F.count("*").alias("_many"))
-    first = alike.groupBy(id_col).agg(F.min(F.struct("_h1", "_h2", "_many")).alias("_f"))
-    keys = first.join(chosen, F.col(id_col) == F.col("chosen"), "left_semi").select(id_col, "_f.*")
-    keys, on = stored(keys, "kept"), [id_col, "_h1", "_h2"]
-    kept = hashed.join(keys.filter("_many = 1").hint("shuffle_hash"), on, "left_semi").select(*docs.columns)
-    repeated = keys.filter("_many > 1").drop("_many")
+    chosen = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
+    # which row of an id stays is settled on hashes of the rows; texts are shuffled once, and needn't be sorted. The rows are
+    # held as a whole, so that no column of theirs meets one of these
+    hashed = docs.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("h1"), F.xxhash64(F.lit(1), *docs.columns).alias("h2"), F.struct(*docs.columns).alias("row")
+    )
+    alike = hashed.groupBy("id", "h1", "h2").agg(F.count("*").alias("many"))
+    first = alike.groupBy("id").agg(F.min(F.struct("h1", "h2", "many")).alias("f"))
+    keys, on = stored(first.join(chosen, "id", "left_semi").select("id", "f.*"), "kept"), ["id", "h1", "h2"]
+    kept = hashed.join(keys.filter("many = 1").hint("shuffle_hash"), on, "left_semi").select("row.*")
+    repeated = keys.filter("many > 1").drop("many")
     if n_repeated := repeated.count():
         one = looked_up(hashed, repeated, n_repeated, on).dropDuplicates(on)
-        kept = kept.unionByName(one.select(*docs.columns))
+        kept = kept.unionByName(one.select("row.*"))
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

@@ -224,11 +224,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = stored(own.join(taken.hint("merge"), ["source_no", "begin"]).select("key1", "key2", "many", "runs"), "mix-runs")
     keyed = docs.select(*keys(docs, docs.columns), F.struct(*docs.columns).alias("row"))
     # a row of its own has a run for each pass at most: the runs are the hashed side, and texts needn't be sorted
-    met = keyed.join(runs.filter("many = 1").hint("shuffle_hash"), ["key1", "key2"]).select("row.*", "runs")
+    met = keyed.join(runs.filter("many = 1").hint("shuffle_hash"), ["key1", "key2"]).select("row", "runs")
     copied = runs.filter("many > 1").select("key1", "key2").distinct()
     if n_copied := copied.count():  # equal rows hold the same text: one of them meets the runs of all
         one = looked_up(keyed, copied, n_copied, ["key1", "key2"]).dropDuplicates(["key1", "key2"])
-        met = met.unionByName(one.join(runs.filter("many > 1").hint("merge"), ["key1", "key2"]).select("row.*", "runs"))
+        met = met.unionByName(one.join(runs.filter("many > 1").hint("merge"), ["key1", "key2"]).select("row", "runs"))
+    last = "_runs"
+    while last in docs.columns:
+        last += "_"
+    met = met.select("row.*", F.col("runs").alias(last))
     names, at, chars = docs.columns, docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

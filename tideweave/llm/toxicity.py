@@ -3,7 +3,7 @@
 The kernel compares strings by their subsequences of three letters, weighted by LAMBDA to the power of their span, so
 gapped, misspelt and inflected insults stay close to one another. A text is a bag of word windows: its words (marks
 taken out, look-alike digits read as letters), runs of single letters read as one word, and overlapping pieces of
-very long words; near the insults, a window is also read with one letter left out.
+very long words; letters in a row count twice at most, and near the insults a window is also read with one letter left out.
 
 Labels belong to whole texts. Windows are suspect if a run of their letters occurs in toxic texts more often than
 chance allows; near copies of a text count as one. A hinge loss on Nyström features sets the suspect windows, weighed
@@ -18,7 +18,11 @@ margins without comparing every word with every landmark. Workers remember the m
 The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS); every whole text is scored, in one pass,
 without a shuffle. Settings were chosen by the folds of training rows only.
 
-Defined results: null and empty texts have no windows and get the score of the curve's base; a null doc_id isn't held
+A text without a window that the curve counts scores at most the rate of toxic ones among such texts, whatever its length.
+Margins are divided by the norm of a window only where its kernel sum is positive: elsewhere they are at most the bias, and
+only that matters.
+
+Defined results: null and empty texts have no windows and score as above; a null doc_id isn't held
 out; of repeated labels of a document the highest counts, null labels don't; without labels of both classes every score is
 0.5; repeated documents each have a row; empty tables give an empty result; other columns are ignored.
 """
@@ -62,7 +66,7 @@ CANDIDATES, OTHERS, COST = 6000, 4000, 1.0
 EDGES = np.array([-0.5, -0.2, 0.1, 0.4, 0.7, 1.0])
 #: Hashes of a sketch.
 SKETCH = 12
-#: Margin from which a window is also read with one letter left out, and what that costs.
+#: Margin from which (up to the highest that the curve counts) a window is also read with one letter left out, and what that costs.
 NEAR, INSERTED = -0.6, 0.15
 #: Words whose margins a worker remembers, and texts that it reads at once.
 REMEMBERED, SLICE = 200_000, 512
@@ -71,6 +75,8 @@ LIKE = str.maketrans("013457@$", "oieastas")
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SINGLES = re.compile(r"(?<!\S)[^\W\d_](?:[^\w\n]+[^\W\d_](?![\w])){2,}")
+#: Letters three or more times in a row; they are read as two.
+_REPEATED = re.compile(r"(.)\1\1+")
 _SIZE = 64
 
 
@@ -80,6 +86,7 @@ def window_of(word: str) -> list[str]:
         if any(map(str.isalpha, word)):
             word = word.strip(".,;:!?\"'()[]{}").translate(LIKE)
         word = _NOT_LETTERS.sub("", word)
+    word = _REPEATED.sub(r"\1\1", word)
     if len(word) < 3:
         return []
     if len(word) <= LONGEST:
@@ -274,7 +281,7 @@ class Model:
     def __init__(self, sample: Sample, folds: int = 5):
         self.memory: dict[str, float] = {}
         self.weights, self.bias = np.zeros(_SIZE**3, np.float32), -1.0
-        self.slopes, self.base = np.zeros(len(EDGES) + 1), 0.0
+        self.slopes, self.base, self.rest = np.zeros(len(EDGES) + 1), 0.0, 0.0
         self.fitted = 0 < sample.y.sum() < len(sample.y)
         if not self.fitted:
             return
@@ -286,8 +293,14 @@ class Model:
             for r in np.flatnonzero(fold == k):
                 seen[r] = reached(margin[sample.held[r]], sample.lengths[r])
         self.slopes, self.base = monotone_logistic(seen, sample.y, sample.share * sample.weight, np.array([1.0] * len(EDGES) + [-1.0]))
+        none, weight = ~self._near(seen), sample.share * sample.weight
+        self.rest = float(weight[none] @ sample.y[none] / max(weight[none].sum(), 1e-9))
         self._fit(sample, np.arange(len(sample.y)))
 
+    def _near(self, counts: np.ndarray) -> np.ndarray:
+        """Whether a text has a window that the curve counts."""
+        return (counts[:, :-1] * (self.slopes[:-1] > 0)).any(axis=1)
+
     def _fit(self, sample: Sample, rows: np.ndarray) -> None:
         """Weights of subsequences: windows with a run of letters that speaks for toxic texts, against the others, as often as they occur."""
         toxic, clean, best = sample.evidence(rows)
@@ -324,7 +337,7 @@ class Model:
     def tolerant(self, windows: list[str]) -> np.ndarray:
         """Margins; a window close to the insults is also read with each one of its letters left out."""
         out = margins(windows, self.weights, self.bias)
-        every = [k for k in np.flatnonzero((out > NEAR) & (out < 0)).tolist() if len(windows[k]) > 4]
+        every = [k for k in np.flatnonzero((out > NEAR) & (out < EDGES[-1])).tolist() if len(windows[k]) > 4]
         for low in range(0, len(every), 4096):
             near = every[low : low + 4096]
             less = [windows[k][:i] + windows[k][i + 1 :] for k in near for i in range(len(windows[k]))]
@@ -358,7 +371,12 @@ class Model:
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return chance(self.counts(texts) @ self.slopes, (1.0, self.base)) if self.fitted else np.full(len(texts), 0.5)
+        if not self.fitted:
+            return np.full(len(texts), 0.5)
+        counts = self.counts(texts)
+        curve = chance(counts @ self.slopes, (1.0, self.base))
+        # a text's length alone says nothing: without a counted window, a text scores at most the rate of toxic ones among such
+        return np.where(self._near(counts), np.maximum(curve, self.rest), np.minimum(curve, self.rest))
 
 
 def reached(margin: np.ndarray, length: int) -> np.ndarray:
