@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.functions import vectors as V
-from tideweave.operators import adversary, learners, metrics, online, prep, reporting, robust, segments, slow_lad, synthetic
+from tideweave.operators import adversary, features, learners, metrics, online, prep, reporting, robust, segments, slow_lad, synthetic
 from tideweave.operators.lags import lag_matrix, storm_lags
 from tideweave.operators.learners import Penalty
 from tideweave.operators.prep import Split
@@ -702,6 +702,46 @@ def worst_case_ridge(spark, d):
     return found.select("series", F.round("objective", 2).alias("objective"), proven, "rounds", F.size("theta").cast("int").alias("n_weights"))
 
 
+_FEATURED = ("m1", "m4", "m5")
+_VARIABLES = ", ".join(["{'of': 'y', 'v': y}", *(f"{{'of': '{m}', 'v': {m}}}" for m in _FEATURED), *(f"{{'of': '{m}_error', 'v': {m} - y}}" for m in _FEATURED)])
+
+
+def _features_sql() -> str:
+    """Means, lags and patterns by whole windows; partial autocorrelations order by order."""
+    lags = range(1, 5)
+    d = ", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in lags)
+    r = ", ".join(f"coalesce(sum(d * d{k}), 0) / count(*) / nullif(avg(d * d), 0) AS r{k}" for k in lags)
+    waves = ", ".join(f"pow(sum(d * cos(p * {f} * 2 * pi() / 64)), 2) / 64 + pow(sum(d * sin(p * {f} * 2 * pi() / 64)), 2) / 64 AS w{f}" for f in (1, 2, 3))
+    rank = " || ',' || ".join("CAST(" + " + ".join(f"CAST({a} {'<=' if j < k else '<'} {b} AS INT)" for j, a in enumerate(("v2", "v1", "v")) if j != k) + " AS VARCHAR)" for k, b in enumerate(("v2", "v1", "v")))
+    return f"""WITH {sql.PANEL},
+e AS (SELECT series, t, u.of, CAST(u.v AS DOUBLE) AS v FROM (SELECT series, t, unnest([{_VARIABLES}]) AS u FROM panel)),
+c AS (SELECT series, of, t, v, v - avg(v) OVER p AS d, stddev_pop(v) OVER p AS sd FROM e WINDOW p AS (PARTITION BY series, of)),
+l AS (SELECT *, lag(v) OVER w AS v1, lag(v, 2) OVER w AS v2, {d} FROM c WINDOW w AS (PARTITION BY series, of ORDER BY t)),
+a AS (SELECT series, of, count(*) AS n, {r}, avg(abs(v - v1)) AS mean_change, sqrt(sum((v - v1) * (v - v1))) AS complexity, avg(v * v1 * v2) AS c3,
+  avg(v * v * v1 - v1 * v2 * v2) AS asymmetry, count(*) FILTER ((d > 0) <> (d1 > 0)) AS crossings, count(*) FILTER (v1 > v AND v1 > v2) AS peaks,
+  avg(CAST(abs(d) > sd AS INT)) AS beyond_1, avg(CAST(abs(d) > 2 * sd AS INT)) AS beyond_2, covar_pop(t, d) / nullif(var_pop(t), 0) AS slope FROM l GROUP BY series, of),
+p2 AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS q2 FROM a),
+p3 AS (SELECT *, r1 - q2 * r1 AS f1, (r3 - (r1 - q2 * r1) * r2 - q2 * r1) / (1 - (r1 - q2 * r1) * r1 - q2 * r2) AS q3 FROM p2),
+p4 AS (SELECT *, (r4 - (f1 - q3 * q2) * r3 - (q2 - q3 * f1) * r2 - q3 * r1) / (1 - (f1 - q3 * q2) * r1 - (q2 - q3 * f1) * r2 - q3 * r3) AS q4 FROM p3),
+o AS (SELECT series, of, (ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(6) AS entropy FROM (SELECT series, of, {rank} AS k, count(*) AS c FROM l WHERE v2 IS NOT NULL GROUP BY ALL) GROUP BY series, of),
+s AS (SELECT series, of, avg(w1) AS w1, avg(w2) AS w2, avg(w3) AS w3 FROM (SELECT series, of, k, {waves} FROM (SELECT *, (t - 1) // 64 AS k, (t - 1) % 64 AS p FROM c) GROUP BY series, of, k HAVING count(*) = 64) GROUP BY series, of),
+g AS (SELECT series, of, max(c) AS longest_above FROM (SELECT series, of, r, count(*) FILTER (d > 0) AS c FROM (SELECT *, sum(b) OVER (PARTITION BY series, of ORDER BY t) AS r FROM (
+  SELECT *, CASE WHEN d > 0 AND NOT coalesce(d1 > 0, false) THEN 1 ELSE 0 END AS b FROM l)) GROUP BY series, of, r) GROUP BY series, of)
+SELECT series, of, n, {_r('r1', 'r2', 'r3', 'r4', 'q2', 'q3', 'q4', 'mean_change', 'beyond_1', 'beyond_2', 'slope', 'entropy')}, round(complexity, 4) AS complexity, round(c3, 1) AS c3,
+  round(asymmetry, 1) AS asymmetry, crossings, peaks, longest_above, round(w1, 2) AS w1, round(w2, 2) AS w2, round(w3, 2) AS w3
+FROM p4 JOIN o USING (series, of) JOIN g USING (series, of) LEFT JOIN s USING (series, of)"""
+
+
+@query(_features_sql())
+def series_dependence(spark, d):
+    """Of targets, members and their errors: dependence over four lags, patterns, periods, changes and runs."""
+    found = features.series_features(features.variables(wide_panel(spark, d), _FEATURED), most=4, frequencies=3)
+    flat = [F.get("autocorrelation", F.lit(k)).alias(f"r{k + 1}") for k in range(4)] + [F.get("partial", F.lit(k)).alias(f"q{k + 1}") for k in range(1, 4)]
+    flat += [F.round(F.get("power", F.lit(k)), 2).alias(f"w{k + 1}") for k in range(3)] + [F.round("complexity", 4).alias("complexity")]
+    flat += [F.round(c, 1).alias(c) for c in ("c3", "asymmetry")]
+    return found.select("series", "of", "n", *flat, "mean_change", "beyond_1", "beyond_2", "slope", "entropy", "crossings", "peaks", "longest_above")
+
+
 # --- whole evaluations and reports ---------------------------------------------------------------------------------
 
 
