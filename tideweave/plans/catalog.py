@@ -17,7 +17,9 @@ from tideweave.operators.prep import Split
 from tideweave.operators.windows import dense_index
 from tideweave.plans import evaluate, sql
 from tideweave.plans.evaluate import Settings
+from tideweave.sources import trained
 from tideweave.sources.panels import MEMBERS, orders_panel, panel, table, to_panel, wide_panel
+from tideweave.streaming import ordered
 
 FLAGSHIP = "all_methods_report"
 SETTINGS = Settings()
@@ -755,6 +757,28 @@ def results_table(spark, d):
     return evaluate.results_table(to_panel(orders_panel(spark, d)), WHOLE)
 
 
+def _daily_orders(spark, d):
+    day = F.date_trunc("day", "o_orderdate").alias("day")
+    daily = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series"), day).agg(F.sum("o_totalprice").alias("y"))
+    return dense_index(daily, ["series"], ["day"], F.date_trunc("year", "day")).select("series", "t", "y")
+
+
+@query(None)
+def trained_report(spark, d):
+    """All methods over members that are regressions trained in folds that walk forward."""
+    names = tuple(trained.regressors())
+    return evaluate.report(to_panel(trained.walk_forward(_daily_orders(spark, d)), names), Settings(WHOLE.split, members=len(names)))
+
+
+@query(f"WITH {sql.user_storms()} SELECT DISTINCT series, storm, length FROM st")
+def live_storm_lengths(spark, d):
+    """The storms of all users by the live operator: the table of events as a stream, until nothing is left of it."""
+    ev = table(spark, d, "events").select(F.col("user_id").cast("string").alias("series"), F.col("event_id").alias("t"), "ts")
+    found = ordered.drained(ev, lambda rows: ordered.live_storms(rows.withColumns(
+        {"days": F.dayofmonth("ts").cast("int"), "hours": (F.floor(F.hour("ts") / 6) * 6).cast("int")}), 10_000 * ordered.DAY_MS))
+    return found.filter("kind = 'storm'").select("series", "storm", "length").distinct()
+
+
 @query(None)
 def storm_report(spark, d):
     rows = _storm_records(spark, d)

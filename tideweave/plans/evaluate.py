@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -16,6 +18,7 @@ from tideweave.operators.learners import Penalty
 from tideweave.operators.prep import Split, standardised, testing, training
 from tideweave.operators.reporting import PASTS, RHOS, combo
 from tideweave.operators.segments import long_storms, renumbered
+from tideweave.sources.rounds import written
 
 METHODS = (
     "mean", "last_timestep", "best_model", "bandits_full", "bandits_recent", "PA", "ridge",
@@ -55,12 +58,28 @@ def with_lags(rows: DataFrame, settings: Settings, rule: str) -> DataFrame:
     return lag_matrix(rows, settings.split.past, rule, settings.lead)
 
 
-def adaptive_params(rows: DataFrame, settings: Settings, rule: str = "value", suffix: str = "") -> DataFrame:
-    """Parameters of the two adaptive methods on the lag vectors of a rule."""
+class Clock:
+    """Milliseconds that each learner's fit of all series took; fits are written to the shared folder, so that scoring doesn't fit again."""
+
+    def __init__(self):
+        self.elapsed: dict[str, int] = {}
+
+    def fitted(self, method: str, fit: Callable[[], DataFrame]) -> DataFrame:
+        began = time.perf_counter()
+        params = written(fit(), "params")
+        self.elapsed[method] = round(1000 * (time.perf_counter() - began))
+        return params
+
+
+def adaptive_params(rows: DataFrame, settings: Settings, rule: str = "value", suffix: str = "", clock: Clock | None = None) -> DataFrame:
+    """Parameters of the two adaptive methods on the lag vectors of a rule; with a clock each is a fit of its own."""
     p = settings.penalty
     data = training(with_lags(rows, settings, rule)).filter(F.col("t") >= F.col("first") + settings.split.past + settings.lead - 1)
+    data = data.select("series", "x", "y", "z")
     fits = [(f"adaptive_ridge_exact{suffix}", p), (f"adaptive_ridge_standard{suffix}", Penalty(0.0, p.rho, p.rho_v))]
-    return learners.adaptive_ridge(data.select("series", "x", "y", "z"), fits)
+    if clock is None:
+        return learners.adaptive_ridge(data, fits)
+    return reduce(DataFrame.unionByName, [clock.fitted(m, lambda f=(m, q): learners.adaptive_ridge(data, [f])) for m, q in fits])
 
 
 def z_width(settings: Settings, constant: bool = False) -> int:
@@ -68,8 +87,8 @@ def z_width(settings: Settings, constant: bool = False) -> int:
     return 1 + settings.split.past * (settings.members + 1) + settings.split.past + constant
 
 
-def adaptive_errors(rows: DataFrame, settings: Settings, rule: str = "value", suffix: str = "") -> DataFrame:
-    params = adaptive_params(rows, settings, rule, suffix)
+def adaptive_errors(rows: DataFrame, settings: Settings, rule: str = "value", suffix: str = "", clock: Clock | None = None) -> DataFrame:
+    params = adaptive_params(rows, settings, rule, suffix, clock)
     tests = testing(with_lags(rows, settings, rule))
     scored = online.adaptive_weights(tests, params, z_width(settings))
     pred = online.dot("x", "beta") * F.col("sigma") + F.col("mu")
@@ -84,17 +103,20 @@ def best_errors(tests: DataFrame, settings: Settings) -> DataFrame:
     return own.select("series", "t", F.lit("best_model").alias("method"), "y", (F.col("y") - F.col("err")).alias("pred"), "err")
 
 
-def errors(panel: DataFrame, settings: Settings) -> DataFrame:
-    """series, t, method, y, pred, err of every method on every test row."""
+def errors(panel: DataFrame, settings: Settings, clock: Clock | None = None) -> DataFrame:
+    """series, t, method, y, pred, err of every method on every test row; a clock takes the times of the fits."""
     split = settings.split
-    rows = relevant(standardised(panel, split), split).persist()  # every learner reads this stretch of each series
+    rows = relevant(standardised(panel, split), split)  # every learner reads this stretch of each series
+    rows = rows.persist() if clock is None else written(rows, "rows")
     tests = testing(rows)
     members = settings.members
     full = testing(online.exponential_weights(rows, members, split.history))
     recent = testing(online.exponential_weights(rows, members, split.past - 1)) if split.past > 1 else None
     limits = rows.select("series", (F.col("split") + 1).alias("first"), "end").distinct()
     pa = tests.join(online.passive_aggressive(rows.select("series", "t", "x", "y"), settings.margin, limits), ["series", "t"])
-    ridge = tests.join(learners.ridge(training(rows), settings.penalty.rho).select("series", F.col("theta").alias("beta")), "series")
+    fit = lambda: learners.ridge(training(rows), settings.penalty.rho)
+    params = fit() if clock is None else clock.fitted("ridge", fit)
+    ridge = tests.join(params.select("series", F.col("theta").alias("beta")), "series")
     last = testing(online.persistence(rows)).filter(F.col("t") > F.col("split") + 2)
     parts = [
         online.ensemble_mean(tests),
@@ -104,23 +126,26 @@ def errors(panel: DataFrame, settings: Settings) -> DataFrame:
         *([online.weighted(recent, "bandits_recent", True)] if recent is not None else []),
         online.weighted(pa, "PA"),
         online.weighted(ridge, "ridge"),
-        adaptive_errors(rows, settings),
-        adaptive_errors(rows, settings, "error", "_err_rule"),
+        adaptive_errors(rows, settings, clock=clock),
+        adaptive_errors(rows, settings, "error", "_err_rule", clock),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def report(panel: DataFrame, settings: Settings) -> DataFrame:
+def report(panel: DataFrame, settings: Settings, clock: Clock | None = None) -> DataFrame:
     """series, method, n, mae, mape, rmse, r2, cvar_05, cvar_15."""
-    return metrics.report(errors(panel, settings))
+    return metrics.report(errors(panel, settings, clock))
 
 
-def results_table(panel: DataFrame, settings: Settings, elapsed_ms: int = 0) -> DataFrame:
-    """The 19 columns of the results table."""
+def results_table(panel: DataFrame, settings: Settings, clock: Clock | None = None) -> DataFrame:
+    """The 19 columns of the results table; Time has the milliseconds of the methods that are fitted (a job over all series each), 0 for
+    the others."""
+    clock = clock or Clock()
     p, s = settings.penalty, settings.split
     sizes = panel.groupBy("series").agg(F.max("t").alias("n"))
     half = F.floor(F.col("n") * s.fraction)
-    rows = report(panel, settings).withColumnRenamed("n", "n_test").join(sizes, "series")
+    rows = report(panel, settings, clock).withColumnRenamed("n", "n_test").join(sizes, "series")
+    elapsed = reduce(lambda c, m: c.when(F.col("method") == m[0], F.lit(m[1])), clock.elapsed.items(), F.when(F.lit(False), F.lit(0))).otherwise(0)
     d = lambda v: F.lit(float(v))
     return rows.select(
         F.col("series").alias("Dataset"), (F.least(F.lit(s.history), half) + 1).cast("long").alias("Train_Length"), F.col("n_test").alias("Test_Length"),
@@ -128,7 +153,7 @@ def results_table(panel: DataFrame, settings: Settings, elapsed_ms: int = 0) ->
         d(p.rho_beta).alias("Rho_beta"), d(p.rho).alias("Rho"), d(p.rho_v).alias("Rho_V"), d(s.past).alias("Past"), d(s.num_past).alias("Num_past"),
         d(-1 if s.val is None else s.val).alias("Val"), d(s.fraction).alias("Train_test_split"), F.col("method").alias("Method"),
         F.col("mae").alias("MAE"), F.col("mape").alias("MAPE"), F.col("rmse").alias("RMSE"), F.col("r2").alias("R2"),
-        F.col("cvar_05").alias("CVAR_05"), F.col("cvar_15").alias("CVAR_15"), F.lit(elapsed_ms).cast("long").alias("Time"),
+        F.col("cvar_05").alias("CVAR_05"), F.col("cvar_15").alias("CVAR_15"), elapsed.cast("long").alias("Time"),
     )
 
 

@@ -9,7 +9,8 @@ from its checkpoint. Needs the session's state store to be RocksDB (`rocksdb_sta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tideweave.operators.online import passive_aggressive_step
 from tideweave.operators.segments import starts_storm
+from tideweave.sources.rounds import shared_dir
+
+
+_STORE, _END = "spark.sql.streaming.stateStore.providerClass", "\x00end"
 
 
 def rocksdb_state(spark: SparkSession) -> None:
     """Sets the state store that these operators need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 class Ordered(StatefulProcessor):
@@ -231,7 +236,7 @@ class Storms(Ordered):
 
 def in_order(rows: DataFrame, time: str, allowed: str) -> DataFrame:
     """rows with `at`, the milliseconds of a watermarked time; the operator tells which are late, Spark drops none of them."""
-    return rows.withWatermark(time, allowed).withColumn("at", F.unix_millis(time)).drop(time)
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, allowed).withColumn("at", F.unix_millis(time)).drop(time)
 
 
 def live_learner(forecasts: DataFrame, labels: DataFrame, learner: Learner, allowed: str = "0 seconds", time: str = "ts") -> DataFrame:
@@ -250,6 +255,31 @@ def live_storms(records: DataFrame, quiet_ms: int, allowed: str = "0 seconds", t
     return _run(in_order(rows, "_time", allowed), Storms(quiet_ms))
 
 
+DAY_MS = 24 * 3_600_000
+
+
+def drained(rows: DataFrame, live: Callable[[DataFrame], DataFrame], time: str = "ts", key: str = "series") -> DataFrame:
+    """What a live operator gives for a whole table, as if it came as a stream that ends: the table and then a row far in the future, which
+    moves the watermark past everything, are written to the shared folder and streamed from there."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    end = rows.agg((F.max(time) + F.expr("INTERVAL 40000 DAYS")).alias(time))
+    last = end.select(*(F.lit(_END).alias(c) if c == key else F.col(c) if c == time else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes))
+    held = spark.conf.get(_STORE, None)
+    rocksdb_state(spark)
+    try:
+        for part in (None, last):  # two runs of one query: it goes on from its checkpoint
+            if part is not None:
+                part.write.mode("append").parquet(f"{folder}/in")
+            source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            out = live(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+            out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(_STORE) if held is None else spark.conf.set(_STORE, held)
+    return spark.read.parquet(f"{folder}/out").filter(F.col(key) != _END)
+
+
 def outputs(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The results of a batch (as foreachBatch gives it), and its late rows."""
     late = F.col("kind").startswith("late")
