@@ -2,8 +2,8 @@
 
 A window over a whole series is one task. Here a series is cut into blocks of consecutive rows; each block also gets
 the last rows of the block before it (its halo), so that frames of bounded width are complete, and the blocks of the
-longest series spread over the cluster. Numbering and running sums go in two levels: within blocks, and over the
-much smaller table of block totals.
+longest series spread over the cluster. Running sums go in two levels, within blocks and over the much smaller table of
+block totals; so does numbering, within ranges and over their sizes.
 """
 
 from __future__ import annotations
@@ -13,18 +13,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideweave.sources.rounds import written
+
 #: Rows of a block.
 BLOCK = 1 << 16
 
 
-def dense_index(df: DataFrame, series: list[str], order: list[str], bucket: Column, name: str = "t") -> DataFrame:
-    """Adds the 1-based position of each row in its series. bucket: monotone in the order, so that buckets follow one another."""
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*series, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*series).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(*series, "_bucket").orderBy(*order))
-    return rows.join(sizes, [*series, "_bucket"]).withColumn(name, (within + F.col("_before")).cast("long")).drop("_bucket", "_before")
+def dense_index(df: DataFrame, series: list[str], order: list[str], name: str = "t") -> DataFrame:
+    """Adds the 1-based position of each row in its series; rows whose order is the same are numbered in any order.
+
+    Rows are dealt out by ranges of series and order, from sampled bounds, so that a series of any length or a busy day is many
+    tasks, and written once to the shared folder with their place in their range. How many rows of a series lie in the ranges before is a
+    running count over one small row for each series and range.
+    """
+    ranged = df.repartitionByRange(*series, *order).sortWithinPartitions(*series, *order).withColumn("_m", F.monotonically_increasing_id())
+    rows = written(ranged, "ranges")
+    part = F.shiftright("_m", 33).alias("_part")
+    sizes = rows.groupBy(*series, part).agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = Window.partitionBy(*series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    starts = sizes.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(series)), "_part", start.alias("_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(series)] + [F.shiftright("_m", 33) == F.col("_part")]
+    return rows.join(starts, same).select(*df.columns, (F.col("_m") + F.col("_start") + 1).cast("long").alias(name))
 
 
 def blocked(df: DataFrame, width: int, work: Callable[[DataFrame, Window], DataFrame], series: tuple[str, ...] = ("series",), t: str = "t", block: int = BLOCK) -> DataFrame:

@@ -131,7 +131,7 @@ _GAPS = "raw AS (SELECT event_type AS series, row_number() OVER (PARTITION BY ev
 
 def _gaps(spark, d):
     rows = table(spark, d, "events").select(F.col("event_type").alias("series"), "ts", "event_id", F.col("value").alias("y"))
-    rows = dense_index(rows, ["series"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    rows = dense_index(rows, ["series"], ["ts", "event_id"])
     gap = F.when(~(F.col("event_id") % 7).isin(2, 3), F.col("y"))
     return rows.select("series", "t", gap.alias("y"), F.when(F.col("event_id") % 40 != 5, F.col("y")).alias("y2"))
 
@@ -284,13 +284,13 @@ def _storm_records(spark, d):
     six = ev.groupBy("event_type", F.dayofmonth("ts").alias("days"), (F.floor(F.hour("ts") / 6) * 6).cast("int").alias("hours"), day).agg(F.min("value").alias("y"))
     six = six.filter("NOT (days % 9 = 4 AND hours = 6)")
     rows = six.select(F.col("event_type").alias("series"), "days", "hours", "d", "y", (F.col("y") / 10).alias("current_speed"))
-    return dense_index(rows, ["series"], ["d", "hours"], F.col("d")).select("series", "t", "days", "hours", "y", "current_speed")
+    return dense_index(rows, ["series"], ["d", "hours"]).select("series", "t", "days", "hours", "y", "current_speed")
 
 
 def _user_records(spark, d):
     """All events as records of their users, the times cut to six hours."""
     ev = table(spark, d, "events").withColumn("series", F.col("user_id").cast("string"))
-    rows = dense_index(ev, ["series"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    rows = dense_index(ev, ["series"], ["ts", "event_id"])
     hours = (F.floor(F.hour("ts") / 6) * 6).cast("int").alias("hours")
     return rows.select("series", "t", F.dayofmonth("ts").alias("days"), hours, F.col("value").alias("y"), (F.col("value") / 10).alias("current_speed"))
 
@@ -760,7 +760,7 @@ def results_table(spark, d):
 def _daily_orders(spark, d):
     day = F.date_trunc("day", "o_orderdate").alias("day")
     daily = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series"), day).agg(F.sum("o_totalprice").alias("y"))
-    return dense_index(daily, ["series"], ["day"], F.date_trunc("year", "day")).select("series", "t", "y")
+    return dense_index(daily, ["series"], ["day"]).select("series", "t", "y")
 
 
 @query(None)

@@ -1,4 +1,7 @@
-"""Forecast panels: (series, t, x, y), x an array that begins with the intercept 1.0, t dense from 1."""
+"""Forecast panels: (series, t, x, y), x an array that begins with the intercept 1.0, t dense from 1.
+
+Everything reads a panel several times (bounds, means, lags, scores), so it is built once and written to the shared folder.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.operators.windows import blocked, dense_index, running_sum
+from tideweave.sources.rounds import written
 
 #: Rows that the longest member looks back; earlier rows have no complete forecasts.
 WARM_UP = 7
@@ -35,14 +39,14 @@ def members(rows: DataFrame) -> DataFrame:
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series (event type), t, y (value), m1 .. m6 from the table of events."""
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), "ts", "event_id", F.col("value").alias("y"))
-    return members(dense_index(rows, ["series"], ["ts", "event_id"], F.date_trunc("day", "ts")).select("series", "t", "y"))
+    return written(members(dense_index(rows, ["series"], ["ts", "event_id"]).select("series", "t", "y")), "panel")
 
 
 def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series (order priority), t (day), y (revenue of the day), m1 .. m6 from the table of orders."""
     day = F.date_trunc("day", "o_orderdate").alias("day")
     daily = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"), day).agg(F.sum("o_totalprice").alias("y"))
-    return members(dense_index(daily, ["series"], ["day"], F.date_trunc("year", "day")).select("series", "t", "y"))
+    return written(members(dense_index(daily, ["series"], ["day"]).select("series", "t", "y")), "panel")
 
 
 def to_panel(wide: DataFrame, forecasts: list[str] | tuple[str, ...] = MEMBERS, intercept: str = "prepend") -> DataFrame:
