@@ -11,7 +11,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset, on one machine only, a folder of the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("work in rounds needs spark.checkpoint.dir, a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return found.rstrip("/")
