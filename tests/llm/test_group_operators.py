@@ -137,7 +137,6 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
 
 def test_embedding_cells_bound_replication_and_hold_each_link_once(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PART", 150)
-    monkeypatch.setattr(embedding_dedup, "WANTED", 100)
     r = np.random.default_rng(5)
     middle = r.normal(size=(40, 64))
     v = np.concatenate([c + r.normal(size=(30, 64)) * w for c, w in zip(middle, np.linspace(0.02, 0.5, 40))])
@@ -155,6 +154,32 @@ def test_embedding_cells_bound_replication_and_hold_each_link_once(spark, monkey
     assert len(links) > 500 and all(met[p] == 1 for p in links) and max(met.values()) == 1
 
 
+def test_given_embeddings_meet_through_pivots(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("label IS NOT NULL").selectExpr(
+        "vec_id AS rep", "1L AS copies", "transform(embedding, x -> double(x)) AS v", "string(label) AS label", "size(embedding) AS dim"
+    )
+    radius = math.sqrt(2 - 2 * 0.98)
+    placed = embedding_dedup.cells(frame.filter("forall(v, x -> x IS NOT NULL AND NOT isnan(x)) AND exists(v, x -> x <> 0)"), radius).toPandas()
+    homes = placed[placed["guest"] == 0].groupby("cell").size()
+    guests = placed[placed["guest"] != 0].groupby("cell").size().reindex(homes.index, fill_value=0)
+    labels = homes.groupby(homes.index.str.rsplit("/", n=1).str[0]).sum()
+    compared, all_pairs = (homes * (homes - 1) / 2 + homes * guests).sum(), (labels * (labels - 1) / 2).sum()
+    assert homes.sum() == placed["rep"].nunique() and len(homes) >= 5 * len(labels) and compared < 0.85 * all_pairs
+
+
+def test_vectors_of_one_cell_meet_once():
+    r = np.random.default_rng(8)
+    v = embedding_dedup.unit(r.normal(size=(30, 5))[np.arange(400) % 30] + r.normal(size=(400, 5)) * 0.05)
+    rep, copies, guest, block = np.arange(400), r.integers(1, 4, 400), r.choice([0, 0, 1, 2, 3], 400).astype(np.int32), r.integers(0, 2, 400)
+    for across in (False, True):
+        count, a, b = embedding_dedup.cell_links(v, rep, copies, guest, block, across, 0.98)
+        hit = (v @ v.T >= 0.98) & ((guest[:, None] & guest) == 0) & ~np.eye(400, dtype=bool)
+        hit &= (block[:, None] != block) if across else True
+        assert (count == hit @ copies).all() and hit.any()
+        links, got = union(400, list(zip(*np.nonzero(hit)))), union(400, list(zip(a.tolist(), b.tolist())))
+        assert links == got
+
+
 @pytest.mark.parametrize("limit,level_bits,bits", [(300, 12, 60), (300, 2, 60), (40, 3, 60), (300, 2, 4)])
 def test_sharding_splits_only_what_is_too_large(spark, limit, level_bits, bits):
     r = np.random.default_rng(2)

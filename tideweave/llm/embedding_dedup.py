@@ -4,17 +4,17 @@ Vectors of one label link when their cosine is at least a threshold. On unit vec
 Euclidean metric: cosine >= c means a distance of at most r = sqrt(2 - 2c).
 
 1. Equal vectors of a label become one class with a number of copies. A label starts as one cell.
-2. A cell of more than PART vectors gets pivots (far points of a bounded sample, by hash, more of them the larger the
-   cell): each vector has its home in the cell of its nearest pivot.
+2. Every label of two vectors and more gets pivots (far points of a bounded sample, by hash, n^GROWTH of them, so more the
+   larger the label): each vector has its home in the cell of its nearest pivot.
 3. By the triangle inequality, a partner of a vector with home h can have its home in cell c only if
    d(v, p_c) - d(v, p_h) <= 2r, and, more sharply, if the vector is within r of the plane between the two pivots:
    d(v, p_c)^2 - d(v, p_h)^2 <= 2 r d(p_c, p_h). The vector is a guest of such cells c < h, so that each pair with a
    vector at home meets in exactly one cell, and cells join independently. Pairs of guests are passed over.
-4. Cells that are still too large are parted again in the same way, LEVELS times at most, where that pays: where the
-   smaller cells, with their guests, need at most half the comparisons.
-5. What is left of a large cell (vectors that are all close to one another) is dealt out in blocks of PART vectors, and
-   each pair of blocks is a task. Within a task, only vectors whose distances from one point differ by at most r are
-   compared. Tasks give numbers of linked vectors and a forest of the links, not the pairs.
+4. Cells that are too large for the memory of a task (PART) are parted again in the same way, LEVELS times at most, where
+   that pays: where the smaller cells, with their guests, need at most half the comparisons.
+5. What is left of such a cell (vectors that are all close to one another) is dealt out in tiles of PART vectors, and
+   each pair of tiles is a task. Within a task, only vectors whose distances from one point differ by at most r are
+   compared, and guests only with vectors at home. Tasks give numbers of linked vectors and a forest of the links, not the pairs.
 6. Components of the forests.
 
 Pivots stay on executors, as rows: nothing here grows with the number of labels on the driver.
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from tideweave.llm.common import looked_up, shared_dir, stored, table
 from tideweave.llm.components import components, forest
 
-#: Pivots of a cell at most, and vectors that a cell should have.
-PIVOTS, WANTED = 256, 1500
-#: Vectors of a cell or block that are compared in one task; rows of a block of products.
-PART, ROWS = 2000, 1000
+#: Pivots of a cell at most, and how their number grows with its vectors.
+PIVOTS, GROWTH = 256, 0.4
+#: Vectors of a cell or tile that are compared in one task, and that one task places: bounds of memory only. Rows of a block of products.
+PART, PLACED, ROWS = 20_000, 8000, 500
 #: How often cells are parted, at most, and the share of a cell's comparisons that a further parting may leave.
 LEVELS, PAYS = 4, 0.5
 #: Distances are compared with this much room, so that rounding loses no partner; the cosine itself decides.
@@ -90,22 +90,29 @@ def cell_links(v: np.ndarray, rep: np.ndarray, copies: np.ndarray, guest: np.nda
     if len(v) < 2:
         return count, a, b
     away = np.sqrt(np.maximum(2 - 2 * v @ v[0], 0))
-    order = np.argsort(away, kind="stable")
-    v, ids, copies, guest, block, away = v[order], rep[order], copies[order], guest[order], block[order], away[order]
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    for low in range(0, len(v), ROWS):
-        high = min(low + ROWS, len(v))
-        last = int(np.searchsorted(away, away[high - 1] + reach, side="right"))
-        hit = v[low:high] @ v[low:last].T >= threshold
-        hit &= np.arange(low, last) > np.arange(low, high)[:, None]
-        hit &= (guest[low:high, None] & guest[None, low:last]) == 0
-        if across:
-            hit &= block[low:high, None] != block[None, low:last]
-        i, j = np.nonzero(hit)
-        np.add.at(count, order[low + i], copies[low + j])
-        np.add.at(count, order[low + j], copies[low + i])
-        for k in range(0, len(i), 1 << 20):  # contracted by and by: never more than the nodes and one stretch of links
-            a, b = forest(np.concatenate([a, ids[low + i[k : k + (1 << 20)]]]), np.concatenate([b, ids[low + j[k : k + (1 << 20)]]]))
+    by = {g: np.flatnonzero(guest == g) for g in np.unique(guest).tolist()}
+    by = {g: rows[np.argsort(away[rows], kind="stable")] for g, rows in by.items()}
+    for g, own in by.items():
+        for h, others in by.items():
+            if h < g or g & h:  # both are guests of the same parting
+                continue
+            theirs, their_away = v[others], away[others]
+            for low in range(0, len(own), ROWS):
+                rows = own[low : low + ROWS]
+                start = low if g == h else int(np.searchsorted(their_away, away[rows[0]] - reach))
+                end = int(np.searchsorted(their_away, away[rows[-1]] + reach, side="right"))
+                hit = v[rows] @ theirs[start:end].T >= threshold
+                if g == h:
+                    hit &= np.arange(start, end) > np.arange(low, low + len(rows))[:, None]
+                if across:
+                    hit &= block[rows, None] != block[None, others[start:end]]
+                i, j = np.nonzero(hit)
+                i, j = rows[i], others[start + j]
+                np.add.at(count, i, copies[j])
+                np.add.at(count, j, copies[i])
+                for k in range(0, len(i), 1 << 20):  # contracted by and by: never more than the nodes and one stretch of links
+                    a, b = forest(np.concatenate([a, rep[i[k : k + (1 << 20)]]]), np.concatenate([b, rep[j[k : k + (1 << 20)]]]))
     return count, a, b
 
 
@@ -153,9 +160,9 @@ def parted(placed: DataFrame, sizes: DataFrame, count: int, radius: float, level
     rows = looked_up(placed, sizes, count, ["cell"])
     shard = F.pmod(F.xxhash64("rep"), F.lit(4 * PIVOTS))  # one of each shard: a bounded sample, without a sort of a cell's rows
     sample = rows.groupBy("cell", "n", shard.alias("shard")).agg(F.min_by("v", F.xxhash64("rep", F.lit(1))).alias("v"))
-    most = F.least(F.lit(PIVOTS), F.greatest(F.lit(2), F.ceil(F.col("n") / WANTED).cast("int")))
+    most = F.least(F.lit(PIVOTS), F.greatest(F.lit(2), F.ceil(F.pow("n", F.lit(GROWTH))).cast("int")))
     pivots = sample.withColumn("most", most).groupBy("cell").applyInArrow(_pick, "cell string, v binary")
-    parts = 1 + F.floor(F.col("n") / (4 * PART)).cast("int")
+    parts = 1 + F.floor(F.col("n") / PLACED).cast("int")
     pivots = pivots.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", "part", "v")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(2)), parts).cast("int")).select("cell", "part", "rep", "copies", "guest", "v")
     return rows.groupBy("cell", "part").cogroup(pivots.groupBy("cell", "part")).applyInArrow(_placer(radius, level), CELLS)
@@ -165,12 +172,12 @@ def cells(classes: DataFrame, radius: float) -> DataFrame:
     """cell, rep, copies, guest (bits of the partings at which the vector was copied), v (of length one, as bytes)."""
     placed, level = stored(classes.select(F.concat_ws("|", "dim", "label").alias("cell"), "rep", "copies", "v").mapInArrow(_units, CELLS), "cells"), 0
     while level < LEVELS:
-        sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > (PART if level else 1))
         sizes = stored(sizes, "cell-sizes")
         if not (count := sizes.count()):
             break
         finer = stored(parted(placed, sizes, count, radius, level), "cells")
-        # cells whose parting doesn't pay stay as they are; a first parting is always kept
+        # cells whose further parting doesn't pay stay as they are
         parent = F.regexp_replace("cell", "/[0-9]+$", "")
         after = finer.groupBy("cell").agg(F.count("*").cast("double").alias("m")).groupBy(parent.alias("cell")).agg(F.sum(F.col("m") * F.col("m")).alias("work"))
         kept = after.join(sizes, "cell").filter(F.lit(level == 0) | (F.col("work") <= PAYS * F.col("n") * F.col("n"))).select("cell", F.lit(True).alias("again"))
