@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,26 +51,38 @@ def passive_aggressive_step(w: np.ndarray, x: np.ndarray, y: float, epsilon: flo
 def passive_aggressive(panel: DataFrame, epsilon: float, first: DataFrame, delay: int = 1) -> DataFrame:
     """series, t, beta of the rows first < t <= end: equal weights at first, updated with the row t - delay before t.
 
-    first: series, first, end. The recurrence is sequential, so a series is one task; only its test rows are read.
+    first: series, first, end. The recurrence is sequential, so a series is one task; its rows come sorted, a batch at a time,
+    and only the last `delay` of them are held, whatever the length of the series.
     """
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        xs, ys, ts = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(), rows["t"].to_numpy()
-        start, out = int(rows["first"].iloc[0]), []
-        w = np.full(xs.shape[1], 1.0 / xs.shape[1])
-        place = {int(t): k for k, t in enumerate(ts)}
-        for t in ts:
-            if t <= start:
-                continue
-            k = place.get(int(t) - delay)
-            if k is not None and int(t) - delay >= start + (delay > 1):
-                w = passive_aggressive_step(w, xs[k], float(ys[k]), epsilon)
-            out.append((key[0], int(t), w.tolist()))
-        return pd.DataFrame(out, columns=["series", "t", "beta"])
+    def fold(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, w, held = None, None, {}
+        for batch in source:
+            series, t, x, y, start = batch.columns
+            ends = np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))
+            numbers, targets = x.flatten().to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)
+            rows, betas = [], []
+            for k, (s, now, begin, end) in enumerate(zip(series.to_pylist(), t.to_pylist(), start.to_pylist(), ends.tolist())):
+                own = numbers[ends[k - 1] if k else 0 : end]
+                if s != name:
+                    name, w, held = s, np.full(len(own), 1.0 / len(own)), {}
+                held[now] = own, targets[k]
+                while (oldest := next(iter(held))) < now - delay:
+                    del held[oldest]
+                if now <= begin:
+                    continue
+                if now - delay in held and now - delay >= begin + (delay > 1):
+                    w = passive_aggressive_step(w, *held[now - delay], epsilon)
+                rows.append(k)
+                betas.append(w)
+            if rows:
+                offsets = np.cumsum([0, *map(len, betas)]).astype(np.int32)
+                beta = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(betas).astype(float)))
+                yield pa.RecordBatch.from_arrays([series.take(pa.array(rows)), t.take(pa.array(rows)), beta], names=["series", "t", "beta"])
 
     rows = panel.select("series", "t", "x", "y").join(first, "series").filter("t >= first AND t <= end")
-    return rows.groupBy("series").applyInPandas(fold, WEIGHTS)
+    ordered = rows.select("series", F.col("t").cast("long").alias("t"), "x", "y", "first").repartition("series").sortWithinPartitions("series", "t")
+    return ordered.mapInArrow(fold, WEIGHTS)
 
 
 def errors_of(rows: DataFrame, method: str, value) -> DataFrame:

@@ -57,7 +57,7 @@ def tail_mean(loss: np.ndarray, alpha: float) -> float:
     return float((top[:whole].sum() + (k - whole) * (top[whole] if whole < len(top) else 0.0)) / k)
 
 
-def _penalties(spec: Robust, width: int, adaptive: int) -> np.ndarray:
+def penalties(spec: Robust, width: int, adaptive: int) -> np.ndarray:
     """The factor of each weight; adaptive: columns 1 + |z| of the row-major weights, 0 if they don't follow lags."""
     out = np.full(width, spec.rho)
     if adaptive and spec.rho_v is not None:
@@ -72,7 +72,7 @@ def _penalties(spec: Robust, width: int, adaptive: int) -> np.ndarray:
 def objective(beta: np.ndarray, x: np.ndarray, y: np.ndarray, spec: Robust, adaptive: int = 0, factor: np.ndarray | None = None) -> float:
     """What the learner makes least; factor: that of each weight's penalty, the method's own if there is none."""
     r = np.abs(y - x @ beta)
-    penalty = _penalties(spec, x.shape[1], adaptive) if factor is None else factor
+    penalty = penalties(spec, x.shape[1], adaptive) if factor is None else factor
     cost = penalty @ (beta * beta) if spec.penalty == "ridge" else penalty @ np.abs(beta)
     return tail_mean(r if spec.loss == "abs" else r * r, spec.alpha) + float(cost)
 
@@ -134,7 +134,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, spec: Robust, adaptive: int = 0, st
     n, p = x.shape
     if not (np.isfinite(x).all() and np.isfinite(y).all()):
         raise ValueError("features or targets are not finite")
-    factor = _penalties(spec, p, adaptive) if factor is None else factor
+    factor = penalties(spec, p, adaptive) if factor is None else factor
     beta = solve(x.T @ x / n + np.diag(factor + 1e-9), x.T @ y / n)
     scale = float(np.abs(y).mean()) or 1.0
     theta = beta

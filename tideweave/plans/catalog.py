@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.functions import vectors as V
-from tideweave.operators import adversary, features, learners, metrics, online, prep, reporting, robust, segments, slow_lad, synthetic
+from tideweave.operators import adversary, features, learners, metrics, online, prep, reporting, robust, robust_rounds, segments, slow_lad, synthetic
 from tideweave.operators.lags import lag_matrix, storm_lags
 from tideweave.operators.learners import Penalty
 from tideweave.operators.prep import Split
@@ -589,7 +589,7 @@ def retrained_errors(spark, d, s=SETTINGS):
 def _robust(spark, d, names, adaptive=False):
     methods = {n: robust.METHODS[n] for n in names}
     rows = learners.adaptive_features(_lagged_training(spark, d)) if adaptive else prep.training(_std(spark, d, WHOLE))
-    fitted = robust.fit_series(rows, methods, "f" if adaptive else "x", evaluate.z_width(SETTINGS) if adaptive else 0)
+    fitted = robust_rounds.fit_rounds(rows, methods, "f" if adaptive else "x", evaluate.z_width(SETTINGS) if adaptive else 0)
     # the gap to a lower bound of the least objective proves each fit
     return fitted.select("series", "method", "n_rows", F.round("objective", 4).alias("objective"), (F.col("gap") < 1e-4).alias("certified"), "error")
 
@@ -617,7 +617,7 @@ def drifting_offsets(spark, d):
 
 
 def _least(rows: DataFrame, method: str, spec) -> DataFrame:
-    fitted = robust.fit_series(rows, {method: spec}, "x")
+    fitted = robust_rounds.fit_rounds(rows, {method: spec})
     return fitted.select("series", "n_rows", F.round("objective", 5).alias("objective"))
 
 
