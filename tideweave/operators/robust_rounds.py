@@ -99,6 +99,7 @@ class Fit:
         self.theta = np.append(beta, 1.5 * np.sqrt(square) if spec.loss == "abs" else 2 * square) if spec.alpha < 1 else beta
         self.scale = size or 1.0
         self.eps, self.value, self.back, self.way, self.drop = 0.5 * self.scale, None, 1.0, None, 0.0
+        self.least_at = self.bound_at = self.other = None
 
     def begun(self, x: np.ndarray, y: np.ndarray, close: float, most: int) -> None:
         """Goes on to where a sample of the n rows leads, as far as its error allows; then all rows are to be met."""
@@ -106,13 +107,15 @@ class Fit:
         self.n = len(y)
         while self.open and self.eps > rough:
             self.step([_sums(x, y, t, e, self.spec, self.n) for t, e in self.trials()], close, most)
-        self.n, self.eps, self.open, self.value, self.rounds = n, max(self.eps, rough), True, None, 0
+        # where the bound was highest, or where the sample's error ends; the weights of the least objective are looked at too
+        self.other, (self.theta, self.eps) = self.least_at, self.bound_at if self.eps <= max(rough, LOOSE * self.scale) else (self.theta, self.eps)
+        self.n, self.eps, self.open, self.value, self.back, self.rounds = n, max(self.eps, rough), True, None, 1.0, 0
         self.best, self.least, self.bound = None, np.inf, -np.inf
 
     def trials(self) -> list[tuple[np.ndarray, float]]:
         """The points and smoothings at which the next round adds up."""
         if self.value is None:
-            return [(self.theta, self.eps)]
+            return [(self.theta, self.eps), *([] if self.other is None else [(self.other, self.eps)])]
         ahead = [self.theta + self.back * f * self.way for f in LENGTHS]
         return [*((t, self.eps) for t in ahead), (ahead[0], self.eps * FALL)]
 
@@ -129,8 +132,10 @@ class Fit:
             size = np.hypot(beta, eps)
             cost, smooth, slope, bowls = f @ np.abs(beta), f @ size, f * beta / size, f * eps * eps / size**3
         if true + cost + t < self.least:
-            self.best, self.least = beta, float(true + cost + t)
-        self.bound = max(self.bound, self._lower(held / max(1.0, count), gain / max(1.0, count), curve / max(1.0, count), beta))
+            self.best, self.least, self.least_at = beta, float(true + cost + t), theta
+        bound = self._lower(held / max(1.0, count), gain / max(1.0, count), curve / max(1.0, count), beta)
+        if bound > self.bound:
+            self.bound, self.bound_at = bound, (theta, eps)
         slope, bowl = slope - held, bowl + np.diag(bowls)
         if tail:
             slope = np.append(slope, 1 - count)
@@ -161,6 +166,7 @@ class Fit:
         found = [self._problem(t, e, s) for (t, e), s in zip(tried, sums)]
         if self.value is None:
             self._stand(*tried[0], found[0])
+            self.other = None
         else:
             k = min(range(len(LENGTHS)), key=lambda j: found[j][0])
             if -self.drop < 1e-11 * max(1.0, abs(self.value)):  # values can't tell steps from rounding here: slopes can
@@ -271,7 +277,7 @@ def _round(packed: DataFrame, state: DataFrame, close: float, most: int) -> Data
     return both.groupBy("series", "method").applyInPandas(step, STATE).unionByName(state.filter("NOT open"))
 
 
-def fit_rounds(rows: DataFrame, methods: dict[str, Robust], features: str = "x", adaptive: int = 0, close: float = 1e-8, most: int = 150, sample: int = 1000) -> DataFrame:
+def fit_rounds(rows: DataFrame, methods: dict[str, Robust], features: str = "x", adaptive: int = 0, close: float = 1e-7, most: int = 150, sample: int = 1000) -> DataFrame:
     """series, method, n_rows, theta, objective, gap, error, rounds of each series of rows (series, `features`, y).
 
     A fit is done when its gap is at most `close` (of an objective above one: that part of it), or after `most` rounds: the gap

@@ -617,7 +617,7 @@ def drifting_offsets(spark, d):
 
 
 def _least(rows: DataFrame, method: str, spec) -> DataFrame:
-    fitted = robust_rounds.fit_rounds(rows, {method: spec})
+    fitted = robust_rounds.fit_rounds(rows, {method: spec}, close=1e-9)
     return fitted.select("series", "n_rows", F.round("objective", 5).alias("objective"))
 
 
