@@ -155,3 +155,11 @@ def test_test_rows_follow_training(panel):
     a = training(rows).groupBy("series").agg(F.max("t").alias("a"))
     b = prep.testing(rows).groupBy("series").agg(F.min("t").alias("b"))
     assert all(r["b"] == r["a"] + 1 for r in a.join(b, "series").collect())
+
+
+def test_plans_of_storms_stay_small(spark):
+    rows = [(s, t + 1, t // 4 % 28 + 1, t % 4 * 6, 5.0 + (t * 7 + k) % 11) for k, s in enumerate("ab") for t in range(96)]
+    rows = spark.createDataFrame(rows, "series string, t long, days int, hours int, y double").withColumn("current_speed", F.col("y") / 10)
+    rows = rows.withColumn("x", F.array(F.lit(1.0), "current_speed", F.col("y") + F.col("hours")))
+    errors = evaluate.storm_errors(rows, Settings(Split(0.5, 1, 8, 10), members=2))
+    assert errors._jdf.queryExecution().analyzed().collectLeaves().size() < 100  # steps that stand in the plan make it 768
