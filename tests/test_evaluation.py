@@ -163,3 +163,41 @@ def test_plans_of_storms_stay_small(spark):
     rows = rows.withColumn("x", F.array(F.lit(1.0), "current_speed", F.col("y") + F.col("hours")))
     errors = evaluate.storm_errors(rows, Settings(Split(0.5, 1, 8, 10), members=2))
     assert errors._jdf.queryExecution().analyzed().collectLeaves().size() < 100  # steps that stand in the plan make it 768
+
+
+def test_errors_of_adaptive_weights_equal_row_by_row_weights(spark, panel):
+    rows = evaluate.relevant(standardised(panel, SETTINGS.split), SETTINGS.split)
+    params = evaluate.adaptive_params(rows, SETTINGS)
+    tests = prep.testing(evaluate.with_lags(rows, SETTINGS, "value"))
+    tests = tests.withColumn("z", F.when((F.col("series") == "a") & (F.col("t") % 4 == 0), F.transform("z", lambda v: F.lit(None).cast("double"))).otherwise(F.col("z")))
+    slow = online.adaptive_weights(tests, params, evaluate.z_width(SETTINGS)).withColumn("pred", online.dot("x", "beta") * F.col("sigma") + F.col("mu"))
+    want = {(r["series"], r["t"], r["method"]): r["pred"] for r in slow.collect()}
+    got = {(r["series"], r["t"], r["method"]): r for r in online.adaptive_errors(tests, params).collect()}
+    assert got.keys() == want.keys() and any(v is None for v in want.values()) and any(v is not None for v in want.values())
+    for k, v in want.items():
+        assert got[k]["pred"] == (v if v is None else pytest.approx(v, abs=1e-9)) and (got[k]["err"] is None) == (v is None)
+
+
+def test_errors_keep_no_cache_of_one_partition_for_each_series(spark, panel):
+    plan = evaluate.errors(panel.localCheckpoint(), SETTINGS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan
+
+
+def test_losses_are_shuffled_in_the_quantiles_bucket_only(spark):
+    rows = spark.range(40_000).select(F.lit("a").alias("series"), F.lit("m").alias("method"), (F.col("id") / 7 + 1).alias("err"))
+    tail = metrics.cvar(rows, (0.05,))
+    k, losses = 2000, np.sort(np.arange(40_000) / 7 + 1)[::-1]
+    assert tail.first()[2] == pytest.approx(losses[:k].mean(), rel=1e-12)
+    found = [n for n in _shuffled(tail._jdf.queryExecution().executedPlan())]
+    assert found and max(found) < 20_000  # all 40,000 before
+
+
+def _shuffled(node) -> list[int]:
+    """Rows that each exchange of an executed plan wrote."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffled(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled(node.plan())
+    own = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+    return own + [n for k in range(node.children().size()) for n in _shuffled(node.children().apply(k))]
