@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideweave.operators import learners, metrics, online
@@ -201,3 +202,17 @@ def _shuffled(node) -> list[int]:
         return _shuffled(node.plan())
     own = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
     return own + [n for k in range(node.children().size()) for n in _shuffled(node.children().apply(k))]
+
+
+@pytest.mark.parametrize("first,last", [(1, 1), (1, 13), (4, 11), (1, 64), (3, 2)])
+def test_sliding_sums_equal_frames_and_use_none(spark, first, last):
+    from tideweave.operators.windows import sliding_sums
+
+    w = Window.partitionBy("series").orderBy("t")
+    v = F.when(F.col("t") % 5 < 2, F.lit(None)).otherwise(F.col("t") * F.lit(1.5))
+    rows = sliding_sums(spark.range(1, 41).select(F.lit("a").alias("series"), F.col("id").alias("t")), w, {"s": v}, first, last)
+    for r in rows.collect():
+        own = [1.5 * t for t in range(max(1, r["t"] - last), r["t"] - first + 1) if t % 5 >= 2]
+        assert r["s"] == (sum(own) if own else None)
+    weights = online.exponential_weights(rows.select("series", "t", F.array(F.lit(1.0), "t", "t").alias("x"), F.col("t").alias("y")), 2, 40)
+    assert "-40, -1" not in weights._jdf.queryExecution().analyzed().toString()
