@@ -110,7 +110,7 @@ def _counters(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     out = np.zeros(COUNTERS, np.uint32)
     parts = docs.select(docs[text_col].cast("string").alias("txt")).mapInArrow(count, schema)
-    for k, _, m in parts.groupBy("chunk").applyInArrow(add, schema).toLocalIterator():
+    for k, _, m in parts.groupBy("chunk").applyInArrow(add, schema).collect():  # 4 MB; an iterator would be a job for each partition
         out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(bytes(m), np.uint32)
     return out
 
@@ -179,7 +179,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     spot = _bit() + 1
     rows = ids.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
     out = np.zeros((BITMAP // 32768, 4096), np.uint8)
-    for k, bits in rows.toLocalIterator():
+    for k, bits in rows.collect():  # 8 MB; an iterator would be a job for each partition
         out[k - 1] = np.frombuffer(bytes(bits), np.uint8)
     return out.ravel()
 

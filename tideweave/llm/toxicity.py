@@ -70,6 +70,8 @@ SKETCH = 12
 NEAR, INSERTED = -0.6, 0.15
 #: Words whose margins a worker remembers, and texts that it reads at once.
 REMEMBERED, SLICE = 200_000, 512
+#: Partitions in which the sample's bags come to the driver, one after the other: each is a job.
+BAGS = 16
 #: What digits and marks inside a word are read as.
 LIKE = str.maketrans("013457@$", "oieastas")
 
@@ -409,7 +411,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     schema = T.StructType([joined.schema["id"], joined.schema["y"], *extra])
     index: dict[str, int] = {}
     got = []
-    for r in joined.mapInArrow(bags, schema).toLocalIterator():
+    # the documents are read by one job of many tasks, not by a job for each of their partitions
+    for r in joined.mapInArrow(bags, schema).repartition(BAGS).toLocalIterator():
         windows = np.array([index.setdefault(w, len(index)) for w in r[2].split("\n") if w], np.int32)
         got.append((zlib.crc32(str(r[0]).encode()), str(r[0]), r[1], r[3], bytes(r[4]), windows))
     got.sort(key=lambda r: r[:5])
